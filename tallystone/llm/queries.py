@@ -44,6 +44,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (doc_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.ngram_join import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"), 0.8, 5)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.piece_codec import encode_texts
 
@@ -59,6 +65,24 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_counts, op6_toxicity, op7_quality, op9_piece_codec, op10_telephony)
+    f.__name__: f for f in (op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+  FROM d),
+e AS (SELECT rid, len(g) AS n, unnest(g) AS gram FROM s),
+c AS (SELECT a.rid AS a, b.rid AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM e a JOIN e b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE 5 * common >= 4 * (n + m - common)),
+r AS (SELECT rid, rid AS reached FROM s UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.reached),
+k AS (SELECT r.rid, min(s.doc_id) AS class_id FROM r JOIN s ON s.rid = r.reached GROUP BY 1),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY 1)
+SELECT s.doc_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, k.class_id, s.doc_id = k.class_id AS kept
+FROM s JOIN k USING (rid) LEFT JOIN n USING (rid)
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
