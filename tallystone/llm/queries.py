@@ -20,6 +20,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"), 16)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.packing import pack_texts
 
@@ -71,7 +77,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony)
+    f.__name__: f for f in (op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony)
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_ngram_join": r"""
