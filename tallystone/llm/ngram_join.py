@@ -16,7 +16,6 @@ white space, has no n-grams and links with nothing. Other columns are not read;
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.blocks import verified, with_components
 from tallystone.llm.common import documents, map_texts
 from tallystone.llm.components import connected_components, shared_checkpoint
 from tallystone.llm.shingles import WORDS, band_hashes, bands_for, shingles
@@ -75,57 +75,6 @@ def links_between(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
     return linked
 
 
-def least_reachable(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix the least index reachable from it."""
-    root = np.arange(len(linked))
-    while True:
-        near = np.where(linked, root[None, :], len(linked)).min(1, initial=len(linked))
-        new = np.minimum(root, near)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _verify(similarity: Fraction):
-    """Rows of blocks, sorted by block, to key, links (documents linked) and root (the least key of its component in this block)."""
-
-    def of_block(rows: list[tuple]) -> tuple[list, list, list]:
-        same = rows[0][1] == rows[0][2]
-        rows.sort(key=lambda r: r[4])
-        linked = links_between([np.frombuffer(r[6], "u8") for r in rows], similarity)
-        if not same:  # inside either side they were compared in that side's own block
-            side = np.array([r[3] for r in rows])
-            linked &= side[:, None] != side[None, :]
-        links = linked @ np.array([r[5] for r in rows], "i8")
-        keys = [r[4] for r in rows]
-        return keys, links.tolist(), [keys[i] for i in least_reachable(linked)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks():
-            held: list[tuple] = []
-            for batch in batches:
-                for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                    if held and r[:3] != held[0][:3]:
-                        yield of_block(held)
-                        held = []
-                    held.append(r)
-            if held:
-                yield of_block(held)
-
-        keys, links, roots = [], [], []
-        for k, n, r in blocks():
-            keys += k
-            links += n
-            roots += r
-            if len(keys) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["key", "links", "root"])
-                keys, links, roots = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["key", "links", "root"])
-
-    return run
-
-
 def _digested(words: int):
     def make():
         def work(texts: list[str]) -> list[pa.Array]:
@@ -159,21 +108,9 @@ def near_classes(df: DataFrame, similarity: float = 0.8, words: int = WORDS, rec
     # one document of each class, by its id, brings the set; of repeated ids with other texts, the one whose set it is
     bringing = members.select("least").distinct()
     texts = docs.join(bringing, docs.doc_id.eqNullSafe(bringing.least), "left_semi")
-    sets = map_texts(texts, _digested(words), "key binary, grams binary").dropDuplicates(["key"]).drop("doc_id")
+    sets = map_texts(texts, _digested(words), "key binary, data binary").dropDuplicates(["key"]).drop("doc_id")
     sides = members.select("cluster", "parts", "key", "copies", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int").alias("side")).join(sets, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    paired = sides.withColumn("other", other).select(
-        "cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "copies", "grams"
-    )
-    verified = paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(limit), "key binary, links long, root binary")
-    verified = shared_checkpoint(verified)
-    links = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    joined = connected_components(verified.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    known = classes.select("key", "least", "copies").join(links, "key", "left").join(joined, "key", "left")
-    known = known.select("key", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component"))
-    known = shared_checkpoint(known)
-    least = known.groupBy("component").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "component").select("key", "n_links", "class_id")
-    out = signed.select("doc_id", "key").join(known, "key", "left")
-    class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    members = sides.withColumn("other", other).select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "copies", "data")
+    found = verified(members, lambda data, _: links_between([np.frombuffer(d, "u8") for d in data], limit))
+    return with_components(signed, classes, found, "doc_id", "class_id")

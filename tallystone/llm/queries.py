@@ -20,6 +20,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.vector_links import vector_links
+
+    return vector_links(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.tag_paths import extract_text
+
+    pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
+    found = extract_text(pages, id_col="page")
+    return found.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.sharding import balanced_shards
 
@@ -77,9 +91,23 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony)
+    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony)
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_vector_links": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+    coalesce(list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))), false) AND coalesce(list_sum(list_transform(embedding, lambda c: abs(c))), 0) > 0 AS fine
+  FROM embeddings),
+l AS (
+  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid
+  WHERE a.fine AND b.fine AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT rid, rid AS reached FROM v UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.reached),
+k AS (SELECT r.rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.reached GROUP BY 1),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, k.component_id, v.vec_id = k.component_id AS kept
+FROM v JOIN k USING (rid) LEFT JOIN n USING (rid)
+""",
     "op8_ngram_join": r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '') AS w
