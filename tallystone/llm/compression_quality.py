@@ -1,13 +1,14 @@
 """Operator 7: quality by compression.
 
 Two zstandard dictionaries are built, one from blocks of good and one from blocks of bad labelled text. A text is cut into blocks of at most
-BLOCK_CHARS characters; the difference of the sizes that its blocks have with either dictionary, over its bytes, is its evidence, and a
-logistic fit on labelled texts that built no dictionary turns that into a score.
+BLOCK_CHARS characters; the difference of the sizes that its blocks have with either dictionary, over its bytes, is its evidence. A
+logistic fit of it and of both sizes over the bytes, on labelled texts that built no dictionary, turns it into a score; its weights restore
+the share of label 1 among all labels that may be used, which is counted over all of them.
 
 Learned from at most `per_class` documents of either label, `chars` characters of each (labelled.sample). Scored: every whole text.
 
-Rows: one for each input row, repeated rows and null ids included. A null or empty text has no evidence and gets the score at 0. Other
-columns are not read; an empty table gives an empty result. If either label is missing, every score is the share of label 1, or 0.5.
+Rows: one for each input row, repeated rows and null ids included. A null or empty text gets the share of label 1. Other
+columns are not read; an empty table gives an empty result. If either label is missing, so is every score.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import documents as view
 from tallystone.llm.common import map_texts
-from tallystone.llm.labelled import logistic, sample
+from tallystone.llm.labelled import logistic, sample, share_of_ones
 
 BLOCK_CHARS = 4096
 DICTIONARY_BYTES = 112 << 10
@@ -45,7 +46,7 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 class Evidence:
-    """(size with the bad dictionary - size with the good one) / bytes, over a text's blocks."""
+    """Of a text's blocks, over its bytes: size with the bad dictionary less size with the good one, and either size."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
@@ -56,46 +57,60 @@ class Evidence:
             d.precompute_compress(level=LEVEL)
             self.sizers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False).compress)
 
-    def __call__(self, text: str) -> float:
-        good, bad = self.sizers
-        diff = total = 0
+    def __call__(self, text: str) -> tuple[float, float, float]:
+        of_good, of_bad = self.sizers
+        good = bad = total = 0
         for b in blocks(text):
-            diff += len(bad(b)) - len(good(b))
+            good += len(of_good(b))
+            bad += len(of_bad(b))
             total += len(b)
-        return diff / total if total else 0.0
+        total = max(total, 1)
+        return (bad - good) / total, good / total, bad / total
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    good: bytes
-    bad: bytes
-    slope: float
-    constant: float
+    """share: of label 1, the score where there is nothing to weigh; good, bad: the dictionaries; weights of the evidence, and a constant."""
+
+    share: float
+    good: bytes = b""
+    bad: bytes = b""
+    weights: tuple[float, ...] = ()
+    constant: float = 0.0
 
     def scorer(self):
-        if not self.good or not self.bad:
-            score = 1 / (1 + math.exp(-self.constant))
-            return lambda text: score
+        if not self.weights:
+            return lambda text: self.share
         evidence = Evidence(self.good, self.bad)
-        return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence(text) + self.constant))))
 
+        def score(text: str) -> float:
+            if not text:
+                return self.share
+            margin = self.constant + sum(w * x for w, x in zip(self.weights, evidence(text), strict=True))
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 1500, chars: int = 8192) -> CompressionModel:
-    """learn: which labels may be used, over doc_id."""
-    rows = sample(documents, labels, label, learn, per_class, chars)
-    ones = sum(y for _, y in rows)
-    if not rows or ones in (0, len(rows)):
-        share = min(max(ones / len(rows), 0.01), 0.99) if rows else 0.5
-        return CompressionModel(b"", b"", 0.0, math.log(share / (1 - share)))
+        return score
+
+
+def fit_rows(rows: list[tuple[str, int]], share: float) -> CompressionModel:
+    """share: of label 1 among all labels that may be used."""
+    if len({y for _, y in rows}) < 2:
+        return CompressionModel(share)
     built, rest = rows[::2], rows[1::2]
     if len({y for _, y in built}) < 2 or len({y for _, y in rest}) < 2:
         built = rest = rows
     good, bad = dictionary([t for t, y in built if y]), dictionary([t for t, y in built if not y])
     evidence = Evidence(good, bad)
     x, y = np.array([evidence(t) for t, _ in rest]), np.array([y for _, y in rest])
-    scale = float(x.std()) or 1.0
-    slope, constant = logistic(x / scale, y, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), ridge=0.1)
-    return CompressionModel(good, bad, float(slope / scale), float(constant))
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    b = logistic((x - mean) / scale, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), ridge=0.1)
+    weights = b[:-1] / scale
+    return CompressionModel(share, good, bad, tuple(map(float, weights)), float(b[-1] - mean @ weights))
+
+
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 1500, chars: int = 8192) -> CompressionModel:
+    """learn: which labels may be used, over doc_id."""
+    return fit_rows(sample(documents, labels, label, learn, per_class, chars), share_of_ones(labels, label, learn))
 
 
 def score_texts(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,6 +29,13 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, p
     return [(r["text"], r["label"]) for r in rows]
 
 
+def share_of_ones(labels: DataFrame, label: str, learn: Column) -> float:
+    """Share of label 1 among all labels that may be used, kept off 0 and 1; 0.5 if there is none."""
+    known = labels.where(labels.doc_id.isNotNull() & labels[label].isin(0, 1) & learn)
+    share = known.agg(F.avg(label).alias("share")).first()["share"]
+    return 0.5 if share is None else min(max(share, 0.01), 0.99)
+
+
 def logistic(x, y, weight=None, rounds: int = 50, ridge: float = 1e-3):
     """Newton's method for a logistic fit of y on the columns of x and a constant; gives the coefficients, the constant last."""
     import numpy as np
