@@ -1,7 +1,7 @@
 """Ids of whole texts by a word-level BPE file of the tokenizers library, with a bounded memo of words.
 
 The file's normaliser and pre-tokeniser part a text into words that are merged alone, so a word's ids don't depend on its neighbours. Texts of
-characters whose classes are certain are parted here and each new word goes to the library; any other text goes to the library whole. Files
+characters whose classes are certain are parted here and each new word goes to the library's model; any other text goes to the library whole. Files
 whose settings are not those of PARTS are always used whole.
 """
 
@@ -10,9 +10,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
+from tallystone.llm.common import Memo
 
 #: The settings under which words may be parted here (fixed values of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -26,8 +27,9 @@ def _class(kind: str) -> str:
 
 
 class WordIds:
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -41,30 +43,23 @@ class WordIds:
             and (split.get("behavior"), split.get("invert")) == ("Removed", True)
         )
         letters, numbers = _class("L"), _class("N")
-        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t\n\r{letters}{numbers}]+").findall
+        # letters first: no other alternative begins with one
+        self.find = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^ \t\n\r{letters}{numbers}]+").findall
         self.certain = re.compile(rf"[\t\n\r\x20-\x7e\xa1-{chr(CERTAIN)}]*").fullmatch
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.memo: dict[str, bytes] = {}
-        self.limit = limit
+        self.model = self.library.model
+        self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.memo = Memo(self._word, limit)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        text = word if word.isascii() else self.bytes_as_text(word)[0][0]
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Unsigned 32-bit ids in the machine's order, which is little-endian wherever Spark runs."""
         if not self.parts or not self.certain(text) or any(s in text for s in self.specials):
-            return self._whole([text])[0]
-        found = self.find(text.lower())
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, found))
-        except KeyError:
-            new = list({w for w in found if w not in memo})
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-                new = list(set(found))
-            memo.update(zip(new, self._whole(new), strict=True))
-            return b"".join(map(memo.__getitem__, found))
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.memo.__getitem__, self.find(text.lower())))
 
 
 @lru_cache(2)
