@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder (spark.checkpoint.dir); one is set only where there is none, as in tests."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder (spark.checkpoint.dir); one is set only where there is none, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints")
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint; its partitions stay as they are, so row numbers over it do too."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder. Loops need this: a checkpoint keeps the estimated size of its plan, and the estimates of
+    joins of joins multiply from round to round until the numbers themselves take all the time; a table has the size it has."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a shared_table that no later step reads."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, component), the component being its least node. Loops and repeated links do no harm; nulls are passed over."""
     both = edges.where("a is not null and b is not null and a != b").select("a", "b")
-    both = shared_checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = shared_checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
+    both = shared_table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = step = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("last"))
         further = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        step = shared_checkpoint(least.join(further, "next").select("node", F.least("next", "jump").alias("component"), "last"))
+        last, step = step, shared_table(least.join(further, "next").select("node", F.least("next", "jump").alias("component"), "last"))
+        drop_table(last)
         labels = step.select("node", "component")
         if step.where("component != last").isEmpty():
+            drop_table(both)
             return labels

@@ -17,6 +17,7 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, p
 
     A document labelled twice counts as 1 if any label is 1. The bound makes what the driver gathers the same for any input.
     """
+    documents = documents.select("doc_id", "text")  # whatever else the caller's rows hold
     known = labels.where(labels.doc_id.isNotNull() & labels[label].isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = None
     for value in (0, 1):

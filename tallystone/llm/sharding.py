@@ -14,23 +14,26 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.components import shared_checkpoint
+from tallystone.llm.components import drop_table, shared_checkpoint, shared_table
 
-#: Parts that a large group's rows are dealt into, rounds at most, rows of a bucket for ranks, and the share of a shard that a unit may fill.
-SALTS, ROUNDS, BUCKET, UNIT_SHARE = 64, 6, 20_000, 0.25
+#: Parts that a large group's rows are dealt into, rounds at most, and the share of a shard that a unit may fill.
+SALTS, ROUNDS, UNIT_SHARE = 64, 16, 0.25
 
 
-def ranked(df: DataFrame, key: Column, name: str, rows: int) -> DataFrame:
-    """df (with a unique `row`) and its rank from 0 among the rows of equal key, by hashed bucket, then row."""
-    buckets = max(1, -(-rows // BUCKET))
-    df = df.withColumns({"_k": key, "_b": F.pmod(F.xxhash64("row"), F.lit(buckets))})
+def ranked(df: DataFrame, key: Column, name: str, rows: int, together: tuple[str, ...] = ("row",)) -> DataFrame:
+    """df (with a unique `row`) and its rank from 0 among the rows of equal key, by hashed bucket, then what stays together, then row. There are as many
+    buckets as the square root of all rows, so that neither a bucket's rows nor the buckets' counts are many."""
+    buckets = max(1, math.isqrt(rows))
+    df = df.withColumns({"_k": key, "_b": F.pmod(F.xxhash64(*together), F.lit(buckets))})
     counts = df.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_n")
     counts = counts.select("_k", "_b", before.alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_k", "_b").orderBy("row")) - 1
+    inner = F.row_number().over(Window.partitionBy("_k", "_b").orderBy(*dict.fromkeys([*together, "row"]))) - 1
     return df.withColumn("_i", inner).join(counts, ["_k", "_b"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_k", "_b", "_i", "_before")
 
 
@@ -70,8 +73,15 @@ def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
         # a shard is chosen for its votes if it has room for the rest of the unit, else for what it has of the unit already
         fits = _at(room, F.col("shard")) >= rest
         rank = F.struct((fits | (rest == 0)).alias("fits"), F.when(fits | (rest == 0), F.col("votes")).otherwise(F.coalesce("own", F.lit(0))).alias("v"), F.xxhash64("group", "shard").alias("tie"), F.col("shard").alias("shard"))
-        best = choices.groupBy("group", "unit").agg(F.max(rank).alias("best")).select("group", "unit", F.col("best.shard").alias("to"))
-        moves = shared_checkpoint(state.join(best, ["group", "unit"]))
+        best = choices.groupBy("group", "unit", "size").agg(F.max(rank).alias("best"))
+        # where none of its shards has room for the rest of a unit, all of it goes to one that has, chosen by hash
+        spare = [b for b in range(n) if room[b] > 0]
+        if spare:
+            other = _at(spare, F.pmod(F.xxhash64("group", "unit", F.lit(-1 - turn)), F.lit(len(spare))), "int")
+            best = best.select("group", "unit", F.when(~F.col("best.fits") & (_at(room, other) >= F.col("size")), other).otherwise(F.col("best.shard")).alias("to"))
+        else:
+            best = best.select("group", "unit", F.col("best.shard").alias("to"))
+        moves = shared_table(state.join(best, ["group", "unit"]))
         wanted = [[0] * n for _ in range(n)]
         for r in moves.where("shard != to").groupBy("shard", "to").agg(F.sum("c").alias("c")).collect():  # shards x shards rows
             wanted[r["shard"]][r["to"]] = r["c"]
@@ -79,7 +89,10 @@ def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
             break
         shares = admitted_shares(wanted, room)
         draw = F.pmod(F.xxhash64("group", "unit", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        state = moves.withColumn("shard", F.when(draw < _at(shares, F.col("to"), "double"), F.col("to")).otherwise(F.col("shard"))).drop("to")
+        last, state = state, shared_table(moves.withColumn("shard", F.when(draw < _at(shares, F.col("to"), "double"), F.col("to")).otherwise(F.col("shard"))).drop("to"))
+        drop_table(moves)
+        if turn:
+            drop_table(last)
     return state
 
 
@@ -99,10 +112,14 @@ def balanced_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     parts = light.groupBy("group", "salt", "first").agg(F.count("*").alias("c")).withColumn("k", F.sum("c").over(whole)).where("k > 1")
     most = max(1, int(UNIT_SHARE * (total // shards)))
     unit = F.when(F.col("k") > most, F.pmod(F.col("salt"), F.ceil(F.col("k") / most))).otherwise(F.lit(0)).cast("int")
-    state = shared_checkpoint(parts.select("group", "salt", "first", unit.alias("unit"), F.col("first").alias("shard"), "c"))
-    placed = propagate(state, quotas).select("group", "salt", "first", "shard")
-    linked = shared_checkpoint(light.join(placed, ["group", "salt", "first"], "left").select("row", "doc_id", "size", "text_crc32", "shard"))
-    inside = ranked(linked.where("shard is not null"), F.col("shard"), "at", total)
+    state = shared_checkpoint(parts.select("group", "salt", "first", unit.alias("unit"), F.col("first").alias("shard"), "c", (F.col("k") > most).alias("large")))
+    large = state.where("large").select("group").distinct()
+    placed = propagate(state.drop("large"), quotas).select("group", "salt", "first", "shard")
+    placed = placed.join(large.withColumn("large", F.lit(True)), "group", "left")
+    # what an overfull shard gives up is whole groups, or parts of large ones
+    part = F.when(F.col("large"), F.col("salt")).otherwise(0).alias("part")
+    linked = shared_checkpoint(light.join(placed, ["group", "salt", "first"], "left").select("row", "doc_id", "size", "text_crc32", "group", part, "shard"))
+    inside = ranked(linked.where("shard is not null"), F.col("shard"), "at", total, ("group", "part"))
     kept = inside.where(F.col("at") < _at(quotas, F.col("shard"))).drop("at")
     pool = linked.where("shard is null").unionByName(inside.where(F.col("at") >= _at(quotas, F.col("shard"))).drop("at"))
     held = [0] * shards
@@ -112,7 +129,7 @@ def balanced_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     for b in range(shards):
         at += quotas[b] - held[b]
         ends.append(at)
-    order = ranked(pool.drop("shard"), F.lit(0), "at", total)
+    order = ranked(pool.drop("shard"), F.lit(0), "at", total, ("group", "part"))
     free = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("at"))).cast("int")
     everyone = kept.unionByName(order.withColumn("shard", free).drop("at"))
     out = ranked(shared_checkpoint(everyone), F.col("shard"), "slot", total)

@@ -2,7 +2,7 @@
 
 A word is the mean of the embeddings of its hashed character n-grams and of itself; a window of WINDOW words is the mean of its words; a linear
 softmax over that mean gives the window's class. Embeddings and softmax are trained jointly in numpy. Labels are of documents, so a toxic
-document trains the window that looks worst so far, and a clean one its worst window and another; a document's score is that of its worst
+document trains the windows that look worst so far, and a clean one its worst window and another; a document's score is that of its worst
 window, calibrated on documents that trained nothing. Unseen misspellings share n-grams, and so vectors, with what was seen.
 
 Learned from at most `per_class` documents of either label, `chars` characters of each (labelled.sample). Scored: every whole text.
@@ -32,7 +32,9 @@ from tallystone.llm.labelled import logistic, sample
 BUCKETS, WIDTH = 1 << 17, 12
 SMALLEST, LARGEST = 3, 5
 #: Words of a window, words between the starts of two, and the least number that a mean divides by.
-WINDOW, STRIDE, LEAST, NEAR = 32, 16, 8, 6
+WINDOW, STRIDE, LEAST, NEAR = 16, 8, 8, 6
+#: Share of a toxic document's windows that train as toxic, worst first, and how many at most.
+TOXIC_SHARE, MOST_WINDOWS = 0.2, 8
 #: A bucket that fewer training documents hold has no embedding: what one document alone has would be learned by heart.
 LEAST_DOCUMENTS = 4
 
@@ -122,8 +124,9 @@ def train(docs: list[list[int]], labels: np.ndarray, vocabulary: list[list[int]]
             if r < rounds // 3:  # any windows, with their document's label
                 starts = {*other.tolist()}
             else:
-                worst = int(window_means(per_word[d]).argmax()) * STRIDE
-                starts = {worst} if y else {worst, int(other[0])}
+                means = window_means(per_word[d])
+                worst = np.argsort(-means, kind="stable")[: max(1, min(MOST_WINDOWS, int(len(means) * TOXIC_SHARE)))] * STRIDE
+                starts = {*worst.tolist()} if y else {int(worst[0]), int(other[0])}
             chosen += [(d[s : s + WINDOW], y) for s in starts]
         order = rng.permutation(len(chosen))
         for at in range(0, len(order), 64):
