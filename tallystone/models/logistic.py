@@ -127,7 +127,7 @@ def walk_forward_risk(data: DataFrame, features: list[str], first_year: int, hor
                 continue
             model = fit_calibrated(features, x[train], y[train].astype(int))
             out.append(pd.DataFrame({"run_id": pdf.loc[test, "run_id"], "date": pdf.loc[test, "date"], "proba": model.proba(x[test]), "base_rate": y[train].mean()}))
-        return pd.concat(out) if out else pd.DataFrame({"run_id": [], "date": [], "proba": [], "base_rate": []})
+        return pd.concat(out) if out else pdf[["run_id", "date"]].iloc[:0].assign(proba=0.0, base_rate=0.0)
 
     return data.select("run_id", "date", "y", *features).groupBy("run_id").applyInPandas(run, f"run_id {kinds['run_id']}, date {kinds['date']}, proba double, base_rate double")
 
@@ -144,7 +144,7 @@ def permutation_importance(data: DataFrame, features: list[str], folds: DataFram
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
         fold = int(pdf["fold"].iloc[0])
         if train["y"].nunique() < 2 or not len(test):
-            return pd.DataFrame({"feature": [], "fold": [], "drop": []})
+            return pd.DataFrame({"feature": pd.Series(dtype=str), "fold": pd.Series(dtype="i4"), "drop": pd.Series(dtype=float)})
         model = fit(features, train[features].to_numpy(float), train["y"].to_numpy(int))
         x, y = test[features].to_numpy(float), test["y"].to_numpy(int)
         base, out = ((model.raw(x) >= 0.5) == y).mean(), []

@@ -64,7 +64,9 @@ def cusum(series: DataFrame, threshold: float, key: str = "secid", order: str =
             elif down < -threshold:
                 down = 0.0
                 found.append((t, -1))
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), order: [t for t, _ in found], "direction": [s for _, s in found]})
+        if not found:
+            return pdf[[key, order]].iloc[:0].assign(direction=0)
+        return pd.DataFrame({key: pdf[key].iloc[0], order: [t for t, _ in found], "direction": [s for _, s in found]})
 
     return series.select(key, order, column).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {order} {kinds[order]}, direction int")
 

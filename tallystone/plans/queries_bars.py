@@ -81,13 +81,12 @@ register(
 )
 register("p12_tradeable", lambda s, d: quality.tradeable(candles(s, d), 5).select("secid", "date"), f"WITH {C} SELECT secid, date FROM (SELECT secid, date, row_number() OVER w AS n FROM c {W}) WHERE n > 5")
 
-w = series.bars()
 register(
-    "w1_momentum", lambda s, d: long_candles(s, d).select("secid", "date", series.bar_return("close", 20, w).alias("ret")), f"WITH {L} SELECT secid, date, close / lag(close, 20) OVER w - 1 AS ret FROM l {W}", "ret"
+    "w1_momentum", lambda s, d: long_candles(s, d).select("secid", "date", series.bar_return("close", 20, series.bars()).alias("ret")), f"WITH {L} SELECT secid, date, close / lag(close, 20) OVER w - 1 AS ret FROM l {W}", "ret"
 )
 register(
     "w2_lagged_signal",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.bar_return("close", 60, w, 21).alias("ret")),
+    lambda s, d: long_candles(s, d).select("secid", "date", series.bar_return("close", 60, series.bars(), 21).alias("ret")),
     f"WITH {L} SELECT secid, date, lag(close, 21) OVER w / lag(close, 81) OVER w - 1 AS ret FROM l {W}",
     "ret",
 )
@@ -101,14 +100,14 @@ def _full(fn: str, column: str, n: int) -> str:
 RET = f"x AS (SELECT *, close / lag(close) OVER w - 1 AS ret, ln(close / lag(close) OVER w) AS logret FROM l {W})"
 register(
     "w3_volatility",
-    lambda s, d: series.with_returns(long_candles(s, d)).select("secid", "date", series.rolling_std("ret", 20, w).alias("vol")),
+    lambda s, d: series.with_returns(long_candles(s, d)).select("secid", "date", series.rolling_std("ret", 20, series.bars()).alias("vol")),
     f"WITH {L}, {RET} SELECT secid, date, {_full('stddev_samp(ret)', 'ret', 20)} AS vol FROM x",
     "vol",
 )
 register(
     "w4_log_volatility",
     lambda s, d: series.with_returns(long_candles(s, d)).select(
-        "secid", "date", series.annual_volatility("logret", 20, w).alias("vol20"), series.annual_volatility("logret", 60, w).alias("vol60"), (series.rolling_std("logret", 20, w) / series.rolling_std("logret", 250, w)).alias("vol_ratio")
+        "secid", "date", series.annual_volatility("logret", 20, series.bars()).alias("vol20"), series.annual_volatility("logret", 60, series.bars()).alias("vol60"), (series.rolling_std("logret", 20, series.bars()) / series.rolling_std("logret", 250, series.bars())).alias("vol_ratio")
     ),
     f"""WITH {L}, {RET} SELECT secid, date, {_full("stddev_samp(logret)", "logret", 20)} * {math.sqrt(252)!r} AS vol20, {_full("stddev_samp(logret)", "logret", 60)} * {math.sqrt(252)!r} AS vol60,
   {_full("stddev_samp(logret)", "logret", 20)} / {_full("stddev_samp(logret)", "logret", 250)} AS vol_ratio FROM x""",
@@ -116,27 +115,27 @@ register(
 )
 register(
     "w5_distance_to_mean",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.distance_to_mean("close", 50, w).alias("ma50"), series.distance_to_mean("close", 200, w).alias("ma200")),
+    lambda s, d: long_candles(s, d).select("secid", "date", series.distance_to_mean("close", 50, series.bars()).alias("ma50"), series.distance_to_mean("close", 200, series.bars()).alias("ma200")),
     f"WITH {L} SELECT secid, date, close / {_full('avg(close)', 'close', 50)} - 1 AS ma50, close / {_full('avg(close)', 'close', 200)} - 1 AS ma200 FROM l",
     "ma50 ma200",
 )
 register(
     "w6_drawdown_250",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.drawdown_from_high("close", 250, w).alias("dd")),
+    lambda s, d: long_candles(s, d).select("secid", "date", series.drawdown_from_high("close", 250, series.bars()).alias("dd")),
     f"WITH {L} SELECT secid, date, close / {_full('max(close)', 'close', 250)} - 1 AS dd FROM l",
     "dd",
 )
 register(
     "w7_rolling_median",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.rolling_median("close", 60, w).alias("med")),
+    lambda s, d: long_candles(s, d).select("secid", "date", series.rolling_median("close", 60, series.bars()).alias("med")),
     f"WITH {L} SELECT secid, date, {_full('quantile_cont(close, 0.5)', 'close', 60)} AS med FROM l",
     "med",
     8,
 )
-register("w8_peak", lambda s, d: long_candles(s, d).select("secid", "date", series.running_peak("close", w).alias("peak")), f"WITH {L} SELECT secid, date, max(close) OVER w AS peak FROM l {W}", "peak")
+register("w8_peak", lambda s, d: long_candles(s, d).select("secid", "date", series.running_peak("close", series.bars()).alias("peak")), f"WITH {L} SELECT secid, date, max(close) OVER w AS peak FROM l {W}", "peak")
 register(
     "w9_gaps",
-    lambda s, d: long_candles(s, d).select("secid", "date", F.date_diff("date", F.lag("date").over(w)).cast("long").alias("gap"), (F.col("close") - F.lag("close").over(w)).alias("diff")),
+    lambda s, d: long_candles(s, d).select("secid", "date", F.date_diff("date", F.lag("date").over(series.bars())).cast("long").alias("gap"), (F.col("close") - F.lag("close").over(series.bars())).alias("diff")),
     f"WITH {L} SELECT secid, date, date_diff('day', lag(date) OVER w, date) AS gap, close - lag(close) OVER w AS diff FROM l {W}",
     "diff",
     9,
@@ -168,7 +167,7 @@ SELECT secid, date, last_value(kept IGNORE NULLS) OVER (PARTITION BY secid ORDER
 )
 register(
     "w15_drawdown_label",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.forward_drawdown_label("close", 21, 0.05, w).alias("y")),
+    lambda s, d: long_candles(s, d).select("secid", "date", series.forward_drawdown_label("close", 21, 0.05, series.bars()).alias("y")),
     f"""WITH {L}, a AS (SELECT secid, date, close, count(close) OVER f AS n, min(close) OVER f AS m FROM l WINDOW f AS (PARTITION BY secid ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING))
 SELECT secid, date, CASE WHEN n = 21 THEN CAST(m / close - 1 <= -0.05 AS INTEGER) END AS y FROM a""",
 )
@@ -184,7 +183,7 @@ SELECT secid, date, direction FROM r WHERE direction <> 0""",
 _weights = series.fraction_weights(0.4, 0.01)
 register(
     "w18_fractional_difference",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.fractional_difference("close", 0.4, w, 0.01).alias("x")),
+    lambda s, d: long_candles(s, d).select("secid", "date", series.fractional_difference("close", 0.4, series.bars(), 0.01).alias("x")),
     f"WITH {L} SELECT secid, date, {' + '.join(f'({x!r}) * ' + (f'lag(close, {k}) OVER w' if k else 'close') for k, x in enumerate(_weights))} AS x FROM l {W}",
     "x",
 )
