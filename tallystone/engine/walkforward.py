@@ -1,7 +1,7 @@
 """Walk-forward search: every parameter set is judged on training years, the best is traded on the following ones, and only what it earned there counts.
 
-Two Spark stages: all training and test runs of all windows are one set of groups, the best set of each window is chosen by a window function, and the chained run
-carries its capital through the windows by the chosen runs' own growth, so it needs no third pass when lots are fine; `chained` refolds it exactly.
+Two stages of folds: all training and test runs of all windows are one set of groups; then the best set of each window, chosen by a window function, is run again in
+one chain that carries its capital from window to window.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.engine.fold import Settings, equity_of, runs, simulate
+from tallystone.engine.fold import Settings, equity_of, runs, simulate, simulate_chain
 from tallystone.operators.metrics import annualised, equity_metrics
 
 MOST_PARAMETERS = 3
@@ -54,15 +54,15 @@ def choose(metrics: DataFrame, configs: DataFrame, metric: str = "sharpe") -> Da
     return judged.withColumn("place", place).where("place = 1").select("window", "config", F.col(metric).alias("metric"))
 
 
-def stitched(equity: DataFrame, chosen: DataFrame, capital: float) -> DataFrame:
-    """(date, window, config, equity): the chosen test runs' curves one after another, each scaled to what the last one left; of two windows' equal dates the later one's."""
+def chained(panel_days: DataFrame, weights: DataFrame, chosen: DataFrame, windows: DataFrame, settings: Settings, history_from: str) -> DataFrame:
+    """(date, window, config, equity) of the chosen configs' test runs, one after another with the capital carried on; of two windows' equal dates the later one's."""
+    jobs_ = chosen.join(windows, "window").select(
+        F.lit("oos").alias("chain"), F.col("window").alias("link"), F.concat_ws("/", F.lit("oos"), "window", "config").alias("run_id"), "config", F.to_date(F.lit(history_from)).alias("from"),
+        F.col("test_to").alias("to"), F.col("test_from").alias("trade_from"), F.lit(float(settings.capital)).alias("capital"),
+    )
     parts = F.split("run_id", "/")
-    tests = equity.withColumns({"phase": parts[0], "window": parts[1].cast("int"), "config": parts[2]}).where("phase = 'test'").join(chosen.select("window", "config"), ["window", "config"])
-    ends = tests.groupBy("window").agg((F.max_by("equity", "date") / F.lit(float(capital))).alias("factor"))
-    before = Window.partitionBy(F.lit(0)).orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # a row for each window
-    carried = ends.select("window", F.coalesce(F.exp(F.sum(F.log("factor")).over(before)), F.lit(1.0)).alias("carried"))
-    scaled = tests.join(carried, "window").select("date", "window", "config", (F.col("equity") * F.col("carried")).alias("equity"))
-    return scaled.withColumn("_n", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("window")))).where("_n = 1").drop("_n")
+    curve = equity_of(simulate_chain(runs(panel_days, weights, jobs_), settings)).select("date", parts[1].cast("int").alias("window"), parts[2].alias("config"), "equity")
+    return curve.withColumn("_n", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("window")))).where("_n = 1").drop("_n")
 
 
 def config_results(metrics: DataFrame, windows: DataFrame) -> DataFrame:
@@ -79,10 +79,10 @@ def best_and_median(annual: DataFrame, column: str = "annual") -> DataFrame:
 
 
 def walk_forward(panel_days: DataFrame, weights: DataFrame, configs: DataFrame, windows: DataFrame, settings: Settings, history_from: str, risk_free: float = 0.16, metric: str = "sharpe") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(stitched equity, chosen configs, results of all configs). configs: (config, ordinal); weights: (config, secid, date, weight)."""
+    """(chained equity, chosen configs, results of all configs). configs: (config, ordinal); weights: (config, secid, date, weight)."""
     from tallystone.operators.persist import cut
 
     results = cut(equity_of(simulate(runs(panel_days, weights, jobs(windows, configs, history_from, settings.capital)), settings)))
     metrics = cut(equity_metrics(results, risk_free))
-    chosen = choose(metrics, configs, metric)
-    return stitched(results, chosen, settings.capital), chosen, config_results(metrics, windows)
+    chosen = cut(choose(metrics, configs, metric))
+    return chained(panel_days, weights, chosen, windows, settings, history_from), chosen, config_results(metrics, windows)

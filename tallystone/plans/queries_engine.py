@@ -44,8 +44,8 @@ register("a7_backtest_fills", lambda s, d: metrics.fill_metrics(fold.fills_of(ba
 
 def walk_forward(s: SparkSession, d: str) -> DataFrame:
     configs = s.createDataFrame([("20", 0), ("60", 1), ("120", 2)], "config string, ordinal int")
-    stitched, _, _ = walkforward.walk_forward(_panel(s, d), _weights(s, d, (20, 60, 120)), configs, walkforward.year_windows(s, 1995, 2001), SETTINGS, "1995-01-01")
-    return stitched
+    curve, _, _ = walkforward.walk_forward(_panel(s, d), _weights(s, d, (20, 60, 120)), configs, walkforward.year_windows(s, 1995, 2001), SETTINGS, "1995-01-01")
+    return curve
 
 
 register("e14_walkforward", walk_forward)
