@@ -123,7 +123,7 @@ m AS (SELECT date, CASE WHEN count(vol) OVER f = 250 THEN CAST(vol < quantile_co
 register(
     "q9_risk_rule",
     lambda s, d: allocation.risk_targets(_index(s, d, "ASIA").select("run_id", "date", (F.dayofyear("date") / 366).alias("proba"), F.lit(0.4).alias("base_rate")), 1.5, 0.6),
-    f"WITH {L}, m AS (SELECT date, CASE WHEN dayofyear(date) / 366.0 > 1.5 * 0.4 THEN 0.0 ELSE 0.6 END AS raw FROM l WHERE secid = 'ASIA') {HELD}",
+    f"WITH {L}, m AS (SELECT date, CASE WHEN dayofyear(date) / 366.0 > 1.5 * 0.4 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS raw FROM l WHERE secid = 'ASIA') {HELD}",
     "share",
 )
 register(
