@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -98,15 +99,16 @@ class ToxicityModel:
         return score
 
 
-def train(docs: list[list[int]], labels: np.ndarray, vocabulary: list[list[int]], rounds: int, seed: int = 7) -> np.ndarray:
-    """The margin of every bucket, E @ (w1 - w0), after joint training of embeddings E and softmax weights by Adagrad."""
+def train(docs: list[np.ndarray], labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray, rounds: int, seed: int = 7) -> np.ndarray:
+    """The margin of every bucket, E @ (w1 - w0), after joint training of embeddings E and softmax weights by Adagrad.
+
+    docs: the words of each, as numbers; flat: the buckets of all words, one word after another; sizes: how many each word has.
+    """
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype("f4")
     w = rng.uniform(-1, 1, (WIDTH, 2)).astype("f4")
     bias, e_sq, w_sq, b_sq = np.zeros(2, "f4"), np.full(BUCKETS, 1e-6, "f4"), np.full(w.shape, 1e-6, "f4"), np.full(2, 1e-6, "f4")
-    sizes = np.array([len(v) for v in vocabulary])
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat = np.array([g for v in vocabulary for g in v], "i4")
     seen = np.zeros(BUCKETS, "i4")
     for d in docs:
         seen[np.unique(np.concatenate([np.zeros(0, "i4"), *[flat[begins[x] : begins[x] + sizes[x]] for x in np.unique(d)]])).astype("i8")] += 1
@@ -175,7 +177,12 @@ def fit_rows(rows: list[tuple[str, int]], rounds: int = 15) -> ToxicityModel:
         for text in texts:
             docs.append(np.array([ids.setdefault(x, len(ids)) for x in words(text)], "i8"))
             labels.append(y)
-    margins = train(docs, np.array(labels), [subwords(x) for x in ids], max(rounds, min(150, 45_000 // len(docs))))
+    flat, sizes = array("i"), array("i")  # lists of numbers would take many times as much
+    for word in ids:
+        grams = subwords(word)
+        flat.extend(grams)
+        sizes.append(len(grams))
+    margins = train(docs, np.array(labels), np.frombuffer(flat, "i4"), np.frombuffer(sizes, "i4").astype("i8"), max(rounds, min(150, 45_000 // len(docs))))
     raw = ToxicityModel(margins, 1.0, 0.0).scorer()
     pairs = [(t, y) for y, texts in enumerate(held if min(map(len, held)) >= 5 else learnt) for t in texts]
     margin = np.array([math.log(p / (1 - p)) for p in (min(max(raw(t), 1e-12), 1 - 1e-12) for t, _ in pairs)])
