@@ -3,8 +3,9 @@
 A page is read into text nodes, each with its path of tags from the root. For every path the characters, punctuation marks, link characters and nodes are
 summed; characters per node, punctuation per node and the share of unlinked text are fused to one ratio. Ratios are smoothed along the page
 and averaged by path again; paths at or above a threshold from their spread are content. Boxes whose tag, role, class or id names them
-(menus, forms, adverts, comments, ...) weigh nothing. Text in an article box weighs so much that no threshold drops it, as a short article would be by ratios alone,
-and beside it nothing else is content.
+(menus, forms, adverts, comments, ...) weigh nothing. An article or main box is one weight in the fused ratio: its paths share the ratio of
+the whole box, so that a headline stays with its text, times a factor that grows with the cube of the box's share of the page's text. A box with most of the
+text outweighs what is beside it; a teaser leaves the choice to the ratios.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing else is dropped or cut.
 
@@ -27,6 +28,8 @@ from tallystone.llm.common import documents, map_texts
 
 #: Share of the spread of path ratios that content must reach, and nodes on either side that smoothing looks at.
 THRESHOLD, REACH = 0.5, 2
+#: Factor of an article box that has all of the page's text, and the least share of unlinked text that counts for a box: one of links alone is still a box.
+BOX, UNLINKED = 150, 0.1
 
 #: Elements of HTML by what they mean here (fixed values of the standard).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -60,12 +63,12 @@ _marks = re.compile(r"[.,;:!?、。！？…]").findall
 class Node:
     __slots__ = ("boxed", "link", "main", "path", "tag")
 
-    def __init__(self, tag: str, path: str, boxed: bool, main: bool, link: bool):
+    def __init__(self, tag: str, path: str, boxed: bool, main: str, link: bool):
         self.tag, self.path, self.boxed, self.main, self.link = tag, path, boxed, main, link
 
 
 def _opened(tag: str, attributes: str, above: Node) -> Node:
-    boxed, main, label = above.boxed or tag in NEVER, above.main or tag in ("article", "main"), ""
+    boxed, main, label = above.boxed or tag in NEVER, bool(above.main) or tag in ("article", "main"), ""
     if tag == "header" and not main:
         boxed = True
     if attributes and not attributes.isspace():
@@ -82,12 +85,13 @@ def _opened(tag: str, attributes: str, above: Node) -> Node:
                 main = main or value == "articlebody"
             else:
                 boxed = boxed or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return Node(tag, f"{above.path}/{tag}{label}", boxed, main, above.link or tag == "a")
+    path = f"{above.path}/{tag}{label}"
+    return Node(tag, path, boxed, above.main or (path if main else ""), above.link or tag == "a")
 
 
 def text_nodes(page: str) -> list[tuple[Node | None, str]]:
     """(node, raw text) in page order; (None, "") where a block begins or ends."""
-    root = Node("", "", False, False, False)
+    root = Node("", "", False, "", False)
     stack, out, at, skip = [root], [], 0, 0
     for m in _tokens(page):
         if m.start() < skip:
@@ -128,16 +132,15 @@ def text_nodes(page: str) -> list[tuple[Node | None, str]]:
 def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
     """The paths whose text is content."""
     kept = [(n, t) for n, t in nodes if n is not None and not n.boxed and t and not t.isspace()]
-    if any(n.main for n, _ in kept):
-        return {n.path for n, _ in kept if n.main}
     sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    boxes: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for n, t in kept:
-        s = sums[n.path]
         length = len(t.strip())
-        s[0] += length
-        s[1] += len(_marks(t))
-        s[2] += length if n.link else 0
-        s[3] += 1
+        for s in (sums[n.path], boxes[n.main]):
+            s[0] += length
+            s[1] += len(_marks(t))
+            s[2] += length if n.link else 0
+            s[3] += 1
     ratio = {p: (c / k) * (1 + marks / k) * (1 - linked / c) for p, (c, marks, linked, k) in sums.items()}
     line = [ratio[n.path] for n, _ in kept]
     kernel = [math.exp(-(d * d) / 2) for d in range(-REACH, REACH + 1)]
@@ -148,6 +151,16 @@ def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
     score = {p: (ratio[p] + sum(v) / len(v)) / 2 if ratio[p] else 0.0 for p, v in smooth.items()}
     if not score:
         return set()
+    total = sum(c for c, *_ in boxes.values())
+    box_ratio = {b: (c / k) * (1 + marks / k) * max(1 - linked / c, UNLINKED) for b, (c, marks, linked, k) in boxes.items()}
+    inside: dict[str, set[str]] = defaultdict(set)
+    for n, _ in kept:
+        if n.main:
+            inside[n.main].add(n.path)
+    for b, paths in inside.items():
+        near = [x for p in paths for x in smooth[p]]
+        fused = (box_ratio[b] + sum(near) / len(near)) / 2 * (1 + BOX * (boxes[b][0] / total) ** 3)
+        score.update(dict.fromkeys(paths, fused))
     mean = sum(score.values()) / len(score)
     spread = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
     limit = min(max(THRESHOLD * spread, 1e-9), max(score.values()))

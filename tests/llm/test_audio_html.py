@@ -113,6 +113,29 @@ def test_ratios_choose_without_an_article():
     assert "Home" not in text and "two" not in text
 
 
+BODY = "".join(f"<p>Paragraph {i} of the story, with commas, and sentences. It says much, really; and more.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class=content>{BODY}</div><article><h3>Next story</h3><p>A teaser of it.</p></article>",
+        f"<article><a href=1>Next story</a></article><div class=content>{BODY}</div>",
+        f"<div class=content>{BODY}</div><article><p>A longer teaser, of another story, with two sentences. It ends here.</p></article>",
+    ],
+)
+def test_an_article_box_is_a_weight_and_no_rule(page):
+    text = main_text(page)
+    assert all(f"Paragraph {i} of the story" in text for i in range(12))
+
+
+def test_an_article_box_keeps_its_short_paths():
+    page = f"<div>A line beside it, with a comma.</div><article><h1>T</h1>{BODY}<ul><li>x</li></ul><p><a href=1>y</a></p></article><p>Beside it too, and long enough; really. Yes.</p>"
+    text = main_text(page)
+    assert text.startswith("T Paragraph 0") and text.endswith("x y")
+    assert main_text("<article><a href=1>only a link</a></article>") == "only a link"
+
+
 def test_extract_over_edge_rows(spark):
     rows = [(i, p, "x") for i, (p, _) in enumerate(PAGES)] + [(99, None, "x"), (None, "<p>z</p>", None), (1, "<article>" + "<p>w</p>" * 20_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
