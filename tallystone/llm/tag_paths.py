@@ -2,8 +2,9 @@
 
 A page is read into text nodes, each with its path of tags from the root. For every path the characters, punctuation marks, link characters and nodes are
 summed; characters per node, punctuation per node and the share of unlinked text are fused to one ratio. Ratios are smoothed along the page
-and averaged by path again; paths at or above a threshold from their spread are content. Boxes whose tag, role, class or id names them
-(menus, forms, adverts, comments, ...) weigh nothing. An article or main box is one weight in the fused ratio: its paths share the ratio of
+and averaged by path again; paths at or above a threshold from their spread are content. Boxes whose tag or role names them
+(menus, forms, asides, ...) weigh nothing, but for an article inside a form or header. A class or id that names a box (adverts, comments, ...) lowers the
+ratio of the paths below it, unless the text is under that name: elements that bear it hold most of the page's text or of its articles'. An article or main box is one weight in the fused ratio: its paths share the ratio of
 the whole box, so that a headline stays with its text, times a factor that grows with the cube of the box's share of the page's text. A box with most of the
 text outweighs what is beside it; a teaser leaves the choice to the ratios.
 
@@ -30,6 +31,8 @@ from tallystone.llm.common import documents, map_texts
 THRESHOLD, REACH = 0.5, 2
 #: Factor of an article box that has all of the page's text, and the least share of unlinked text that counts for a box: one of links alone is still a box.
 BOX, UNLINKED = 150, 0.1
+#: Factor of paths below a name of BOXES, and the share of the text from which such a name says nothing: a word alone (comments), one of several (elementor-widget).
+LOW, HELD_ALONE, HELD = 0.02, 0.95, 0.5
 
 #: Elements of HTML by what they mean here (fixed values of the standard).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -38,7 +41,7 @@ INLINE = {
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math", "canvas", "object", "video", "audio", "noembed", "noframes", "xmp"}
-NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "figcaption", "datalist", "option"}
+NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "datalist", "option"}
 #: What an element's start ends, if it is open.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -46,9 +49,11 @@ ENDS = {
 }
 #: Boxes that ENDS and a paragraph's end don't reach out of.
 WALLS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html", "aside", "nav", "footer", "header", "form", "blockquote", "td", "th"}
+#: Boxes that may hold the article.
+HOLDERS = {"form", "fieldset", "header"}
 #: Words of a class, id or role that name a box which is no content.
 BOXES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "consent", "contentinfo", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation",
     "newsletter", "notice", "notices", "notification", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search",
     "share", "sharebar", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
@@ -61,37 +66,43 @@ _marks = re.compile(r"[.,;:!?、。！？…]").findall
 
 
 class Node:
-    __slots__ = ("boxed", "link", "main", "path", "tag")
+    __slots__ = ("boxed", "link", "main", "names", "path", "tag")
 
-    def __init__(self, tag: str, path: str, boxed: bool, main: str, link: bool):
-        self.tag, self.path, self.boxed, self.main, self.link = tag, path, boxed, main, link
+    def __init__(self, tag: str, path: str, boxed: str, main: str, link: bool, names: tuple[tuple[str, str], ...] = ()):
+        self.tag, self.path, self.boxed, self.main, self.link, self.names = tag, path, boxed, main, link, names
 
 
 def _opened(tag: str, attributes: str, above: Node) -> Node:
-    boxed, main, label = above.boxed or tag in NEVER, bool(above.main) or tag in ("article", "main"), ""
-    if tag == "header" and not main:
-        boxed = True
+    boxed, main, label, own, found = above.boxed, bool(above.main) or tag in ("article", "main"), "", "", []
+    if tag in NEVER or tag == "header" and not main:
+        own = tag
     if attributes and not attributes.isspace():
         for name, value in _names(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words = _parts(value)
-                label += "." + "-".join(words)
-                boxed = boxed or tag not in ("html", "body") and not BOXES.isdisjoint(words) or "header" in words and not main
+                label += "." + "-".join(_parts(value))
+                found += value.split()
             elif name == "role":
-                boxed = boxed or not BOXES.isdisjoint(_parts(value)) or value in ("complementary", "alert")
+                own = "role" if not BOXES.isdisjoint(_parts(value)) or value in ("complementary", "alert") else own
                 main = main or value in ("main", "article")
             elif name == "itemprop":
                 main = main or value == "articlebody"
             else:
-                boxed = boxed or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    path = f"{above.path}/{tag}{label}"
-    return Node(tag, path, boxed, above.main or (path if main else ""), above.link or tag == "a")
+                own = "hidden" if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "") else own
+    path, opens, names = f"{above.path}/{tag}{label}", main and not above.main, above.names
+    if opens and boxed in HOLDERS:
+        boxed = ""
+    if tag not in ("html", "body") and not opens:
+        for token in found:
+            words = _parts(token)
+            if (not BOXES.isdisjoint(words) or "header" in words and not main) and (token, above.main) not in names:
+                names += ((token, above.main),)
+    return Node(tag, path, boxed if boxed and boxed not in HOLDERS else own or boxed, above.main or (path if main else ""), above.link or tag == "a", names)
 
 
 def text_nodes(page: str) -> list[tuple[Node | None, str]]:
     """(node, raw text) in page order; (None, "") where a block begins or ends."""
-    root = Node("", "", False, "", False)
+    root = Node("", "", "", "", False)
     stack, out, at, skip = [root], [], 0, 0
     for m in _tokens(page):
         if m.start() < skip:
@@ -129,14 +140,40 @@ def text_nodes(page: str) -> list[tuple[Node | None, str]]:
     return out
 
 
+def named_paths(kept: list[tuple[Node, str]]) -> set[str]:
+    """The paths below a name that says no content, in the page or in its article box."""
+    if not any(n.names for n, _ in kept):
+        return set()
+    texts: dict[str, int] = defaultdict(int)
+    under: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    for n, t in kept:
+        length = len(t.strip())
+        for scope in {"", n.main}:
+            texts[scope] += length
+        for name in n.names:
+            under[name][0] += length
+            under[name][1] += length if n.main and not name[1] else 0
+    articles = sum(texts[b] for b in {n.main for n, _ in kept} if b)
+    says = set()
+    for (token, scope), (length, in_articles) in under.items():
+        if articles and in_articles >= HELD * articles:
+            continue
+        if length < (HELD_ALONE if len(_parts(token)) == 1 else HELD) * texts[scope]:
+            says.add((token, scope))
+    return {n.path for n, _ in kept if not says.isdisjoint(n.names)}
+
+
 def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
     """The paths whose text is content."""
     kept = [(n, t) for n, t in nodes if n is not None and not n.boxed and t and not t.isspace()]
     sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     boxes: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    low = named_paths(kept)
+    lowered = 0
     for n, t in kept:
         length = len(t.strip())
-        for s in (sums[n.path], boxes[n.main]):
+        lowered += length if n.path in low else 0
+        for s in (sums[n.path], *([] if n.path in low else [boxes[n.main]])):
             s[0] += length
             s[1] += len(_marks(t))
             s[2] += length if n.link else 0
@@ -148,14 +185,14 @@ def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
     for i, (n, _) in enumerate(kept):
         near = [(kernel[d + REACH], line[i + d]) for d in range(-REACH, REACH + 1) if 0 <= i + d < len(line)]
         smooth[n.path].append(sum(w * x for w, x in near) / sum(w for w, _ in near))
-    score = {p: (ratio[p] + sum(v) / len(v)) / 2 if ratio[p] else 0.0 for p, v in smooth.items()}
+    score = {p: (ratio[p] + sum(v) / len(v)) / 2 * (LOW if p in low else 1) if ratio[p] else 0.0 for p, v in smooth.items()}
     if not score:
         return set()
-    total = sum(c for c, *_ in boxes.values())
+    total = sum(c for c, *_ in boxes.values()) + LOW * lowered
     box_ratio = {b: (c / k) * (1 + marks / k) * max(1 - linked / c, UNLINKED) for b, (c, marks, linked, k) in boxes.items()}
     inside: dict[str, set[str]] = defaultdict(set)
     for n, _ in kept:
-        if n.main:
+        if n.main and n.path not in low:
             inside[n.main].add(n.path)
     for b, paths in inside.items():
         near = [x for p in paths for x in smooth[p]]

@@ -136,6 +136,29 @@ def test_an_article_box_keeps_its_short_paths():
     assert main_text("<article><a href=1>only a link</a></article>") == "only a link"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='page has-sidebar'>{BODY}</div><div>Copyright, all of it.</div></body>",
+        f"<div class='page has-sidebar'><article>{BODY}</article><div class='sidebar'><p>Sidebar, with text.</p></div></div>",
+        f"<article class='search-result'>{BODY}</article><p>Beside it, a line.</p>",
+        f"<div class='elementor-widget elementor-heading'><h1>T</h1></div><div class='elementor-widget elementor-text'>{BODY}</div>",
+        f"<article><div class='elementor-widget'>{BODY}</div><p>end</p></article>",
+        f"<form id=aspnet><div class=nav><a href=1>Home</a></div><main>{BODY}</main></form>",
+    ],
+)
+def test_names_lower_and_do_not_remove(page):
+    text = main_text(page)
+    assert all(f"Paragraph {i} of the story" in text for i in range(12))
+    assert not any(x in text for x in ("Sidebar", "Beside", "Home"))
+
+
+def test_captions_and_bylines_stay_in_an_article():
+    page = f"<article><h1>T</h1><p class='byline'>By A. B.</p><figure><img src=x><figcaption>A caption.</figcaption></figure>{BODY}<div class='comments'><p>nice, thanks!</p></div></article>"
+    text = main_text(page)
+    assert text.startswith("T By A. B. A caption. Paragraph 0") and "nice" not in text
+
+
 def test_extract_over_edge_rows(spark):
     rows = [(i, p, "x") for i, (p, _) in enumerate(PAGES)] + [(99, None, "x"), (None, "<p>z</p>", None), (1, "<article>" + "<p>w</p>" * 20_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
