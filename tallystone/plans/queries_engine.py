@@ -72,8 +72,8 @@ register("e16_risk_forecast", risk)
 
 
 def importance(s: SparkSession, d: str) -> DataFrame:
-    c = long_candles(s, d).where("secid = 'ASIA'")
-    events = labeling.numbered(c).where("pos % 3 = 0").select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.lit(1.0).alias("side"))
+    c = long_candles(s, d)
+    events = labeling.numbered(c).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.lit(1.0).alias("side"))
     labels = labeling.meta_labels(events, c)
     features = signals.bet_features(c).select(F.col("secid").alias("key"), F.col("date").alias("t0"), "mom20", "vol20", "turnover").na.drop()
     data = labels.select(F.col("secid").alias("key"), "t0", F.col("meta").alias("y")).join(features, ["key", "t0"])

@@ -41,8 +41,12 @@ FEATURE = "f AS (SELECT 'U' || (o_custkey % 50) AS secid, CAST(o_orderdate AS DA
 REQUESTS = "q AS (SELECT DISTINCT 'U' || (l_partkey % 50) AS secid, CAST(l_shipdate AS DATE) AS ts FROM lineitem WHERE l_linenumber = 1)"
 
 
-def _requests(s: SparkSession, d: str) -> DataFrame:
-    i = table(s, d, "lineitem").where("l_linenumber = 1")
+ALL_REQUESTS = REQUESTS.replace(" WHERE l_linenumber = 1", "")
+
+
+def _requests(s: SparkSession, d: str, all_items: bool = False) -> DataFrame:
+    i = table(s, d, "lineitem")
+    i = i if all_items else i.where("l_linenumber = 1")
     return i.select(F.concat(F.lit("U"), F.col("l_partkey") % 50).alias("secid"), F.to_date("l_shipdate").alias("ts")).distinct()
 
 
@@ -52,6 +56,12 @@ register(
     f"WITH {FEATURE}, {REQUESTS} SELECT q.secid, q.ts, f.event_ts, f.value FROM q ASOF LEFT JOIN f ON q.secid = f.secid AND q.ts >= f.event_ts + 45",
     "value",
 )
+register(
+    "j1_feature_asof_all",
+    lambda s, d: asof.feature_asof(_requests(s, d, True), _feature(s, d), 45, ["secid"]),
+    f"WITH {FEATURE}, {ALL_REQUESTS} SELECT q.secid, q.ts, f.event_ts, f.value FROM q ASOF LEFT JOIN f ON q.secid = f.secid AND q.ts >= f.event_ts + 45",
+    "value",
+)
 for policy, filled in (("null", "rate"), ("first", "coalesce(rate, (SELECT arg_min(rate, date) FROM rates))"), ("zero", "coalesce(rate, 0.0)")):
     register(
         f"j2_rate_{policy}",
@@ -105,9 +115,10 @@ register(
 register("j19_grid", lambda s, d: s.sql("SELECT lookback, lag FROM VALUES (20), (60), (120) AS a(lookback) CROSS JOIN VALUES (0), (21), (63) AS b(lag)"), "SELECT lookback, lag FROM (VALUES (20), (60), (120)) AS a(lookback) CROSS JOIN (VALUES (0), (21), (63)) AS b(lag)")
 
 
-def _events(s: SparkSession, d: str) -> DataFrame:
-    """An event every seventh bar with a target of 2 % and a side by the weekday."""
-    n = labeling.numbered(long_candles(s, d)).where("pos % 7 = 0")
+def _events(s: SparkSession, d: str, all_bars: bool = False) -> DataFrame:
+    """An event every seventh bar, or every bar, with a target of 2 % and a side by the weekday."""
+    n = labeling.numbered(long_candles(s, d))
+    n = n if all_bars else n.where("pos % 7 = 0")
     return n.select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.when(F.dayofweek("date") > 3, 1.0).otherwise(-1.0).alias("side"))
 
 
@@ -117,6 +128,7 @@ p AS (SELECT e.*, n.pos AS spot, n.date AS bar, (n.close / e.entry - 1) * e.side
 h AS (SELECT secid, t0, side, min(spot) FILTER (ret >= 0.02) AS up, min(spot) FILTER (ret <= -0.02) AS down, max(spot) AS stop FROM p GROUP BY 1, 2, 3),
 b AS (SELECT h.secid, h.t0, h.side, p.bar AS t1, p.ret, CASE WHEN p.spot = h.up THEN 1 WHEN p.spot = h.down THEN -1 ELSE 0 END AS label
   FROM h JOIN p ON p.secid = h.secid AND p.t0 = h.t0 AND p.spot = least(h.stop, h.up, h.down))"""
+ALL_BARRIER = BARRIER.replace(" WHERE pos % 7 = 0", "")
 register("w21_triple_barrier", lambda s, d: labeling.triple_barrier(_events(s, d), long_candles(s, d)), f"WITH {L}, {BARRIER} SELECT * FROM b", "side ret")
 register("w23_meta_labels", lambda s, d: labeling.meta_labels(_events(s, d), long_candles(s, d)), f"WITH {L}, {BARRIER} SELECT *, CAST(ret > 0 AS INTEGER) AS meta FROM b", "side ret")
 register(
@@ -127,6 +139,16 @@ r AS (SELECT s.secid, s.t0, avg(1.0 / c) AS raw FROM s JOIN k USING (secid, pos)
 SELECT secid, t0, raw / avg(raw) OVER (PARTITION BY secid) AS weight FROM r""",
     "weight",
 )
+register("w21_triple_barrier_all", lambda s, d: labeling.triple_barrier(_events(s, d, True), long_candles(s, d)), f"WITH {L}, {ALL_BARRIER} SELECT * FROM b", "side ret")
+register("w23_meta_labels_all", lambda s, d: labeling.meta_labels(_events(s, d, True), long_candles(s, d)), f"WITH {L}, {ALL_BARRIER} SELECT *, CAST(ret > 0 AS INTEGER) AS meta FROM b", "side ret")
+register(
+    "w24_concurrency_all",
+    lambda s, d: labeling.concurrency_weights(labeling.triple_barrier(_events(s, d, True), long_candles(s, d)), long_candles(s, d)),
+    f"""WITH {L}, {ALL_BARRIER}, s AS (SELECT b.secid, b.t0, n.pos FROM b JOIN n ON n.secid = b.secid AND n.date BETWEEN b.t0 AND b.t1), k AS (SELECT secid, pos, count(*) AS c FROM s GROUP BY 1, 2),
+r AS (SELECT s.secid, s.t0, avg(1.0 / c) AS raw FROM s JOIN k USING (secid, pos) GROUP BY 1, 2)
+SELECT secid, t0, raw / avg(raw) OVER (PARTITION BY secid) AS weight FROM r""",
+    "weight",
+)
 register(
     "w25_folds",
     lambda s, d: validation.folds(long_candles(s, d).select("secid", "date"), 5, "date", "secid").withColumn("fold", F.col("fold").cast("long")),
@@ -141,6 +163,15 @@ k AS (SELECT g.*, (SELECT count(*) FROM i WHERE i.secid = g.secid AND i.t0 <= g.
 SELECT i.secid, CAST(k.fold AS INTEGER) AS fold, i.t0, CASE WHEN i.fold = k.fold THEN 'test' ELSE 'train' END AS role
 FROM i JOIN k ON i.secid = k.secid WHERE i.fold = k.fold OR i.t1 < k.lo OR i.pos >= k.r""",
 )
+register(
+    "j16_purged_folds_all",
+    lambda s, d: validation.purged_folds(labeling.triple_barrier(_events(s, d, True), long_candles(s, d))),
+    f"""WITH {L}, {ALL_BARRIER}, i AS (SELECT secid, t0, t1, row_number() OVER o - 1 AS pos, ntile(5) OVER o - 1 AS fold, count(*) OVER (PARTITION BY secid) AS n FROM b WINDOW o AS (PARTITION BY secid ORDER BY t0)),
+g AS (SELECT secid, fold, n, min(t0) AS lo, max(t1) AS hi FROM i GROUP BY 1, 2, 3),
+k AS (SELECT g.*, (SELECT count(*) FROM i WHERE i.secid = g.secid AND i.t0 <= g.hi) + CAST(floor(g.n * 0.01) AS BIGINT) AS r FROM g)
+SELECT i.secid, CAST(k.fold AS INTEGER) AS fold, i.t0, CASE WHEN i.fold = k.fold THEN 'test' ELSE 'train' END AS role
+FROM i JOIN k ON i.secid = k.secid WHERE i.fold = k.fold OR i.t1 < k.lo OR i.pos >= k.r""",
+)
 register(
     "u1_union", lambda s, d: long_candles(s, d).select("date").union(candles(s, d).select("date")).distinct(), f"WITH {L}, {C} SELECT date FROM l UNION SELECT date FROM c"
 )

@@ -44,6 +44,32 @@ def test_query(spark, duck, name):
         assert plain(got) == plain(want)
 
 
+def test_whole_queries_take_every_bar_and_line_item(spark):
+    from tallystone.operators import labeling
+    from tallystone.plans.views import long_candles, table
+
+    whole = labeling.numbered(long_candles(spark, SF)).where("pos < n_bars - 1").select("secid", "date")
+    for name in ("w21_triple_barrier_all", "w23_meta_labels_all", "w24_concurrency_all"):
+        assert {(r.secid, r.t0) for r in catalog.queries()[name](spark, SF).select("secid", "t0").collect()} == {(r.secid, r.date) for r in whole.collect()}
+    items = table(spark, SF, "lineitem").selectExpr("concat('U', l_partkey % 50) secid", "to_date(l_shipdate) ts").distinct()
+    assert catalog.queries()["j1_feature_asof_all"](spark, SF).count() == items.count()
+
+
+def test_importance_takes_every_security_and_bar(spark, monkeypatch):
+    from tallystone.models import logistic
+    from tallystone.operators import signals
+    from tallystone.plans import queries_engine
+    from tallystone.plans.views import long_candles
+
+    taken = {}
+    monkeypatch.setattr(logistic, "permutation_importance", lambda data, names, folds: taken.update(data=data))
+    queries_engine.importance(spark, SF)
+    full = signals.bet_features(long_candles(spark, SF)).select("secid", "date", "mom20", "vol20", "turnover").na.drop()
+    last = long_candles(spark, SF).groupBy("secid").agg({"date": "max"}).toDF("secid", "last")
+    assert taken["data"].count() == full.join(last, "secid").where("date < last").count() > 0
+    assert taken["data"].select("key").distinct().count() == full.select("secid").distinct().count() > 1
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
