@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a Python worker holds as Python strings at once.
 SLICE_BYTES = 8 << 20
@@ -36,6 +37,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start)
 
 
+def with_id(df: DataFrame, schema: str, id_col: str = "doc_id") -> StructType:
+    """The schema of an operator's rows: the id column of df, of whatever type, then those of `schema`. No DDL text is made of the caller's names."""
+    return StructType([df.schema[id_col], *StructType.fromDDL(schema).fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str) -> DataFrame:
     """(doc_id, text) to doc_id and the columns of `schema`.
 
@@ -49,7 +63,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
             work = work or make()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *work(part.column("text").to_pylist())], ["doc_id", *names])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return df.select("doc_id", "text").mapInArrow(run, with_id(df, schema))
 
 
 class Memo(dict):

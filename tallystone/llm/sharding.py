@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.components import drop_table, shared_checkpoint, shared_table
+from tallystone.llm.components import drop_tables, shared_checkpoint, shared_table
 
 #: Parts that a large group's rows are dealt into, rounds at most, and the share of a shard that a unit may fill.
 SALTS, ROUNDS, UNIT_SHARE = 64, 16, 0.25
@@ -90,9 +90,9 @@ def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
         shares = admitted_shares(wanted, room)
         draw = F.pmod(F.xxhash64("group", "unit", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         last, state = state, shared_table(moves.withColumn("shard", F.when(draw < _at(shares, F.col("to"), "double"), F.col("to")).otherwise(F.col("shard"))).drop("to"))
-        drop_table(moves)
+        drop_tables(moves)
         if turn:
-            drop_table(last)
+            drop_tables(last)
     return state
 
 

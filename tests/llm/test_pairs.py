@@ -105,9 +105,10 @@ def vectors() -> list[tuple]:
     return out + [(n + i, v, 0) for i, v in enumerate(bad)] + [(n + 50, out[0][1], None), (None, [1.0] * 24, 1)]
 
 
-@pytest.mark.parametrize("slab", [1024, 20])
-def test_vector_links_equal_brute_force(spark, slab):
+@pytest.mark.parametrize("side", [2048, 20, 2])
+def test_vector_links_equal_brute_force(spark, side):
     rows = vectors()
+    assert (vector_links.tables_for(128, 0.93, 0.9999, side)[0] > 0) == (side == 2)  # one cell, a cell in blocks, tables of cells
     fine = [v is not None and len(v) > 0 and None not in v and bool(np.isfinite(v).all()) and any(v) and lab is not None for _, v, lab in rows]
     links = []
     for i in range(len(rows)):
@@ -124,12 +125,37 @@ def test_vector_links_equal_brute_force(spark, slab):
     for a, b in links:
         degree[[a, b]] += 1
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<float>, label int, key string, place string")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_links.vector_links(df, slab=slab).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_links.vector_links(df, side=side).collect()}
     assert {k: v for k, v in got.items() if k is not None} == {r[0]: (degree[i], least[root[i]], least[root[i]] == r[0]) for i, r in enumerate(rows) if r[0] is not None}
     assert got[None] == (0, None, True)
     assert vector_links.vector_links(df.limit(0)).count() == 0
 
 
+def test_links_of_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200] * 4), (2, [3e200] * 4), (3, [1e-200] * 4), (4, [1e200, -1e200, 0.0, 0.0]), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [1e308, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.vector_links(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def test_windows_are_searched_in_sorted_ranks():
+    rng = np.random.default_rng(3)
+    one, other = rng.standard_normal((300, 32)), rng.standard_normal((170, 32))
+    other[:50] = other[50:100]  # ties
+    brute = (np.abs(one[:, None, :] - other[None, :, :]) <= 0.7).sum(2)
+    for at, counts in vector_links.window_counts(one, other, 0.7):
+        assert (counts == brute[at : at + len(counts)]).all()
+
+
+def test_tables_keep_the_pairs_below_the_square():
+    cost = []
+    for n in (1 << 12, 1 << 17, 1 << 22, 1 << 27):
+        depth, tables = vector_links.tables_for(n, 0.93, 0.9999)
+        near, far = vector_links.meeting(vector_links.CELL), vector_links.meeting(vector_links.CELL * vector_links.spread(0.93) / 2**0.5)
+        assert depth == 0 or 1 - (1 - near**depth) ** tables >= 0.9999
+        cost.append(n * tables * max(n * far**depth, vector_links.SIDE))
+    assert all(b / a < 32**1.5 for a, b in zip(cost[1:], cost[2:], strict=False))
+
+
 def test_calibrated_count():
     needed = vector_links.needed_collisions(0.9999)
     assert 16 < needed < 32
