@@ -1,19 +1,19 @@
 """Operator 7: quality by compression.
 
 Two zstandard dictionaries are built, one from blocks of good and one from blocks of bad labelled text. A text is cut into blocks of at most
-BLOCK_CHARS characters; the difference of the sizes that its blocks have with either dictionary, over its bytes, is its evidence. A
-logistic fit of it and of both sizes over the bytes, on labelled texts that built no dictionary, turns it into a score; its weights restore
-the share of label 1 among all labels that may be used, which is counted over all of them.
+BLOCK_CHARS characters; the size that its blocks have with the bad dictionary less that with the good one, over its bytes, is its evidence. An
+isotonic fit of the label on this one number, over labelled texts that built no dictionary, turns it into a score; its weights restore the share of
+label 1 among all labels that may be used, which is counted over all of them.
 
-Learned from at most `per_class` documents of either label, `chars` characters of each (labelled.sample). Scored: every whole text.
+Learned from at most `per_class` whole documents and `class_bytes` bytes of either label (labelled.sample). Scored: every whole text.
 
-Rows: one for each input row, repeated rows and null ids included. A null or empty text gets the share of label 1. Other
-columns are not read; an empty table gives an empty result. If either label is missing, so is every score.
+Rows: one for each input row, repeated rows and null ids included. A null or empty text gets the share of label 1. Equal texts have equal scores.
+Other columns are not read; an empty table gives an empty result. If either label is missing among what may be learned, every score is the share of
+label 1, kept off 0 and 1 by a hundredth, or a half if there is no label at all.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import documents as view
 from tallystone.llm.common import map_texts
-from tallystone.llm.labelled import logistic, sample, share_of_ones
+from tallystone.llm.labelled import Calibration, sample, share_of_ones
 
-BLOCK_CHARS = 4096
+#: Short, so that a block leans on the dictionary more than on itself.
+BLOCK_CHARS = 512
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 
@@ -46,7 +47,7 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 class Evidence:
-    """Of a text's blocks, over its bytes: size with the bad dictionary less size with the good one, and either size."""
+    """Of a text's blocks: size with the bad dictionary less size with the good one, over its bytes."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
@@ -57,39 +58,29 @@ class Evidence:
             d.precompute_compress(level=LEVEL)
             self.sizers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False).compress)
 
-    def __call__(self, text: str) -> tuple[float, float, float]:
+    def __call__(self, text: str) -> float:
         of_good, of_bad = self.sizers
-        good = bad = total = 0
+        difference = total = 0
         for b in blocks(text):
-            good += len(of_good(b))
-            bad += len(of_bad(b))
+            difference += len(of_bad(b)) - len(of_good(b))
             total += len(b)
-        total = max(total, 1)
-        return (bad - good) / total, good / total, bad / total
+        return difference / max(total, 1)
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """share: of label 1, the score where there is nothing to weigh; good, bad: the dictionaries; weights of the evidence, and a constant."""
+    """share: of label 1, the score where there is nothing to weigh; good, bad: the dictionaries."""
 
     share: float
     good: bytes = b""
     bad: bytes = b""
-    weights: tuple[float, ...] = ()
-    constant: float = 0.0
+    calibration: Calibration | None = None
 
     def scorer(self):
-        if not self.weights:
+        if self.calibration is None:
             return lambda text: self.share
-        evidence = Evidence(self.good, self.bad)
-
-        def score(text: str) -> float:
-            if not text:
-                return self.share
-            margin = self.constant + sum(w * x for w, x in zip(self.weights, evidence(text), strict=True))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
-
-        return score
+        evidence, calibrated = Evidence(self.good, self.bad), self.calibration.curve()
+        return lambda text: calibrated(evidence(text)) if text else self.share
 
 
 def fit_rows(rows: list[tuple[str, int]], share: float) -> CompressionModel:
@@ -102,15 +93,12 @@ def fit_rows(rows: list[tuple[str, int]], share: float) -> CompressionModel:
     good, bad = dictionary([t for t, y in built if y]), dictionary([t for t, y in built if not y])
     evidence = Evidence(good, bad)
     x, y = np.array([evidence(t) for t, _ in rest]), np.array([y for _, y in rest])
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    b = logistic((x - mean) / scale, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), ridge=0.1)
-    weights = b[:-1] / scale
-    return CompressionModel(share, good, bad, tuple(map(float, weights)), float(b[-1] - mean @ weights))
+    return CompressionModel(share, good, bad, Calibration.fit(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))))
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 1500, chars: int = 8192) -> CompressionModel:
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 1500, class_bytes: int = 8 << 20) -> CompressionModel:
     """learn: which labels may be used, over doc_id."""
-    return fit_rows(sample(documents, labels, label, learn, per_class, chars), share_of_ones(labels, label, learn))
+    return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes), share_of_ones(labels, label, learn))
 
 
 def score_texts(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import zlib
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +16,12 @@ def doc_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most `per_class` documents of either class, chosen by a hash of their id among those where `learn` (over doc_id)
-    holds and the label is 0 or 1; of a document of more than `chars` characters, that many from a place that the hash chooses.
+def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, class_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) of whole documents of either class, in the order of a hash of their id, among those where `learn` (over doc_id) holds and the label
+    is 0 or 1: at most `per_class`, and only while all together have at most `class_bytes` bytes.
 
-    A document labelled twice counts as 1 if any label is 1. The bound makes what the driver gathers the same for any input.
+    A document labelled twice counts as 1 if any label is 1; of texts that share an id, one is taken by a hash of the text. The bounds make what the
+    driver gathers the same for any input.
     """
     documents = documents.select("doc_id", "text")  # whatever else the caller's rows hold
     known = labels.where(labels.doc_id.isNotNull() & labels[label].isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -23,10 +29,13 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, p
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    spare = F.greatest(F.length("text") - chars, F.lit(0))
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), spare + 1).cast("int") + 1
-    texts = documents.where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.substring(F.col("text"), begin, F.lit(chars)).alias("text"))
-    rows = texts.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()
+    ids = ids.coalesce(1)  # 2 * per_class rows
+    fitting = documents.where(F.octet_length("text") <= class_bytes)
+    texts = fitting.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("found"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    so_far = F.sum(F.octet_length("found.text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.withColumn("bytes", so_far).where(F.col("bytes") <= class_bytes).select("doc_id", "found.text", "label").collect()
+    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     return [(r["text"], r["label"]) for r in rows]
 
 
@@ -39,8 +48,6 @@ def share_of_ones(labels: DataFrame, label: str, learn: Column) -> float:
 
 def logistic(x, y, weight=None, rounds: int = 50, ridge: float = 1e-3):
     """Newton's method for a logistic fit of y on the columns of x and a constant; gives the coefficients, the constant last."""
-    import numpy as np
-
     x = np.column_stack([x, np.ones(len(x))])
     weight = np.ones(len(x)) if weight is None else weight
     b = np.zeros(x.shape[1])
@@ -53,3 +60,39 @@ def logistic(x, y, weight=None, rounds: int = 50, ridge: float = 1e-3):
         if np.abs(step).max() < 1e-8:
             break
     return b
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the least-squares rising fit: neighbours that fall are pooled until none do; between two pools the fit is a line."""
+    pools: list[list[float]] = []
+    for i in np.argsort(x, kind="stable"):
+        pools.append([weight[i], weight[i] * x[i], weight[i] * y[i]])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    w, wx, wy = np.array(pools).T
+    return wx / w, wy / w
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """A rising line through knots, of which the score keeps all but a hundredth; that is a logistic curve over their middle, so that it rises where the
+    line is level."""
+
+    at: tuple[float, ...]
+    value: tuple[float, ...]
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Calibration:
+        at, value = isotonic(x, y, weight)
+        return cls(tuple(map(float, at)), tuple(map(float, value)))
+
+    def curve(self):
+        at, value = np.array(self.at), np.array(self.value)
+        middle, width = (at[0] + at[-1]) / 2, max(at[-1] - at[0], 1e-9) / 8
+
+        def score(x: float) -> float:
+            curve = 1 / (1 + math.exp(-max(-30.0, min(30.0, (x - middle) / width))))
+            return 0.99 * float(np.interp(x, at, value)) + 0.01 * curve
+
+        return score

@@ -3,11 +3,12 @@
 Texts become pieces of at most `limit` ids. Pieces are dealt into blocks of about BLOCK pieces. In each block ISLANDS islands breed packings:
 crossover injects whole well-filled sequences of one parent into another, removes what they hold from its other sequences, dissolves the
 sequences that this touches, and best-fits the displaced pieces, longest first. After each epoch the best packing of an island migrates to the
-next. The best packing of a block stays; its sequences that are not well filled are dissolved, dealt anew into fewer blocks and bred again,
-until one block is left or most pieces come back. Nothing but a block is ever in one task.
+next. The best packing of a block stays, but its sequences that are not well filled, emptiest first and at most as many as hold half of its pieces, are
+dissolved, dealt anew into fewer blocks and bred again, until one block is left. Nothing but a block is ever in one task.
 
 Rows: one for each piece of each input row, repeated rows and null ids included. A null or empty text is a piece of the end id alone. Other
-columns are not read; an empty table gives an empty result. Only texts of more than `limit` ids are cut.
+columns are not read; an empty table gives an empty result. Only texts of more than `limit` ids are cut. Ties between sequences with the same room go to the
+older one, between pieces of one length to the one that stands first.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tallystone.llm.common import documents, slices
+from tallystone.llm.common import documents, slices, with_id
 from tallystone.llm.components import shared_checkpoint
 from tallystone.llm.word_ids import word_ids
 
@@ -107,7 +109,7 @@ def evolve(lengths: list[int], limit: int, elites: list[Packing], seed: int) ->
 
 def tokenised(df: DataFrame, tokenizer_path: str, limit: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
-    kind = df.schema[id_col].dataType.simpleString()
+    docs = documents(df, id_col, text_col)
     names = ["piece", "start", "length", "ids_crc32"]
     end = np.array([end_id], "<u4").tobytes()
 
@@ -124,7 +126,7 @@ def tokenised(df: DataFrame, tokenizer_path: str, limit: int, end_id: int, id_co
             arrays = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[0], pa.int64())), *arrays], ["doc_id", *names])
 
-    return documents(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(run, with_id(docs, "piece int, start long, length long, ids_crc32 long"))
 
 
 def _read_packings(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[int], list[Packing]]:
@@ -152,20 +154,26 @@ def _breed(limit: int):
     return island
 
 
-def _settle(limit: int):
-    """The best packing of a block: offsets, and whether a sequence is filled well enough to stay."""
+def _settle(limit: int, last: bool):
+    """The best packing of a block: offsets, and whether a sequence stays. Of sequences that aren't well filled the emptiest go, while they hold at most half
+    of the block's pieces; where the block is the last, all stay."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces, lengths, packings = _read_packings(pdf)
         best = max(packings, key=lambda p: fitness(p, lengths, limit))
-        number, offset, full = np.zeros(len(pieces), "i8"), np.zeros(len(pieces), "i8"), np.zeros(len(pieces), bool)
+        number, offset, stays = np.zeros(len(pieces), "i8"), np.zeros(len(pieces), "i8"), np.ones(len(pieces), bool)
         for k, b in enumerate(best):
             at = 0
             for i in b:
                 number[i], offset[i] = k, at
                 at += lengths[i]
-            full[b] = at >= WELL_FILLED * limit
-        return pieces.assign(bin=number, offset=offset, full=full)[[*_KEPT, "block", "bin", "offset", "full"]]
+        gone = 0
+        for f, k in sorted((f, k) for k, f in enumerate(fills(best, lengths))):
+            gone += len(best[k])
+            if last or f >= WELL_FILLED * limit or gone > max(1, len(pieces) // 2):
+                break
+            stays[best[k]] = False
+        return pieces.assign(bin=number, offset=offset, stays=stays)[[*_KEPT, "block", "bin", "offset", "stays"]]
 
     return block
 
@@ -175,9 +183,10 @@ _KEPT = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
 
 def packed(pieces: DataFrame, limit: int) -> DataFrame:
     """The columns of `pieces` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    base = f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    flow = f"{base}, block long, island int, bin long, source int"
+    pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
+    base = StructType([StructField("row", LongType()), *pieces.schema.fields])
+    flow = StructType([*base.fields, *StructType.fromDDL("block long, island int, bin long, source int").fields])
+    settled_in = StructType([*base.fields, *StructType.fromDDL("block long, bin long, offset long, stays boolean").fields])
     pieces = pieces.withColumn("row", F.monotonically_increasing_id())  # over checkpointed rows
     whole = pieces.where(F.col("length") >= limit)
     done = [whole.withColumns({"level": F.lit(0), "block": F.col("row"), "bin": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})]
@@ -192,13 +201,12 @@ def packed(pieces: DataFrame, limit: int) -> DataFrame:
             elite = bred.groupBy("block", "island").applyInPandas(_breed(limit), flow)
             # an island's best is kept, and goes to the next island
             bred = elite.withColumn("island", F.explode(F.array("source", F.pmod(F.col("source") + 1, F.lit(ISLANDS)))))
-        settled = shared_checkpoint(elite.groupBy("block").applyInPandas(_settle(limit), f"{base}, block long, bin long, offset long, full boolean").withColumn("level", F.lit(level)))
-        left = settled.where("not full").count()
-        if blocks == 1 or left > n / 2:  # pieces that fill no sequence well in one block won't in another
-            done.append(settled.drop("full"))
+        settled = shared_checkpoint(elite.groupBy("block").applyInPandas(_settle(limit, blocks == 1), settled_in).withColumn("level", F.lit(level)))
+        done.append(settled.where("stays").drop("stays"))
+        if blocks == 1:
             break
-        done.append(settled.where("full").drop("full"))
-        n, loose = left, settled.where("not full").drop("full", "block", "bin", "offset", "level")
+        again = settled.where("not stays")
+        n, loose = again.count(), again.drop("stays", "block", "bin", "offset", "level")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -1,15 +1,15 @@
 """Operator 6: toxicity by bags of subwords.
 
-A word is the mean of the embeddings of its hashed character n-grams and of itself; a window of WINDOW words is the mean of its words; a linear
-softmax over that mean gives the window's class. Embeddings and softmax are trained jointly in numpy. Labels are of documents, so a toxic
-document trains the windows that look worst so far, and a clean one its worst window and another; a document's score is that of its worst
-window, calibrated on documents that trained nothing. Unseen misspellings share n-grams, and so vectors, with what was seen.
+A word is the mean of the embeddings of its hashed character n-grams and of itself. A document's bag is the mean of its TOP words of largest margin, and a
+linear softmax over that mean gives its class: a label is of a whole document, and a few words anywhere in it decide. Embeddings and softmax are
+trained jointly in numpy; every round takes each document's bag by the margins so far (the first rounds, any words). FOLDS models are trained, each without a
+share of the documents, and their margins averaged. A model's rounds end when the loss of its own share no longer falls; the shares calibrate the score, in which either label counts half: labels are few, and a sample by label has not their share. Unseen misspellings share n-grams, and so vectors, with what was seen.
 
-Learned from at most `per_class` documents of either label, `chars` characters of each (labelled.sample). Scored: every whole text.
+Learned from at most `per_class` whole documents and `class_bytes` bytes of either label (labelled.sample). Scored: every whole text.
 
-Rows: one for each input row, repeated rows and null ids included. A null or empty text has an empty window and gets the score of the
-constant. Other columns are not read; an empty table gives an empty result. If either label is missing, every score is the share of label 1,
-or 0.
+Rows: one for each input row, repeated rows and null ids included. A null or empty text has an empty bag and gets the score of the
+constant. Equal texts have equal scores. Other columns are not read; an empty table gives an empty result. If either label is missing among what may be
+learned, every score is the share of label 1, kept off 0 and 1 by a hundredth.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import re
 import zlib
 from array import array
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,13 @@ from tallystone.llm.labelled import logistic, sample
 
 BUCKETS, WIDTH = 1 << 17, 12
 SMALLEST, LARGEST = 3, 5
-#: Words of a window, words between the starts of two, and the least number that a mean divides by.
-WINDOW, STRIDE, LEAST, NEAR = 16, 8, 8, 6
-#: Share of a toxic document's windows that train as toxic, worst first, and how many at most.
-TOXIC_SHARE, MOST_WINDOWS = 0.2, 8
-#: A bucket that fewer training documents hold has no embedding: what one document alone has would be learned by heart.
-LEAST_DOCUMENTS = 4
+#: Words of a bag, and the words before one among which a repetition adds nothing, so that a repeated word isn't an argument.
+TOP, NEAR = 4, 6
+#: Shares that documents are dealt into, and models whose margins are averaged, each of which leaves another share apart.
+SHARES, FOLDS = 4, 2
+#: Rounds at most, those with bags of any words, and those without a lower loss after which training ends.
+ROUNDS, BLIND, PATIENCE = 80, 4, 12
+BATCH, RATE, SOFTMAX_RATE = 64, 0.3, 0.1
 
 _words = re.compile(r"[^\s.,;:!?()\[\]\"«»]+").findall
 
@@ -56,27 +56,24 @@ def subwords(word: str) -> list[int]:
     return grams
 
 
-@lru_cache(64)
-def window_starts(n: int) -> np.ndarray:
-    return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
+def once(found: np.ndarray) -> np.ndarray:
+    """Which places don't repeat one of the NEAR before them."""
+    new = np.ones(len(found), bool)
+    for k in range(1, min(NEAR, len(found) - 1) + 1):
+        new[k:] &= found[k:] != found[:-k]
+    return new
 
 
-def window_means(values: np.ndarray) -> np.ndarray:
-    """The mean of each window; a word that one of the NEAR words before it repeats adds nothing, so that a repeated word isn't an argument."""
-    n = len(values)
-    once = values.copy()
-    for k in range(1, min(NEAR, n - 1) + 1):
-        once[k:][values[k:] == values[:-k]] = 0
-    values = once
-    starts = window_starts(n) if n < 4096 else np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-    ends = np.minimum(starts + WINDOW, n)
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    return (sums[ends] - sums[starts]) / np.maximum(ends - starts, LEAST)
+def bag_margin(margins: np.ndarray) -> float:
+    """The margin of the bag of the TOP largest; a bag of fewer words is filled up with words of none."""
+    if len(margins) > TOP:
+        margins = np.partition(margins, len(margins) - TOP)[-TOP:]
+    return float(margins.sum()) / TOP
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """A word's share of the softmax margin is the mean of its buckets' `margins`; slope and constant calibrate the worst window's margin."""
+    """A word's share of the softmax margin is the mean of its buckets' `margins`; slope and constant make a score of the bag's margin."""
 
     margins: np.ndarray
     slope: float
@@ -93,17 +90,53 @@ class ToxicityModel:
 
         def score(text: str) -> float:
             found = words(text)
-            worst = float(window_means(np.fromiter(map(memo.__getitem__, found), "f8", len(found))).max())
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * worst + self.constant))))
+            held = np.fromiter(map(memo.__getitem__, found), "f8", len(found))
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * bag_margin(held[once(held)]) + self.constant))))
 
         return score
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray, rounds: int, seed: int = 7) -> np.ndarray:
-    """The margin of every bucket, E @ (w1 - w0), after joint training of embeddings E and softmax weights by Adagrad.
+class Vocabulary:
+    """Words as numbers, and the buckets of all of them in one flat array, one word after another; lists of numbers would take many times as much."""
 
-    docs: the words of each, as numbers; flat: the buckets of all words, one word after another; sizes: how many each word has.
-    """
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.flat, self.sizes = array("i"), array("i")
+
+    def __call__(self, text: str) -> np.ndarray:
+        found = []
+        for word in words(text):
+            at = self.ids.get(word)
+            if at is None:
+                at = self.ids[word] = len(self.ids)
+                grams = subwords(word)
+                self.flat.extend(grams)
+                self.sizes.append(len(grams))
+            found.append(at)
+        ids = np.array(found, "i8")
+        return ids[once(ids)]
+
+
+def segments(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of a flat array, one run after another."""
+    return np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+def balanced(labels: np.ndarray) -> np.ndarray:
+    """Weights by which either label counts half."""
+    return np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
+
+
+def log_loss(margins: np.ndarray, labels: np.ndarray) -> float:
+    """Of balanced classes, after the best slope and constant."""
+    weight = balanced(labels)
+    slope, constant = logistic(margins, labels, weight, ridge=0.05)
+    z = np.clip(slope * margins + constant, -30, 30)
+    return float((weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - labels * z)).mean())
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, held: list[np.ndarray], held_labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray, least_documents: int, seed: int) -> np.ndarray:
+    """The margin of every bucket, E @ (w1 - w0), after joint training of embeddings E and softmax weights by Adagrad."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype("f4")
     w = rng.uniform(-1, 1, (WIDTH, 2)).astype("f4")
@@ -111,90 +144,93 @@ def train(docs: list[np.ndarray], labels: np.ndarray, flat: np.ndarray, sizes: n
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     seen = np.zeros(BUCKETS, "i4")
     for d in docs:
-        seen[np.unique(np.concatenate([np.zeros(0, "i4"), *[flat[begins[x] : begins[x] + sizes[x]] for x in np.unique(d)]])).astype("i8")] += 1
-    known = seen >= LEAST_DOCUMENTS
+        distinct = np.unique(d)
+        seen[np.unique(flat[segments(begins[distinct], sizes[distinct])])] += 1
+    known = (seen >= least_documents).astype("f4")
     share = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)]) * len(labels)
-    for r in range(rounds):
-        margins = e @ (w[:, 1] - w[:, 0]) * known
-        per_word = np.add.reduceat(margins[flat], begins) / sizes
-        chosen = []
-        for d, y in zip(docs, labels, strict=True):
-            n = len(d)
-            if not n:
-                continue
-            other = rng.integers(0, max(1, n - WINDOW + STRIDE), 3) // STRIDE * STRIDE
-            if r < rounds // 3:  # any windows, with their document's label
-                starts = {*other.tolist()}
+    best, best_loss, since = np.zeros(BUCKETS, "f4"), math.inf, 0
+    for r in range(ROUNDS):
+        per_word = np.add.reduceat((e @ (w[:, 1] - w[:, 0]) * known)[flat], begins) / sizes
+        bags = []
+        for d in docs:
+            if r < BLIND:
+                at = rng.integers(0, max(1, len(d) - TOP + 1))
+                bags.append(d[at : at + TOP])
             else:
-                means = window_means(per_word[d])
-                worst = np.argsort(-means, kind="stable")[: max(1, min(MOST_WINDOWS, int(len(means) * TOXIC_SHARE)))] * STRIDE
-                starts = {*worst.tolist()} if y else {int(worst[0]), int(other[0])}
-            chosen += [(d[s : s + WINDOW], y) for s in starts]
-        order = rng.permutation(len(chosen))
-        for at in range(0, len(order), 64):
-            part = [chosen[i] for i in order[at : at + 64]]
-            distinct = [np.unique(x) for x, _ in part]
-            words_in = np.maximum([len(x) for x, _ in part], LEAST)
-            word = np.concatenate(distinct)
-            row = np.repeat(np.arange(len(part)), [len(x) for x in distinct])
+                bags.append(d[np.argpartition(per_word[d], len(d) - TOP)[-TOP:]] if len(d) > TOP else d)
+        order = rng.permutation([i for i, b in enumerate(bags) if len(b)])
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            lengths = np.array([len(bags[i]) for i in part])
+            word = np.concatenate([bags[i] for i in part])
             each = sizes[word]
-            gram_row = np.repeat(row, each)
-            gram = flat[np.repeat(begins[word] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())]
-            share_of = np.repeat(1 / each / words_in[row], each).astype("f4") * known[gram]
-            h = np.zeros((len(part), WIDTH), "f4")
-            np.add.at(h, gram_row, e[gram] * share_of[:, None])
+            gram = flat[segments(begins[word], each)]
+            weight = (np.repeat(1 / each / TOP, each) * known[gram]).astype("f4")
+            first_word = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            first_gram = np.concatenate([[0], np.cumsum(each)[:-1]])[first_word]
+            h = np.add.reduceat(e[gram] * weight[:, None], first_gram)
             z = h @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            y = np.array([k for _, k in part])
-            g = p.copy()
+            y = labels[part]
+            g = p
             g[np.arange(len(part)), y] -= 1
-            g *= share[y][:, None] / len(part)
+            g = (g * share[y][:, None] / len(part)).astype("f4")
             gh, gw, gb = g @ w.T, h.T @ g, g.sum(0)
-            used, back = np.unique(gram, return_inverse=True)
-            ge = np.zeros((len(used), WIDTH), "f4")
-            np.add.at(ge, back, gh[gram_row] * share_of[:, None])
+            by_gram = np.argsort(gram, kind="stable")
+            used, first_use = np.unique(gram[by_gram], return_index=True)
+            ge = np.add.reduceat(np.repeat(np.repeat(gh, lengths, 0), each, 0)[by_gram] * weight[by_gram, None], first_use)
             e_sq[used] += (ge * ge).mean(1)
-            e[used] -= 0.3 * ge / np.sqrt(e_sq[used])[:, None]
+            e[used] -= RATE * ge / np.sqrt(e_sq[used])[:, None]
             w_sq += gw * gw
-            w -= 0.1 * gw / np.sqrt(w_sq)
+            w -= SOFTMAX_RATE * gw / np.sqrt(w_sq)
             b_sq += gb * gb
-            bias -= 0.1 * gb / np.sqrt(b_sq)
-    return (e @ (w[:, 1] - w[:, 0]) * known).astype("f8")
-
-
-def fit_rows(rows: list[tuple[str, int]], rounds: int = 15) -> ToxicityModel:
+            bias -= SOFTMAX_RATE * gb / np.sqrt(b_sq)
+        if r >= BLIND:
+            now = e @ (w[:, 1] - w[:, 0]) * known
+            per_word = np.add.reduceat(now[flat], begins) / sizes
+            loss = log_loss(np.array([bag_margin(per_word[d]) for d in held]), held_labels)
+            since += 1
+            if loss < best_loss:
+                best, best_loss, since = now, loss, 0
+            elif since >= PATIENCE:
+                break
+    return best.astype("f8")
+
+
+def fit_rows(rows: list[tuple[str, int]], least_documents: int = 4) -> ToxicityModel:
+    """least_documents: a bucket that fewer training documents hold has no embedding, as what one document alone has would be learned by heart."""
     ones = sum(y for _, y in rows)
     if not rows or ones in (0, len(rows)):
         share = min(max(ones / len(rows), 0.01), 0.99) if rows else 0.01
         return ToxicityModel(np.zeros(BUCKETS), 0.0, math.log(share / (1 - share)))
-    by_label = [[t for t, y in rows if y == k] for k in (0, 1)]
-    held = [t[: len(t) // 4] for t in by_label]
-    learnt = [t[len(t) // 4 :] for t in by_label]
-    ids: dict[str, int] = {}
-    docs, labels = [], []
-    for y, texts in enumerate(learnt):
-        for text in texts:
-            docs.append(np.array([ids.setdefault(x, len(ids)) for x in words(text)], "i8"))
-            labels.append(y)
-    flat, sizes = array("i"), array("i")  # lists of numbers would take many times as much
-    for word in ids:
-        grams = subwords(word)
-        flat.extend(grams)
-        sizes.append(len(grams))
-    margins = train(docs, np.array(labels), np.frombuffer(flat, "i4"), np.frombuffer(sizes, "i4").astype("i8"), max(rounds, min(150, 45_000 // len(docs))))
-    raw = ToxicityModel(margins, 1.0, 0.0).scorer()
-    pairs = [(t, y) for y, texts in enumerate(held if min(map(len, held)) >= 5 else learnt) for t in texts]
-    margin = np.array([math.log(p / (1 - p)) for p in (min(max(raw(t), 1e-12), 1 - 1e-12) for t, _ in pairs)])
-    y = np.array([k for _, k in pairs])
-    scale = float(margin.std()) or 1.0
-    slope, constant = logistic(margin / scale, y, ridge=0.05)
+    vocabulary = Vocabulary()
+    docs, labels = [vocabulary(t) for t, _ in rows], np.array([y for _, y in rows])
+    flat, sizes = np.frombuffer(vocabulary.flat, "i4"), np.frombuffer(vocabulary.sizes, "i4").astype("i8")
+    if not len(flat):
+        return ToxicityModel(np.zeros(BUCKETS), 0.0, math.log(ones / (len(rows) - ones)))
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    turn = np.zeros(len(rows), "i8")  # each label is dealt evenly
+    for y in (0, 1):
+        turn[labels == y] = np.arange((labels == y).sum()) % SHARES
+    margins, margin, tried = np.zeros(BUCKETS), np.zeros(len(rows)), []
+    for fold in range(FOLDS):
+        apart = np.nonzero(turn == fold)[0] if min(ones, len(rows) - ones) >= 2 * SHARES else np.arange(len(rows))
+        tried.append(apart)
+        rest = np.setdiff1d(np.arange(len(rows)), apart) if len(apart) < len(rows) else apart
+        own = train([docs[i] for i in rest], labels[rest], [docs[i] for i in apart], labels[apart], flat, sizes, least_documents, fold)
+        per_word = np.add.reduceat(own[flat], begins) / sizes
+        margin[apart] = [bag_margin(per_word[docs[i]]) for i in apart]
+        margins += own / FOLDS
+    tried = np.concatenate(tried)
+    scale = float(margin[tried].std()) or 1.0
+    slope, constant = logistic(margin[tried] / scale, labels[tried], balanced(labels[tried]), ridge=0.05)
     return ToxicityModel(margins, float(slope / scale), float(constant))
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 2000, chars: int = 16384) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 2000, class_bytes: int = 24 << 20) -> ToxicityModel:
     """learn: which labels may be used, over doc_id."""
-    return fit_rows(sample(documents, labels, label, learn, per_class, chars))
+    return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes))
 
 
 def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

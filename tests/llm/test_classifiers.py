@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystone.llm import compression_quality, subword_toxicity
-from tallystone.llm.labelled import doc_crc, sample, share_of_ones
+from tallystone.llm.labelled import doc_crc, isotonic, sample, share_of_ones
 from tests.llm.helpers import TEXTS, edge_documents, empty_documents
 
 SF = "/root/testdata/sf0.1"
@@ -27,7 +27,7 @@ def _held_out(spark, module, label, mod, rest, threshold):
 @needs_data
 def test_toxicity_held_out(spark):
     y, p = _held_out(spark, subword_toxicity, "toxic", 3, 1, 0.7)
-    assert p[y == 1].mean() > 0.6 and p[y == 0].mean() < 0.02  # 290 toxic documents to learn from; over 0.98 with 2,000
+    assert p[y == 1].mean() >= 0.9 and p[y == 0].mean() < 0.01  # one in twenty of the label's documents holds no toxic word at all
 
 
 @needs_data
@@ -47,11 +47,62 @@ def test_misspellings_share_vectors():
     assert score(clean + " pathetick worthles") > score(clean + " gardens summers") + 0.2
 
 
+def test_a_score_is_the_mean_margin_of_the_worst_words_by_plain_loops():
+    rng = np.random.default_rng(4)
+    model = subword_toxicity.ToxicityModel(rng.standard_normal(subword_toxicity.BUCKETS), 2.0, -1.0)
+    score = model.scorer()
+    for text in ("", "one", "Some words, of which (some) words repeat some words", "a b c d e f g h i j k l m n a b c " * 40):
+        found = subword_toxicity.words(text)
+        new = [w for i, w in enumerate(found) if w not in found[max(0, i - subword_toxicity.NEAR) : i]]
+        grams = [subword_toxicity.subwords(w) for w in new]
+        margins = sorted((sum(model.margins[g] for g in gs) / len(gs) for gs in grams), reverse=True)[: subword_toxicity.TOP]
+        z = sum(margins) / subword_toxicity.TOP
+        assert abs(score(text) - 1 / (1 + np.exp(1 - 2 * z))) < 1e-9
+
+
+def test_isotonic_fit_equals_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.permutation(9).astype("f8")
+    y, weight = rng.integers(0, 2, 9).astype("f8"), rng.random(9) + 0.1
+    order = np.argsort(x)
+    least = None
+    for cuts in range(1 << 8):  # every way to cut the line into level runs
+        runs, start = [], 0
+        for end in [*[i + 1 for i in range(8) if cuts >> i & 1], 9]:
+            runs.append(order[start:end])
+            start = end
+        level = [np.average(y[r], weights=weight[r]) for r in runs]
+        if all(a <= b for a, b in zip(level, level[1:], strict=False)):
+            loss = sum((weight[r] * (y[r] - v) ** 2).sum() for r, v in zip(runs, level, strict=True))
+            least = min(least or (9e9, []), (loss, level))
+    at, value = isotonic(x, y, weight)
+    assert sorted({round(v, 9) for v in value}) == sorted({round(v, 9) for v in least[1]})
+    assert (np.diff(at) > 0).all()
+
+
+def test_evidence_is_the_difference_of_plain_compressed_sizes():
+    import zstandard
+
+    texts = [f"the good text number {i} speaks of rivers and gardens" for i in range(200)], [f"BUY {i}!!! click here >>> now" for i in range(200)]
+    good, bad = map(compression_quality.dictionary, texts)
+    evidence = compression_quality.Evidence(good, bad)
+    for text in (texts[0][3], texts[1][5], "x" * 2000, "neither one nor the other " * 90):
+        n = {}
+        for name, data in (("good", good), ("bad", bad)):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=False, write_content_size=False)
+            n[name] = sum(len(c.compress(text[i : i + 512].encode())) for i in range(0, len(text), 512))
+        assert abs(evidence(text) - (n["bad"] - n["good"]) / len(text)) < 0.02  # parameters that the compressor tunes to a size may differ
+
+
 def test_sample_is_bounded_and_obeys_the_rule(spark):
     docs = spark.createDataFrame([(i, f"text {i}" * 50) for i in range(300)] + [(None, "x"), (7, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (5, None), (6, 3)], "doc_id long, toxic int")
-    rows = sample(docs, labels, "toxic", doc_crc(F.col("doc_id")) % 3 != 1, 20, 30)
-    assert len(rows) == 40 and sum(y for _, y in rows) == 20 and max(len(t) for t, _ in rows) <= 30
+    learn = doc_crc(F.col("doc_id")) % 3 != 1
+    rows = sample(docs, labels, "toxic", learn, 20, 1 << 20)
+    assert len(rows) == 40 and sum(y for _, y in rows) == 20 and all(t.startswith("text") and len(t) >= 300 for t, _ in rows)
+    assert {y: sum(z == y for _, z in sample(docs, labels, "toxic", learn, 20, 1200)) for y in (0, 1)} in ({0: 2, 1: 2}, {0: 3, 1: 3}, {0: 2, 1: 3}, {0: 3, 1: 2})
+    repeated = docs.unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(300)], "doc_id long, text string"))
+    assert sample(repeated, labels, "toxic", learn, 20, 1 << 20) == sample(repeated.repartition(7), labels, "toxic", learn, 20, 1 << 20)
     assert abs(share_of_ones(labels, "toxic", F.lit(True)) - 0.5) < 0.05
     assert share_of_ones(labels.limit(0), "toxic", F.lit(True)) == 0.5
     assert spark.range(1).select(doc_crc(F.lit(12))).first()[0] == zlib.crc32(b"12")
@@ -84,8 +135,12 @@ def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark, tmp_path):
             text = " ".join(w.upper() + "!!" for w in text.split())
         rows.append((i, text, "en", "s", len(text)))
         labels.append((i, 1 - bad, toxic))
+    clean = {i for i, q, t in labels if q and not t}
+    twice = [r for r in rows if r[0] in clean][:5]
     rows += [(1000 + i, r[1], *r[2:]) for i, r in enumerate(rows[:60])] + [(2000, None, None, None, None), (2001, "", "en", "s", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows += twice + [(None, r[1], *r[2:]) for r in twice] + [(twice[0][0], "another clean text of the same id about a river and a forest", "en", "s", 60)]
+    rows = [(*r, "k", 0.5, "x", None) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `my-col` string, _score double, `row` string, key binary")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -97,10 +152,16 @@ def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         now = spark.read.parquet(f"{tmp_path}/{name}")
         kept[name] = {r.doc_id for r in now.collect()}
-    clean = {i for i, q, t in labels if q and not t}
     toxic = {i for i, _, t in labels if t}
     assert len(clean - kept["toxicity"]) <= 2 and len(toxic & kept["toxicity"]) <= 8
     assert len(clean - kept["quality"]) <= 6
-    assert not any(1000 <= i < 1060 and i - 1000 in kept["quality"] for i in kept["near_duplicates"])
+    assert not any(i is not None and 1000 <= i < 1060 and i - 1000 in kept["quality"] for i in kept["near_duplicates"])
     assert kept["near_duplicates"] == kept["packing"]
+    left = [r.text for r in spark.read.parquet(f"{tmp_path}/near_duplicates").collect() if r.text]
+    assert len(left) == len({t.lower() for t in left})  # one row of each group, whatever its id
+    before = [r.text.lower() for r in spark.read.parquet(f"{tmp_path}/quality").collect() if r.text]
+    assert {t.lower() for t in left} == {*before}  # texts here are copies or far from each other
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -240,6 +240,46 @@ def test_packing_equals_the_library_and_is_tight(spark, monkeypatch):
         assert [r.ids_crc32 for r in own] == [zlib.crc32(np.array(ids[a : a + 128], "<u4").tobytes()) for a in range(0, len(ids), 128)]
 
 
+def test_sequences_that_fill_badly_in_every_block_meet_until_one_block_is_left(spark, monkeypatch):
+    # blocks of 8 pieces: half of them can't be paired where they are, all can together
+    monkeypatch.setattr(packing, "BLOCK", 8)
+    rng = random.Random(8)
+    lengths = [60] * 96 + [40] * 96
+    rng.shuffle(lengths)
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.packed(pieces.repartition(3).checkpoint(), 100).collect()
+    assert sorted(r.doc_id for r in rows) == [*range(192)]
+    assert _packed(rows, 100) <= 100  # 96 is the least
+
+
+def test_small_packings_equal_the_optimum():
+    rng = random.Random(9)
+
+    def least(sizes: tuple[int, ...], limit: int) -> int:
+        best = len(sizes)
+
+        def place(at: int, room: list[int]) -> None:
+            nonlocal best
+            if len(room) >= best:
+                return
+            if at == len(sizes):
+                best = len(room)
+                return
+            for k in range(len(room)):
+                if room[k] >= sizes[at] and room[k] not in room[:k]:
+                    place(at + 1, [*room[:k], room[k] - sizes[at], *room[k + 1 :]])
+            place(at + 1, [*room, limit - sizes[at]])
+
+        place(0, [])
+        return best
+
+    for seed in range(12):
+        lengths = [rng.randrange(10, 70) for _ in range(11)]
+        bins = packing.evolve(lengths, 100, [], seed)
+        assert sorted(i for b in bins for i in b) == list(range(11)) and max(packing.fills(bins, lengths)) <= 100
+        assert len(bins) == least(tuple(sorted(lengths, reverse=True)), 100)
+
+
 def test_pieces_that_fill_no_sequence_end_the_search(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 20)
     rows = pack_texts(spark.createDataFrame([(i, "the " * 70) for i in range(100)], "doc_id long, text string"), WORDS, 128).collect()
