@@ -1,9 +1,9 @@
 """The corpus pipeline: toxicity, quality, near duplicates, packing. Each stage is written as Parquet and read again as the next one's documents.
 
-toxicity: documents with a score from TOXIC_FROM on go. quality: documents with a score below GOOD_FROM go. near_duplicates: of documents linked by
-a similarity of 0.8 of five-word shingles, the one with the least id stays. packing: what is kept, as pieces of sequences. Classifiers learn from the
-labels that their queries may use. A null text counts as empty. Rows that repeat an id are kept or dropped together
-by the third stage, and rows with a null id are kept there.
+toxicity: documents with a score from TOXIC_FROM on go. quality: documents with a score below GOOD_FROM go. near_duplicates: of rows linked by
+a similarity of 0.8 of five-word shingles, one stays, that of the least id, nulls last, then the first; rows without words all stay. packing: what is
+kept, as pieces of sequences. Classifiers learn from the labels that their queries may use. A null text counts as empty. Columns of any name pass
+through all stages but the last. Tables of the stages before the last stay in the session's shared folder, as run()'s rows are read from them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import table
+from tallystone.llm.common import free_name, table
+from tallystone.llm.components import shared_folder
 from tallystone.llm.compression_quality import fit as fit_quality
 from tallystone.llm.compression_quality import score_texts as quality_scores
 from tallystone.llm.labelled import doc_crc
@@ -24,25 +25,28 @@ from tallystone.llm.subword_toxicity import fit as fit_toxicity
 from tallystone.llm.subword_toxicity import score_texts as toxicity_scores
 
 
-def _scored(docs: DataFrame, scores, model) -> DataFrame:
-    """docs with `_score`: whole rows travel through the scorer as its id, so no join is needed."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text"))
-    return scores(rows, model, id_col="row", text_col="_text").select("doc_id.*", F.col("score").alias("_score"))
+def _where_score(docs: DataFrame, scores, model, keep) -> DataFrame:
+    """docs whose score keep() accepts: whole rows travel through the scorer as its id, so no join is needed."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").alias("_text"))
+    return scores(rows, model, id_col="row", text_col="_text").where(keep(F.col("score"))).select("doc_id.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), doc_crc(F.col("doc_id")) % 3 != 1)
-    return _scored(docs, toxicity_scores, model).where(F.col("_score") < TOXIC_FROM).drop("_score")
+    return _where_score(docs, toxicity_scores, model, lambda score: score < TOXIC_FROM)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels"), doc_crc(F.col("doc_id")) % 5 != 0)
-    return _scored(docs, quality_scores, model).where(F.col("_score") >= GOOD_FROM).drop("_score")
+    return _where_score(docs, quality_scores, model, lambda score: score >= GOOD_FROM)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_classes(docs, 0.8, 5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
+    name = free_name(docs, "_row")
+    # docs are read from files, so a row's place stays the same each time
+    rows = docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("place")))
+    kept = near_classes(rows, 0.8, 5, id_col=name).where("kept").select(F.col("doc_id").alias(name))
+    return rows.join(kept, name, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the others' are written in the session's shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
