@@ -44,10 +44,9 @@ class Normaliser:
     def __init__(self, spec):
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.plain = not self.map.units and not self.squeeze
 
     def _steps(self, text: bytes):
-        """(length in the source, replacement) by longest prefix, else one character as it is."""
+        """(place, length in the source, replacement) by longest prefix, else one character as it is."""
         at = 0
         while at < len(text):
             found = self.map.longest(text, at)
@@ -57,31 +56,37 @@ class Normaliser:
             yield at, *found
             at += found[0]
 
-    def __call__(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        out, source = bytearray(), []
+    def _mapped(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes after the map, and each one's offset: a replaced prefix has that of its begin, any other byte its own. An empty map leaves all bytes."""
+        if not self.map.units and not self.squeeze:
+            return np.frombuffer(text, "u1"), np.arange(len(text), dtype="i8")
         steps = list(self._steps(text))
         if self.squeeze:
             while steps and steps[0][2] in (b" ", b""):
                 steps.pop(0)
-        if not steps:
-            return b"", np.zeros(1, "i8")
-        if self.prefix:
-            out += SPACE
-            source += [steps[0][0]] * len(SPACE)
-        was_space = self.squeeze
-        for at, _, new in steps:
-            while was_space and new.startswith(b" "):
-                new = new[1:]
-            if new:
-                for byte in new:
-                    piece = SPACE if byte == 0x20 else bytes([byte])
-                    out += piece
-                    source += [at] * len(piece)
+        out, source, was_space = bytearray(), [], self.squeeze
+        for at, size, new in steps:
+            replaced = new != text[at : at + size]
+            drop = len(new) - len(new.lstrip(b" ")) if was_space else 0
+            out += new[drop:]
+            source += [at] * (len(new) - drop) if replaced else range(at + drop, at + size)
+            if new[drop:]:
                 was_space = self.squeeze and new.endswith(b" ")
-        end = steps[-1][0] + steps[-1][1]
+        return np.frombuffer(bytes(out), "u1"), np.array(source, "i8")
+
+    def __call__(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        line, source = self._mapped(text)
+        end = len(text)
         if self.squeeze:
-            while out.endswith(SPACE):
-                del out[-3:]
-                end = source[-3]
-                del source[-3:]
-        return bytes(out), np.array([*source, end], "i8")
+            kept = len(line.tobytes().rstrip(b" "))
+            end = int(source[kept]) if kept < len(line) else end
+            line, source = line[:kept], source[:kept]
+        if not len(line):
+            return b"", np.zeros(1, "i8")
+        # a space is written as the three bytes of SPACE, all from where it stands
+        sizes = np.where(line == 0x20, len(SPACE), 1)
+        source = np.repeat(source, sizes)
+        out = line.tobytes().replace(b" ", SPACE)
+        if self.prefix:
+            out, source = SPACE + out, np.concatenate([np.repeat(source[:1], len(SPACE)), source])
+        return out, np.append(source, end)

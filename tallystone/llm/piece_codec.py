@@ -16,8 +16,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallystone.llm.common import Memo, documents, map_texts
+from tallystone.llm.common import Memo, documents, map_texts, with_id
 from tallystone.llm.normalise import Normaliser
 from tallystone.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, piece_model
 
@@ -47,38 +48,27 @@ class PieceCodec:
             surface[self.unknown] = " ⁇ ".encode()
         self.surface = surface
         self.bytes_of = np.array([1 if k == BYTE else len(p.encode()) if k == NORMAL else 0 for p, k in zip(m.pieces, m.kinds, strict=True)], "i8")
-        self.spaces_of = np.array([p.count(SPACE) if k == NORMAL else 0 for p, k in zip(m.pieces, m.kinds, strict=True)], "i8")
         self.decimal = [str(i).encode() for i in range(len(m.pieces))]
         self.controls = {i for i, k in enumerate(m.kinds) if k == CONTROL}
         self.is_byte = [k == BYTE for k in m.kinds]
 
     def _chunk(self, chunk: str) -> bytes:
-        ids, m = [], self.model
-        for symbol in m.merged(chunk):
-            known = m.ids.get(symbol)
-            ids += [m.byte_ids[b] for b in symbol.encode()] if known is None else [known]
+        m = self.model
+        symbols, after, _ = m.merge(chunk)
+        ids, at = [], 0
+        while at < len(chunk):
+            if symbols[at] >= 0:
+                ids.append(symbols[at])
+            else:
+                ids += [m.byte_ids[b] for b in chunk[at].encode()]
+            at = after[at]
         return np.array(ids, "i4").tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """ids, and the ends of their spans in bytes of the source; a span begins where the one before it ends."""
-        if not text:
-            return np.zeros(0, "i4"), np.zeros(0, "i8")
-        plain = self.normalise.plain
-        if plain:
-            source = None
-            escaped = (SPACE if self.normalise.prefix else "") + text.replace(" ", SPACE)
-        else:
-            normal, source = self.normalise(text.encode())
-            escaped = normal.decode()
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, self.model.chunks(escaped))), "i4")
-        sizes = self.bytes_of[ids]
-        if source is None and SPACE not in text:  # every escaped space but the dummy prefix was one byte of the source
-            ends = np.cumsum(sizes - 2 * self.spaces_of[ids]) - bool(self.normalise.prefix)
-        else:
-            if source is None:
-                source = self.normalise(text.encode())[1]
-            ends = source[np.cumsum(sizes)]
-        return ids, ends
+        normal, source = self.normalise(text.encode())
+        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, self.model.chunks(normal.decode()))), "i4")
+        return ids, source[np.cumsum(self.bytes_of[ids])]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids): the space that the dummy prefix made goes; bytes that are not UTF-8 give U+FFFD each."""
@@ -165,7 +155,7 @@ def encode_texts(
 
 def decode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text, decoded from a column of id arrays; a null array gives the empty text, a null id inside it is passed over."""
-    from pyspark.sql import functions as F
+    rows = df.select(df[id_col].alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches):
         codec = piece_codec(model_path)
@@ -173,4 +163,4 @@ def decode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             texts = [codec.decode([i for i in ids or () if i is not None]) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return df.select(df[id_col].alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, with_id(rows, "text string"))

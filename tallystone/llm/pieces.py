@@ -31,6 +31,10 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         #: Lower is merged earlier; equal scores give equal ranks, and then the leftmost pair is first.
         self.rank = {p.piece: -p.score for p in proto.pieces if p.type == NORMAL}
+        if missing := {c for p in self.ids for c in p} - {*self.ids}:
+            raise ValueError(f"{path}: characters of pieces that are no pieces themselves: {sorted(missing)[:5]}")
+        #: rank and number of the piece that two pieces (first * 2**32 + second) make.
+        self.pairs = {self.ids[p[:k]] << 32 | self.ids[p[k:]]: (self.rank[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.eos = proto.trainer_spec.eos_id
         self.chunks = re.compile(self._pattern()).findall
@@ -46,30 +50,33 @@ class PieceModel:
             return rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
         return rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[^\w{SPACE}]|[\d_{odd}])+|{SPACE}+"
 
-    def merged(self, chunk: str) -> list[str]:
-        """The symbols left when the pair of lowest rank, leftmost of equals, has been merged again and again.
+    def merge(self, chunk: str) -> tuple[list[int], list[int], int]:
+        """Symbols, the place after each, and how many merges were made: the pair of lowest rank, leftmost of equals, again and again.
 
-        Pairs wait in a heap; symbols are a doubly linked list by position. A heap entry whose pair has changed is passed over.
+        Symbols are numbers of pieces, or -1 for a character that is none, in a doubly linked list by place; pairs wait in a heap. An entry whose pair
+        has changed since is passed over.
         """
-        n, rank = len(chunk), self.rank
-        symbols: list[str | None] = list(chunk)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank.get(chunk[i : i + 2])) is not None]
+        n, pairs = len(chunk), self.pairs
+        symbols = [self.ids.get(c, -1) for c in chunk]
+        after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
+        heap = [(found[0], i, pair) for i in range(n - 1) if symbols[i + 1] >= 0 and (found := pairs.get(pair := symbols[i] << 32 | symbols[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
-            left = symbols[i]
-            if left is None or (j := after[i]) >= n or len(left) + len(symbols[j]) != size:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or symbols[i] << 32 | symbols[j] != pair or before[j] != i:
                 continue
-            symbols[i], symbols[j] = (both := chunk[i : i + size]), None
-            after[i] = k = after[j]
+            merges += 1
+            symbols[i], after[i] = new, k = pairs[pair][1], after[j]
+            before[j] = -2  # no more in the list
+            symbols[j] = -1
             if k < n:
                 before[k] = i
-                if (r := rank.get(both + symbols[k])) is not None:
-                    heapq.heappush(heap, (r, i, size + len(symbols[k])))
-            if (h := before[i]) >= 0 and (r := rank.get(symbols[h] + both)) is not None:
-                heapq.heappush(heap, (r, h, len(symbols[h]) + size))
-        return [s for s in symbols if s is not None]
+                if symbols[k] >= 0 and (found := pairs.get(pair := new << 32 | symbols[k])):
+                    heapq.heappush(heap, (found[0], i, pair))
+            if (h := before[i]) >= 0 and symbols[h] >= 0 and (found := pairs.get(pair := symbols[h] << 32 | new)):
+                heapq.heappush(heap, (found[0], h, pair))
+        return symbols, after, merges
 
 
 @lru_cache(2)

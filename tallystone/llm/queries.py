@@ -86,7 +86,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.telephony import store_texts
 
-    outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")
     return store_texts(table(spark, sf_dir, "documents"), outputs)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import documents, map_texts, slices
+from tallystone.llm.common import documents, map_texts, slices, with_id
 
 RATE, STORED_RATE = 8000, 16000
 #: Format tags of RIFF/WAVE (fixed values).
@@ -174,6 +174,8 @@ OUTPUTS = {
     "media_bytes": ("long", pa.int64()),
     "media_sha256": ("string", pa.string()),
     "pcm": ("binary", pa.binary()),
+    "pcm_bytes": ("long", pa.int64()),
+    "pcm_sha256": ("string", pa.string()),
     "feature": ("string", pa.string()),
 }
 
@@ -184,6 +186,8 @@ def store_texts(
     """doc_id and the named OUTPUTS: each text's bytes, padded with zeros to a positive multiple of 64, stored as telephony media, read back
     and decoded. codec: one for all, or None to let the payload decide. pcm: 16-bit little-endian samples at stored_rate."""
 
+    wanted = {"pcm", "pcm_bytes", "pcm_sha256", "feature"}
+
     def make():
         def work(texts: list[str]) -> list[pa.Array]:
             raw = [t.encode() for t in texts]
@@ -194,7 +198,8 @@ def store_texts(
             sounds = decode_many([(c, d) for c, _, d in read])
             for bytes_, stored, (kind, rate, data), sound in zip(raw, media, read, sounds, strict=True):
                 payload = payload_of(kind, data)
-                pcm = resample(sound, rate, stored_rate) if {"pcm", "feature"} & {*outputs} else sound
+                pcm = resample(sound, rate, stored_rate) if wanted & {*outputs} else sound
+                stored_pcm = pcm.astype("<i2").tobytes() if wanted - {"feature"} & {*outputs} else b""
                 for x, column in columns.items():
                     if x == "n_bytes":
                         column.append(len(bytes_))
@@ -213,7 +218,11 @@ def store_texts(
                     elif x == "media_sha256":
                         column.append(hashlib.sha256(stored).hexdigest())
                     elif x == "pcm":
-                        column.append(pcm.astype("<i2").tobytes())
+                        column.append(stored_pcm)
+                    elif x == "pcm_bytes":
+                        column.append(len(stored_pcm))
+                    elif x == "pcm_sha256":
+                        column.append(hashlib.sha256(stored_pcm).hexdigest())
                     else:
                         column.append(features(kind, pcm))
             return [pa.array(columns[x], OUTPUTS[x][1]) for x in outputs]
@@ -225,8 +234,8 @@ def store_texts(
 
 def decode_media(df: DataFrame, stored_rate: int = STORED_RATE, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """doc_id, codec, rate, payload, pcm (16-bit little-endian at stored_rate), feature and problem (null where the media could be read)."""
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, codec string, rate int, payload binary, pcm binary, feature string, problem string"
+    rows_in = df.select(df[id_col].alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
+    schema = with_id(rows_in, "codec string, rate int, payload binary, pcm binary, feature string, problem string")
 
     def run(batches):
         for part in slices(batches, "media"):
@@ -245,4 +254,4 @@ def decode_media(df: DataFrame, stored_rate: int = STORED_RATE, id_col: str = "d
             arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "codec", "rate", "payload", "pcm", "feature", "problem"])
 
-    return df.select(df[id_col].alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, schema)
+    return rows_in.mapInArrow(run, schema)

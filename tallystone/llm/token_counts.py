@@ -1,7 +1,7 @@
 """Operator 5: token counts by heap-and-linked-list byte-pair merging.
 
-A chunk's count is its initial symbols minus its merges; no identifiers are made. A character that the vocabulary lacks begins as one symbol
-for each of its UTF-8 bytes. Chunks are cut only where no piece of the vocabulary can span, so counts add up over whole texts; each worker
+A chunk's count is its initial symbols minus its merges, which are counted as they are made; no identifiers are emitted. A character that the vocabulary lacks
+begins as one symbol for each of its UTF-8 bytes, none of which ever merges. Chunks are cut only where no piece of the vocabulary can span, so counts add up over whole texts; each worker
 keeps a bounded memo of chunks.
 
 Rows: one for each input row, repeated rows and null ids included. A null or empty text has 0 tokens. Other columns are not read.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import Memo, documents, map_texts
 from tallystone.llm.normalise import Normaliser
-from tallystone.llm.pieces import SPACE, PieceModel, piece_model
+from tallystone.llm.pieces import PieceModel, piece_model
 
 
 class TokenCounter:
@@ -28,23 +28,14 @@ class TokenCounter:
         self.memo = Memo(self.count_chunk)
 
     def count_chunk(self, chunk: str) -> int:
-        rank = self.model.rank
-        initial = sum(1 if c in rank else len(c.encode()) for c in chunk)
-        if len(chunk) == 1:
-            return initial
-        left = self.model.merged(chunk)
-        unknown = sum(len(s.encode()) - 1 for s in left if s not in rank)
-        merges = initial - len(left) - unknown
-        return initial - merges
+        known = self.model.ids
+        initial = sum(1 if c in known else len(c.encode()) for c in chunk)
+        return initial if len(chunk) == 1 else initial - self.model.merge(chunk)[2]
 
     def __call__(self, text: str) -> int:
         if not text:
             return 0
-        if self.normalise.plain:
-            text = (SPACE if self.normalise.prefix else "") + text.replace(" ", SPACE)
-        else:
-            text = self.normalise(text.encode())[0].decode()
-        return sum(map(self.memo.__getitem__, self.model.chunks(text)))
+        return sum(map(self.memo.__getitem__, self.model.chunks(self.normalise(text.encode())[0].decode())))
 
 
 @lru_cache(2)

@@ -69,6 +69,38 @@ def test_spans_cover_the_source_bytes():
     assert "".join(plain).replace("▁", " ").strip() == "and then the end"
 
 
+@settings(max_examples=200, deadline=None)
+@given(texts)
+def test_spans_by_a_scalar_normaliser(text):
+    codec = piece_codec(MODEL)
+    normal, source = codec.normalise(text.encode())
+    plain, places = [], []
+    if text:
+        plain, places = [b for b in "▁".encode()], [0, 0, 0]
+    for at, b in enumerate(text.encode()):
+        new = "▁".encode() if b == 0x20 else bytes([b])
+        plain += [*new]
+        places += [at] * len(new)
+    assert normal == bytes(plain) and source.tolist() == [*places, len(text.encode())]
+
+
+def test_merges_are_counted_as_brute_force_makes_them():
+    model = piece_codec(MODEL).model
+    rng = random.Random(7)
+    for _ in range(300):
+        chunk = "▁" + "".join(rng.choice("abcdethingor") for _ in range(rng.randrange(1, 14)))
+        symbols, merges = [*chunk], 0
+        while True:
+            ranked = [(model.rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in model.rank]
+            if not ranked:
+                break
+            i = min(ranked)[1]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            merges += 1
+        assert model.merge(chunk)[2] == merges == len(chunk) - len(symbols)
+        assert token_counter(MODEL).count_chunk(chunk) == len(symbols)
+
+
 def _map_of(rules: dict[bytes, bytes]) -> bytes:
     """A compiled map: a double array with one key byte a level, built naively."""
     import struct
