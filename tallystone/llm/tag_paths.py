@@ -10,8 +10,11 @@ text outweighs what is beside it; a teaser leaves the choice to the ratios.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing else is dropped or cut.
 
-Rows: one for each input row, repeated rows and null ids included. A null, empty or textless page has the empty text. Other columns are not
-read; an empty table gives an empty result. Whole pages are read in one pass, however long.
+Inside an article box only names of STRONG count, and a class of several words names a box if all of them do (related-posts, not related-work).
+
+Rows: one for each input row, repeated rows and null ids included. A null, empty or textless page has the empty text. Equal pages have equal texts. Other
+columns are not read; an empty table gives an empty result. Whole pages are read in one pass; time and memory grow with a page's length, however
+deep its elements, and whether or not they end.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +43,9 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meter", "nobr",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math", "canvas", "object", "video", "audio", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "canvas", "video", "audio", "noembed", "noframes", "xmp"}
+#: Of these, those that end with the page where no end tag follows.
+ENDLESS = {"script", "style", "title", "textarea"}
 NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "datalist", "option"}
 #: What an element's start ends, if it is open.
 ENDS = {
@@ -59,116 +64,210 @@ BOXES = {
     "share", "sharebar", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
 
-_tokens = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/a-zA-Z])[^>]*(?:>|\Z)|<|[^<]+", re.S).finditer
+#: Of these, those that name a box inside an article too.
+STRONG = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie",
+    "cookies", "disqus", "gdpr", "login", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "paywall", "popup", "promo", "promoted", "recommended",
+    "related", "replies", "share", "sharebar", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget", "widgets",
+}
+#: Words that say no more about a box than that it is one.
+NEUTRAL = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "form", "group", "icons", "id", "inner",
+    "item", "items", "left", "link", "links", "list", "main", "module", "news", "outer", "page", "panel", "post", "posts", "right", "row", "section", "site", "slot", "stories", "thread", "top",
+    "unit", "us", "wrap", "wrapper",
+}
+
+_name = re.compile(r"[a-zA-Z][^\s/>]*").match
+#: The rest of a tag: values in quotes may hold its end. Atomic, so that it never tries a shorter way.
+_rest = re.compile(r"""(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>""").match
 _names = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I).findall
 _parts = re.compile(r"[a-z]+").findall
 _marks = re.compile(r"[.,;:!?、。！？…]").findall
 
 
 class Node:
-    __slots__ = ("boxed", "link", "main", "names", "path", "tag")
-
-    def __init__(self, tag: str, path: str, boxed: str, main: str, link: bool, names: tuple[tuple[str, str], ...] = ()):
-        self.tag, self.path, self.boxed, self.main, self.link, self.names = tag, path, boxed, main, link, names
-
-
-def _opened(tag: str, attributes: str, above: Node) -> Node:
-    boxed, main, label, own, found = above.boxed, bool(above.main) or tag in ("article", "main"), "", "", []
-    if tag in NEVER or tag == "header" and not main:
-        own = tag
-    if attributes and not attributes.isspace():
-        for name, value in _names(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id"):
-                label += "." + "-".join(_parts(value))
-                found += value.split()
-            elif name == "role":
-                own = "role" if not BOXES.isdisjoint(_parts(value)) or value in ("complementary", "alert") else own
-                main = main or value in ("main", "article")
-            elif name == "itemprop":
-                main = main or value == "articlebody"
+    """An open or closed element: the number of its path, the article box it is in (a path's number, 0: none), why it weighs nothing, whether it is in a
+    link, and the names of boxes that it, and no element above it, bears."""
+
+    __slots__ = ("above", "boxed", "link", "main", "names", "path", "tag")
+
+    def __init__(self, tag: str, above: Node | None, path: int = 0, boxed: str = "", main: int = 0, link: bool = False, names: tuple[tuple[str, int], ...] = ()):
+        self.tag, self.above, self.path, self.boxed, self.main, self.link, self.names = tag, above, path, boxed, main, link, names
+
+
+def names_box(token: str, inside: bool) -> bool:
+    words = _parts(token)
+    known = STRONG if inside else BOXES
+    return any(w in known for w in words) and all(w in known or w in NEUTRAL for w in words) or words == ["header"] and not inside
+
+
+class Reader:
+    """One page, read tag by tag: `nodes` are its elements in page order, `out` their raw texts; (None, "") where a block begins or ends."""
+
+    def __init__(self, page: str):
+        self.page = page
+        root = Node("", None)
+        self.nodes, self.stack, self.out = [root], [root], []
+        self.paths: dict[tuple[int, str], int] = {}
+        #: Where elements of a tag are in the stack, and how many of the stack's elements bear a name.
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.open_names: Counter = Counter()
+        #: Tags of RAW that no end follows any more; once a tag's quotes fail, no more are looked for.
+        self.ended: set[str] = set()
+        self.quotes = True
+        self.read()
+
+    def pop_to(self, k: int) -> None:
+        for node in self.stack[k:]:
+            self.where[node.tag].pop()
+            for name in node.names:
+                self.open_names[name] -= 1
+        del self.stack[k:]
+
+    def push(self, tag: str, attributes: str) -> None:
+        above = self.stack[-1]
+        main, label, own, found = bool(above.main) or tag in ("article", "main"), "", "", []
+        if tag in NEVER or tag == "header" and not main:
+            own = tag
+        if attributes and not attributes.isspace():
+            for name, value in _names(attributes):
+                name, value = name.lower(), value.strip("\"'").lower()
+                if name in ("class", "id"):
+                    label += "." + "-".join(_parts(value))
+                    found += value.split()
+                elif name == "role":
+                    own = "role" if not BOXES.isdisjoint(_parts(value)) or value in ("complementary", "alert") else own
+                    main = main or value in ("main", "article")
+                elif name == "itemprop":
+                    main = main or value == "articlebody"
+                else:
+                    own = "hidden" if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "") else own
+        path = self.paths.setdefault((above.path, tag + label), len(self.paths) + 1)
+        opens, boxed, names = main and not above.main, above.boxed, ()
+        if opens and boxed in HOLDERS:
+            boxed = ""
+        if tag not in ("html", "body") and not opens:
+            told = dict.fromkeys((t, above.main) for t in found if names_box(t, main))
+            names = tuple(n for n in told if not self.open_names[n])
+        node = Node(tag, above, path, boxed if boxed and boxed not in HOLDERS else own or boxed, above.main or (path if main else 0), above.link or tag == "a", names)
+        for name in names:
+            self.open_names[name] += 1
+        self.where[tag].append(len(self.stack))
+        self.stack.append(node)
+        self.nodes.append(node)
+
+    def close_before(self, tag: str) -> None:
+        """Ends what the start of a block ends, if it is open inside the nearest wall."""
+        closes = ENDS.get(tag) or (set() if tag == "br" else {"p"})
+        last = max((self.where[t][-1] for t in closes if self.where[t]), default=0)
+        if not last:
+            return
+        wall = max((self.where[t][-1] for t in WALLS if t not in closes and self.where[t]), default=0)
+        if last > wall:
+            self.pop_to(last)
+
+    def end_of(self, tag: str, at: int) -> int:
+        """Where a raw element that opened before `at` ends."""
+        if tag not in self.ended:
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(self.page, at)
+            if end:
+                return end.end()
+            self.ended.add(tag)
+        return len(self.page) if tag in ENDLESS else at
+
+    def read(self) -> None:
+        page, out, at = self.page, self.out, 0
+        while at < len(page):
+            begin = page.find("<", at)
+            if begin != at:
+                begin = len(page) if begin < 0 else begin
+                out.append((self.stack[-1], page[at:begin]))
+                at = begin
+                continue
+            after = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            closing = after == "/"
+            name = _name(page, at + 1 + closing)
+            if name is None:
+                if after in ("!", "?", "/") and after:
+                    end = page.find(">", at)
+                    at = len(page) if end < 0 else end + 1
+                else:
+                    out.append((self.stack[-1], "<"))
+                    at += 1
+                continue
+            rest = _rest(page, name.end()) if self.quotes else None
+            if rest is None:
+                self.quotes = False
+                end = page.find(">", name.end())
+                end = len(page) if end < 0 else end + 1
             else:
-                own = "hidden" if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "") else own
-    path, opens, names = f"{above.path}/{tag}{label}", main and not above.main, above.names
-    if opens and boxed in HOLDERS:
-        boxed = ""
-    if tag not in ("html", "body") and not opens:
-        for token in found:
-            words = _parts(token)
-            if (not BOXES.isdisjoint(words) or "header" in words and not main) and (token, above.main) not in names:
-                names += ((token, above.main),)
-    return Node(tag, path, boxed if boxed and boxed not in HOLDERS else own or boxed, above.main or (path if main else ""), above.link or tag == "a", names)
-
-
-def text_nodes(page: str) -> list[tuple[Node | None, str]]:
-    """(node, raw text) in page order; (None, "") where a block begins or ends."""
-    root = Node("", "", "", "", False)
-    stack, out, at, skip = [root], [], 0, 0
-    for m in _tokens(page):
-        if m.start() < skip:
-            continue
-        tag = m[2]
-        if tag is None:
-            raw = m[0]
-            if raw[0] != "<" or raw == "<":
-                out.append((stack[-1], raw))
-            continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+                end = rest.end()
+            at = self.tag(name[0].lower(), closing, page[name.end() : end - 1], end)
+
+    def tag(self, tag: str, closing: bool, attributes: str, at: int) -> int:
+        """Takes a tag that ends at `at`; gives where to read on."""
+        if closing:
+            if self.where[tag]:
+                self.pop_to(self.where[tag][-1])
             if tag not in INLINE:
-                out.append((None, ""))
-            continue
+                self.out.append((None, ""))
+            return at
+        empty = attributes.endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, m.end()) if not m[3].endswith("/") else None
-            skip = end.end() if end else m.end() if m[3].endswith("/") or tag not in ("script", "style", "title", "textarea") else len(page)
-            continue
+            return at if empty else self.end_of(tag, at)
         if tag not in INLINE:
-            out.append((None, ""))
-            closes = ENDS.get(tag, set()) if tag in ENDS else {"p"} if tag != "br" else set()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in WALLS and stack[k].tag not in closes:
-                    break
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(_opened(tag, m[3], stack[-1]))
-    return out
-
-
-def named_paths(kept: list[tuple[Node, str]]) -> set[str]:
+            self.out.append((None, ""))
+            self.close_before(tag)
+        if tag not in VOID and not empty:
+            self.push(tag, attributes)
+        return at
+
+
+def named_paths(nodes: list[Node], kept: list[tuple[Node, str]]) -> set[int]:
     """The paths below a name that says no content, in the page or in its article box."""
-    if not any(n.names for n, _ in kept):
+    if not any(n.names for n in nodes):
         return set()
-    texts: dict[str, int] = defaultdict(int)
-    under: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    place = {id(n): i for i, n in enumerate(nodes)}
+    own, in_articles = [0] * len(nodes), [0] * len(nodes)
+    texts: dict[int, int] = defaultdict(int)
     for n, t in kept:
         length = len(t.strip())
-        for scope in {"", n.main}:
+        own[place[id(n)]] += length
+        in_articles[place[id(n)]] += length if n.main else 0
+        for scope in {0, n.main}:
             texts[scope] += length
+    for i in range(len(nodes) - 1, 0, -1):  # an element stands after the one above it
+        above = place[id(nodes[i].above)]
+        own[above] += own[i]
+        in_articles[above] += in_articles[i]
+    under: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+    for i, n in enumerate(nodes):
         for name in n.names:
-            under[name][0] += length
-            under[name][1] += length if n.main and not name[1] else 0
-    articles = sum(texts[b] for b in {n.main for n, _ in kept} if b)
+            under[name][0] += own[i]
+            under[name][1] += 0 if name[1] else in_articles[i]
+    articles = sum(c for b, c in texts.items() if b)
     says = set()
-    for (token, scope), (length, in_articles) in under.items():
-        if articles and in_articles >= HELD * articles:
+    for (token, scope), (length, inside) in under.items():
+        if articles and inside >= HELD * articles:
             continue
         if length < (HELD_ALONE if len(_parts(token)) == 1 else HELD) * texts[scope]:
             says.add((token, scope))
-    return {n.path for n, _ in kept if not says.isdisjoint(n.names)}
+    low = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        low[i] = not says.isdisjoint(n.names) or n.above is not None and low[place[id(n.above)]]
+    return {n.path for n, _ in kept if low[place[id(n)]]}
 
 
-def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
-    """The paths whose text is content."""
-    kept = [(n, t) for n, t in nodes if n is not None and not n.boxed and t and not t.isspace()]
-    sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    boxes: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    low = named_paths(kept)
+def path_scores(reader: Reader) -> dict[int, float]:
+    """The fused ratio of every path that has text outside a box that weighs nothing."""
+    kept = [(n, t) for n, t in reader.out if n is not None and not n.boxed and t and not t.isspace()]
+    sums: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    boxes: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    low = named_paths(reader.nodes, kept)
     lowered = 0
     for n, t in kept:
         length = len(t.strip())
@@ -181,16 +280,14 @@ def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
     ratio = {p: (c / k) * (1 + marks / k) * (1 - linked / c) for p, (c, marks, linked, k) in sums.items()}
     line = [ratio[n.path] for n, _ in kept]
     kernel = [math.exp(-(d * d) / 2) for d in range(-REACH, REACH + 1)]
-    smooth: dict[str, list[float]] = defaultdict(list)
+    smooth: dict[int, list[float]] = defaultdict(list)
     for i, (n, _) in enumerate(kept):
         near = [(kernel[d + REACH], line[i + d]) for d in range(-REACH, REACH + 1) if 0 <= i + d < len(line)]
         smooth[n.path].append(sum(w * x for w, x in near) / sum(w for w, _ in near))
     score = {p: (ratio[p] + sum(v) / len(v)) / 2 * (LOW if p in low else 1) if ratio[p] else 0.0 for p, v in smooth.items()}
-    if not score:
-        return set()
     total = sum(c for c, *_ in boxes.values()) + LOW * lowered
     box_ratio = {b: (c / k) * (1 + marks / k) * max(1 - linked / c, UNLINKED) for b, (c, marks, linked, k) in boxes.items()}
-    inside: dict[str, set[str]] = defaultdict(set)
+    inside: dict[int, set[int]] = defaultdict(set)
     for n, _ in kept:
         if n.main and n.path not in low:
             inside[n.main].add(n.path)
@@ -198,6 +295,13 @@ def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
         near = [x for p in paths for x in smooth[p]]
         fused = (box_ratio[b] + sum(near) / len(near)) / 2 * (1 + BOX * (boxes[b][0] / total) ** 3)
         score.update(dict.fromkeys(paths, fused))
+    return score
+
+
+def content_paths(score: dict[int, float]) -> set[int]:
+    """The paths whose text is content: those at or above the threshold."""
+    if not score:
+        return set()
     mean = sum(score.values()) / len(score)
     spread = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
     limit = min(max(THRESHOLD * spread, 1e-9), max(score.values()))
@@ -205,9 +309,9 @@ def content_paths(nodes: list[tuple[Node | None, str]]) -> set[str]:
 
 
 def main_text(page: str) -> str:
-    nodes = text_nodes(page)
-    chosen = content_paths(nodes)
-    parts = [" " if n is None else t for n, t in nodes if n is None or not n.boxed and n.path in chosen]
+    reader = Reader(page)
+    chosen = content_paths(path_scores(reader))
+    parts = [" " if n is None else t for n, t in reader.out if n is None or not n.boxed and n.path in chosen]
     return " ".join(html.unescape("".join(parts)).split())
 
 

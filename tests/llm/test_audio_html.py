@@ -1,12 +1,17 @@
 """Telephony audio against scalar decoders and round trips; main text against hand-made pages."""
 
+import os
+import random
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallystone.llm import tag_paths
 from tallystone.llm import telephony as tel
 from tallystone.llm.tag_paths import extract_text, main_text
 from tests.llm.helpers import TEXTS, edge_documents, empty_documents
@@ -167,3 +172,123 @@ def test_extract_over_edge_rows(spark):
     assert {r.text for r in found if r.page_id == 99} == {""}
     assert max(len(r.text) for r in found) == 2 * 20_000 - 1
     assert extract_text(df.limit(0)).count() == 0
+
+
+def _tree(rng: random.Random, depth: int = 0):
+    """A random element as (tag, children), a child being an element or a text."""
+    tag = rng.choice(["div", "section", "p", "ul", "li", "a", "span", "article", "nav"] if depth else ["body"])
+    words = lambda: " ".join(rng.choice(["word", "and, then", "more.", "text"]) for _ in range(rng.randrange(1, 12)))
+    children: list = []
+    for _ in range(rng.randrange(1, 5)):
+        new = _tree(rng, depth + 1) if depth < 4 and rng.random() < 0.6 else words()
+        if isinstance(new, str) and children and isinstance(children[-1], str):
+            new = f"{children.pop()} {new}"  # one text node
+        children.append(new)
+    return tag, children
+
+
+def _written(tree) -> str:
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(_written, tree[1]))}</{tree[0]}>"
+
+
+def _plain_scores(tree) -> dict[tuple, float]:
+    """The fused ratios by plain recursion over a tree and plain sums over all of its texts."""
+    found = []
+
+    def walk(node, path, link, main, boxed):
+        if isinstance(node, str):
+            if not boxed:
+                found.append((path, node, link, main))
+            return
+        path = (*path, node[0])
+        main = main or (path if node[0] == "article" else None)
+        for child in node[1]:
+            walk(child, path, link or node[0] == "a", main, boxed or node[0] == "nav")
+
+    walk(tree, (), False, None, False)
+
+    def ratio(texts, least=0.0):
+        c, k = sum(len(t.strip()) for _, t, _, _ in texts), len(texts)
+        marks = sum(ch in ".," for _, t, _, _ in texts for ch in t)
+        return c / k * (1 + marks / k) * max(1 - sum(len(t.strip()) for _, t, link, _ in texts if link) / c, least)
+
+    own = {p: ratio([x for x in found if x[0] == p]) for p in {x[0] for x in found}}
+    smooth = []
+    for i in range(len(found)):
+        near = [(np.exp(-((i - j) ** 2) / 2), own[found[j][0]]) for j in range(len(found)) if abs(i - j) <= 2]
+        smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    score = {}
+    total = sum(len(t.strip()) for _, t, _, _ in found)
+    for p in own:
+        here = [i for i, x in enumerate(found) if x[0] == p]
+        score[p] = (own[p] + sum(smooth[i] for i in here) / len(here)) / 2 if own[p] else 0.0
+    for box in {x[3] for x in found if x[3]}:
+        inside = [x for x in found if x[3] == box]
+        paths = {x[0] for x in inside}
+        near = [smooth[i] for i, x in enumerate(found) if x[0] in paths]
+        share = sum(len(t.strip()) for _, t, _, _ in inside) / total
+        for p in paths:
+            score[p] = (ratio(inside, tag_paths.UNLINKED) + sum(near) / len(near)) / 2 * (1 + tag_paths.BOX * share**3)
+    return score
+
+
+def test_scores_equal_a_plain_recursion_on_generated_pages():
+    rng, boxes = random.Random(11), 0
+    for _ in range(300):
+        tree = _tree(rng)
+        # nothing that an unfinished paragraph, item or inner article would end
+        if any(x in _written(tree) for x in ("<p>", "<li>")) and re.search(r"<p>(?:(?!</p>).)*<(?:div|section|p|ul|li|article|nav)>|<li>(?:(?!</li>).)*<li>", _written(tree)):
+            continue
+        reader = tag_paths.Reader(_written(tree))
+        mine = {}
+        for node, text in reader.out:
+            if node is not None and not node.boxed and text.strip():
+                tags, at = [], node
+                while at.above is not None:
+                    tags.append(at.tag)
+                    at = at.above
+                mine[tuple(tags[::-1])] = node.path
+        score, plain = tag_paths.path_scores(reader), _plain_scores(tree)
+        assert {*mine} == {*plain}
+        assert {p: pytest.approx(score[mine[p]]) for p in mine} == plain
+        boxes += any("article" in p for p in plain)
+    assert boxes > 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_ratios_choose_the_paths_of_every_page():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column("html").to_pylist()
+    for page in pages:
+        reader = tag_paths.Reader(page or "")
+        score = tag_paths.path_scores(reader)
+        chosen = tag_paths.content_paths(score)
+        assert {n.path for n, t in reader.out if n is not None and not n.boxed and t.strip()} == {*score}
+        assert not score or chosen and min(score[p] for p in chosen) > max((x for p, x in score.items() if p not in chosen), default=0)
+
+
+def test_hostile_pages_take_a_time_that_grows_with_their_length():
+    parts = ["<div>", "<b>x</i>", "<svg>x ", "<p><b>x", "<b>x<div>y</div>", '<a x="> ', "<a \"'> ", "<a ", "<!--", "<ul><li>x", "<a =", "<div class='ad box'>t", "<td>x", "</p>x", "&amp"]
+    for part in parts:
+        times = []
+        for size in (100_000, 400_000):
+            page = part * (size // len(part))
+            begin = time.process_time()
+            main_text(page)
+            times.append(time.process_time() - begin)
+        assert times[1] < 3 + 8 * times[0], part  # the square would be 16 times
+    assert main_text("<div>" * 60_000 + "deep text, here." + "</div>" * 60_000) == "deep text, here."
+
+
+def test_captions_formulas_and_ordinary_class_names_are_kept():
+    body = "This is a sentence of the article, which is long enough to be one. " * 4
+    page = (
+        f"<article><h1>Head line</h1><p>{body}</p><section class='related-work'><p>Related work, {body}</p></section><div class='search-results'><p>Found: {body}</p></div>"
+        f"<p class='notice'>Please note, that {body}</p><figure><img><figcaption>A caption.</figcaption></figure><math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
+        f"<object>In place of a film.</object><p>{body}</p></article><div class='related-posts'><p>Other things, elsewhere.</p></div>"
+    )
+    text = main_text(page)
+    for part in ("Head line", "Related work,", "Found:", "Please note,", "A caption.", "x=2", "In place of a film."):
+        assert part in text, part
+    assert "Other things" not in text
