@@ -50,8 +50,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str) -> DataFrame:
-    """(doc_id, text) to doc_id and the columns of `schema`.
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, keep_text: bool = False) -> DataFrame:
+    """(doc_id, text) to doc_id, the text itself if keep_text, and the columns of `schema`.
 
     make() runs once in each task and gives a function from a list of texts to the arrays of those columns.
     """
@@ -61,15 +61,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
         work = None
         for part in slices(batches):
             work = work or make()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *work(part.column("text").to_pylist())], ["doc_id", *names])
+            passed = [part.column(x) for x in held]
+            yield pa.RecordBatch.from_arrays([*passed, *work(part.column("text").to_pylist())], [*held, *names])
 
-    return df.select("doc_id", "text").mapInArrow(run, with_id(df, schema))
+    held = ["doc_id", "text"] if keep_text else ["doc_id"]
+    return df.select("doc_id", "text").mapInArrow(run, with_id(df, ("text string, " if keep_text else "") + schema))
 
 
 class Memo(dict):
-    """A bounded memo: a missing key is computed by `make`; when `limit` keys are held, it starts anew."""
+    """A bounded memo: a missing key is computed by `make`; when `limit` keys are held, it starts anew. Workers outlive tasks, and so do memos of models that
+    they keep: some 200 bytes for each key."""
 
-    def __init__(self, make: Callable, limit: int = 800_000):
+    def __init__(self, make: Callable, limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
 

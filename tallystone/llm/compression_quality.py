@@ -101,14 +101,14 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "qu
     return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes), share_of_ones(labels, label, learn))
 
 
-def score_texts(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score double (0 to 1, higher: label 1 likelier)."""
+def score_texts(df: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """doc_id, the text (null: empty) if keep_text, score double (0 to 1, higher: label 1 likelier)."""
 
     def make():
         score = model.scorer()
         return lambda texts: [pa.array(map(score, texts), pa.float64())]
 
-    return map_texts(view(df, id_col, text_col), make, "score double")
+    return map_texts(view(df, id_col, text_col), make, "score double", keep_text)
 
 
 def predict(df: DataFrame, model: CompressionModel, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
