@@ -26,9 +26,12 @@ from tallystone.llm.subword_toxicity import score_texts as toxicity_scores
 
 
 def _where_score(docs: DataFrame, scores, model, keep) -> DataFrame:
-    """docs whose score keep() accepts: whole rows travel through the scorer as its id, so no join is needed."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").alias("_text"))
-    return scores(rows, model, id_col="row", text_col="_text").where(keep(F.col("score"))).select("doc_id.*")
+    """docs whose score keep() accepts: the other columns travel through the scorer as the text's id, so no join is needed."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others, F.col("text").isNull().alias(free_name(docs, "_null"))).alias("row"), F.col("text").alias("_text"))
+    found = scores(rows, model, id_col="row", text_col="_text", keep_text=True).where(keep(F.col("score")))
+    text = F.when(~F.col("doc_id").getField(free_name(docs, "_null")), F.col("text")).alias("text")
+    return found.select(*[text if c == "text" else F.col("doc_id").getField(c).alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
