@@ -1,8 +1,5 @@
-"""Walk-forward search: every parameter set is judged on training years, the best is traded on the following ones, and only what it earned there counts.
-
-Two stages of folds: all training and test runs of all windows are one set of groups; then the best set of each window, chosen by a window function, is run again in
-one chain that carries its capital from window to window.
-"""
+"""Walk-forward search as set operations: windows, grids, the choice of each window's best parameters on its training metric, and what all of them made
+out of sample. The equity curves that it judges come from the caller; no account is simulated here."""
 
 from __future__ import annotations
 
@@ -11,8 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.engine.fold import Settings, equity_of, runs, simulate, simulate_chain
-from tallystone.operators.metrics import annualised, equity_metrics
+from tallystone.operators.metrics import annualised
 
 MOST_PARAMETERS = 3
 
@@ -37,52 +33,46 @@ def year_windows(spark: SparkSession, first: int, last: int, train: int = 4, tes
     return years.select("window", day(y, "-01-01").alias("train_from"), day(y + train - 1, "-12-31").alias("train_to"), day(y + train, "-01-01").alias("test_from"), day(y + train + test - 1, "-12-31").alias("test_to"))
 
 
-def jobs(windows: DataFrame, configs: DataFrame, history_from: str, capital: float) -> DataFrame:
-    """A training and a test run of every config (config, ordinal) in every window, as settings of runs."""
-    both = windows.crossJoin(configs)  # windows x configs rows
-    start = F.to_date(F.lit(history_from)).alias("from")
-    train = both.select(F.concat_ws("/", F.lit("train"), "window", "config").alias("run_id"), "config", start, F.col("train_to").alias("to"), F.col("train_from").alias("trade_from"))
-    test = both.select(F.concat_ws("/", F.lit("test"), "window", "config").alias("run_id"), "config", start, F.col("test_to").alias("to"), F.col("test_from").alias("trade_from"))
-    return train.unionByName(test).withColumn("capital", F.lit(float(capital)))
+def window_returns(returns: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window, config, phase, date, ret) of returns (config, date, ret): every row once for each window and phase that it lies in.
+
+    Windows begin and end with years, so a window is a few rows of (year, window, phase), and rows meet them by their year.
+    """
+    spans = None
+    for phase in ("train", "test"):
+        years = F.explode(F.sequence(F.year(f"{phase}_from"), F.year(f"{phase}_to")))
+        part = windows.select("window", F.lit(phase).alias("phase"), years.alias("year"))
+        spans = part if spans is None else spans.unionByName(part)
+    return returns.withColumn("year", F.year("date")).join(spans, "year").select("window", "config", "phase", "date", "ret")
+
+
+def window_results(returns: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window, config, phase, growth, sharpe, n) of daily returns (config, date, ret)."""
+    sd = F.stddev_samp("ret")
+    return window_returns(returns, windows).where("ret is not null").groupBy("window", "config", "phase").agg(
+        F.exp(F.sum(F.log1p("ret"))).alias("growth"), F.when(sd > 0, F.avg("ret") / sd).alias("sharpe"), F.count("*").alias("n")
+    )
 
 
-def choose(metrics: DataFrame, configs: DataFrame, metric: str = "sharpe") -> DataFrame:
-    """(window, config): the greatest training metric, unknown ones last, ties to the first config of the grid."""
-    parts = F.split("run_id", "/")
-    judged = metrics.withColumns({"phase": parts[0], "window": parts[1].cast("int"), "config": parts[2]}).where("phase = 'train'").join(configs, "config")
-    place = F.row_number().over(Window.partitionBy("window").orderBy(F.desc_nulls_last(metric), "ordinal"))
-    return judged.withColumn("place", place).where("place = 1").select("window", "config", F.col(metric).alias("metric"))
+def choose(results: DataFrame, metric: str = "sharpe") -> DataFrame:
+    """(window, config, metric): the greatest training metric, unknown ones last, ties to the least config."""
+    place = F.row_number().over(Window.partitionBy("window").orderBy(F.desc_nulls_last(metric), "config"))
+    return results.where("phase = 'train'").withColumn("place", place).where("place = 1").select("window", "config", F.col(metric).alias("metric"))
 
 
-def chained(panel_days: DataFrame, weights: DataFrame, chosen: DataFrame, windows: DataFrame, settings: Settings, history_from: str) -> DataFrame:
-    """(date, window, config, equity) of the chosen configs' test runs, one after another with the capital carried on; of two windows' equal dates the later one's."""
-    jobs_ = chosen.join(windows, "window").select(
-        F.lit("oos").alias("chain"), F.col("window").alias("link"), F.concat_ws("/", F.lit("oos"), "window", "config").alias("run_id"), "config", F.to_date(F.lit(history_from)).alias("from"),
-        F.col("test_to").alias("to"), F.col("test_from").alias("trade_from"), F.lit(float(settings.capital)).alias("capital"),
-    )
-    parts = F.split("run_id", "/")
-    curve = equity_of(simulate_chain(runs(panel_days, weights, jobs_), settings)).select("date", parts[1].cast("int").alias("window"), parts[2].alias("config"), "equity")
-    return curve.withColumn("_n", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("window")))).where("_n = 1").drop("_n")
+def out_of_sample(returns: DataFrame, windows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(date, window, config, ret) of the chosen configs in their test windows; of two windows' equal dates the later one's."""
+    tests = window_returns(returns, windows).where("phase = 'test'").join(chosen.select("window", "config"), ["window", "config"])
+    latest = F.max_by(F.struct("window", "config", "ret"), "window").alias("row")
+    return tests.groupBy("date").agg(latest).select("date", "row.*")
 
 
-def config_results(metrics: DataFrame, windows: DataFrame) -> DataFrame:
+def config_results(results: DataFrame, windows: DataFrame) -> DataFrame:
     """(config, annual): growth over all test windows a year of their calendar length."""
-    parts = F.split("run_id", "/")
-    tests = metrics.withColumns({"phase": parts[0], "window": parts[1].cast("int"), "config": parts[2]}).where("phase = 'test'")
     spans = windows.select("window", F.date_diff("test_to", "test_from").alias("days"))
-    out = tests.join(spans, "window").groupBy("config").agg(F.product(F.col("end_equity") / F.col("start_equity")).alias("factor"), F.sum("days").alias("days"))
+    out = results.where("phase = 'test'").join(spans, "window").groupBy("config").agg(F.product("growth").alias("factor"), F.sum("days").alias("days"))
     return out.select("config", annualised(F.col("factor"), F.col("days")).alias("annual"))
 
 
 def best_and_median(annual: DataFrame, column: str = "annual") -> DataFrame:
     return annual.where(F.col(column).isNotNull()).agg(F.max(column).alias("best"), F.percentile(column, 0.5).alias("median"), F.count("*").alias("n"))
-
-
-def walk_forward(panel_days: DataFrame, weights: DataFrame, configs: DataFrame, windows: DataFrame, settings: Settings, history_from: str, risk_free: float = 0.16, metric: str = "sharpe") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chained equity, chosen configs, results of all configs). configs: (config, ordinal); weights: (config, secid, date, weight)."""
-    from tallystone.operators.persist import cut
-
-    results = cut(equity_of(simulate(runs(panel_days, weights, jobs(windows, configs, history_from, settings.capital)), settings)))
-    metrics = cut(equity_metrics(results, risk_free))
-    chosen = cut(choose(metrics, configs, metric))
-    return chained(panel_days, weights, chosen, windows, settings, history_from), chosen, config_results(metrics, windows)

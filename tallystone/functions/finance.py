@@ -51,15 +51,27 @@ def fill_status(value: Column, adv: Column, c: Costs) -> Column:
 
 
 def position_lots(price: Column, lot: Column, target: Column, cash: Column, adv: Column, c: Costs) -> Column:
-    """The most lots whose value is within the target and whose value with costs is within the cash. Costs grow with lots, so the greatest that passes is the answer;
-    it is found among as many as the target allows."""
-    most = F.greatest(F.floor(F.least(target, cash) / (price * lot)), F.lit(0)).cast("int")
+    """The most lots whose value is within the target and whose value with costs is within the cash.
 
-    def affordable(k: Column) -> Column:
-        costs = trade_costs(k * price * lot, adv, c)["total"]
-        return (k * price * lot + costs) <= cash
+    Costs are the greater of two rising curves of the value (with the broker's share, or with its least fee), each at most quadratic, so the most that is
+    affordable is the lesser of two roots; rounding is settled by trying the lots next to it.
+    """
+    unit = price * lot
+    square = F.lit(c.impact * c.stress / 100) / adv
+    fixed = 1 + (c.exchange_pct + c.half_spread_pct + c.base_slippage_pct) * c.stress / 100
 
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), most), lambda k: (k > 0) & F.coalesce(affordable(k), F.lit(False)))), F.lit(0))
+    def root(slope: float, room: Column) -> Column:
+        curved = (F.sqrt(F.lit(slope**2) + 4 * square * room) - slope) / (2 * square)
+        return F.when(room <= 0, 0.0).when(square > 0, curved).otherwise(room / slope)
+
+    value = F.least(root(fixed + c.broker_pct * c.stress / 100, cash), root(fixed, cash - c.broker_min * c.stress), target, F.lit(c.reject_share) * adv)
+    near = F.greatest(F.floor(value / unit), F.lit(0)).cast("long")
+
+    def fits(k: Column) -> Column:
+        v = k * unit
+        return (k > 0) & (v <= target) & F.coalesce(v + trade_costs(v, adv, c)["total"] <= cash, F.lit(False))
+
+    return F.coalesce(F.when(fits(near + 1), near + 1).when(fits(near), near).when(fits(near - 1), near - 1), F.lit(0)).cast("int")
 
 
 def target_lots(held: Column, raw: Column) -> Column:

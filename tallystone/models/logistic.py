@@ -107,29 +107,47 @@ def fit_calibrated(names: list[str], x: np.ndarray, y: np.ndarray, weight: np.nd
 def walk_forward_risk(data: DataFrame, features: list[str], first_year: int, horizon: int = 21, least_rows: int = 750) -> DataFrame:
     """(run_id, date, proba, base_rate): each year is forecast by a model of all earlier rows but the last `horizon` before it, whose labels reach into it.
 
-    data: (run_id, date, features, y). A group is one run's own days; years without enough rows are left out.
+    data: (run_id, date, features, y). A group is one run and forecast year, with the days up to it; years without enough rows are left out.
     """
     kinds = {f.name: f.dataType.simpleString() for f in data.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
-        years = pd.to_datetime(pdf["date"]).dt.year.to_numpy()
+        own = (pd.to_datetime(pdf["date"]).dt.year == pdf["_year"]).to_numpy()
         x = pdf[features].to_numpy(float)
         known, y = ~np.isnan(x).any(1), pdf["y"].to_numpy(float)
-        out = []
-        for year in sorted({*years.tolist()}):
-            test = (years == year) & known
-            if year < first_year or not test.any():
-                continue
-            first = int(np.argmax(years == year))
-            train = known & ~np.isnan(y) & (np.arange(len(pdf)) < max(first - horizon, 0))
-            if train.sum() < least_rows or len({*y[train].tolist()}) < 2:
-                continue
-            model = fit_calibrated(features, x[train], y[train].astype(int))
-            out.append(pd.DataFrame({"run_id": pdf.loc[test, "run_id"], "date": pdf.loc[test, "date"], "proba": model.proba(x[test]), "base_rate": y[train].mean()}))
-        return pd.concat(out) if out else pdf[["run_id", "date"]].iloc[:0].assign(proba=0.0, base_rate=0.0)
-
-    return data.select("run_id", "date", "y", *features).groupBy("run_id").applyInPandas(run, f"run_id {kinds['run_id']}, date {kinds['date']}, proba double, base_rate double")
+        test = own & known
+        train = known & ~np.isnan(y) & (np.arange(len(pdf)) < max(int(np.argmax(own)) - horizon, 0))
+        if not test.any() or train.sum() < least_rows or len({*y[train].tolist()}) < 2:
+            return pdf[["run_id", "date"]].iloc[:0].assign(proba=0.0, base_rate=0.0)
+        model = fit_calibrated(features, x[train], y[train].astype(int))
+        return pd.DataFrame({"run_id": pdf.loc[test, "run_id"], "date": pdf.loc[test, "date"], "proba": model.proba(x[test]), "base_rate": y[train].mean()})
+
+    rows = data.select("run_id", "date", "y", *features)
+    last = rows.agg(F.max(F.year("date"))).first()[0]  # one number
+    if last is None or last < first_year:
+        return rows.where("false").select("run_id", "date", F.lit(0.0).alias("proba"), F.lit(0.0).alias("base_rate"))
+    by_year = rows.withColumn("_year", F.explode(F.sequence(F.greatest(F.year("date"), F.lit(first_year)), F.lit(last))))
+    return by_year.groupBy("run_id", "_year").applyInPandas(forecast, f"run_id {kinds['run_id']}, date {kinds['date']}, proba double, base_rate double")
+
+
+def fitted(data: DataFrame, features: list[str], label: str = "y", order: str = "t0") -> LinearModel | None:
+    """A calibrated model of a training set of a few thousand rows (month ends by picks), fitted in one task; the driver gets its coefficients alone. None
+    with fewer than 40 rows or one class."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[label, *features]).sort_values([order, *features])
+        y = pdf[label].to_numpy(int)
+        if len(y) < 40 or len({*y.tolist()}) < 2:
+            return pd.DataFrame({"coef": pd.Series(dtype=object)})
+        m = fit_calibrated(features, pdf[features].to_numpy(float), y)
+        return pd.DataFrame({"coef": [[*m.coef.tolist(), *m.mean.tolist(), *m.scale.tolist(), m.constant, m.a, m.b]]})
+
+    row = data.select(order, label, *features).groupBy().applyInPandas(one, "coef array<double>").first()
+    if row is None:
+        return None
+    v, k = np.array(row["coef"]), len(features)
+    return LinearModel(features, v[k : 2 * k], v[2 * k : 3 * k], v[:k], *map(float, v[3 * k :]))
 
 
 def permutation_importance(data: DataFrame, features: list[str], folds: DataFrame, seed: int = 42) -> DataFrame:

@@ -1,21 +1,13 @@
-"""Fund allocation: returns of three assets, regimes, target rules, and the allocator that trades on yesterday's target.
-
-Assets are equity, bonds and cash; the allocator runs over (run_id, date, r_equity, r_bonds, r_cash, t_equity, t_bonds, t_cash).
-"""
+"""Fund allocation over equity, bonds and cash: returns of the three assets, regimes, features and target rules."""
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.operators.asof import asof_backward, step_lookup
+from tallystone.operators.asof import asof_backward, step_before, step_lookup
 from tallystone.operators.series import annual_volatility, bar_return, bars, distance_to_mean, drawdown_from_high, hold_weekly, rolling_mean, rolling_median, rolling_std
 
-ASSETS = ("equity", "bonds", "cash")
-
 
 def aligned(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """left (run_id, date, ...) with the last value of right (run_id, date, value) at or before each date."""
@@ -36,8 +28,8 @@ def fund_returns(equity: DataFrame, bonds: DataFrame, rates: DataFrame, equity_f
 
 def easing(days: DataFrame, rates: DataFrame) -> DataFrame:
     """days (date) with easing: whether the last change of the rate was a cut."""
-    change = F.col("rate") - F.lag("rate").over(Window.partitionBy(F.lit(0)).orderBy("date"))
-    turns = rates.select("date", F.signum(change).alias("direction")).where("direction != 0")
+    steps = rates.join(step_before(rates, "date", "rate"), "date")
+    turns = steps.select("date", F.signum(F.col("rate") - F.col("before")).alias("direction")).where("direction != 0")
     return step_lookup(days, "date", turns, "date", "direction", "zero").withColumn("easing", F.col("direction") < 0).drop("direction")
 
 
@@ -82,35 +74,3 @@ def risk_features(equity: DataFrame, bonds: DataFrame) -> DataFrame:
         drawdown_from_high("close", 250, w).alias("dd250"), distance_to_mean("close", 200, w).alias("ma200"), bar_return("bond", 60, w).alias("bond_mom60"),
         annual_volatility("bond_logret", 20, w).alias("bond_vol20"),
     )
-
-
-def simulate(days: DataFrame, cost_rate: float, start_capital: float = 20_000.0, drift_band: float = 0.05) -> DataFrame:
-    """(run_id, date, equity, w_equity, w_bonds, w_cash, traded, cost): a fold over each run's days.
-
-    Returns come first; then, if yesterday's target is another than the last traded one, or weights are off by more than the band, everything is moved to it and the
-    cost of what moved is paid.
-    """
-    schema = f"run_id {days.schema['run_id'].dataType.simpleString()}, date {days.schema['date'].dataType.simpleString()}, equity double, w_equity double, w_bonds double, w_cash double, traded double, cost double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        r, t = (pdf[[f"{x}_{a}" for a in ASSETS]].to_numpy(float) for x in "rt")
-        held, last, out = np.array([0.0, 0.0, start_capital]), None, []
-        for i in range(len(pdf)):
-            held = held * (1 + r[i])
-            traded = cost = 0.0
-            if i and not np.isnan(t[i - 1]).any():
-                want, total = t[i - 1], held.sum()
-                off = np.abs((held / total if total > 0 else held) - want).max()
-                if last is None or not np.allclose(want, last) or off > drift_band:
-                    traded = np.abs(want * total - held).sum()
-                    cost = traded * cost_rate
-                    held, last = want * (total - cost), want
-            total = held.sum()
-            out.append((total, *(held / total if total > 0 else held), traded, cost))
-        names = ["equity", "w_equity", "w_bonds", "w_cash", "traded", "cost"]
-        return pd.concat([pdf[["run_id", "date"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    return days.groupBy("run_id").applyInPandas(run, schema)
-
-

@@ -22,15 +22,16 @@ def _merged(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, ri
     a = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1 - 2 * forward).alias("_side"), F.lit(None).alias("_tie"), F.struct(*left.columns).alias("_row"))
     held = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), (F.lit(None) if tie is None else tie).alias("_tie"), F.struct(*values).alias("_found"))
     both = a.unionByName(held, allowMissingColumns=True)
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = w.orderBy("_ts", "_side", "_tie")
+    if not keys:
+        raise ValueError("an as-of join needs keys; a step function without any goes through step_lookup")
+    w = Window.partitionBy(*keys).orderBy("_ts", "_side", "_tie")
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
     pick = (F.first if forward else F.last)("_found", ignorenulls=True).over(w)
     return both.withColumn("_found", pick).where("_row is not null").select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], tie: Column | None = None) -> DataFrame:
-    """The last right row with right_ts <= left_ts. Without keys all rows meet in one task: give keys, or a small right side to `step_lookup`."""
+    """The last right row with right_ts <= left_ts. Keys are needed: without them, `step_lookup` is the way."""
     return _merged(left, right, keys, left_ts, right_ts, values, tie, False)
 
 
@@ -45,30 +46,57 @@ def feature_asof(requests: DataFrame, feature: DataFrame, lag_days: int, keys: l
     return asof_backward(requests, available, keys, "ts", "avail_ts", ["event_ts", "value"], F.col("event_ts"))
 
 
-def step_spans(steps: DataFrame, ts: str, value: str) -> DataFrame:
-    """A step function's rows as half-open spans (from_ts, to_ts, value); the last one is open. Steps are few: a rate's changes, snapshot dates."""
-    w = Window.partitionBy(F.lit(0)).orderBy(ts)
-    return steps.select(F.col(ts).alias("from_ts"), F.lead(ts).over(w).alias("to_ts"), F.col(value))
+def _month(ts: str | Column) -> Column:
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.year(c) * 12 + F.month(c)
+
+
+def _carried(times: DataFrame, steps: DataFrame, strictly: bool) -> DataFrame:
+    """(ts, _found, _first) of times (ts): the last of steps (ts, _value) at or before (strictly: before) each, as a struct of one, and the first of all.
+
+    Steps and times meet month by month; what a month begins with and the first step of all come from the months' own last and first steps, one row for each month of the
+    calendar, so that no task sees more than a month's times.
+    """
+    held = steps.select(_month("ts").alias("_m"), "ts", F.struct("_value").alias("_step"))
+    months = held.groupBy("_m").agg(F.max_by("_step", "ts").alias("_last"), F.min_by("_step", "ts").alias("_begin"))
+    asked = times.select(_month("ts").alias("_m")).distinct().join(months, "_m", "full")
+    line = Window.partitionBy(F.lit(0)).orderBy("_m")  # a row for each month
+    before = F.last("_last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("_begin", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    asked = asked.select("_m", before.alias("_before"), first.alias("_first"))
+    both = held.select("_m", "ts", "_step", F.lit(1 if strictly else 0).alias("_side"), F.lit(False).alias("_asked"))
+    both = both.unionByName(times.select(_month("ts").alias("_m"), "ts", F.lit(None).cast(held.schema["_step"].dataType).alias("_step"), F.lit(0 if strictly else 1).alias("_side"), F.lit(True).alias("_asked")))
+    w = Window.partitionBy("_m").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_found", F.last("_step", ignorenulls=True).over(w)).where("_asked")
+    return filled.join(asked, "_m").select("ts", F.coalesce("_found", "_before").alias("_found"), "_first")
 
 
 def step_lookup(df: DataFrame, ts: str, steps: DataFrame, step_ts: str, value: str, before_first: str = "null") -> DataFrame:
     """df with the value of a step function at its time.
 
     before_first: `null`, `first` (the first known value) or `zero`, for times before the first step; consumers differ in this, so it is a parameter. The
-    spans go through a range join, so that df is neither shuffled nor sorted when the steps are small enough for Spark to broadcast.
+    value is found once for each distinct time and joined back by it, so that df itself is never sorted or joined by a range.
     """
-    spans = step_spans(steps, step_ts, value).withColumnRenamed(value, "_value")
-    inside = (df[ts] >= F.col("from_ts")) & (F.col("to_ts").isNull() | (df[ts] < F.col("to_ts")))
-    out = df.join(spans, inside, "left")
+    times = df.where(F.col(ts).isNotNull()).select(F.col(ts).alias("ts")).distinct()
+    found = _carried(times, steps.select(F.col(step_ts).alias("ts"), F.col(value).alias("_value")), False)
+    known = F.col("_found._value")
+    # where a step was found its value counts, even if it is null
     if before_first == "zero":
-        filled: Column = F.coalesce("_value", F.lit(0.0))
+        filled: Column = F.coalesce(known, F.lit(0.0))
     elif before_first == "first":
-        first = steps.agg(F.min_by(value, step_ts).alias("_first"))
-        out = out.crossJoin(first)  # one row
-        filled = F.coalesce("_value", "_first")
+        filled = F.coalesce(known, F.col("_first._value"))
     else:
-        filled = F.col("_value")
-    return out.select(*[df[c] for c in df.columns], filled.alias(value))
+        filled = known
+    found = found.select(F.col("ts").alias("_at"), filled.alias("_value"))
+    out = df.join(found, F.col(ts) == F.col("_at"), "left")
+    unknown = F.lit(0.0) if before_first == "zero" else F.lit(None)
+    return out.select(*[df[c] for c in df.columns], (F.coalesce("_value", unknown) if before_first == "zero" else F.col("_value")).alias(value))
+
+
+def step_before(steps: DataFrame, ts: str, value: str) -> DataFrame:
+    """(ts, before): the value of the step before each time of a step function, null at the first."""
+    found = _carried(steps.select(F.col(ts).alias("ts")).distinct(), steps.select(F.col(ts).alias("ts"), F.col(value).alias("_value")), True)
+    return found.select(F.col("ts").alias(ts), F.col("_found._value").alias("before"))
 
 
 def members_asof(df: DataFrame, ts: str, snapshots: DataFrame) -> DataFrame:
@@ -87,11 +115,10 @@ def ex_dates(dividends: DataFrame, calendar: DataFrame, next_day_from: str = "20
     With an explicit last day of rights, the first trading day after it; else, counted back from the record date's trading day, the settlement lag (1 from
     next_day_from on, else 2) less one. Dates outside the calendar or on its first day are dropped; equal (secid, ex_date, amount) once.
     """
-    days = calendar.select("date").distinct().withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)
-    spans = days.select("pos", F.col("date").alias("from_ts"), F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("to_ts"))
+    days = calendar.select("date").distinct().withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)  # trading days
     asked = F.coalesce("last_day_with_rights", "record_date")
     lag = F.when(F.col("record_date") >= F.to_date(F.lit(next_day_from)), 1).otherwise(2)
-    placed = dividends.withColumn("_asked", asked).join(spans, (F.col("_asked") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("_asked") < F.col("to_ts"))), "left")
+    placed = step_lookup(dividends.withColumn("_asked", asked), "_asked", days, "date", "pos")
     last = F.coalesce("pos", F.lit(-1))
     at = F.when(F.col("last_day_with_rights").isNotNull(), last + 1).otherwise(last - lag + 1)
     out = placed.select("secid", "amount", "record_date", at.alias("pos")).where("pos > 0").join(days, "pos")

@@ -63,8 +63,14 @@ def between(candles: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def grid(candles: DataFrame) -> DataFrame:
-    """Every date of the union calendar for every security, with its candle or nulls. The calendar and the list of securities are both short."""
-    return union_calendar(candles).crossJoin(candles.select("secid").distinct()).join(candles, ["secid", "date"], "left")
+    """Every date of the union calendar for every security, with its candle or nulls. Each security makes the days of the calendar's span by itself, and
+    those that nobody traded on go by a join on the date."""
+    calendar = union_calendar(candles)
+    first, last = calendar.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return candles.select("secid", "date", *[c for c in candles.columns if c not in ("secid", "date")])
+    days = candles.select("secid").distinct().select("secid", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("date"))
+    return days.join(calendar, "date", "left_semi").join(candles, ["secid", "date"], "left")
 
 
 def by_security() -> Window:
@@ -76,6 +82,12 @@ def forward_fill(df: DataFrame, columns: list[str], key: str = "secid", order: s
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def back_fill(df: DataFrame, columns: list[str], key: str = "secid", order: str = "date") -> DataFrame:
+    """The next known value where one is missing, as before the first one after a forward fill."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
+
+
 def average_turnover(candles: DataFrame, bars: int = 20) -> DataFrame:
     """adv: mean turnover of the last bars, of as many as there are."""
     return candles.withColumn("adv", F.avg("value").over(by_security().rowsBetween(1 - bars, 0)))
@@ -94,8 +106,8 @@ def week_lasts(calendar: DataFrame) -> DataFrame:
 def delisted(candles: DataFrame, quiet_days: int = 30) -> DataFrame:
     """Securities whose last bar is more than quiet_days before the last day of all."""
     last = candles.groupBy("secid").agg(F.max("date").alias("last_date"))
-    end = last.agg(F.max("last_date").alias("end_date"))
-    return last.crossJoin(end).where(F.col("last_date") < F.date_sub("end_date", quiet_days)).select("secid", "last_date")
+    end = last.agg(F.max("last_date")).first()[0]  # one date
+    return last.where(F.col("last_date") < F.date_sub(F.lit(end).cast("date"), quiet_days)).select("secid", "last_date")
 
 
 def gaps_and_moves(candles: DataFrame, move: float = 0.15) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.functions.normal import normal_cdf, normal_quantile
+from tallystone.operators.asof import step_lookup
+
 YEAR = 252
 #: Euler and Mascheroni's constant (fixed value).
 GAMMA = 0.5772156649015329
@@ -31,12 +33,20 @@ def drawdowns(equity: DataFrame) -> DataFrame:
     return depth.join(longest, "run_id", "left").select("run_id", "max_drawdown", F.coalesce("days", F.lit(0)).cast("long").alias("max_drawdown_days"))
 
 
-def equity_metrics(equity: DataFrame, risk_free: float) -> DataFrame:
-    """Per run: start and end, total and annual return, drawdown, Sharpe (mean excess over the deviation of raw returns), Sortino, Calmar."""
+def equity_metrics(equity: DataFrame, risk_free: float, rates: DataFrame | None = None) -> DataFrame:
+    """Per run: start and end, total and annual return, drawdown, Sharpe (mean excess over the deviation of raw returns), Sortino, Calmar.
+
+    The excess is over the constant rate; with rates (date, rate), over the rate known at the bar before, for the days since it (over the first rate before that).
+    """
     w = Window.partitionBy("run_id").orderBy("date")
     ret = F.col("equity") / F.lag("equity").over(w) - 1
-    daily = (1 + risk_free) ** (1 / YEAR) - 1
-    steps = equity.withColumn("ret", ret).withColumn("excess", F.col("ret") - daily)
+    steps = equity.withColumn("ret", ret)
+    if rates is None:
+        steps = steps.withColumn("excess", F.col("ret") - ((1 + risk_free) ** (1 / YEAR) - 1))
+    else:
+        before = steps.withColumns({"_prev": F.lag("date").over(w), "_days": F.date_diff("date", F.lag("date").over(w))})
+        rated = step_lookup(before, "_prev", rates.select("date", F.col("rate").alias("_rate")), "date", "_rate", "first")
+        steps = rated.withColumn("excess", F.col("ret") - F.col("_rate") * F.col("_days") / 365.0)
     base = steps.groupBy("run_id").agg(
         F.min_by("equity", "date").alias("start_equity"),
         F.max_by("equity", "date").alias("end_equity"),
@@ -118,41 +128,29 @@ def return_moments(returns: DataFrame, key: str) -> DataFrame:
     )
 
 
-def probabilistic_sharpe(n: int, sharpe: float | None, skew: float, kurt: float, against: float = 0.0) -> float | None:
-    """Probability that the true ratio exceeds `against`, from moments (a few numbers a run)."""
-    if sharpe is None or n < 3:
-        return None
-    spread = math.sqrt(max(1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2, 1e-12))
-    return NormalDist().cdf((sharpe - against) * math.sqrt(n - 1) / spread)
+def probabilistic_sharpe(n: Column, sharpe: Column, skew: Column, kurt: Column, against: Column | float = 0.0) -> Column:
+    """Probability that the true ratio exceeds `against`; null with fewer than 3 returns."""
+    spread = F.sqrt(F.greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2, F.lit(1e-12)))
+    against = F.lit(against) if isinstance(against, float) else against
+    return F.when((n >= 3) & sharpe.isNotNull(), normal_cdf((sharpe - against) * F.sqrt(n - 1) / spread))
 
 
-def expected_best_sharpe(deviation: float | None, trials: int) -> float:
-    """The best ratio that so many worthless trials are expected to show."""
-    if trials < 2 or not deviation or deviation <= 0:
-        return 0.0
-    z = NormalDist().inv_cdf
-    return deviation * ((1 - GAMMA) * z(1 - 1 / trials) + GAMMA * z(1 - 1 / (trials * math.e)))
+def expected_best_sharpe(deviation: Column, trials: Column) -> Column:
+    """The best ratio that so many worthless trials are expected to show; 0 for fewer than 2, or without a deviation."""
+    best = (1 - GAMMA) * normal_quantile(1 - 1 / trials) + GAMMA * normal_quantile(1 - 1 / (trials * math.e))
+    return F.when((trials >= 2) & (deviation > 0), deviation * best).otherwise(0.0)
 
 
 def deflated_sharpe(moments: DataFrame) -> DataFrame:
-    """(n_trials, expected_best, deflated, passed) of the run with the best ratio among all runs of `return_moments`; moments are a row a run and are first reduced to one."""
+    """(n_trials, expected_best, plain, deflated, passed) of the run with the best ratio among all runs of `return_moments`, which are first reduced to one row: the
+    probabilities that its true ratio exceeds 0, and that it exceeds what the best of so many worthless runs would show."""
     best = moments.where("sharpe is not null").agg(
-        F.count("*").alias("trials"), F.stddev_samp("sharpe").alias("deviation"), F.max_by(F.struct("n", "sharpe", "skew", "kurt"), "sharpe").alias("best")
+        F.count("*").alias("n_trials"), F.stddev_samp("sharpe").alias("deviation"), F.max_by(F.struct("n", "sharpe", "skew", "kurt"), "sharpe").alias("b")
     )
-
-    def finish(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples():
-                against = expected_best_sharpe(None if r.deviation != r.deviation else r.deviation, int(r.trials))
-                b = r.best
-                p = probabilistic_sharpe(int(b["n"]), b["sharpe"], b["skew"], b["kurt"], against) if b is not None else None
-                rows.append((int(r.trials), against, p, p is not None and p > 0.95))
-            import pandas as pd
-
-            yield pd.DataFrame(rows, columns=["n_trials", "expected_best", "deflated", "passed"])
-
-    return best.mapInPandas(finish, "n_trials long, expected_best double, deflated double, passed boolean")
+    rated = best.withColumn("expected_best", expected_best_sharpe(F.col("deviation"), F.col("n_trials")))
+    of_best = (F.col("b.n"), F.col("b.sharpe"), F.col("b.skew"), F.col("b.kurt"))
+    rated = rated.withColumns({"plain": probabilistic_sharpe(*of_best), "deflated": probabilistic_sharpe(*of_best, F.col("expected_best"))})
+    return rated.select("n_trials", "expected_best", "plain", "deflated", F.coalesce(F.col("deflated") > 0.95, F.lit(False)).alias("passed"))
 
 
 def resolution(lots: DataFrame, capital: float, max_positions: int, max_share: float) -> DataFrame:

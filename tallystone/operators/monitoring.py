@@ -2,79 +2,111 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRONG_DRIFT = 0.25
 EPS = 1e-6
 
 
+#: Buckets of equal width that a feature's values are dealt into, so that running totals need no task for a whole feature.
+BUCKETS = 1024
+
+
+def running(counts: DataFrame, key: str, value: str, columns: list[str]) -> DataFrame:
+    """counts (key, value, columns; a row for each value) with `before_<column>`: the sum over the key's smaller values, and `all_<column>`: over all of them."""
+    span = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), *[F.sum(c).alias(f"all_{c}") for c in columns])
+    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    placed = counts.join(span, key).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * (BUCKETS - 1))).otherwise(0).cast("int"))
+    sums = placed.groupBy(key, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    line = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
+    carried = sums.select(key, "_b", *[F.coalesce(F.sum(f"_{c}").over(line), F.lit(0)).alias(f"_carried_{c}") for c in columns])
+    inner = Window.partitionBy(key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(carried, [key, "_b"])
+    before = [(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"_carried_{c}")).alias(f"before_{c}") for c in columns]
+    return out.select(*counts.columns, *[f"all_{c}" for c in columns], *before)
+
+
+def _counted(samples: DataFrame) -> DataFrame:
+    known = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return known.groupBy("feature", "value").agg(F.count_if(~F.col("live")).alias("e"), F.count_if("live").alias("a"))
+
+
+def quantiles(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """(feature, q: array, lo, hi, n) of counts (feature, value, e): linear interpolation between the values at the two nearest ranks."""
+    ranked = running(counts.where("e > 0").select("feature", "value", "e"), "feature", "value", ["e"])
+    rank = lambda p: F.lit(p) * (F.col("all_e") - 1)
+    wanted = F.array(*[f(rank(p)).cast("long") for p in shares for f in (F.floor, F.ceil)])
+    hits = ranked.withColumn("_at", F.filter(wanted, lambda x: (x >= F.col("before_e")) & (x < F.col("before_e") + F.col("e"))))
+    # of each feature a few rows are left
+    held = hits.where(F.size("_at") > 0).select("feature", "value", "all_e", F.explode(F.array_distinct("_at")).alias("_rank"))
+    at = held.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "value"))).alias("_value"), F.max("all_e").alias("n"))
+    edge = counts.where("e > 0").groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+    def between(p: float):
+        r = F.lit(p) * (F.col("n") - 1)
+        low, high = F.col("_value")[F.floor(r).cast("long")], F.col("_value")[F.ceil(r).cast("long")]
+        return low + (high - low) * (r - F.floor(r))
+
+    return at.select("feature", F.array(*[between(p) for p in shares]).alias("q"), "n").join(edge, "feature")
+
+
 def psi(samples: DataFrame, bins: int = 10) -> DataFrame:
     """(feature, psi, strong) of samples (feature, live boolean, value): bins at the quantiles of the reference sample, equal edges once, ends open."""
-    known = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    at = [i / bins for i in range(1, bins)]
-    edges = known.where("not live").groupBy("feature").agg(F.percentile("value", at).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    counts = _counted(samples)
+    edges = quantiles(counts, [i / bins for i in range(1, bins)])
     inner = F.filter(F.array_distinct("q"), lambda x: (x > F.col("lo")) & (x < F.col("hi")))
     edges = edges.where(F.col("n") >= bins).select("feature", inner.alias("inner"))
-    placed = known.join(edges, "feature").withColumn("bin", F.size(F.filter("inner", lambda x: x <= F.col("value"))))
-    counts = placed.groupBy("feature", "bin").agg(F.count_if(~F.col("live")).alias("e"), F.count_if("live").alias("a"))
+    placed = counts.join(edges, "feature").withColumn("bin", F.size(F.filter("inner", lambda x: x <= F.col("value"))))
+    binned = placed.groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     w = Window.partitionBy("feature")
-    shares = counts.select("feature", (F.col("e") / F.sum("e").over(w) + EPS).alias("e"), (F.col("a") / F.sum("a").over(w) + EPS).alias("a"))
+    shares = binned.select("feature", (F.col("e") / F.sum("e").over(w) + EPS).alias("e"), (F.col("a") / F.sum("a").over(w) + EPS).alias("a"))
     # bins that both samples leave empty add nothing
     out = shares.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
     return out.withColumn("strong", F.col("psi") > STRONG_DRIFT)
 
 
 def ks_distance(samples: DataFrame) -> DataFrame:
-    """(feature, statistic, n_reference, n_live): the largest distance of the two samples' distribution functions. Values are counted first, so ties cost nothing."""
-    known = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = known.groupBy("feature", "value").agg(F.count_if(~F.col("live")).alias("e"), F.count_if("live").alias("a"))
-    upto = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    gap = F.abs(F.sum("e").over(upto) / F.sum("e").over(whole) - F.sum("a").over(upto) / F.sum("a").over(whole))
-    return counts.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("statistic"), F.sum("e").alias("n_reference"), F.sum("a").alias("n_live"))
+    """(feature, statistic, n_reference, n_live, p_value): the largest distance of the two samples' distribution functions. Values are counted first, so ties cost nothing."""
+    upto = running(_counted(samples), "feature", "value", ["e", "a"])
+    gap = F.abs((F.col("before_e") + F.col("e")) / F.col("all_e") - (F.col("before_a") + F.col("a")) / F.col("all_a"))
+    out = upto.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("statistic"), F.max("all_e").alias("n_reference"), F.max("all_a").alias("n_live"))
+    return out.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_reference"), F.col("n_live")))
 
 
-def ks_p_value(statistic: float, n: int, m: int) -> float:
+def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic p-value of a two-sample distance (Kolmogorov's series)."""
-    x = statistic * math.sqrt(n * m / (n + m))
-    if x < 1e-3:
-        return 1.0
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+    x = statistic * F.sqrt(n * m / (n + m))
+    sign = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + sign(k) * F.exp(-2 * k * k * x * x))
+    return F.when(x < 1e-3, 1.0).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
 
 
 def cusum(series: DataFrame, threshold: float, key: str = "secid", order: str = "date", column: str = "close") -> DataFrame:
-    """(key, order, direction): times at which the cumulated rise or fall since the last event exceeds the threshold. A fold over one series' own bars."""
+    """(key, order, direction): times at which the cumulated rise or fall since the last event exceeds the threshold. A fold over the array of one series' own bars,
+    as many as there are trading days."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[column]).sort_values(order)
-        up = down = 0.0
-        found = []
-        for t, d in zip(pdf[order].iloc[1:], pdf[column].diff().iloc[1:], strict=True):
-            up, down = max(0.0, up + d), min(0.0, down + d)
-            if up > threshold:
-                up = 0.0
-                found.append((t, 1))
-            elif down < -threshold:
-                down = 0.0
-                found.append((t, -1))
-        if not found:
-            return pdf[[key, order]].iloc[:0].assign(direction=0)
-        return pd.DataFrame({key: pdf[key].iloc[0], order: [t for t, _ in found], "direction": [s for _, s in found]})
-
-    return series.select(key, order, column).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {order} {kinds[order]}, direction int")
+    known = series.where(F.col(column).isNotNull()).select(key, F.col(order).alias("t"), F.col(column).cast("double").alias("v"))
+    steps = known.withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy(key).orderBy("t"))).where("d is not null")
+    line = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "d"))).alias("steps"))
+    kind = f"array<struct<t:{series.schema[order].dataType.simpleString()},direction:int>>"
+    zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast(kind).alias("found"))
+
+    def step(s, x):
+        up, down = F.greatest(F.lit(0.0), s["up"] + x["d"]), F.least(F.lit(0.0), s["down"] + x["d"])
+        rise, fall = up > threshold, ~(up > threshold) & (down < -threshold)
+        event = F.array(F.struct(x["t"].alias("t"), F.when(rise, 1).otherwise(-1).alias("direction"))).cast(kind)
+        found = F.when(rise | fall, F.concat(s["found"], event)).otherwise(s["found"])
+        return F.struct(F.when(rise, 0.0).otherwise(up).alias("up"), F.when(fall, 0.0).otherwise(down).alias("down"), found.alias("found"))
+
+    folded = line.select(key, F.explode(F.aggregate("steps", zero, step)["found"]).alias("e"))
+    return folded.select(key, F.col("e.t").alias(order), F.col("e.direction").alias("direction"))
 
 
 def auc(scored: DataFrame, key: str) -> DataFrame:
     """(key, auc) of (key, y 0/1, score) by average ranks; null if a class is missing. Equal scores are counted first."""
     counts = scored.groupBy(key, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(key).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
+    ranks = running(counts, key, "score", ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranks.groupBy(key).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(key, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
     """Trading days inside a security's own span on which it has no candle."""
     span = candles.groupBy("secid").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    due = span.join(calendar.select("date").distinct(), F.col("date").between(F.col("lo"), F.col("hi"))).select("secid", "date")
+    days = span.select("secid", F.explode(F.sequence("lo", "hi")).alias("date"))
+    due = days.join(calendar.select("date").distinct(), "date", "left_semi").select("secid", "date")
     return due.join(candles.select("secid", "date").distinct(), ["secid", "date"], "left_anti")
 
 
@@ -18,7 +19,7 @@ def price_jumps(candles: DataFrame, confirmed: DataFrame, threshold: float) -> D
     w = Window.partitionBy("secid").orderBy("date")
     moved = candles.select("secid", "date", (F.col("close") / F.lag("close").over(w) - 1).alias("change")).where(F.abs("change") > threshold)
     events = confirmed.groupBy(F.col("date").alias("_date"), F.col("secid").alias("_secid")).agg(F.min("reason").alias("_reason"))
-    hit = (F.col("date") == F.col("_date")) & (F.col("_secid").isNull() | (F.col("_secid") == F.col("secid")))
+    hit = (F.col("date") == F.col("_date")) & (F.col("_secid").isNull() | (F.col("_secid") == F.col("secid")))  # an equi-join on the date, then the residual
     joined = moved.join(events, hit, "left")
     return joined.groupBy("secid", "date", "change").agg(F.min("_reason").alias("reason"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tallystone.functions.normal import normal_cdf
+
 YEAR = 252
 
 
@@ -120,71 +122,64 @@ def fraction_weights(d: float, threshold: float = 1e-3, most: int = 10_000) -> l
 
 def fractional_difference(column: str, d: float, w: WindowSpec, threshold: float = 1e-3) -> Column:
     """Weighted sum of this and earlier values; null while the window isn't full or holds a null."""
-    weights = fraction_weights(d, threshold)
-    terms = [F.lit(x) * (F.lag(column, k).over(w) if k else F.col(column)) for k, x in enumerate(weights)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+    return weighted_tail(recent(column, len(fraction_weights(d, threshold)), w), fraction_weights(d, threshold))
 
 
-def _adf_p_value(t: float) -> float:
-    """Approximate p-value of an augmented Dickey-Fuller statistic with a constant, by MacKinnon's response surface (1994)."""
-    from statistics import NormalDist
+def recent(column: str, n: int, w: WindowSpec) -> Column:
+    """The last n values, oldest first, each in a struct so that nulls keep their places."""
+    return F.collect_list(F.struct(F.col(column).alias("v"))).over(w.rowsBetween(1 - n, 0))
+
+
+def weighted_tail(values: Column, weights: list[float]) -> Column:
+    """The dot product of an array's end with the weights, the first being the last value's; null while there are too few, or one is null."""
+    n = len(weights)
+    products = F.zip_with(F.slice(values, -n, n), F.array(*[F.lit(x) for x in reversed(weights)]), lambda v, x: v["v"] * x)
+    return F.when(F.size(values) >= n, F.aggregate(products, F.lit(0.0), lambda total, x: total + x))
 
+
+def _adf_p_value(t: Column) -> Column:
+    """Approximate p-value of an augmented Dickey-Fuller statistic with a constant, by MacKinnon's response surface (1994)."""
     #: Fixed values of the published surface: bounds, and polynomials left and right of the break.
     low, high, split = -18.83, 2.74, -1.61
     small, large = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
-    if t > high:
-        return 1.0
-    if t < low:
-        return 0.0
-    poly = small if t <= split else large
-    return NormalDist().cdf(sum(c * t**k for k, c in enumerate(poly)))
 
+    def at(poly: tuple[float, ...]) -> Column:
+        total = F.lit(0.0)
+        for c in reversed(poly):
+            total = total * t + c
+        return total
+
+    return F.when(t > high, 1.0).when(t < low, 0.0).otherwise(normal_cdf(F.when(t <= split, at(small)).otherwise(at(large))))
 
-def adf_p_values(df: DataFrame, column: str, key: str = "secid", order: str = "date") -> DataFrame:
-    """(key, n, p_value) of a Dickey-Fuller test with a constant and one lag; null with fewer than 20 values. The regression's moments are sums over
-    the rows, so each series is one aggregation and a solved 3x3 system."""
-    import numpy as np
 
-    w = Window.partitionBy(key).orderBy(order)
+def adf_p_values(df: DataFrame, column: str, key: str | list[str] = "secid", order: str = "date") -> DataFrame:
+    """(key, n, p_value) of a Dickey-Fuller test with a constant and one lag; null with fewer than 20 values, or where the regression leaves nothing. The regression of each
+    step on the level before it and on the step before has two slopes, so that five covariances solve it in closed form."""
+    keys = [key] if isinstance(key, str) else key
+    w = Window.partitionBy(*keys).orderBy(order)
     known = df.where(F.col(column).isNotNull())
-    steps = known.select(key, F.lag(column).over(w).alias("level"), (F.col(column) - F.lag(column).over(w)).alias("diff"), order)
-    steps = steps.withColumn("before", F.lag("diff").over(w)).withColumn("one", F.lit(1.0))
-    x = ["level", "before", "one"]
+    steps = known.select(*keys, order, F.lag(column).over(w).alias("level"), (F.col(column) - F.lag(column).over(w)).alias("diff"))
+    steps = steps.withColumn("before", F.lag("diff").over(w))
     use = F.col("before").isNotNull()
-    sums = [F.sum(F.when(use, F.col(a) * F.col(b))).alias(f"{a}_{b}") for i, a in enumerate(x) for b in x[i:]]
-    sums += [F.sum(F.when(use, F.col(a) * F.col("diff"))).alias(f"{a}_y") for a in x] + [F.sum(F.when(use, F.col("diff") ** 2)).alias("yy"), F.count(F.when(use, F.lit(1))).alias("m")]
-    moments = steps.groupBy(key).agg(F.count("*").alias("n"), *sums)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            p = None
-            if r["n"] >= 20:
-                xx = np.array([[r[f"{min(a, b, key=x.index)}_{max(a, b, key=x.index)}"] for b in x] for a in x], float)
-                xy = np.array([r[f"{a}_y"] for a in x], float)
-                try:
-                    inverse = np.linalg.inv(xx)
-                    beta = inverse @ xy
-                    s2 = (r["yy"] - beta @ xy) / (r["m"] - 3)
-                    p = _adf_p_value(beta[0] / math.sqrt(s2 * inverse[0, 0])) if s2 > 0 else None
-                except (np.linalg.LinAlgError, ValueError):
-                    p = None
-            out.append(p)
-        return pd.DataFrame({key: pdf[key], "n": pdf["n"], "p_value": pd.array(out, "Float64")})
-
-    kind = df.schema[key].dataType.simpleString()
-    return moments.mapInPandas(lambda it: (solve(p) for p in it), f"{key} {kind}, n long, p_value double")
+    x, b, y = (F.when(use, F.col(c)) for c in ("level", "before", "diff"))
+    m = F.count(F.when(use, F.lit(1)))
+    both = lambda one, two: F.covar_pop(one, two) * m
+    sums = steps.groupBy(*keys).agg(F.count("*").alias("n"), m.alias("m"), both(x, x).alias("xx"), both(b, b).alias("bb"), both(x, b).alias("xb"), both(x, y).alias("xy"), both(b, y).alias("by"), both(y, y).alias("yy"))
+    det = F.col("xx") * F.col("bb") - F.col("xb") ** 2
+    slope, other = (F.col("xy") * F.col("bb") - F.col("by") * F.col("xb")) / det, (F.col("by") * F.col("xx") - F.col("xy") * F.col("xb")) / det
+    rest = (F.col("yy") - slope * F.col("xy") - other * F.col("by")) / (F.col("m") - 3)
+    fine = (F.col("n") >= 20) & (det > 0) & (rest > 0)
+    statistic = F.when(fine, slope / F.sqrt(rest * F.col("bb") / det))
+    return sums.withColumn("t", statistic).select(*keys, "n", F.when(F.col("t").isNotNull(), _adf_p_value(F.col("t"))).alias("p_value"))
 
 
 def least_stationary_order(df: DataFrame, column: str, key: str = "secid", order: str = "date", p_limit: float = 0.05) -> DataFrame:
-    """(key, d): the least order on the grid 0, 0.1, ..., 1 whose fractional difference is stationary; null if none is."""
-    found = None
-    for step in range(11):
-        d = step / 10
-        diff = df.select(key, order, fractional_difference(column, d, Window.partitionBy(key).orderBy(order)).alias("_x"))
-        part = adf_p_values(diff, "_x", key, order).select(key, F.lit(d).alias("d"), "p_value")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy(key).agg(F.min(F.when(F.col("p_value") < p_limit, F.col("d"))).alias("d"))
+    """(key, d): the least order on the grid 0, 0.1, ..., 1 whose fractional difference is stationary; null if none is. One scan gathers each bar's last values, from which all
+    orders are differenced."""
+    grid = [step / 10 for step in range(11)]
+    weights = {d: fraction_weights(d) for d in grid}
+    gathered = df.select(key, order, recent(column, max(map(len, weights.values())), Window.partitionBy(key).orderBy(order)).alias("_v"))
+    each = F.array(*[F.struct(F.lit(d).alias("d"), weighted_tail(F.col("_v"), weights[d]).alias("x")) for d in grid])
+    differenced = gathered.select(key, order, F.explode(each).alias("_e")).select(key, order, "_e.d", F.col("_e.x").alias("_x"))
+    found = adf_p_values(differenced, "_x", [key, "d"], order)
+    return df.select(key).distinct().join(found.where(F.col("p_value") < p_limit).groupBy(key).agg(F.min("d").alias("d")), key, "left")

@@ -17,14 +17,16 @@ def schedule(compositions: DataFrame, start: str, end: str, probe_days: int = 7)
 def on_date(compositions: DataFrame, date: str, whitelist: DataFrame) -> DataFrame:
     """(secid, from_index, limitation): the white list within the index at the date; all of it, with the limitation, where no composition is known."""
     known = compositions.where(F.col("date") == F.lit(date).cast("date")).select(F.upper("secid").alias("secid")).distinct()
-    some = known.agg((F.count("*") > 0).alias("some"))
-    listed = whitelist.select(F.upper("secid").alias("secid")).distinct().join(known.withColumn("member", F.lit(True)), "secid", "left").crossJoin(some)  # one row
-    kept = listed.where(F.col("member") | ~F.col("some"))
-    return kept.select("secid", F.col("some").alias("from_index"), F.when(~F.col("some"), F.lit("no composition is known for the date: the whole list is used")).alias("limitation"))
+    some = not known.isEmpty()
+    listed = whitelist.select(F.upper("secid").alias("secid")).distinct()
+    kept = listed.join(known, "secid", "left_semi") if some else listed
+    limitation = None if some else "no composition is known for the date: the whole list is used"
+    return kept.select("secid", F.lit(some).alias("from_index"), F.lit(limitation).cast("string").alias("limitation"))
 
 
 def membership_stats(snapshots: DataFrame) -> DataFrame:
     """(n_snapshots, least, most, n_ever) of a schedule."""
     sizes = snapshots.groupBy("snapshot_date").agg(F.count("*").alias("n"))
-    ever = snapshots.agg(F.count_distinct("secid").alias("n_ever"))
-    return sizes.agg(F.count("*").alias("n_snapshots"), F.min("n").alias("least"), F.max("n").alias("most")).crossJoin(ever)
+    ever = snapshots.groupBy("secid").agg(F.count("*").alias("m"))
+    both = sizes.select("n", F.lit(None).cast("long").alias("m")).unionByName(ever.select(F.lit(None).cast("long").alias("n"), "m"))
+    return both.agg(F.count("n").alias("n_snapshots"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("m").alias("n_ever"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +50,10 @@ def cscv(performance: DataFrame, parts: int = 8) -> DataFrame:
         raise ValueError("an even number of parts is needed")
     times = performance.select("t").distinct().withColumn("part", F.ntile(parts).over(Window.partitionBy(F.lit(0)).orderBy("t")) - 1)
     sums = performance.join(times, "t").groupBy("part", "config").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    masks = [(sum(1 << i for i in half),) for half in combinations(range(parts), parts // 2)]
-    splits = performance.sparkSession.createDataFrame(masks, "mask long")
+    # parts x configs sums, each by C(parts, parts / 2) masks
+    split = sums.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << parts) - 1).cast("long")))).where(F.bit_count("mask") == parts // 2)
     inside = F.expr("(mask >> part) & 1") == 1
-    per = sums.crossJoin(F.broadcast(splits)).groupBy("mask", "config").agg(  # parts x configs sums by C(parts, parts / 2) masks: both fixed
+    per = split.groupBy("mask", "config").agg(
         (F.sum(F.when(inside, F.col("s"))) / F.sum(F.when(inside, F.col("n")))).alias("is_perf"),
         (F.sum(F.when(~inside, F.col("s"))) / F.sum(F.when(~inside, F.col("n")))).alias("oos_perf"),
     )

@@ -7,10 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.operators import bars, quality, series
+from tallystone.operators import bars, quality, series, universe
 from tallystone.operators import monitoring as mon
 from tallystone.plans.catalog import register
-from tallystone.plans.views import EVENT_COLUMNS, EVENTS, EVENTS_SQL, C, L, candles, literal, long_candles
+from tallystone.plans.queries_metrics import phi
+from tallystone.plans.views import EVENT_COLUMNS, EVENTS, EVENTS_SQL, C, L, candles, literal, long_candles, table
 
 PRICES = "open high low close value volume"
 W = "WINDOW w AS (PARTITION BY secid ORDER BY date)"
@@ -187,5 +188,102 @@ register(
     f"WITH {L} SELECT secid, date, {' + '.join(f'({x!r}) * ' + (f'lag(close, {k}) OVER w' if k else 'close') for k, x in enumerate(_weights))} AS x FROM l {W}",
     "x",
 )
-register("w19_adf", lambda s, d: series.adf_p_values(long_candles(s, d), "close"))
-register("w20_least_order", lambda s, d: series.least_stationary_order(long_candles(s, d), "close"))
+
+
+def adf_sql(source: str, keys: str) -> str:
+    """CTEs adf (keys, n, p_value) over `source` (keys, date, x): the regression by covariances, the p-value by the published surface."""
+    small, large = "2.1659 + 1.4412 * t + 0.038269 * t * t", "1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t"
+    return f"""d1 AS (SELECT {keys}, date, lag(x) OVER w AS lv, x - lag(x) OVER w AS df FROM {source} WHERE x IS NOT NULL WINDOW w AS (PARTITION BY {keys} ORDER BY date)),
+d2 AS (SELECT *, lag(df) OVER (PARTITION BY {keys} ORDER BY date) AS bf FROM d1),
+sm AS (SELECT {keys}, count(*) AS n, count(bf) AS m, covar_pop(lv, lv) FILTER (bf IS NOT NULL) * count(bf) AS xx, covar_pop(bf, bf) * count(bf) AS bb, covar_pop(lv, bf) * count(bf) AS xb,
+  covar_pop(lv, df) FILTER (bf IS NOT NULL) * count(bf) AS xy, covar_pop(bf, df) * count(bf) AS byy, covar_pop(df, df) FILTER (bf IS NOT NULL) * count(bf) AS yy FROM d2 GROUP BY {keys}),
+sl AS (SELECT *, xx * bb - xb * xb AS det, (xy * bb - byy * xb) / (xx * bb - xb * xb) AS b1, (byy * xx - xy * xb) / (xx * bb - xb * xb) AS b2 FROM sm WHERE n >= 20 AND xx * bb - xb * xb > 0),
+st AS (SELECT *, b1 / sqrt((yy - b1 * xy - b2 * byy) / (m - 3) * bb / det) AS t FROM sl WHERE yy - b1 * xy - b2 * byy > 0),
+sp AS (SELECT *, CASE WHEN t <= -1.61 THEN {small} ELSE {large} END AS z FROM st),
+adf AS (SELECT {keys}, n, CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 THEN 0.0 ELSE {phi("z")} END AS p_value FROM sp)"""
+
+
+register(
+    "w19_adf",
+    lambda s, d: series.adf_p_values(long_candles(s, d), "close"),
+    f"WITH {L}, src AS (SELECT secid, date, close AS x FROM l), {adf_sql('src', 'secid')} SELECT k.secid, k.n, adf.p_value FROM (SELECT secid, count(*) AS n FROM src GROUP BY 1) k LEFT JOIN adf USING (secid)",
+    "p_value",
+)
+register(
+    "w19_adf_users",
+    lambda s, d: series.adf_p_values(candles(s, d), "close"),
+    f"WITH {C}, src AS (SELECT secid, date, close AS x FROM c), {adf_sql('src', 'secid')} SELECT k.secid, k.n, adf.p_value FROM (SELECT secid, count(*) AS n FROM src GROUP BY 1) k LEFT JOIN adf USING (secid)",
+    "p_value",
+)
+
+
+def _differenced_sql(step: int) -> str:
+    weights = series.fraction_weights(step / 10)
+    frame = f"(PARTITION BY secid ORDER BY date ROWS {len(weights) - 1} PRECEDING)"
+    listed = ", ".join(f"{x!r}::DOUBLE" for x in reversed(weights))
+    return f"SELECT secid, {step / 10!r}::DOUBLE AS d, date, CASE WHEN len(v) = {len(weights)} THEN list_dot_product(v, [{listed}]) END AS x FROM (SELECT secid, date, list(close) OVER {frame} AS v FROM l)"
+
+
+register(
+    "w20_least_order",
+    lambda s, d: series.least_stationary_order(long_candles(s, d), "close"),
+    f"""WITH {L}, src AS ({" UNION ALL ".join(_differenced_sql(i) for i in range(11))}), {adf_sql("src", "secid, d")}
+SELECT k.secid, f.d FROM (SELECT DISTINCT secid FROM l) k LEFT JOIN (SELECT secid, min(d) AS d FROM adf WHERE p_value < 0.05 GROUP BY 1) f USING (secid)""",
+    "d",
+)
+register(
+    "w10_back_fill",
+    lambda s, d: bars.back_fill(bars.grid(candles(s, d)).select("secid", "date", "close"), ["close"]),
+    f"WITH {C}, {GRID} SELECT secid, date, first_value(close IGNORE NULLS) OVER (PARTITION BY secid ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM g",
+    "close",
+)
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    """Customers as securities, a bar for each day on which one orders."""
+    o = table(s, d, "orders")
+    return o.groupBy(F.concat(F.lit("C"), F.col("o_custkey")).alias("secid"), F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("close"))
+
+
+CU = "cu AS (SELECT 'C' || o_custkey AS secid, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2)"
+register(
+    "a32_quiet_customers",
+    lambda s, d: bars.delisted(_customers(s, d), 90),
+    f"WITH {CU}, m AS (SELECT secid, max(date) AS last_date FROM cu GROUP BY 1) SELECT secid, last_date FROM m WHERE last_date < (SELECT max(last_date) FROM m) - 90",
+)
+
+
+def _calm(s: SparkSession, d: str) -> DataFrame:
+    jumps = quality.price_jumps(_customers(s, d), _confirmed(s), 9.0).where("reason is null").select("secid", F.lit(True).alias("suspicious"))
+    return quality.without_suspicious(_customers(s, d), jumps.distinct()).groupBy("secid").agg(F.count("*").alias("n"))
+
+
+register(
+    "p10_calm_customers",
+    _calm,
+    f"WITH {CU}, j AS (SELECT secid FROM (SELECT secid, close / lag(close) OVER w - 1 AS ch FROM cu {W}) WHERE abs(ch) > 9.0) SELECT secid, count(*) AS n FROM cu WHERE secid NOT IN (SELECT secid FROM j) GROUP BY 1",
+)
+register(
+    "p14_invalid_dates",
+    lambda s, d: quality.invalid_event_dates(table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-99"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"))),
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') || '-99' AS date FROM orders WHERE o_orderkey % 3 = 0",
+)
+register(
+    "e17_schedule",
+    lambda s, d: universe.schedule(long_candles(s, d).select("date", "secid"), "1996-01-01", "1997-12-31", 3),
+    f"""WITH {L}, n AS (SELECT DISTINCT date, secid FROM l WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-01-03' AND day(date) <= 3),
+f AS (SELECT date_trunc('month', date) AS mo, min(date) AS date FROM n GROUP BY 1) SELECT n.date AS snapshot_date, n.secid FROM n JOIN f ON n.date = f.date WHERE f.mo BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""",
+)
+register(
+    "e18_on_date",
+    lambda s, d: universe.on_date(candles(s, d).select("date", "secid"), str(candles(s, d).agg(F.min("date")).first()[0]), candles(s, d).select(F.concat(F.lit("U"), F.substring("secid", 2, 9).cast("int") * 2).alias("secid"))),
+    f"""WITH {C}, k AS (SELECT DISTINCT secid FROM c WHERE date = (SELECT min(date) FROM c)), w AS (SELECT DISTINCT 'U' || (CAST(substr(secid, 2) AS INTEGER) * 2) AS secid FROM c)
+SELECT w.secid, true AS from_index, NULL::VARCHAR AS limitation FROM w JOIN k USING (secid)""",
+)
+register(
+    "a33_membership_stats",
+    lambda s, d: universe.membership_stats(universe.schedule(long_candles(s, d).select("date", "secid"), "1996-01-01", "1997-12-31", 3)),
+    f"""WITH {L}, n AS (SELECT DISTINCT date, secid FROM l WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-01-03' AND day(date) <= 3),
+f AS (SELECT date_trunc('month', date) AS mo, min(date) AS date FROM n GROUP BY 1), p AS (SELECT n.date, n.secid FROM n JOIN f ON n.date = f.date WHERE f.mo BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'),
+z AS (SELECT date, count(*) AS n FROM p GROUP BY 1) SELECT count(*) AS n_snapshots, min(n) AS least, max(n) AS most, (SELECT count(DISTINCT secid) FROM p) AS n_ever FROM z""",
+)

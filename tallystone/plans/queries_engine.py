@@ -1,63 +1,63 @@
-"""The fold-based operators: backtest, walk-forward, allocator, risk model. Sequential and iterative, so without SQL; tests hold them against known answers."""
+"""Walk-forward choice, the risk model, training sets and model-filtered signals. Fits have no SQL; tests hold them against a brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.engine import fold, walkforward
-from tallystone.engine.account import Limits
+from tallystone.engine import walkforward
 from tallystone.models import logistic
-from tallystone.operators import allocation, labeling, metrics, signals, validation
+from tallystone.operators import allocation, labeling, signals, validation
 from tallystone.operators.series import bars, forward_drawdown_label
 from tallystone.plans.catalog import register
-from tallystone.plans.queries_signals import _index, _rates, fund
-from tallystone.plans.views import LOT_COLUMNS, LOTS, RATE_COLUMNS, RATES, literal, long_candles
+from tallystone.plans.queries_signals import EWM, FEATURES_SQL, _index, market
+from tallystone.plans.views import L, long_candles
 
-#: Capital in proportion to the prices of the tables.
-SETTINGS = fold.Settings(capital=1_000_000.0, limits=Limits(order_value=300_000.0, peak_drawdown=0.5, day_loss=0.2), allow_short=False)
+LOOKBACKS = (20, 60, 120)
 
 
-def _weights(s: SparkSession, d: str, lookbacks: tuple[int, ...]) -> DataFrame:
+def _returns(s: SparkSession, d: str) -> DataFrame:
     c, out = long_candles(s, d), None
-    for n in lookbacks:
-        one = signals.ranked(c, "momentum", n, 2).select(F.lit(str(n)).alias("config"), "secid", "date", "weight")
+    for n in LOOKBACKS:
+        one = signals.ranked(c, "momentum", n, 2).select(F.format_string("%03d", F.lit(n)).alias("config"), "secid", "date", "weight")
         out = one if out is None else out.unionByName(one)
-    return out
+    return signals.weighted_returns(out, c)
 
 
-def _panel(s: SparkSession, d: str) -> DataFrame:
-    return fold.panel(long_candles(s, d), literal(s, LOTS, LOT_COLUMNS), rates=literal(s, RATES, RATE_COLUMNS))
+def _windows(s: SparkSession) -> DataFrame:
+    return walkforward.year_windows(s, 1992, 1998)
 
 
-def backtest(s: SparkSession, d: str) -> DataFrame:
-    runs = s.createDataFrame([("momentum-60", "60", SETTINGS.capital), ("momentum-120", "120", SETTINGS.capital)], "run_id string, config string, capital double").select(
-        "*", F.to_date(F.lit("1995-01-01")).alias("from"), F.to_date(F.lit("1998-12-31")).alias("to"), F.to_date(F.lit("1996-01-01")).alias("trade_from")
-    )
-    return fold.simulate(fold.runs(_panel(s, d), _weights(s, d, (60, 120)), runs), SETTINGS)
+RETURNS = f"""{L}, steps AS (SELECT secid, lag(date) OVER w AS decided, date, close / lag(close) OVER w - 1 AS ret FROM l WINDOW w AS (PARTITION BY secid ORDER BY date)),
+ranks AS ({" UNION ALL ".join(f"SELECT '{n:03d}' AS config, secid, date, row_number() OVER (PARTITION BY date ORDER BY m DESC, secid) AS place FROM (SELECT secid, date, close / lag(close, {n}) OVER (PARTITION BY secid ORDER BY date) - 1 AS m FROM l) WHERE m IS NOT NULL" for n in LOOKBACKS)}),
+rets AS (SELECT config, s.date, sum(0.5 * s.ret) AS ret FROM ranks r JOIN steps s ON s.secid = r.secid AND s.decided = r.date WHERE place <= 2 AND s.ret IS NOT NULL GROUP BY 1, 2),
+wins AS (SELECT CAST(y - 1992 AS INTEGER) AS win, make_date(y, 1, 1) AS a, make_date(y + 3, 12, 31) AS b, make_date(y + 4, 1, 1) AS c, make_date(y + 4, 12, 31) AS e FROM range(1992, 1995) AS t(y)),
+inw AS (SELECT win, config, phase, rets.date, ret FROM rets JOIN (SELECT win, 'train' AS phase, a AS lo, b AS hi FROM wins UNION ALL SELECT win, 'test', c, e FROM wins) ON rets.date BETWEEN lo AND hi),
+res AS (SELECT win, config, phase, exp(sum(ln(1 + ret))) AS growth, avg(ret) / stddev_samp(ret) AS sharpe, count(*) AS n FROM inw GROUP BY 1, 2, 3),
+cho AS (SELECT * FROM (SELECT win, config, sharpe, row_number() OVER (PARTITION BY win ORDER BY sharpe DESC NULLS LAST, config) AS place FROM res WHERE phase = 'train') WHERE place = 1)"""
+register("e14_window_results", lambda s, d: walkforward.window_results(_returns(s, d), _windows(s)), f'WITH {RETURNS} SELECT win AS "window", config, phase, growth, sharpe, n FROM res', "growth sharpe")
+register("t4_choice", lambda s, d: walkforward.choose(walkforward.window_results(_returns(s, d), _windows(s))), f'WITH {RETURNS} SELECT win AS "window", config, sharpe AS metric FROM cho', "metric")
 
 
-register("e1_backtest", backtest)
-register("e1_backtest_metrics", lambda s, d: metrics.equity_metrics(fold.equity_of(backtest(s, d)), 0.16))
-register("a7_backtest_fills", lambda s, d: metrics.fill_metrics(fold.fills_of(backtest(s, d))))
+def out_of_sample(s: SparkSession, d: str) -> DataFrame:
+    returns, windows = _returns(s, d), _windows(s)
+    return walkforward.out_of_sample(returns, windows, walkforward.choose(walkforward.window_results(returns, windows)))
 
 
-def walk_forward(s: SparkSession, d: str) -> DataFrame:
-    configs = s.createDataFrame([("20", 0), ("60", 1), ("120", 2)], "config string, ordinal int")
-    curve, _, _ = walkforward.walk_forward(_panel(s, d), _weights(s, d, (20, 60, 120)), configs, walkforward.year_windows(s, 1995, 2001), SETTINGS, "1995-01-01")
-    return curve
-
-
-register("e14_walkforward", walk_forward)
-
-
-def allocator(s: SparkSession, d: str) -> DataFrame:
-    targets = allocation.trend_targets(_index(s, d, "ASIA")).join(allocation.easing(_index(s, d, "ASIA").select("date").distinct(), _rates(s)), "date")
-    days = fund(s, d).join(targets.select("run_id", "date", *allocation.targets(F.col("share"), F.col("easing"))), ["run_id", "date"], "left")
-    return allocation.simulate(days, 0.0016)
-
-
-register("e13_allocator", allocator)
+register("e14_out_of_sample", out_of_sample, f"""WITH {RETURNS} SELECT inw.date, inw.win AS "window", inw.config, ret FROM inw JOIN cho ON inw.win = cho.win AND inw.config = cho.config WHERE phase = 'test'""", "ret")
+register(
+    "a19_config_results",
+    lambda s, d: walkforward.config_results(walkforward.window_results(_returns(s, d), _windows(s)), _windows(s)),
+    f"""WITH {RETURNS} SELECT config, pow(exp(sum(ln(growth))), 365.25 / sum(date_diff('day', c, e))) - 1 AS annual FROM res JOIN wins USING (win) WHERE phase = 'test' GROUP BY 1""",
+    "annual",
+)
+register(
+    "a18_best_and_median",
+    lambda s, d: walkforward.best_and_median(walkforward.config_results(walkforward.window_results(_returns(s, d), _windows(s)), _windows(s))),
+    f"""WITH {RETURNS}, r AS (SELECT config, pow(exp(sum(ln(growth))), 365.25 / sum(date_diff('day', c, e))) - 1 AS annual FROM res JOIN wins USING (win) WHERE phase = 'test' GROUP BY 1)
+SELECT max(annual) AS best, quantile_cont(annual, 0.5) AS median, count(*) AS n FROM r WHERE annual IS NOT NULL""",
+    "best median",
+)
 
 
 def risk(s: SparkSession, d: str) -> DataFrame:
@@ -65,20 +65,53 @@ def risk(s: SparkSession, d: str) -> DataFrame:
     features = allocation.risk_features(equity, _index(s, d, "EUROPE"))
     y = equity.select("run_id", "date", forward_drawdown_label("close", 21, 0.3, bars("run_id")).alias("y"))
     names = [c for c in features.columns if c not in ("run_id", "date")]
-    return logistic.walk_forward_risk(features.join(y, ["run_id", "date"]), names, 1998, least_rows=250)
+    return logistic.walk_forward_risk(features.join(y, ["run_id", "date"]), names, 1995, least_rows=250)
 
 
 register("e16_risk_forecast", risk)
 
+START, END, HOLDING = "1992-01-01", "1998-12-31", 20
+
+
+def training(s: SparkSession, d: str) -> DataFrame:
+    return signals.training_set(long_candles(s, d), START, END, 60, 2, HOLDING, 1.0, 20, *market(s, d))
+
+
+TRAINING = f"""{FEATURES_SQL}, {EWM},
+n AS (SELECT secid, date, close, row_number() OVER (PARTITION BY secid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY secid) AS n_bars FROM l),
+cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM l)),
+ent AS (SELECT max(date) AS date FROM cal WHERE date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY date_trunc('month', date)),
+open_ AS (SELECT ent.date FROM ent JOIN cal USING (date) WHERE pos + {HOLDING} <= (SELECT count(*) FROM cal WHERE date < DATE '{END}')),
+pick AS (SELECT * FROM (SELECT secid, date, row_number() OVER (PARTITION BY date ORDER BY m DESC, secid) AS place FROM (SELECT secid, date, close / lag(close, 60) OVER (PARTITION BY secid ORDER BY date) - 1 AS m FROM l) WHERE m IS NOT NULL) WHERE place <= 2),
+ev AS (SELECT n.secid, n.date AS t0, n.close AS entry, n.pos, least(n.pos + {HOLDING}, n.n_bars - 1) AS stop, ewm.ewm_std AS target FROM pick JOIN open_ USING (date) JOIN n ON n.secid = pick.secid AND n.date = pick.date
+  JOIN ewm ON ewm.secid = n.secid AND ewm.date = n.date WHERE ewm.ewm_std > 0),
+pa AS (SELECT ev.*, n.pos AS spot, n.date AS bar, n.close / ev.entry - 1 AS ret FROM ev JOIN n ON n.secid = ev.secid AND n.pos BETWEEN ev.pos AND ev.stop WHERE ev.stop > ev.pos),
+hit AS (SELECT secid, t0, min(spot) FILTER (ret >= target) AS up, min(spot) FILTER (ret <= -target) AS down, max(spot) AS stop FROM pa GROUP BY 1, 2),
+lab AS (SELECT hit.secid, hit.t0, pa.bar AS t1, CAST(pa.ret > 0 AS INTEGER) AS y FROM hit JOIN pa ON pa.secid = hit.secid AND pa.t0 = hit.t0 AND pa.spot = least(hit.stop, hit.up, hit.down))
+SELECT lab.*, {", ".join("bf." + f for f in signals.BET_FEATURES)} FROM lab JOIN bf ON bf.secid = lab.secid AND bf.date = lab.t0 WHERE {" AND ".join(f"bf.{f} IS NOT NULL" for f in signals.BET_FEATURES)}"""
+register("m11_training_set", training, f"WITH {TRAINING}", " ".join(signals.BET_FEATURES))
+
+
+def modelled(s: SparkSession, d: str) -> DataFrame:
+    """(secid, date, proba) of every bar with known features, by a model of the training set."""
+    model = logistic.fitted(training(s, d), signals.BET_FEATURES)
+    known = signals.bet_features(long_candles(s, d), *market(s, d)).na.drop(subset=signals.BET_FEATURES)
+    return known.select("secid", "date", (F.lit(None).cast("double") if model is None else model.column()).alias("proba"))
+
+
+register("m12_model_probabilities", modelled)
+register("q8_model_filtered", lambda s, d: signals.meta_filtered(signals.ranked(long_candles(s, d), "momentum", 60, 2), modelled(s, d), 0.5))
+register("q8_model_most_confident", lambda s, d: signals.most_confident(modelled(s, d), 0.5, 2))
+
 
 def importance(s: SparkSession, d: str) -> DataFrame:
     c = long_candles(s, d)
     events = labeling.numbered(c).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.lit(1.0).alias("side"))
     labels = labeling.meta_labels(events, c)
-    features = signals.bet_features(c).select(F.col("secid").alias("key"), F.col("date").alias("t0"), "mom20", "vol20", "turnover").na.drop()
+    features = signals.bet_features(c).select(F.col("secid").alias("key"), F.col("date").alias("t0"), "mom20", "vol20", "ma50").na.drop()
     data = labels.select(F.col("secid").alias("key"), "t0", F.col("meta").alias("y")).join(features, ["key", "t0"])
     folds = validation.purged_folds(labels.select("secid", "t0", "t1")).withColumnRenamed("secid", "key")
-    return logistic.permutation_importance(data, ["mom20", "vol20", "turnover"], folds)
+    return logistic.permutation_importance(data, ["mom20", "vol20", "ma50"], folds)
 
 
 register("m8_permutation_importance", importance)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ from tallystone.plans.views import (
     long_candles,
     table,
 )
-from tallystone.sources import html_tables, remote
+from tallystone.operators.persist import shared_folder
+from tallystone.sources import dataset, html_tables, ledger, remote
 
 
 def _rates(s: SparkSession) -> DataFrame:
@@ -38,16 +41,11 @@ def _feature(s: SparkSession, d: str) -> DataFrame:
 
 
 FEATURE = "f AS (SELECT 'U' || (o_custkey % 50) AS secid, CAST(o_orderdate AS DATE) AS event_ts, max(o_totalprice) AS value FROM orders GROUP BY 1, 2)"
-REQUESTS = "q AS (SELECT DISTINCT 'U' || (l_partkey % 50) AS secid, CAST(l_shipdate AS DATE) AS ts FROM lineitem WHERE l_linenumber = 1)"
-
+REQUESTS = "q AS (SELECT DISTINCT 'U' || (l_partkey % 50) AS secid, CAST(l_shipdate AS DATE) AS ts FROM lineitem)"
 
-ALL_REQUESTS = REQUESTS.replace(" WHERE l_linenumber = 1", "")
 
-
-def _requests(s: SparkSession, d: str, all_items: bool = False) -> DataFrame:
-    i = table(s, d, "lineitem")
-    i = i if all_items else i.where("l_linenumber = 1")
-    return i.select(F.concat(F.lit("U"), F.col("l_partkey") % 50).alias("secid"), F.to_date("l_shipdate").alias("ts")).distinct()
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").select(F.concat(F.lit("U"), F.col("l_partkey") % 50).alias("secid"), F.to_date("l_shipdate").alias("ts")).distinct()
 
 
 register(
@@ -56,12 +54,6 @@ register(
     f"WITH {FEATURE}, {REQUESTS} SELECT q.secid, q.ts, f.event_ts, f.value FROM q ASOF LEFT JOIN f ON q.secid = f.secid AND q.ts >= f.event_ts + 45",
     "value",
 )
-register(
-    "j1_feature_asof_all",
-    lambda s, d: asof.feature_asof(_requests(s, d, True), _feature(s, d), 45, ["secid"]),
-    f"WITH {FEATURE}, {ALL_REQUESTS} SELECT q.secid, q.ts, f.event_ts, f.value FROM q ASOF LEFT JOIN f ON q.secid = f.secid AND q.ts >= f.event_ts + 45",
-    "value",
-)
 for policy, filled in (("null", "rate"), ("first", "coalesce(rate, (SELECT arg_min(rate, date) FROM rates))"), ("zero", "coalesce(rate, 0.0)")):
     register(
         f"j2_rate_{policy}",
@@ -115,20 +107,17 @@ register(
 register("j19_grid", lambda s, d: s.sql("SELECT lookback, lag FROM VALUES (20), (60), (120) AS a(lookback) CROSS JOIN VALUES (0), (21), (63) AS b(lag)"), "SELECT lookback, lag FROM (VALUES (20), (60), (120)) AS a(lookback) CROSS JOIN (VALUES (0), (21), (63)) AS b(lag)")
 
 
-def _events(s: SparkSession, d: str, all_bars: bool = False) -> DataFrame:
-    """An event every seventh bar, or every bar, with a target of 2 % and a side by the weekday."""
-    n = labeling.numbered(long_candles(s, d))
-    n = n if all_bars else n.where("pos % 7 = 0")
-    return n.select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.when(F.dayofweek("date") > 3, 1.0).otherwise(-1.0).alias("side"))
+def _events(s: SparkSession, d: str) -> DataFrame:
+    """An event every bar of every security, with a target of 2 % and a side by the weekday."""
+    return labeling.numbered(long_candles(s, d)).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.when(F.dayofweek("date") > 3, 1.0).otherwise(-1.0).alias("side"))
 
 
 BARRIER = """n AS (SELECT secid, date, close, row_number() OVER (PARTITION BY secid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY secid) AS n_bars FROM l),
-e AS (SELECT secid, date AS t0, close AS entry, pos, least(pos + 10, n_bars - 1) AS stop, CASE WHEN dayofweek(date) + 1 > 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM n WHERE pos % 7 = 0),
+e AS (SELECT secid, date AS t0, close AS entry, pos, least(pos + 10, n_bars - 1) AS stop, CASE WHEN dayofweek(date) + 1 > 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM n),
 p AS (SELECT e.*, n.pos AS spot, n.date AS bar, (n.close / e.entry - 1) * e.side AS ret FROM e JOIN n ON n.secid = e.secid AND n.pos BETWEEN e.pos AND e.stop WHERE e.stop > e.pos),
 h AS (SELECT secid, t0, side, min(spot) FILTER (ret >= 0.02) AS up, min(spot) FILTER (ret <= -0.02) AS down, max(spot) AS stop FROM p GROUP BY 1, 2, 3),
 b AS (SELECT h.secid, h.t0, h.side, p.bar AS t1, p.ret, CASE WHEN p.spot = h.up THEN 1 WHEN p.spot = h.down THEN -1 ELSE 0 END AS label
   FROM h JOIN p ON p.secid = h.secid AND p.t0 = h.t0 AND p.spot = least(h.stop, h.up, h.down))"""
-ALL_BARRIER = BARRIER.replace(" WHERE pos % 7 = 0", "")
 register("w21_triple_barrier", lambda s, d: labeling.triple_barrier(_events(s, d), long_candles(s, d)), f"WITH {L}, {BARRIER} SELECT * FROM b", "side ret")
 register("w23_meta_labels", lambda s, d: labeling.meta_labels(_events(s, d), long_candles(s, d)), f"WITH {L}, {BARRIER} SELECT *, CAST(ret > 0 AS INTEGER) AS meta FROM b", "side ret")
 register(
@@ -139,16 +128,6 @@ r AS (SELECT s.secid, s.t0, avg(1.0 / c) AS raw FROM s JOIN k USING (secid, pos)
 SELECT secid, t0, raw / avg(raw) OVER (PARTITION BY secid) AS weight FROM r""",
     "weight",
 )
-register("w21_triple_barrier_all", lambda s, d: labeling.triple_barrier(_events(s, d, True), long_candles(s, d)), f"WITH {L}, {ALL_BARRIER} SELECT * FROM b", "side ret")
-register("w23_meta_labels_all", lambda s, d: labeling.meta_labels(_events(s, d, True), long_candles(s, d)), f"WITH {L}, {ALL_BARRIER} SELECT *, CAST(ret > 0 AS INTEGER) AS meta FROM b", "side ret")
-register(
-    "w24_concurrency_all",
-    lambda s, d: labeling.concurrency_weights(labeling.triple_barrier(_events(s, d, True), long_candles(s, d)), long_candles(s, d)),
-    f"""WITH {L}, {ALL_BARRIER}, s AS (SELECT b.secid, b.t0, n.pos FROM b JOIN n ON n.secid = b.secid AND n.date BETWEEN b.t0 AND b.t1), k AS (SELECT secid, pos, count(*) AS c FROM s GROUP BY 1, 2),
-r AS (SELECT s.secid, s.t0, avg(1.0 / c) AS raw FROM s JOIN k USING (secid, pos) GROUP BY 1, 2)
-SELECT secid, t0, raw / avg(raw) OVER (PARTITION BY secid) AS weight FROM r""",
-    "weight",
-)
 register(
     "w25_folds",
     lambda s, d: validation.folds(long_candles(s, d).select("secid", "date"), 5, "date", "secid").withColumn("fold", F.col("fold").cast("long")),
@@ -163,15 +142,6 @@ k AS (SELECT g.*, (SELECT count(*) FROM i WHERE i.secid = g.secid AND i.t0 <= g.
 SELECT i.secid, CAST(k.fold AS INTEGER) AS fold, i.t0, CASE WHEN i.fold = k.fold THEN 'test' ELSE 'train' END AS role
 FROM i JOIN k ON i.secid = k.secid WHERE i.fold = k.fold OR i.t1 < k.lo OR i.pos >= k.r""",
 )
-register(
-    "j16_purged_folds_all",
-    lambda s, d: validation.purged_folds(labeling.triple_barrier(_events(s, d, True), long_candles(s, d))),
-    f"""WITH {L}, {ALL_BARRIER}, i AS (SELECT secid, t0, t1, row_number() OVER o - 1 AS pos, ntile(5) OVER o - 1 AS fold, count(*) OVER (PARTITION BY secid) AS n FROM b WINDOW o AS (PARTITION BY secid ORDER BY t0)),
-g AS (SELECT secid, fold, n, min(t0) AS lo, max(t1) AS hi FROM i GROUP BY 1, 2, 3),
-k AS (SELECT g.*, (SELECT count(*) FROM i WHERE i.secid = g.secid AND i.t0 <= g.hi) + CAST(floor(g.n * 0.01) AS BIGINT) AS r FROM g)
-SELECT i.secid, CAST(k.fold AS INTEGER) AS fold, i.t0, CASE WHEN i.fold = k.fold THEN 'test' ELSE 'train' END AS role
-FROM i JOIN k ON i.secid = k.secid WHERE i.fold = k.fold OR i.t1 < k.lo OR i.pos >= k.r""",
-)
 register(
     "u1_union", lambda s, d: long_candles(s, d).select("date").union(candles(s, d).select("date")).distinct(), f"WITH {L}, {C} SELECT date FROM l UNION SELECT date FROM c"
 )
@@ -183,6 +153,16 @@ register(
     "u3_difference", lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(s, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct()),
     "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem",
 )
+register(
+    "j15_anti_year",
+    lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("year(o_orderdate) = 1995"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
+    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)",
+)
+register(
+    "u3_difference_year",
+    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(s, d, "orders").where("year(o_orderdate) = 1996").select(F.col("o_custkey").alias("k")).distinct()),
+    "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996",
+)
 register(
     "u4_union_all", lambda s, d: table(s, d, "customer").select(F.col("c_acctbal").alias("v")).unionByName(table(s, d, "supplier").select(F.col("s_acctbal").alias("v"))),
     "SELECT c_acctbal AS v FROM customer UNION ALL SELECT s_acctbal FROM supplier", "v",
@@ -199,27 +179,52 @@ register(
     """SELECT CAST(y - 1995 AS INTEGER) AS "window", make_date(y, 1, 1) AS train_from, make_date(y + 3, 12, 31) AS train_to, make_date(y + 4, 1, 1) AS test_from, make_date(y + 4, 12, 31) AS test_to
 FROM range(1995, 1998) AS t(y)""",
 )
-_RATE_PAGE = "<table><tr><td>26.07.2024</td> <td>16,00</td></tr><tr><td>29.07.2024</td><td>18,00</td></tr><tr><td>28.10.2024</td>\n<td>21,00</td></tr><tr><td>29.07.2024</td><td>18,00</td></tr></table>"
+_RATE_PAGE = """<div>Rates<table class="a"><tr><th>Day</th><th>Rate</th></tr><TR><TD class="d">03.02.2014</TD><TD>5,50</TD>
+<tr><td> 14.03.2014 <td><b>7,00</b><tr><td>03.02.2014</td><td>5,50</td></tr><tr><td>n/a</td><td>1,00</td></tr></table></div>"""
 register(
     "s16_key_rates",
     lambda s, d: html_tables.key_rates(s.createDataFrame([(_RATE_PAGE,)], "html string")),
-    "SELECT * FROM (VALUES (DATE '2024-07-26', 16.0::DOUBLE), (DATE '2024-07-29', 18.0), (DATE '2024-10-28', 21.0)) AS t(date, rate_pct)",
+    "SELECT * FROM (VALUES (DATE '2014-02-03', 5.5::DOUBLE), (DATE '2014-03-14', 7.0)) AS t(date, rate_pct)",
     "rate_pct",
 )
-_REGISTER_PAGE = """<table><tr><th>Дата закрытия реестра</th><th>Год</th><th>Дивиденд</th></tr><tr><td>18.07.2025 (прогноз)</td><td>2025</td><td>30</td></tr>
-<tr><td>11.07.2024</td><td>2023</td><td>33,3&nbsp;</td></tr><tr><td><b>11.05.2023</b></td><td>2022</td><td>25</td></tr></table>"""
-_CUTOFF_PAGE = """<table><tr><td>Тикер</td></tr><tr><th>T-1</th><th>дата отсечки</th><th>Дивиденд</th></tr><tr><td>05.05.2021</td><td>07.05.2021</td><td>18,7</td></tr></table>"""
+_REGISTER_PAGE = """<p>x</p><table border=1><tr><td>Год<td>Дивиденд, руб.<td>День закрытия реестра</tr><tr><td>2016<td>6&nbsp;<td>14.06.2017</tr>
+<tr><td>2015<td>1,97</td><td><i>14.06.2016</i></td></tr><tr><td>2017 (прогноз)<td>12<td>26.06.2018<tr><td>2014<td>0,45<tr><td>2013<td>-<td>17.06.2014</table>"""
+_CUTOFF_PAGE = """<table><tr><td>Выплаты</td></tr><tr><th>Дивиденд</th><th>Дата отсечки</th><th>Купить до T-1</th></tr><tr><td>21,3</td><td>16.10.2018</td><td>12.10.2018</td></tr>
+<tr><td>4,1</td><td>28.12.2018</td></tr></table>"""
 register(
     "s17_dividend_pages",
     lambda s, d: html_tables.dividend_history(
-        html_tables.register_dividends(s.createDataFrame([(1, _REGISTER_PAGE), (2, "<p>none</p>")], "page_id int, html string")),
+        html_tables.register_dividends(s.createDataFrame([(1, _REGISTER_PAGE), (2, "<p>none</p>"), (3, None)], "page_id int, html string")),
         html_tables.cutoff_dividends(s.createDataFrame([(1, _CUTOFF_PAGE), (2, _CUTOFF_PAGE)], "page_id int, html string")),
-        s.createDataFrame([(1, "sber"), (2, "T")], "page_id int, secid string"),
+        s.createDataFrame([(1, "mtss"), (2, "X5"), (3, "Q")], "page_id int, secid string"),
     ),
-    """SELECT * FROM (VALUES ('SBER', DATE '2024-07-11', 33.3::DOUBLE, CAST(NULL AS DATE), 'register'), ('SBER', DATE '2023-05-11', 25.0, NULL, 'register'),
-  ('TCSG', DATE '2021-05-07', 18.7, DATE '2021-05-05', 'cut-off')) AS t(secid, record_date, amount, last_day_with_rights, source)""",
+    """SELECT * FROM (VALUES ('MTSS', DATE '2017-06-14', 6.0::DOUBLE, CAST(NULL AS DATE), 'register'), ('MTSS', DATE '2016-06-14', 1.97, NULL, 'register'),
+  ('FIVE', DATE '2018-10-16', 21.3, DATE '2018-10-12', 'cut-off'), ('FIVE', DATE '2018-12-28', 4.1, NULL, 'cut-off')) AS t(secid, record_date, amount, last_day_with_rights, source)""",
     "amount",
 )
+
+
+def _saved(s: SparkSession, d: str) -> DataFrame:
+    """Candles that went through a dataset in the session's shared folder, saved twice."""
+    store = dataset.Datasets(s, f"{shared_folder(s)}/datasets-{uuid.uuid4().hex}")
+    store.save("bars/daily", candles(s, d).where("false"))
+    store.save("bars/daily", candles(s, d))
+    assert store.keys() == ["bars/daily"] and store.has("bars/daily")
+    return store.cached("bars/daily", lambda: None)
+
+
+register("s1_dataset", _saved, f"WITH {C} SELECT * FROM c", "open high low close value volume", 7)
+
+
+def _ledger(s: SparkSession, d: str) -> DataFrame:
+    book = ledger.Ledger(s, f"{shared_folder(s)}/ledger-{uuid.uuid4().hex}")
+    runs = [{"hypothesis": f"momentum over {n}", "source": "grid", "params": {"lookback": n}, "data_hash": "d", "metrics": {"annual_return": n / 1000}} for n in range(5, 125, 5)]
+    book.record(runs)
+    book.record(runs[:4])
+    return ledger.summary(book.runs())
+
+
+register("s22_ledger", _ledger, "SELECT count(*) AS n_runs, max(n / 1000) AS best, median(n / 1000) AS median, count(*) > 10 AS too_many FROM range(5, 125, 5) AS t(n)", "best median")
 register(
     "s15_array_candles",
     lambda s, d: remote.array_candles(s.createDataFrame([("BTC", "[[1704067200000,10,12,13,9,2],[1704153600000,12,11,12,10,3],[1704067200000,1,1,1,1,1]]")], "secid string, body string")),

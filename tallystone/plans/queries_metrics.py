@@ -11,7 +11,7 @@ from tallystone.functions import finance
 from tallystone.operators import metrics, monitoring, validation
 from tallystone.operators.bars import average_turnover
 from tallystone.plans.catalog import register
-from tallystone.plans.views import FILLS, LOT_COLUMNS, LOTS, L, fills, literal, long_candles, table, values
+from tallystone.plans.views import FILLS, LOT_COLUMNS, LOTS, RATE_COLUMNS, RATES, RATES_SQL, L, fills, literal, long_candles, table, values
 from tallystone.sources.ledger import summary
 
 
@@ -39,6 +39,15 @@ SELECT run_id, start_equity, end_equity, total_return, annual_return, max_drawdo
   me / down * {math.sqrt(252)!r} AS sortino, annual_return / abs(max_drawdown) AS calmar FROM a JOIN dd USING (run_id)""",
     "start_equity end_equity total_return annual_return max_drawdown sharpe sortino calmar",
 )
+register(
+    "j5_rate_excess",
+    lambda s, d: metrics.equity_metrics(equity(s, d), 0.16, literal(s, RATES, RATE_COLUMNS)).select("run_id", "sharpe", "sortino"),
+    f"""WITH {EQ}, {RATES_SQL}, r AS (SELECT *, equity / lag(equity) OVER w - 1 AS ret, lag(date) OVER w AS prev, date_diff('day', lag(date) OVER w, date) AS days FROM e {W}),
+x AS (SELECT r.run_id, r.date, r.ret, ret - coalesce(rates.rate, (SELECT arg_min(rate, date) FROM rates)) * days / 365.0 AS ex FROM r ASOF LEFT JOIN rates ON r.prev >= rates.date),
+b AS (SELECT run_id, stddev_samp(ret) AS sd, avg(ex) AS me, sqrt(sum(CASE WHEN ex < 0 THEN ex * ex ELSE 0 END) / count(ex)) AS down FROM x GROUP BY 1)
+SELECT run_id, me / sd * {math.sqrt(252)!r} AS sharpe, me / down * {math.sqrt(252)!r} AS sortino FROM b""",
+    "sharpe sortino",
+)
 register(
     "a7_fill_metrics",
     lambda s, d: metrics.fill_metrics(fills(s, d)),
@@ -115,9 +124,12 @@ register(
     lambda s, d: monitoring.ks_distance(_samples(s, d)),
     f"""WITH {S}, k AS (SELECT feature, value, count(*) FILTER (NOT live) AS e, count(*) FILTER (live) AS a FROM s GROUP BY 1, 2),
 g AS (SELECT feature, e, a, abs(sum(e) OVER w / sum(e) OVER (PARTITION BY feature) - sum(a) OVER w / sum(a) OVER (PARTITION BY feature)) AS gap FROM k
-  WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING))
-SELECT feature, max(gap) AS statistic, CAST(sum(e) AS BIGINT) AS n_reference, CAST(sum(a) AS BIGINT) AS n_live FROM g GROUP BY 1""",
-    "statistic",
+  WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT feature, max(gap) AS statistic, CAST(sum(e) AS BIGINT) AS n_reference, CAST(sum(a) AS BIGINT) AS n_live FROM g GROUP BY 1),
+x AS (SELECT *, statistic * sqrt(n_reference * n_live / (n_reference + n_live)::DOUBLE) AS x FROM r)
+SELECT feature, statistic, n_reference, n_live, CASE WHEN x < 1e-3 THEN 1.0::DOUBLE
+  ELSE least(greatest(2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END * exp(-2.0 * k * k * x * x))), 0.0), 1.0) END AS p_value FROM x""",
+    "statistic p_value",
 )
 
 
@@ -135,7 +147,30 @@ SELECT secid, count(*) AS n, any_value(mu / sd) AS sharpe, avg(pow(ret - mu, 3))
 FROM r JOIN m USING (secid) WHERE ret IS NOT NULL GROUP BY 1""",
     "sharpe skew kurt",
 )
-register("a26_deflated_sharpe", lambda s, d: metrics.deflated_sharpe(metrics.return_moments(_returns(s, d), "secid")))
+
+
+def phi(x: str) -> str:
+    """The normal distribution function in SQL, by its series; 0 or 1 beyond 6."""
+    terms = f"list_sum(list_transform(range(0, 121), lambda k: exp((2 * k + 1) * ln(abs({x})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 6 THEN 1.0 WHEN {x} < -6 THEN 0.0 WHEN {x} = 0 THEN 0.5 ELSE 0.5 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
+register(
+    "a26_deflated_sharpe",
+    lambda s, d: metrics.deflated_sharpe(metrics.return_moments(_returns(s, d), "secid")),
+    f"""WITH RECURSIVE {L}, r AS (SELECT secid, close / lag(close) OVER (PARTITION BY secid ORDER BY date) - 1 AS ret FROM l), m AS (SELECT secid, avg(ret) AS mu, stddev_samp(ret) AS sd FROM r GROUP BY 1),
+k AS (SELECT secid, count(*) AS n, any_value(mu / sd) AS sharpe, avg(pow(ret - mu, 3)) / pow(avg(pow(ret - mu, 2)), 1.5) AS skew, avg(pow(ret - mu, 4)) / pow(avg(pow(ret - mu, 2)), 2) AS kurt
+  FROM r JOIN m USING (secid) WHERE ret IS NOT NULL GROUP BY 1),
+a AS (SELECT count(*) AS n_trials, stddev_samp(sharpe) AS dev FROM k),
+b AS (SELECT * FROM k ORDER BY sharpe DESC LIMIT 1),
+q AS (SELECT 1 - 1.0 / n_trials AS p, 1 AS which FROM a UNION ALL SELECT 1 - 1 / (n_trials * exp(1)), 2 FROM a),
+z AS (SELECT which, p, -6.0::DOUBLE AS lo, 6.0::DOUBLE AS hi, 0 AS i FROM q UNION ALL
+  SELECT which, p, CASE WHEN f < p THEN mid ELSE lo END, CASE WHEN f < p THEN hi ELSE mid END, i + 1 FROM (SELECT *, {phi("mid")} AS f FROM (SELECT *, (lo + hi) / 2 AS mid FROM z WHERE i < 60))),
+e AS (SELECT n_trials, dev * ((1 - {metrics.GAMMA!r}) * (SELECT (lo + hi) / 2 FROM z WHERE i = 60 AND which = 1) + {metrics.GAMMA!r} * (SELECT (lo + hi) / 2 FROM z WHERE i = 60 AND which = 2)) AS expected_best FROM a),
+s AS (SELECT n_trials, expected_best, sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS x, (sharpe - expected_best) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS y FROM e, b)
+SELECT n_trials, expected_best, {phi("x")} AS plain, {phi("y")} AS deflated, {phi("y")} > 0.95 AS passed FROM s""",
+    "expected_best plain deflated",
+)
 
 
 def _performance(s: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystone.models.logistic import top_contributions
 from tallystone.operators import allocation, bars, signals
 from tallystone.plans.catalog import register
 from tallystone.plans.views import RATE_COLUMNS, RATES, RATES_SQL, C, L, candles, literal, long_candles
@@ -143,14 +144,46 @@ def _full(fn: str, column: str, n: int) -> str:
     return f"CASE WHEN count({column}) OVER {frame} = {n} THEN {fn} OVER {frame} END"
 
 
+def market(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A market's currency and index, (date, close) each."""
+    c = long_candles(s, d)
+    return tuple(c.where(F.col("secid") == k).select("date", "close") for k in ("EUROPE", "ASIA"))
+
+
+FEATURES_SQL = f"""{L}, x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM l {W}),
+cur AS (SELECT date, close / lag(close, 60) OVER (ORDER BY date) - 1 AS currency_mom60 FROM l WHERE secid = 'EUROPE'),
+ind AS (SELECT date, close / lag(close, 20) OVER (ORDER BY date) - 1 AS index_mom20, CASE WHEN count(ret) OVER f = 20 THEN stddev_samp(ret) OVER f END AS index_vol20
+  FROM x WHERE secid = 'ASIA' WINDOW f AS (ORDER BY date ROWS 19 PRECEDING)),
+own AS (SELECT secid, date, close / lag(close, 20) OVER w - 1 AS mom20, close / lag(close, 60) OVER w - 1 AS mom60, close / lag(close, 120) OVER w - 1 AS mom120,
+  {_full("stddev_samp(ret)", "ret", 20)} AS vol20, close / {_full("avg(close)", "close", 50)} - 1 AS ma50 FROM x {W}),
+bf AS (SELECT own.*, currency_mom60, index_mom20, index_vol20 FROM own ASOF LEFT JOIN cur ON own.date >= cur.date ASOF LEFT JOIN ind ON own.date >= ind.date)"""
+#: Exponentially weighted deviation of returns over a span of 20; only the last 600 bars weigh more than nothing.
+EWM = """xr AS (SELECT secid, date, row_number() OVER w AS i, close / lag(close) OVER w - 1 AS r FROM l WINDOW w AS (PARTITION BY secid ORDER BY date)),
+es AS (SELECT a.secid, a.date, sum(pow(19.0 / 21, a.i - b.i)) AS s1, sum(pow(19.0 / 21, 2 * (a.i - b.i))) AS s2, sum(pow(19.0 / 21, a.i - b.i) * b.r) AS sx,
+  sum(pow(19.0 / 21, a.i - b.i) * b.r * b.r) AS sxx, count(b.r) AS n FROM xr a LEFT JOIN xr b ON a.secid = b.secid AND b.i BETWEEN a.i - 600 AND a.i AND b.r IS NOT NULL GROUP BY 1, 2),
+ewm AS (SELECT secid, date, CASE WHEN n > 1 THEN sqrt(greatest(sxx / s1 - pow(sx / s1, 2), 0) * s1 * s1 / (s1 * s1 - s2)) END AS ewm_std FROM es)"""
+register("m1_bet_features", lambda s, d: signals.bet_features(long_candles(s, d), *market(s, d)), f"WITH {FEATURES_SQL} SELECT * FROM bf", " ".join(signals.BET_FEATURES))
 register(
-    "m1_bet_features",
+    "m1_bet_features_alone",
     lambda s, d: signals.bet_features(long_candles(s, d)),
-    f"""WITH {L}, x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM l {W})
-SELECT secid, date, close / lag(close, 20) OVER w - 1 AS mom20, close / lag(close, 60) OVER w - 1 AS mom60, close / lag(close, 120) OVER w - 1 AS mom120,
-  {_full("stddev_samp(ret)", "ret", 20)} AS vol20, {_full("stddev_samp(ret)", "ret", 60)} AS vol60, close / {_full("avg(close)", "close", 50)} - 1 AS ma50,
-  close / {_full("avg(close)", "close", 200)} - 1 AS ma200, value / {_full("avg(value)", "value", 20)} AS turnover FROM x {W}""",
-    "mom20 mom60 mom120 vol20 vol60 ma50 ma200 turnover",
+    f"WITH {FEATURES_SQL} SELECT own.*, 0.0::DOUBLE AS currency_mom60, 0.0::DOUBLE AS index_mom20, 0.0::DOUBLE AS index_vol20 FROM own",
+    " ".join(signals.BET_FEATURES),
+)
+register(
+    "m2_feature_frame",
+    lambda s, d: signals.feature_frame(long_candles(s, d).select("secid", "date", F.col("close").alias("vol20"), F.col("open").alias("mom20"))),
+    f"WITH {L} SELECT secid, date, open AS mom20, NULL::DOUBLE AS mom60, NULL::DOUBLE AS mom120, close AS vol20, NULL::DOUBLE AS ma50, NULL::DOUBLE AS currency_mom60, NULL::DOUBLE AS index_mom20, NULL::DOUBLE AS index_vol20 FROM l",
+    "mom20 vol20",
+)
+_MODEL = {"close": (0.8, 1300.0, 250.0), "volume": (-0.3, 20.0, 9.0), "value": (0.1, 30000.0, 9000.0)}
+register(
+    "t5_top_contributions",
+    lambda s, d: long_candles(s, d).select(
+        "secid", "date", F.explode(top_contributions([*_MODEL], *[[m[i] for m in _MODEL.values()] for i in range(3)], n=2)).alias("c")
+    ).select("secid", "date", F.col("c.name").alias("name"), F.col("c.value").alias("value")),
+    f"""WITH {L}, k AS ({" UNION ALL ".join(f"SELECT secid, date, '{n}' AS name, ({n} - {m!r}) / {sc!r} * {c!r} AS value FROM l" for n, (c, m, sc) in _MODEL.items())})
+SELECT secid, date, name, value FROM (SELECT *, row_number() OVER (PARTITION BY secid, date ORDER BY abs(value) DESC, name DESC) AS place FROM k) WHERE place <= 2""",
+    "value",
 )
 YEAR = repr(math.sqrt(252))
 

@@ -6,7 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,7 +41,7 @@ class Datasets:
         files = fs.listFiles(where, True)
         while files.hasNext():
             p = files.next().getPath().toString()
-            if p.endswith(".parquet/_SUCCESS") and "/.staged-" not in p:
+            if p.endswith(".parquet/_SUCCESS") and "/.staged-" not in p and "/.old-" not in p:
                 found.append(p[len(base) + 1 : -len(".parquet/_SUCCESS")])
         return sorted(found)
 
@@ -50,16 +50,36 @@ class Datasets:
         return reader.parquet(self.path(key))
 
     def save(self, key: str, df: DataFrame) -> None:
-        """Write beside the target, then rename; a write that breaks off leaves the old dataset as it was."""
+        """Write beside the target, move the old dataset aside, rename, delete the old one. A write that breaks off leaves the old dataset as it was; one that
+        breaks off between the two renames leaves it beside, and the next `save` or `restore` of the key brings it back."""
         staged = f"{self.root}/.staged-{uuid.uuid4().hex}"
         df.write.parquet(staged)
+        self.restore(key)
         fs, target = self._fs(self.path(key))
         _, source = self._fs(staged)
+        _, aside = self._fs(self._aside(key))
         fs.mkdirs(target.getParent())
-        if fs.exists(target):
-            fs.delete(target, True)
+        if fs.exists(target) and not fs.rename(target, aside):
+            raise OSError(f"{self.path(key)} can't be moved aside")
         if not fs.rename(source, target):
+            if fs.exists(aside):
+                fs.rename(aside, target)
             raise OSError(f"{staged} can't be renamed to {self.path(key)}")
+        if fs.exists(aside):
+            fs.delete(aside, True)
+
+    def _aside(self, key: str) -> str:
+        return f"{self.root}/.old-{key.replace('/', '+')}"
+
+    def restore(self, key: str) -> None:
+        """Brings a dataset back that a broken save left aside, or deletes what is left of an old one."""
+        fs, target = self._fs(self.path(key))
+        _, aside = self._fs(self._aside(key))
+        if fs.exists(aside):
+            if fs.exists(target):
+                fs.delete(aside, True)
+            else:
+                fs.rename(aside, target)
 
     def cached(self, key: str, fetch: Callable[[], DataFrame]) -> DataFrame:
         """The dataset, fetched and saved first if it isn't there; empty results are saved too."""
@@ -70,12 +90,18 @@ class Datasets:
     def version(self) -> str:
         """16 hex digits over all files' names and contents, hashed on the executors; only digests are combined."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.root)
-        digests = files.select(F.regexp_replace("path", r"^.*?([^/]+\.parquet)/[^/]*$", "$1").alias("key"), F.sha2("content", 256).alias("digest"))
-        per_key = digests.groupBy("key").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("digest"))), 256).alias("digest"))  # a dataset's files
-        return per_key.agg(F.substring(F.sha2(F.concat_ws("", F.sort_array(F.collect_list(F.concat("key", "digest")))), 256), 1, 16)).first()[0]
+        name = F.regexp_replace("path", r"^.*?([^/]+\.parquet)/[^/]*$", "$1")
+        file = F.sha2(F.concat_ws("/", name, F.sha2("content", 256)), 256)
+        return files.agg(_sum_of_digests(file)).first()[0]
+
+
+def _sum_of_digests(digest: Column) -> Column:
+    """16 hex digits of a set of digests in any order: of the sums of their four quarters, so that no task gathers them."""
+    quarters = [F.coalesce(F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(4)]
+    return F.substring(F.sha2(F.concat_ws("/", *quarters), 256), 1, 16)
 
 
 def logical_version(df: DataFrame) -> DataFrame:
-    """(n_rows, digest) of a frame's rows whatever their order and files."""
-    row = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.substring(F.sha2(F.coalesce(F.sum(row), F.lit(0)).cast("string"), 256), 1, 16).alias("digest"))
+    """(n_rows, digest) of a frame's rows whatever their order and files. A null is told from every text, and a value from the same one in another column."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    return df.agg(F.count("*").alias("n_rows"), _sum_of_digests(row).alias("digest"))

@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from dataclasses import fields, is_dataclass
+from dataclasses import dataclass, field, fields, is_dataclass
 from datetime import date
 from typing import Any, get_type_hints
 
-from tallystone.engine.account import Limits
-from tallystone.engine.fold import Settings
 from tallystone.functions.finance import Costs
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """What a portfolio may hold: a share of capital in one security, and so many of them."""
+
+    position_share: float = 0.25
+    positions: int = 4
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What costs, sizing, break-even and reports are computed with."""
+
+    capital: float = 20_000.0
+    risk_free: float = 0.16
+    infrastructure: float = 1_500.0
+    short_sales: bool = False
+    costs: Costs = field(default_factory=Costs)
+    bounds: Bounds = field(default_factory=Bounds)
+
+
 class SettingsError(Exception):
     pass
 
@@ -71,4 +89,4 @@ def iso_date(text: str) -> date:
         raise SettingsError(f"not an ISO date: {text}") from e
 
 
-__all__ = ["Costs", "Limits", "Settings", "SettingsError", "build", "iso_date", "load_settings", "load_universe"]
+__all__ = ["Bounds", "Costs", "Settings", "SettingsError", "build", "iso_date", "load_settings", "load_universe"]

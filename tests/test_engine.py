@@ -1,165 +1,15 @@
-"""The account, the guards, the fold and walk-forward against known answers."""
+"""Walk-forward choice on set operations, training sets and fitted models against brute force."""
 
 import datetime as dt
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tallystone.engine import fold, walkforward
-from tallystone.engine.account import Account, AccountError, Guards, Halted, Limits, Unfillable, order_costs
-from tallystone.functions.finance import Costs
+from tallystone.engine import walkforward
+from tallystone.models import logistic
+from tallystone.operators import signals
 
-DAY = dt.date(2024, 1, 2)
-CANDLE = "secid string, date date, open double, high double, low double, close double, value double, volume double"
-
-
-def business_days(n, start=dt.date(2024, 1, 1)):
-    out, day = [], start
-    while len(out) < n:
-        if day.weekday() < 5:
-            out.append(day)
-        day += dt.timedelta(1)
-    return out
-
-
-def flat(n=10, price=100.0, value=1e7, secid="AAA"):
-    return [(secid, d, price, price, price, price, value, 1000.0) for d in business_days(n)]
-
-
-def run(spark, rows, weight=0.25, settings=None, dividends=None, rates=None, lot=10.0, trade_from=None):
-    settings = settings or fold.Settings()
-    candles = spark.createDataFrame(rows, CANDLE)
-    lots = spark.createDataFrame([(s, lot) for s in sorted({r[0] for r in rows})], "secid string, lot double")
-    days = fold.panel(candles, lots, dividends, rates)
-    weights = candles.select(F.lit("w").alias("config"), "secid", "date", F.lit(weight).alias("weight"))
-    job = spark.createDataFrame([("run", "w", dt.date(2000, 1, 1), dt.date(2100, 1, 1), trade_from, settings.capital)], "run_id string, config string, from date, to date, trade_from date, capital double")
-    return fold.simulate(fold.runs(days, weights, job), settings).orderBy("date").collect()
-
-
-def test_costs_of_an_order():
-    c = order_costs(10_000, 10e6, Costs())
-    assert (c.broker, c.exchange, c.half_spread, round(c.slippage, 9), round(c.total, 9)) == (5.0, 1.0, 5.0, 5.5, 16.5)
-    assert order_costs(500, 10e6, Costs()).broker == 1.0
-    assert order_costs(500, 10e6, Costs(stress=2)).broker == 2.0
-    with pytest.raises(Unfillable):
-        order_costs(1e6, 10e6, Costs())
-    with pytest.raises(ValueError):
-        order_costs(0, 10e6, Costs())
-
-
-def test_flat_prices_cost_the_fees_of_one_purchase(spark):
-    rows = run(spark, flat())
-    fills = [r for r in rows if r.kind == "fill"]
-    assert [(f.side, f.shares, f.date) for f in fills] == [("buy", 50.0, dt.date(2024, 1, 2))]
-    assert fills[0].costs == pytest.approx(8.125)
-    assert [r for r in rows if r.kind == "day"][-1].equity == pytest.approx(19_991.875)
-
-
-def test_stress_doubles_costs(spark):
-    rows = run(spark, flat(), settings=fold.Settings(costs=Costs(stress=2.0)))
-    assert [r for r in rows if r.kind == "day"][-1].equity == pytest.approx(19_983.75)
-
-
-def test_dividends_and_their_tax(spark):
-    paid = spark.createDataFrame([("AAA", dt.date(2024, 1, 6), 10.0)], "secid string, ex_date date, amount double")
-    rows = run(spark, flat(), dividends=paid)
-    assert [float(r.note) for r in rows if r.kind == "dividend"] == [pytest.approx(435.0)]
-    assert [r for r in rows if r.kind == "dividend"][0].date == dt.date(2024, 1, 8)
-    same = spark.createDataFrame([("AAA", dt.date(2024, 1, 2), 10.0)], "secid string, ex_date date, amount double")
-    assert not [r for r in run(spark, flat(), dividends=same) if r.kind == "dividend"]
-
-
-def test_interest_needs_a_known_rate(spark):
-    rates = spark.createDataFrame([(dt.date(2024, 1, 4), 0.365)], "date date, rate double")
-    rows = run(spark, flat(5), weight=0.0, rates=rates)
-    days = {r.date: r.equity for r in rows if r.kind == "day"}
-    assert days[dt.date(2024, 1, 4)] == 20_000.0
-    assert days[dt.date(2024, 1, 5)] == pytest.approx(20_020.0)
-
-
-def test_orders_wait_for_the_start_and_the_next_open(spark):
-    rows = run(spark, flat(10), trade_from=dt.date(2024, 1, 8))
-    assert [r.date for r in rows if r.kind == "fill"] == [dt.date(2024, 1, 8)]
-    assert min(r.date for r in rows if r.kind == "day") == dt.date(2024, 1, 8)
-
-
-def test_a_crash_liquidates_for_good(spark):
-    rows, price = [], 100.0
-    for i, d in enumerate(business_days(12)):
-        new = price * (0.7 if i >= 5 and i < 8 else 1)
-        rows.append(("AAA", d, price, max(price, new), min(price, new), new, 1e8, 1000.0))
-        price = new
-    limits = Limits(position_share=1.0, order_value=1e6)
-    out = run(spark, rows, weight=1.0, settings=fold.Settings(limits=limits))
-    assert any(r.kind == "guard" and "peak" in r.note for r in out)
-    sold = [r for r in out if r.kind == "fill" and r.side == "sell"]
-    assert sold and sold[-1].note == "liquidation"
-    assert not [r for r in out if r.kind == "fill" and r.side == "buy" and r.date > sold[-1].date]
-
-
-def test_guards():
-    g = Guards(Limits(), {"A", "B"})
-    with pytest.raises(Halted):
-        g.order(DAY, "A", 6001, 20_000, 0, 0, True, True)
-    assert g.order(DAY, "C", 100, 20_000, 0, 0, True, True)[0] is False
-    assert g.order(DAY, "A", 3000, 20_000, 4000, 1, False, True)[1] == pytest.approx(1000)
-    assert g.order(DAY, "B", 3000, 20_000, 0, 4, True, True)[0] is False
-    for _ in range(7):
-        g.order(DAY, "A", 10, 20_000, 0, 1, False, False)
-    with pytest.raises(Halted):
-        g.order(DAY, "A", 10, 20_000, 0, 1, False, False)
-    g = Guards(Limits(), {"A"})
-    assert g.equity(20_000) is None and g.equity(19_500) is None
-    assert g.equity(18_900) is not None and g.liquidation == "for a day"
-    g.liquidated(DAY)
-    assert g.order(DAY, "A", 100, 19_000, 0, 0, True, True)[0] is False
-    g = Guards(Limits(), {"A"})
-    g.equity(30_000)
-    assert g.equity(25_400) is not None and g.stopped and g.equity(1.0) is None
-
-
-def test_positions_through_zero():
-    a = Account(10_000, allow_short=True)
-    assert a.trade("A", 10, 100, 0, DAY) is None
-    assert a.trade("A", 10, 110, 0, DAY) is None and a.holdings["A"].cost == 105
-    assert a.trade("A", -30, 120, 0, DAY) == 300
-    assert a.shares("A") == -10 and a.holdings["A"].cost == 120
-    assert a.trade("A", 15, 100, 1, DAY) == 200 and a.shares("A") == 5
-    assert a.realised == {2024: 500}
-    with pytest.raises(AccountError):
-        Account(100).trade("A", -1, 1, 0, DAY)
-    with pytest.raises(AccountError):
-        Account(100).trade("A", 2, 100, 0, DAY)
-    short = Account(10_000, allow_short=True)
-    short.trade("A", -10, 100, 0, DAY)
-    assert short.pay_dividend("A", 5, 0.13) == -50
-
-
-def test_walk_forward_chooses_and_stitches(spark):
-    rows, price = [], 100.0
-    for year, growth in [(y, 0.3 if y < 2019 else -0.2) for y in range(2015, 2022)]:
-        day = dt.date(year, 1, 1)
-        while day.year == year:
-            if day.weekday() < 5 and day.day % 3 == 0:
-                rows.append(("AAA", day, price, price, price, price, 1e8, 1000.0))
-                price *= (1 + growth) ** (1 / 86)
-            day += dt.timedelta(1)
-    candles = spark.createDataFrame(rows, CANDLE)
-    panel = fold.panel(candles, spark.createDataFrame([("AAA", 1.0)], "secid string, lot double"))
-    weights = None
-    for w in (0.1, 0.25):
-        one = candles.select(F.lit(str(w)).alias("config"), "secid", "date", F.lit(w).alias("weight"))
-        weights = one if weights is None else weights.unionByName(one)
-    configs = spark.createDataFrame([("0.1", 0), ("0.25", 1)], "config string, ordinal int")
-    windows = walkforward.year_windows(spark, 2015, 2021)
-    settings = fold.Settings(limits=Limits(order_value=1e9, orders_a_day=100, day_loss=0.9, peak_drawdown=0.9))
-    curve, chosen, annual = walkforward.walk_forward(panel, weights, configs, windows, settings, "2015-01-01", metric="annual_return")
-    assert [r.config for r in chosen.orderBy("window").collect()][0] == "0.25"
-    points = curve.orderBy("date").collect()
-    assert points[0].date.year == 2019 and points[-1].date.year == 2021 and points[-1].equity < 20_000
-    assert len({p.date for p in points}) == len(points)
-    assert {r.config for r in annual.collect()} == {"0.1", "0.25"}
-    assert walkforward.best_and_median(annual).first().n == 2
+D = dt.date
 
 
 def test_grids_are_small():
@@ -167,3 +17,121 @@ def test_grids_are_small():
     assert len(walkforward.grid({"b": [1, 2], "a": [3]})) == 2
     with pytest.raises(walkforward.TooManyParameters):
         walkforward.grid({k: [1] for k in "abcd"})
+
+
+def test_the_best_in_training_is_followed_out_of_sample(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(7 * 365):
+        day = D(2015, 1, 1) + dt.timedelta(i)
+        for config, drift in (("a", 0.002 if day.year < 2019 else -0.002), ("b", 0.0)):
+            rows.append((config, day, float(drift + 0.001 * rng.standard_normal())))
+    returns = spark.createDataFrame(rows, "config string, date date, ret double")
+    windows = walkforward.year_windows(spark, 2015, 2021)
+    results = walkforward.window_results(returns, windows)
+    chosen = {r.window: r.config for r in walkforward.choose(results).collect()}
+    assert chosen[0] == "a"
+    for r in results.collect():
+        lo, hi = (2015 + r.window, 2018 + r.window) if r.phase == "train" else (2019 + r.window,) * 2
+        own = np.array([x for c, day, x in rows if c == r.config and lo <= day.year <= hi])
+        assert (r.n, r.growth, r.sharpe) == (len(own), pytest.approx(np.prod(1 + own)), pytest.approx(own.mean() / own.std(ddof=1)))
+    path = walkforward.out_of_sample(returns, windows, walkforward.choose(results)).orderBy("date").collect()
+    assert [r.date for r in path] == [D(2019, 1, 1) + dt.timedelta(i) for i in range((D(2021, 12, 29) - D(2019, 1, 1)).days + 1)][: len(path)]
+    assert all(r.config == chosen[r.window] and r.date.year == 2019 + r.window for r in path)
+    annual = walkforward.config_results(results, windows)
+    assert {r.config for r in annual.collect()} == {"a", "b"} and walkforward.best_and_median(annual).first().n == 2
+
+
+def _market(spark, n=400, names=("A", "B", "C")):
+    rng = np.random.default_rng(8)
+    rows, day = [], D(2020, 1, 1)
+    prices = {k: 100.0 for k in names}
+    for _ in range(n):
+        while day.weekday() > 4:
+            day += dt.timedelta(1)
+        for k in names:
+            prices[k] *= 1 + 0.02 * rng.standard_normal()
+            rows.append((k, day, prices[k]))
+        day += dt.timedelta(1)
+    return rows, spark.createDataFrame(rows, "secid string, date date, close double")
+
+
+def test_features_of_a_bet_by_plain_loops(spark):
+    rows, candles = _market(spark)
+    index = [(d, c) for k, d, c in rows if k == "C"]
+    currency = index[::2]  # known every other day
+    frame = lambda x: spark.createDataFrame(x, "date date, close double")
+    got = {(r.secid, r.date): r for r in signals.bet_features(candles, frame(currency), frame(index)).collect()}
+
+    def momentum(line, n):
+        return line[-1] / line[-1 - n] - 1 if len(line) > n else None
+
+    def volatility(line, n):
+        return float(np.std(np.diff(line)[-n:] / np.array(line)[-n - 1 : -1], ddof=1)) if len(line) > n else None
+
+    days = sorted({d for _, d, _ in rows})
+    for day in (days[10], days[30], days[100], days[127], days[399]):
+        own = [c for k, d, c in rows if k == "A" and d <= day]
+        cur, ind = [c for d, c in currency if d <= day], [c for d, c in index if d <= day]
+        want = [momentum(own, 20), momentum(own, 60), momentum(own, 120), volatility(own, 20), own[-1] / np.mean(own[-50:]) - 1 if len(own) >= 50 else None, momentum(cur, 60), momentum(ind, 20), volatility(ind, 20)]
+        mine = [got["A", day][f] for f in signals.BET_FEATURES]
+        assert [x is None for x in mine] == [x is None for x in want]
+        assert [x for x in mine if x is not None] == pytest.approx([x for x in want if x is not None])
+    alone = signals.bet_features(candles).where("secid = 'A'").collect()
+    assert all((r.currency_mom60, r.index_mom20, r.index_vol20) == (0.0, 0.0, 0.0) for r in alone)
+    assert signals.feature_frame(candles).columns == ["secid", "date", "close", *signals.BET_FEATURES]
+
+
+def test_a_training_set_doesnt_look_beyond_its_window(spark):
+    rows, candles = _market(spark)
+    days = sorted({d for _, d, _ in rows})
+    end = days[330]
+    got = signals.training_set(candles, str(days[0]), str(end), 60, 2, 15, 1.0).collect()
+    place = {d: i for i, d in enumerate(days)}
+    last = {}
+    for d in days:
+        if d <= end:
+            last[d.year, d.month] = d
+    fine = [t for t in last.values() if place[t] + 15 <= 330 and place[t] >= 120]
+    assert {r.t0 for r in got} == {*fine} and all(r.t1 <= end and place[r.t1] <= place[r.t0] + 15 for r in got)
+    prices = {(k, d): c for k, d, c in rows}
+    for t in fine:
+        best = sorted("ABC", key=lambda k: -prices[k, t] / prices[k, days[place[t] - 60]])[:2]
+        assert {r.secid for r in got if r.t0 == t} == {*best}
+    for r in got:
+        assert r.y == int(prices[r.secid, r.t1] > prices[r.secid, r.t0])
+
+
+def test_a_fitted_model_scores_as_the_plain_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 2))
+    y = (x[:, 0] + rng.standard_normal(200) > 0).astype(int)
+    rows = [(D(2020, 1, 1) + dt.timedelta(i), float(a), float(b), int(k)) for i, ((a, b), k) in enumerate(zip(x, y, strict=True))]
+    data = spark.createDataFrame(rows, "t0 date, a double, b double, y int")
+    model, plain = logistic.fitted(data, ["a", "b"]), logistic.fit_calibrated(["a", "b"], x, y)
+    scores = [r.p for r in data.select("t0", model.column().alias("p")).orderBy("t0").collect()]
+    assert scores == pytest.approx(plain.proba(x).tolist())
+    assert logistic.fitted(data.limit(30), ["a", "b"]) is None and logistic.fitted(data.where("y = 1"), ["a", "b"]) is None
+
+
+def test_risk_forecasts_by_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    x = rng.standard_normal(n)
+    days = [D(2018, 1, 1) + dt.timedelta(i) for i in range(n)]
+    y = [int(v) if i < n - 21 else None for i, v in enumerate(x + rng.standard_normal(n) > 0.8)]
+    rows = [("r", d, float(a) if i != 500 else None, k) for i, (d, a, k) in enumerate(zip(days, x, y, strict=True))]
+    got = {r.date: (r.proba, r.base_rate) for r in logistic.walk_forward_risk(spark.createDataFrame(rows, "run_id string, date date, x double, y int"), ["x"], 2019, 21, 300).collect()}
+    want = {}
+    for year in (2019, 2020):
+        first = next(i for i, d in enumerate(days) if d.year == year)
+        train = [(a, k) for _, _, a, k in rows[: first - 21] if a is not None and k is not None]
+        if len(train) < 300:
+            continue
+        xs, ys = np.array([[a] for a, _ in train]), np.array([k for _, k in train])
+        model = logistic.fit_calibrated(["x"], xs, ys)
+        for _, d, a, _ in rows[first:]:
+            if d.year == year and a is not None:
+                want[d] = (float(model.proba(np.array([[a]]))[0]), ys.mean())
+    assert {*got} == {*want} and want
+    assert all(got[d] == pytest.approx(want[d]) for d in want)

@@ -12,6 +12,11 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 
 
+#: Fits, which SQL can't express; test_engine and test_operators hold them against plain loops.
+HELD_BY_BRUTE_FORCE = {"e16_risk_forecast", "m12_model_probabilities", "m8_permutation_importance", "q8_model_filtered", "q8_model_most_confident"}
+EMPTY_HERE = {"q8_model_filtered", "q8_model_most_confident", "e16_risk_forecast"}
+
+
 def plain(df: pd.DataFrame) -> list[tuple]:
     def one(x):
         if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x:
@@ -42,6 +47,11 @@ def test_query(spark, duck, name):
         want = duck.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
+    else:
+        assert name in HELD_BY_BRUTE_FORCE
+        assert got.shape[1] and (len(got) or name in EMPTY_HERE)
+        for column in ("proba", "base_rate"):
+            assert column not in got or got[column].dropna().between(0, 1).all()
 
 
 def test_whole_queries_take_every_bar_and_line_item(spark):
@@ -49,10 +59,10 @@ def test_whole_queries_take_every_bar_and_line_item(spark):
     from tallystone.plans.views import long_candles, table
 
     whole = labeling.numbered(long_candles(spark, SF)).where("pos < n_bars - 1").select("secid", "date")
-    for name in ("w21_triple_barrier_all", "w23_meta_labels_all", "w24_concurrency_all"):
+    for name in ("w21_triple_barrier", "w23_meta_labels", "w24_concurrency"):
         assert {(r.secid, r.t0) for r in catalog.queries()[name](spark, SF).select("secid", "t0").collect()} == {(r.secid, r.date) for r in whole.collect()}
     items = table(spark, SF, "lineitem").selectExpr("concat('U', l_partkey % 50) secid", "to_date(l_shipdate) ts").distinct()
-    assert catalog.queries()["j1_feature_asof_all"](spark, SF).count() == items.count()
+    assert catalog.queries()["j1_feature_asof"](spark, SF).count() == items.count()
 
 
 def test_importance_takes_every_security_and_bar(spark, monkeypatch):
@@ -64,7 +74,7 @@ def test_importance_takes_every_security_and_bar(spark, monkeypatch):
     taken = {}
     monkeypatch.setattr(logistic, "permutation_importance", lambda data, names, folds: taken.update(data=data))
     queries_engine.importance(spark, SF)
-    full = signals.bet_features(long_candles(spark, SF)).select("secid", "date", "mom20", "vol20", "turnover").na.drop()
+    full = signals.bet_features(long_candles(spark, SF)).select("secid", "date", "mom20", "vol20", "ma50").na.drop()
     last = long_candles(spark, SF).groupBy("secid").agg({"date": "max"}).toDF("secid", "last")
     assert taken["data"].count() == full.join(last, "secid").where("date < last").count() > 0
     assert taken["data"].select("key").distinct().count() == full.select("secid").distinct().count() > 1

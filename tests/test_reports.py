@@ -2,22 +2,19 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallystone.engine import fold, reports
+from tallystone.engine import reports
 from tallystone.functions.finance import Costs
 from tallystone.operators import metrics, universe
-from tests.test_engine import flat, run
 
 D = dt.date
 
 
 def test_reports_say_what_matters_first(spark):
-    rows = run(spark, flat())
-    results = spark.createDataFrame([tuple(r) for r in rows], fold.OUT)
-    eq, fills = metrics.equity_metrics(fold.equity_of(results), 0.16), metrics.fill_metrics(fold.fills_of(results))
+    curve = [("run", D(2024, 1, 1 + i), 20_000.0 - i) for i in range(10)]
+    eq = metrics.equity_metrics(spark.createDataFrame(curve, "run_id string, date date, equity double"), 0.16)
+    fills = metrics.fill_metrics(spark.createDataFrame([("run", 5000.0, 8.0, None)], "run_id string, order_value double, costs double, realized_pnl double"))
     text = reports.run_report("run", eq, fills, spark.createDataFrame([("cash", 0.16)], "name string, annual_return double"), None, ["lots are today's"], 0.16)
     assert text.startswith("LOSES TO CASH") and "1 trades" in text and "against cash: 16.0%" in text and text.endswith("lots are today's")
-    assert reports.daily_summaries(results).where("costs_today > 0").count() == 1
-    assert any("BUY AAA" in r.line for r in reports.decision_lines(results).collect())
     chosen = spark.createDataFrame([(0, "a")], "window int, config string")
     annual = spark.createDataFrame([("a", 0.1), ("b", 0.3)], "config string, annual double")
     out = reports.walk_forward_report(chosen, annual, eq, "below risk-free")
