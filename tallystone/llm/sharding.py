@@ -2,14 +2,15 @@
 
 Documents of one group (equal texts) are linked. They begin in shards by hash. In each round every unit, a group or a part of one that a
 shard can't hold, sees how many of its group each shard has and wants to go to the shard that has most and has room; the flows between shards, a
-matrix of shards x shards, say which share of those moves the quotas allow, and that share is made. Rounds are joins of a table that is aggregated by group, part
-and shard first, so a group that holds a third of all rows is a few hundred rows there. At last documents beyond a quota and documents
+matrix of shards x shards, say which share of those moves the quotas allow, and that share is made. Rounds end when no unit wants to move, or when
+PATIENCE rounds have cut no fewer links than the best one before. They are joins of a table that is aggregated by group, part and shard first, so a group that holds a third of all rows is
+at most SALTS x shards rows there, however many it has. At last documents beyond a quota and documents
 without links fill what room is left, so that the counts of shards are at most one apart (law `rows`).
 
 Ranks within shards come from counts of hashed buckets, never from one task for a shard.
 
 Rows: one for each input row, repeated rows and null ids included; a null text has size 1, the CRC-32 of the empty text, and is linked with empty texts. Other
-columns are not read; an empty table gives an empty result.
+columns are not read; an empty table gives an empty result. Ties between shards and ranks are settled by hashes, then by the row's place.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.components import drop_tables, shared_checkpoint, shared_table
 
-#: Parts that a large group's rows are dealt into, rounds at most, and the share of a shard that a unit may fill.
-SALTS, ROUNDS, UNIT_SHARE = 64, 16, 0.25
+#: Parts that a large group's rows are dealt into, rounds without progress after which propagation ends, and the share of a shard that a unit may fill.
+SALTS, PATIENCE, UNIT_SHARE = 64, 3, 0.25
 
 
 def ranked(df: DataFrame, key: Column, name: str, rows: int, together: tuple[str, ...] = ("row",)) -> DataFrame:
@@ -57,10 +58,24 @@ def admitted_shares(wanted: list[list[int]], room: list[int]) -> list[float]:
     return share
 
 
+def cut_links(state: DataFrame) -> int:
+    """Links, as pairs of documents of one group, whose ends are in different shards: one number."""
+    shards = state.groupBy("group", "shard").agg(F.sum("c").cast("decimal(38,0)").alias("c"))
+    groups = shards.groupBy("group").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+    return int(groups.agg(F.sum(F.col("k") * F.col("k") - F.col("inside")).alias("cut")).first()["cut"] or 0) // 2
+
+
 def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
     """state (group, salt, unit, first, shard, c: rows of that group, salt and first shard) with the shards that label propagation ends at."""
-    n = len(quotas)
-    for turn in range(ROUNDS):
+    n, turn, best_cut, since, best = len(quotas), -1, None, 0, state
+    while True:
+        turn += 1
+        cut = cut_links(state)
+        since = 0 if best_cut is None or cut < best_cut else since + 1
+        if since == 0:
+            best_cut, best = cut, state
+        if cut == 0 or since >= PATIENCE:
+            return best
         held = [0] * n
         for r in state.groupBy("shard").agg(F.sum("c").alias("c")).collect():  # a row for each shard
             held[r["shard"]] = r["c"]
@@ -73,27 +88,24 @@ def propagate(state: DataFrame, quotas: list[int]) -> DataFrame:
         # a shard is chosen for its votes if it has room for the rest of the unit, else for what it has of the unit already
         fits = _at(room, F.col("shard")) >= rest
         rank = F.struct((fits | (rest == 0)).alias("fits"), F.when(fits | (rest == 0), F.col("votes")).otherwise(F.coalesce("own", F.lit(0))).alias("v"), F.xxhash64("group", "shard").alias("tie"), F.col("shard").alias("shard"))
-        best = choices.groupBy("group", "unit", "size").agg(F.max(rank).alias("best"))
+        wish = choices.groupBy("group", "unit", "size").agg(F.max(rank).alias("best"))
         # where none of its shards has room for the rest of a unit, all of it goes to one that has, chosen by hash
         spare = [b for b in range(n) if room[b] > 0]
         if spare:
             other = _at(spare, F.pmod(F.xxhash64("group", "unit", F.lit(-1 - turn)), F.lit(len(spare))), "int")
-            best = best.select("group", "unit", F.when(~F.col("best.fits") & (_at(room, other) >= F.col("size")), other).otherwise(F.col("best.shard")).alias("to"))
+            wish = wish.select("group", "unit", F.when(~F.col("best.fits") & (_at(room, other) >= F.col("size")), other).otherwise(F.col("best.shard")).alias("to"))
         else:
-            best = best.select("group", "unit", F.col("best.shard").alias("to"))
-        moves = shared_table(state.join(best, ["group", "unit"]))
+            wish = wish.select("group", "unit", F.col("best.shard").alias("to"))
+        moves = shared_table(state.join(wish, ["group", "unit"]))
         wanted = [[0] * n for _ in range(n)]
         for r in moves.where("shard != to").groupBy("shard", "to").agg(F.sum("c").alias("c")).collect():  # shards x shards rows
             wanted[r["shard"]][r["to"]] = r["c"]
         if not any(map(any, wanted)):
-            break
+            return best
         shares = admitted_shares(wanted, room)
         draw = F.pmod(F.xxhash64("group", "unit", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        last, state = state, shared_table(moves.withColumn("shard", F.when(draw < _at(shares, F.col("to"), "double"), F.col("to")).otherwise(F.col("shard"))).drop("to"))
+        state = shared_table(moves.withColumn("shard", F.when(draw < _at(shares, F.col("to"), "double"), F.col("to")).otherwise(F.col("shard"))).drop("to"))
         drop_tables(moves)
-        if turn:
-            drop_tables(last)
-    return state
 
 
 def balanced_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -194,6 +194,26 @@ def test_shards_where_everything_is_linked(spark):
     assert sum(len(s) > 1 for s in where.values()) < 0.5 * 500 * 0.75  # at random three quarters would be cut
 
 
+def test_cut_links_of_small_tables_against_exhaustive_search(spark):
+    from itertools import permutations
+
+    def cut(groups, where) -> int:
+        return sum(where[i] != where[j] for i in range(len(groups)) for j in range(i) if groups[i] == groups[j])
+
+    rng = random.Random(12)
+    total = best_total = random_total = 0
+    for _ in range(4):
+        groups = sorted(rng.randrange(4) for _ in range(9))
+        even = [0, 0, 0, 1, 1, 1, 2, 2, 2]
+        every = {p for p in set(permutations(even))}
+        rows = balanced_shards(spark.createDataFrame([(i, f"text {g}") for i, g in enumerate(groups)], "doc_id long, text string"), 3).collect()
+        _laws(rows, 3)
+        total += cut(groups, [r.shard for r in sorted(rows, key=lambda r: r.doc_id)])
+        cuts = [cut(groups, p) for p in every]
+        best_total, random_total = best_total + min(cuts), random_total + sum(cuts) / len(cuts)
+    assert best_total <= total <= (best_total + random_total) / 2
+
+
 def test_shards_over_edge_rows(spark):
     rows = balanced_shards(edge_documents(spark), 4).collect()
     assert len(rows) == len(TEXTS)
