@@ -126,6 +126,13 @@ def ex_dates(dividends: DataFrame, calendar: DataFrame, next_day_from: str = "20
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("secid", F.col("date").alias("ex_date"), "amount", "record_date")
 
 
+def within_span(events: DataFrame, candles: DataFrame, date: str = "record_date", with_first: bool = False) -> DataFrame:
+    """events (secid, date) inside their security's own traded span: after its first day, or on it if with_first, up to its last."""
+    span = candles.groupBy("secid").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    begun = F.col(date) >= F.col("_lo") if with_first else F.col(date) > F.col("_lo")
+    return events.join(span, "secid").where(begun & (F.col(date) <= F.col("_hi"))).select(*events.columns)
+
+
 def plausible_dividends(ex: DataFrame, candles: DataFrame, low: float = 0.0005, high: float = 0.35) -> DataFrame:
     """ex with ratio (amount to the close before the ex-date) and kept: the ratio is within limits, or it is above them and the open fell by at
     least half the amount. Without an earlier close a dividend is not kept."""

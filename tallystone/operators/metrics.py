@@ -110,6 +110,15 @@ def growth(daily_rates: DataFrame, key: str = "run_id") -> DataFrame:
     return out.select(key, "growth", annualised(F.col("growth"), F.col("days")).alias("annual"), "mean_rate")
 
 
+def money_market(rates: DataFrame, start: str, end: str, capital: float, spread: float = 0.005) -> DataFrame:
+    """(end_equity, annual_return, average_rate) of a money market fund from start up to, not with, end: compounded each calendar day at the last rate (date, rate) known then, the first
+    one before that, less the spread but not below nothing."""
+    spark = rates.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.date_sub(F.to_date(F.lit(end)), 1))).alias("date"))
+    daily = step_lookup(days, "date", rates, "date", "rate", "first").select(F.lit("fund").alias("run_id"), F.greatest(F.col("rate") - spread, F.lit(0.0)).alias("rate"))
+    return growth(daily).select((F.col("growth") * capital).alias("end_equity"), F.col("annual").alias("annual_return"), F.col("mean_rate").alias("average_rate"))
+
+
 def buy_and_hold(prices: DataFrame) -> DataFrame:
     """Per security: total and annual return from its first close to its last."""
     factor = F.max_by("close", "date") / F.min_by("close", "date")

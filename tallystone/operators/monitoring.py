@@ -66,6 +66,11 @@ def psi(samples: DataFrame, bins: int = 10) -> DataFrame:
     return out.withColumn("strong", F.col("psi") > STRONG_DRIFT)
 
 
+def worst_first(table: DataFrame, column: str, key: str = "feature") -> DataFrame:
+    """A report's table (a row for each feature) with its place by the column, greatest first, unknown ones last."""
+    return table.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(column), key))).orderBy("place")
+
+
 def ks_distance(samples: DataFrame) -> DataFrame:
     """(feature, statistic, n_reference, n_live, p_value): the largest distance of the two samples' distribution functions. Values are counted first, so ties cost nothing."""
     upto = running(_counted(samples), "feature", "value", ["e", "a"])

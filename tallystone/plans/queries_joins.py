@@ -87,15 +87,13 @@ SELECT secid, ex_date, amount, amount / prev_close AS ratio,
   coalesce(amount / prev_close BETWEEN 0.0005 AND 0.35 OR (amount / prev_close > 0.35 AND coalesce(prev_close - next_open >= 0.5 * amount, false)), false) AS kept FROM n""",
     "amount ratio",
 )
-register(
-    "p17_own_span",
-    lambda s, d: literal(s, DIVIDENDS, DIVIDEND_COLUMNS)
-    .join(long_candles(s, d).groupBy("secid").agg(F.min("date").alias("lo"), F.max("date").alias("hi")), "secid")
-    .where("record_date > lo and record_date <= hi")
-    .select("secid", "record_date", "amount"),
-    f"WITH {L}, {DIVIDENDS_SQL}, m AS (SELECT secid, min(date) AS lo, max(date) AS hi FROM l GROUP BY 1) SELECT v.secid, record_date, amount FROM dividends v JOIN m USING (secid) WHERE record_date > lo AND record_date <= hi",
-    "amount",
-)
+for name, first, sign in (("p17_own_span", False, ">"), ("p17_own_span_with_first", True, ">=")):
+    register(
+        name,
+        lambda s, d, first=first: asof.within_span(literal(s, DIVIDENDS, DIVIDEND_COLUMNS), long_candles(s, d), with_first=first).select("secid", "record_date", "amount"),
+        f"WITH {L}, {DIVIDENDS_SQL}, m AS (SELECT secid, min(date) AS lo, max(date) AS hi FROM l GROUP BY 1) SELECT v.secid, record_date, amount FROM dividends v JOIN m USING (secid) WHERE record_date {sign} lo AND record_date <= hi",
+        "amount",
+    )
 register(
     "j14_semi", lambda s, d: long_candles(s, d).join(literal(s, MEMBERS, MEMBER_COLUMNS).where("snapshot_date = '1999-03-15'"), "secid", "left_semi").groupBy("secid").agg(F.count("*").alias("n")),
     f"WITH {L}, {MEMBERS_SQL} SELECT secid, count(*) AS n FROM l WHERE secid IN (SELECT secid FROM members WHERE snapshot_date = '1999-03-15') GROUP BY 1",
@@ -204,6 +202,28 @@ register(
 )
 
 
+def _exchange(s: SparkSession) -> remote.Exchange:
+    return remote.Exchange(s, "http://exchange.invalid/iss", transport="tallystone.plans.feed:answer")
+
+
+for name, kind, series, board in (("s9_daily_candles", "share", "AAA", "TQBR"), ("s10_index_candles", "index", "III", "RTSI"), ("s10_currency_candles", "currency", "CCC", "CETS")):
+    register(
+        name,
+        lambda s, d, kind=kind, series=series, board=board: _exchange(s).candles(kind, series, "2019-12-15", "2020-04-20", board),
+        f"""WITH k AS (SELECT CAST(unnest(generate_series(DATE '2019-12-15', DATE '2020-04-20', INTERVAL 1 DAY)) AS DATE) AS date),
+n AS (SELECT date, CAST((date_diff('day', DATE '0001-01-01', date) + 1) % 1000 + {len(board)} AS DOUBLE) AS p FROM k)
+SELECT '{series}' AS secid, date, p AS open, p + 2 AS high, p - 1 AS low, p + 1 AS close, 10 * p AS value, 10.0::DOUBLE AS volume FROM n""",
+        "open high low close value volume",
+    )
+register(
+    "s12_trade_history",
+    lambda s, d: _exchange(s).trades("AAA", "2020-01-01", "2020-03-31", "begin string, volume double").select(F.to_date("begin").alias("date"), "volume"),
+    "SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2020-03-31', INTERVAL 1 DAY)) AS DATE) AS date, 10.0::DOUBLE AS volume",
+    "volume",
+)
+register("s13_composition", lambda s, d: _exchange(s).composition("III", "2020-03-07"), "SELECT DATE '2020-03-07' AS snapshot_date, 'M' || (7 + i) AS secid FROM range(50) AS t(i)")
+
+
 def _saved(s: SparkSession, d: str) -> DataFrame:
     """Candles that went through a dataset in the session's shared folder, saved twice."""
     store = dataset.Datasets(s, f"{shared_folder(s)}/datasets-{uuid.uuid4().hex}")

@@ -87,6 +87,14 @@ register(
   avg(o_custkey % 20 / 100.0) AS mean_rate FROM orders GROUP BY 1""",
     "growth annual mean_rate",
 )
+register(
+    "a16_money_market",
+    lambda s, d: metrics.money_market(literal(s, RATES, RATE_COLUMNS), "1995-01-01", "2001-07-01", 20_000.0),
+    f"""WITH {RATES_SQL}, k AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-06-30', INTERVAL 1 DAY)) AS DATE) AS date),
+r AS (SELECT k.date, greatest(coalesce(rates.rate, (SELECT arg_min(rate, date) FROM rates)) - 0.005, 0.0) AS rate FROM k ASOF LEFT JOIN rates ON k.date >= rates.date)
+SELECT 20000.0 * exp(sum(ln(1 + rate / 365.0))) AS end_equity, pow(exp(sum(ln(1 + rate / 365.0))), 365.25 / count(*)) - 1 AS annual_return, avg(rate) AS average_rate FROM r""",
+    "end_equity annual_return average_rate",
+)
 register(
     "a17_buy_and_hold",
     lambda s, d: metrics.buy_and_hold(long_candles(s, d)),
@@ -119,6 +127,15 @@ p AS (SELECT feature, e / sum(e) OVER (PARTITION BY feature) + 1e-6 AS e, a / su
 SELECT feature, sum((a - e) * ln(a / e)) AS psi, sum((a - e) * ln(a / e)) > 0.25 AS strong FROM p GROUP BY 1""",
     "psi",
 )
+register(
+    "t6_psi_table",
+    lambda s, d: monitoring.worst_first(monitoring.psi(_samples(s, d)), "psi").select("feature", "place"),
+    f"""WITH {S}, q AS (SELECT feature, list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q, min(value) AS lo, max(value) AS hi FROM s WHERE NOT live GROUP BY 1),
+i AS (SELECT feature, list_filter(q, lambda x: x > lo AND x < hi) AS q FROM q),
+b AS (SELECT feature, len(list_filter(q, lambda x: x <= value)) AS bin, count(*) FILTER (NOT live) AS e, count(*) FILTER (live) AS a FROM s JOIN i USING (feature) GROUP BY 1, 2),
+p AS (SELECT feature, e / sum(e) OVER (PARTITION BY feature) + 1e-6 AS e, a / sum(a) OVER (PARTITION BY feature) + 1e-6 AS a FROM b)
+SELECT feature, CAST(row_number() OVER (ORDER BY sum((a - e) * ln(a / e)) DESC, feature) AS INTEGER) AS place FROM p GROUP BY 1""",
+)
 register(
     "a22_ks_distance",
     lambda s, d: monitoring.ks_distance(_samples(s, d)),

@@ -16,7 +16,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -111,6 +111,45 @@ class PagedTable(DataSource):
         return PagedReader(schema, self.options)
 
 
+#: Where an exchange's tables are, by the kind of series (fixed values of the source's interface).
+PATHS = {
+    "share": "/engines/stock/markets/shares/boards/{board}/securities/{name}/candles.json",
+    "index": "/engines/stock/markets/index/boards/{board}/securities/{name}/candles.json",
+    "currency": "/engines/currency/markets/selt/boards/{board}/securities/{name}/candles.json",
+    "trades": "/history/engines/stock/markets/shares/boards/{board}/securities/{name}.json",
+    "composition": "/statistics/engines/stock/markets/index/analytics/{name}.json",
+}
+#: The boards that are asked where none is named (fixed values of the source's interface).
+BOARDS = {"share": "TQBR", "index": "SNDX", "currency": "CETS", "trades": "TQBR", "composition": ""}
+CANDLE_COLUMNS = "begin string, open double, high double, low double, close double, value double, volume double"
+
+
+class Exchange:
+    """Tables of one exchange. The days that are wanted go to the source with each request, and only the columns of the schema are kept, so nothing else is sent or
+    read; pages are read by executors."""
+
+    def __init__(self, spark: SparkSession, base: str, **options: str):
+        spark.dataSource.register(PagedTable)
+        self.spark, self.base, self.options = spark, base.rstrip("/"), options
+
+    def table(self, kind: str, name: str, table: str, schema: str, params: dict, board: str | None = None) -> DataFrame:
+        url = self.base + PATHS[kind].format(board=board or BOARDS[kind], name=name)
+        return self.spark.read.format("paged_table").schema(schema).options(url=url, table=table, params=json.dumps(params), **self.options).load()
+
+    def candles(self, kind: str, name: str, first: str, last: str, board: str | None = None) -> DataFrame:
+        """Daily candles of a share, an index or a currency from the first day to the last."""
+        raw = self.table(kind, name, "candles", CANDLE_COLUMNS, {"from": first, "till": last, "interval": 24}, board)
+        return exchange_candles(raw.withColumn("SECID", F.lit(name)))
+
+    def trades(self, name: str, first: str, last: str, schema: str, board: str | None = None) -> DataFrame:
+        return self.table("trades", name, "history", schema, {"from": first, "till": last}, board)
+
+    def composition(self, index: str, day: str) -> DataFrame:
+        """(snapshot_date, secid) of an index on a day."""
+        raw = self.table("composition", index, "analytics", "ticker string", {"date": day, "limit": 100})
+        return raw.select(F.lit(day).cast("date").alias("snapshot_date"), F.upper("ticker").alias("secid")).where("secid is not null").distinct()
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in the order given; keep-first and keep-last sources differ in that."""
     from pyspark.sql import Window

@@ -65,6 +65,15 @@ def test_whole_queries_take_every_bar_and_line_item(spark):
     assert catalog.queries()["j1_feature_asof"](spark, SF).count() == items.count()
 
 
+def test_every_key_of_a_subset_is_taken(spark):
+    """No query's input is cut down by a remainder, a prefix or a sample."""
+    import pathlib
+
+    for path in (pathlib.Path(catalog.__file__).parent).glob("queries_*.py"):
+        text = path.read_text()
+        assert ".sample(" not in text and "pos % " not in text and "l_linenumber = 1" not in text, path
+
+
 def test_importance_takes_every_security_and_bar(spark, monkeypatch):
     from tallystone.models import logistic
     from tallystone.operators import signals
