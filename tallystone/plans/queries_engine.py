@@ -9,6 +9,7 @@ from tallystone.engine import walkforward
 from tallystone.models import logistic
 from tallystone.operators import allocation, labeling, signals, validation
 from tallystone.operators.series import bars, forward_drawdown_label
+from tallystone.operators.strategies import strategy, weights_of
 from tallystone.plans.catalog import register
 from tallystone.plans.queries_signals import EWM, FEATURES_SQL, _index, market
 from tallystone.plans.views import L, long_candles
@@ -17,11 +18,9 @@ LOOKBACKS = (20, 60, 120)
 
 
 def _returns(s: SparkSession, d: str) -> DataFrame:
-    c, out = long_candles(s, d), None
-    for n in LOOKBACKS:
-        one = signals.ranked(c, "momentum", n, 2).select(F.format_string("%03d", F.lit(n)).alias("config"), "secid", "date", "weight")
-        out = one if out is None else out.unionByName(one)
-    return signals.weighted_returns(out, c)
+    c = long_candles(s, d)
+    chosen = {f"{n:03d}": strategy("momentum", lookback=n, top_n=2) for n in LOOKBACKS}
+    return signals.weighted_returns(weights_of(c, chosen), c)
 
 
 def _windows(s: SparkSession) -> DataFrame:
@@ -35,6 +34,14 @@ wins AS (SELECT CAST(y - 1992 AS INTEGER) AS win, make_date(y, 1, 1) AS a, make_
 inw AS (SELECT win, config, phase, rets.date, ret FROM rets JOIN (SELECT win, 'train' AS phase, a AS lo, b AS hi FROM wins UNION ALL SELECT win, 'test', c, e FROM wins) ON rets.date BETWEEN lo AND hi),
 res AS (SELECT win, config, phase, exp(sum(ln(1 + ret))) AS growth, avg(ret) / stddev_samp(ret) AS sharpe, count(*) AS n FROM inw GROUP BY 1, 2, 3),
 cho AS (SELECT * FROM (SELECT win, config, sharpe, row_number() OVER (PARTITION BY win ORDER BY sharpe DESC NULLS LAST, config) AS place FROM res WHERE phase = 'train') WHERE place = 1)"""
+register(
+    "x6_strategies",
+    lambda s, d: weights_of(long_candles(s, d), {"held": strategy("buy_and_hold", secid="ASIA", weight=0.4), "reverting": strategy("mean_reversion", lookback=20, top_n=2)}),
+    f"""WITH {L}, r AS (SELECT secid, date, close / lag(close, 20) OVER (PARTITION BY secid ORDER BY date) - 1 AS m FROM l)
+SELECT 'held' AS config, secid, date, 0.4::DOUBLE AS weight FROM l WHERE secid = 'ASIA' UNION ALL
+SELECT 'reverting', secid, date, 0.5 FROM (SELECT secid, date, row_number() OVER (PARTITION BY date ORDER BY m, secid) AS place FROM r WHERE m IS NOT NULL) WHERE place <= 2""",
+    "weight",
+)
 register("e14_window_results", lambda s, d: walkforward.window_results(_returns(s, d), _windows(s)), f'WITH {RETURNS} SELECT win AS "window", config, phase, growth, sharpe, n FROM res', "growth sharpe")
 register("t4_choice", lambda s, d: walkforward.choose(walkforward.window_results(_returns(s, d), _windows(s))), f'WITH {RETURNS} SELECT win AS "window", config, sharpe AS metric FROM cho', "metric")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.engine.walkforward import year_windows
+from tallystone.models import registry
+from tallystone.models.logistic import LinearModel
 from tallystone.operators import asof, bars, labeling, validation
 from tallystone.plans.catalog import register
 from tallystone.plans.views import (
@@ -185,6 +189,22 @@ register(
     "SELECT * FROM (VALUES (DATE '2014-02-03', 5.5::DOUBLE), (DATE '2014-03-14', 7.0)) AS t(date, rate_pct)",
     "rate_pct",
 )
+
+
+def _rates_twice(s: SparkSession, d: str) -> DataFrame:
+    """Key rates through a store; the second time nothing is fetched."""
+    store, asked = dataset.Datasets(s, f"{shared_folder(s)}/datasets-{uuid.uuid4().hex}"), []
+
+    def fetch(first: str, last: str) -> DataFrame:
+        asked.append((first, last))
+        return s.createDataFrame([(_RATE_PAGE,)], "html string")
+
+    html_tables.cached_key_rates(store, "2014-01-01", "2014-12-31", fetch)
+    out = html_tables.cached_key_rates(store, "2014-01-01", "2014-12-31", fetch)
+    return out.withColumn("fetched", F.lit(len(asked)))
+
+
+register("s20_cached_rates", _rates_twice, "SELECT *, 1 AS fetched FROM (VALUES (DATE '2014-02-03', 5.5::DOUBLE), (DATE '2014-03-14', 7.0)) AS t(date, rate_pct)", "rate_pct")
 _REGISTER_PAGE = """<p>x</p><table border=1><tr><td>Год<td>Дивиденд, руб.<td>День закрытия реестра</tr><tr><td>2016<td>6&nbsp;<td>14.06.2017</tr>
 <tr><td>2015<td>1,97</td><td><i>14.06.2016</i></td></tr><tr><td>2017 (прогноз)<td>12<td>26.06.2018<tr><td>2014<td>0,45<tr><td>2013<td>-<td>17.06.2014</table>"""
 _CUTOFF_PAGE = """<table><tr><td>Выплаты</td></tr><tr><th>Дивиденд</th><th>Дата отсечки</th><th>Купить до T-1</th></tr><tr><td>21,3</td><td>16.10.2018</td><td>12.10.2018</td></tr>
@@ -236,6 +256,66 @@ def _saved(s: SparkSession, d: str) -> DataFrame:
 register("s1_dataset", _saved, f"WITH {C} SELECT * FROM c", "open high low close value volume", 7)
 
 
+def _text_of(s: SparkSession, d: str) -> DataFrame:
+    """A report's lines through a text sink, read back."""
+    where = f"{shared_folder(s)}/lines-{uuid.uuid4().hex}"
+    ledger.write_lines(table(s, d, "nation"), where, ["n_nationkey", "n_name"])
+    return s.read.text(where).withColumnRenamed("value", "line")
+
+
+register("s23_lines", _text_of, "SELECT n_nationkey || '  ' || n_name AS line FROM nation")
+
+
+def _events_of(s: SparkSession, d: str) -> DataFrame:
+    """Events through a JSON sink in two batches, read back."""
+    where = f"{shared_folder(s)}/events-{uuid.uuid4().hex}"
+    rows = table(s, d, "region").select("r_regionkey", "r_name")
+    ledger.write_events(rows.where("r_regionkey < 2"), where)
+    ledger.write_events(rows.where("r_regionkey >= 2"), where)
+    return s.read.schema("r_regionkey int, r_name string").json(where)
+
+
+register("s23_events", _events_of, "SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, r_name FROM region")
+
+
+def _csv_of(s: SparkSession, d: str) -> DataFrame:
+    where = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    ledger.write_csv(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), where)
+    return s.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(where)
+
+
+register("s24_csv", _csv_of, "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation")
+
+
+def _registered(s: SparkSession, d: str) -> DataFrame:
+    """Predictions of a linear model that went through the registry."""
+    store = registry.Models(s, f"{shared_folder(s)}/models-{uuid.uuid4().hex}")
+    model = LinearModel(["close", "volume"], np.array([1300.0, 20.0]), np.array([250.0, 9.0]), np.array([0.8, -0.3]), 0.1, 1.2, -0.05)
+    store.register(registry.Card("m", model.names, "1998-12-31", "h", {"auc": 0.6}), model)
+    return long_candles(s, d).select("secid", "date", store.load("m")[0].column().alias("proba"))
+
+
+register(
+    "m10_registered_model",
+    _registered,
+    f"""WITH {L}, p AS (SELECT secid, date, least(greatest(1 / (1 + exp(-(0.1 + (close - 1300.0) / 250.0 * 0.8 - (volume - 20.0) / 9.0 * 0.3))), 1e-9), 1 - 1e-9) AS p FROM l)
+SELECT secid, date, 1 / (1 + exp(-(1.2 * ln(p / (1 - p)) - 0.05))) AS proba FROM p""",
+    "proba",
+)
+register(
+    "j1_registered_feature",
+    lambda s, d: _features().as_of("price", _requests(s, d), ["secid"], _feature(s, d)),
+    f"WITH {FEATURE}, {REQUESTS} SELECT q.secid, q.ts, f.event_ts, f.value FROM q ASOF LEFT JOIN f ON q.secid = f.secid AND q.ts >= f.event_ts + 10",
+    "value",
+)
+
+
+def _features() -> registry.Features:
+    known = registry.Features()
+    known.add(registry.Feature("price", lambda rows: rows, dt.timedelta(days=10), "orders", "greatest order of the day"))
+    return known
+
+
 def _ledger(s: SparkSession, d: str) -> DataFrame:
     book = ledger.Ledger(s, f"{shared_folder(s)}/ledger-{uuid.uuid4().hex}")
     runs = [{"hypothesis": f"momentum over {n}", "source": "grid", "params": {"lookback": n}, "data_hash": "d", "metrics": {"annual_return": n / 1000}} for n in range(5, 125, 5)]

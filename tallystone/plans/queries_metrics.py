@@ -300,6 +300,11 @@ register(
     lambda s, d: table(s, d, "nation").select("n_nationkey", finance.canonical_params(F.create_map(F.lit("top_n"), F.col("n_regionkey"), F.lit("lookback"), F.col("n_nationkey"))).alias("key")),
     """SELECT n_nationkey, '{"lookback":' || n_nationkey || ',"top_n":' || n_regionkey || '}' AS key FROM nation""",
 )
+register(
+    "f12_params_hash",
+    lambda s, d: table(s, d, "nation").select("n_nationkey", finance.params_hash(F.create_map(F.lit("top_n"), F.col("n_regionkey"), F.lit("lookback"), F.col("n_nationkey"))).alias("hash")),
+    """SELECT n_nationkey, substr(sha256('{"lookback":' || n_nationkey || ',"top_n":' || n_regionkey || '}'), 1, 16) AS hash FROM nation""",
+)
 register(
     "a4_capacity",
     lambda s, d: average_turnover(long_candles(s, d)).groupBy("secid").agg(F.max_by("adv", "date").alias("adv")).withColumn("most", F.col("adv") * COSTS.reject_share),

@@ -6,12 +6,14 @@ left is split by them. A mark needs no end, so unclosed rows and cells are read
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions.finance import amount, first_date
+from tallystone.sources.dataset import Datasets
 
 #: Words of the pages' headers (fixed values of the sources).
 REGISTER_CLOSE, DIVIDEND, CUT_OFF, LAST_BUY, FORECAST = "закрытия реестра", "дивиденд", "дата отсечки", "t-1", "прогноз"
@@ -57,6 +59,11 @@ def key_rates(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.groupBy("date").agg(F.min("rate_pct").alias("rate_pct"))
 
 
+def cached_key_rates(store: Datasets, first: str, last: str, fetch: Callable[[str, str], DataFrame]) -> DataFrame:
+    """Key rates of a span of days through a store of datasets: pages are fetched (first, last) and read once for each span."""
+    return store.cached(f"key_rates/{first}_{last}", lambda: key_rates(fetch(first, last)))
+
+
 def _dividends(pages: DataFrame, record: str, source: str) -> DataFrame:
     """(page_id, record_date, amount, last_day_with_rights, source) of tables that have a row which names the record date.
 

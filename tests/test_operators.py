@@ -379,3 +379,16 @@ def test_streams_give_the_batch_results(spark, tmp_path):
 def test_nan_never_becomes_a_verdict(spark):
     r = spark.range(1).select(finance.verdict(F.lit(float("nan")), F.lit(0.1), F.lit(0.2)), finance.verdict(F.lit(0.35), F.lit(0.1), F.lit(0.2))).first()
     assert tuple(r) == ("no data", "passes")
+
+
+def test_strategies_by_name(spark):
+    from tallystone.operators import signals, strategies
+
+    rows = [(k, D(2024, 1, 1) + dt.timedelta(i), 100.0 + i * step) for k, step in (("A", 1), ("B", 2), ("C", -1)) for i in range(10)]
+    candles = spark.createDataFrame(rows, "secid string, date date, close double")
+    both = strategies.weights_of(candles, {"up": strategies.strategy("momentum", lookback=5, top_n=1), "one": strategies.strategy("buy_and_hold", secid="C", weight=0.5)})
+    assert {(r.config, r.secid, r.weight) for r in both.collect()} == {("up", "B", 1.0), ("one", "C", 0.5)}
+    assert {*signals.RULES} < {*strategies.BUILDERS}
+    for bad in (lambda: strategies.strategy("luck"), lambda: strategies.strategy("momentum", days=3), lambda: strategies.weights_of(candles, {})):
+        with pytest.raises(strategies.NoSuchStrategy):
+            bad()
