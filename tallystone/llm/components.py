@@ -50,10 +50,11 @@ def drop_tables(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, known: tuple[int, int] | None = None) -> DataFrame:
     """The inner join of left with right, which has one row for each key, by keys that are not null; right's column `rows` says how many rows of left have
-    the key. Rows of heavy keys stay where they are and meet a broadcast of at most HEAVY rows; only the others are shuffled by key."""
-    most, total = right.agg(F.max(rows), F.sum(rows)).first()
+    the key; known: the greatest of these numbers and their sum, if the caller has them. Rows of heavy keys stay where they are and meet a broadcast of at most
+    HEAVY rows; only the others are shuffled by key."""
+    most, total = known or right.agg(F.max(rows), F.sum(rows)).first()
     if not total or most * HEAVY <= total:
         return left.join(right, key)
     heavy = right.where(F.col(rows) * HEAVY > total)
@@ -70,18 +71,28 @@ def folded(ties: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, component), the component being its least node, as a shared table. Loops and repeated links do no harm; nulls are passed over."""
+    """(a, b) links to (node, component), the component being its least node, as a shared table. Loops and repeated links do no harm; nulls are passed over.
+
+    A hub with many neighbours and a label with many nodes are heavy keys of their joins, so neither meets in one task.
+    """
     both = edges.where("a is not null and b is not null and a != b").select("a", "b")
     both = shared_table(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = step = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"), F.count("*").alias("degree"))
+    labels = shared_table(first.select("node", F.least("node", "near").alias("component"), "degree"))
+    degrees = labels.agg(F.max("degree"), F.sum("degree")).first()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("last"))
-        further = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        last, step = step, shared_table(least.join(further, "next").select("node", F.least("next", "jump").alias("component"), "last"))
-        drop_tables(last)
-        labels = step.select("node", "component")
-        labels._shared_path = step._shared_path
+        ends = labels.select(F.col("node").alias("b"), "component", "degree")
+        near = spread_join(both, ends, "b", "degree", degrees).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        moved = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("last"), "degree")
+        moved = shared_table(moved)
+        named = moved.groupBy("next").agg(F.count("*").alias("nodes"))
+        further = labels.select(F.col("node").alias("next"), F.col("component").alias("jump")).join(named, "next")
+        step = spread_join(moved, further, "next", "nodes").select("node", F.least("next", "jump").alias("component"), "degree", "last")
+        step = shared_table(step)
+        drop_tables(moved, labels)
+        labels = step
         if step.where("component != last").isEmpty():
             drop_tables(both)
-            return labels
+            found = step.select("node", "component")
+            found._shared_path = step._shared_path
+            return found

@@ -10,7 +10,7 @@ n_links: the other documents whose set has a Jaccard similarity of at least `sim
 class_id: the least id of the documents reachable by links. kept: the document is that one.
 
 Rows: one for each input row, repeated rows and null ids included (a class of null ids has a null class_id). A null or empty text, or one of
-white space, has no n-grams and links with nothing. Other columns are not read; an empty table gives an empty result.
+white space, has no n-grams and links with nothing; a pair at the limit itself is linked. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

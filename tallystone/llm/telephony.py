@@ -7,7 +7,7 @@ interpolation in whole numbers.
 A payload of bytes is stored losslessly as the codec's own units (8-bit codes, or pairs of 4-bit codes behind block headers). The codec
 follows from the payload's CRC-32, so equal texts have equal media.
 
-Rows: one for each input row, repeated rows and null ids included. A null or empty text has a payload of 64 zero bytes. Media that are null
+Rows: one for each input row, repeated rows and null ids included. A null or empty text has a payload of 64 zero bytes. Equal texts have equal values. Media that are null
 or broken read as null columns and a reason. Other columns are not read; an empty table gives an empty result. Whole texts are stored.
 """
 
