@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from tallystone.engine import walkforward
 from tallystone.models import logistic
 from tallystone.operators import allocation, labeling, signals, validation
+from tallystone.operators.persist import cut
 from tallystone.operators.series import bars, forward_drawdown_label
 from tallystone.operators.strategies import strategy, weights_of
 from tallystone.plans.catalog import register
 from tallystone.plans.queries_signals import EWM, FEATURES_SQL, _index, market
-from tallystone.plans.views import L, long_candles
+from tallystone.plans.views import L, cut_candles, long_candles
 
 LOOKBACKS = (20, 60, 120)
 
 
 def _returns(s: SparkSession, d: str) -> DataFrame:
-    c = long_candles(s, d)
+    c = cut_candles(s, d)
     chosen = {f"{n:03d}": strategy("momentum", lookback=n, top_n=2) for n in LOOKBACKS}
     return signals.weighted_returns(weights_of(c, chosen), c)
 
@@ -47,7 +48,7 @@ register("t4_choice", lambda s, d: walkforward.choose(walkforward.window_results
 
 
 def out_of_sample(s: SparkSession, d: str) -> DataFrame:
-    returns, windows = _returns(s, d), _windows(s)
+    returns, windows = cut(_returns(s, d)), _windows(s)
     return walkforward.out_of_sample(returns, windows, walkforward.choose(walkforward.window_results(returns, windows)))
 
 
@@ -80,8 +81,8 @@ register("e16_risk_forecast", risk)
 START, END, HOLDING = "1992-01-01", "1998-12-31", 20
 
 
-def training(s: SparkSession, d: str) -> DataFrame:
-    return signals.training_set(long_candles(s, d), START, END, 60, 2, HOLDING, 1.0, 20, *market(s, d))
+def training(c: DataFrame) -> DataFrame:
+    return signals.training_set(c, START, END, 60, 2, HOLDING, 1.0, 20, *market(c))
 
 
 TRAINING = f"""{FEATURES_SQL}, {EWM},
@@ -96,23 +97,28 @@ pa AS (SELECT ev.*, n.pos AS spot, n.date AS bar, n.close / ev.entry - 1 AS ret
 hit AS (SELECT secid, t0, min(spot) FILTER (ret >= target) AS up, min(spot) FILTER (ret <= -target) AS down, max(spot) AS stop FROM pa GROUP BY 1, 2),
 lab AS (SELECT hit.secid, hit.t0, pa.bar AS t1, CAST(pa.ret > 0 AS INTEGER) AS y FROM hit JOIN pa ON pa.secid = hit.secid AND pa.t0 = hit.t0 AND pa.spot = least(hit.stop, hit.up, hit.down))
 SELECT lab.*, {", ".join("bf." + f for f in signals.BET_FEATURES)} FROM lab JOIN bf ON bf.secid = lab.secid AND bf.date = lab.t0 WHERE {" AND ".join(f"bf.{f} IS NOT NULL" for f in signals.BET_FEATURES)}"""
-register("m11_training_set", training, f"WITH {TRAINING}", " ".join(signals.BET_FEATURES))
+register("m11_training_set", lambda s, d: training(cut_candles(s, d)), f"WITH {TRAINING}", " ".join(signals.BET_FEATURES))
 
 
-def modelled(s: SparkSession, d: str) -> DataFrame:
+def modelled(c: DataFrame) -> DataFrame:
     """(secid, date, proba) of every bar with known features, by a model of the training set."""
-    model = logistic.fitted(training(s, d), signals.BET_FEATURES)
-    known = signals.bet_features(long_candles(s, d), *market(s, d)).na.drop(subset=signals.BET_FEATURES)
+    model = logistic.fitted(training(c), signals.BET_FEATURES)
+    known = signals.bet_features(c, *market(c)).na.drop(subset=signals.BET_FEATURES)
     return known.select("secid", "date", (F.lit(None).cast("double") if model is None else model.column()).alias("proba"))
 
 
-register("m12_model_probabilities", modelled)
-register("q8_model_filtered", lambda s, d: signals.meta_filtered(signals.ranked(long_candles(s, d), "momentum", 60, 2), modelled(s, d), 0.5))
-register("q8_model_most_confident", lambda s, d: signals.most_confident(modelled(s, d), 0.5, 2))
+def model_filtered(s: SparkSession, d: str) -> DataFrame:
+    c = cut_candles(s, d)
+    return signals.meta_filtered(signals.ranked(c, "momentum", 60, 2), modelled(c), 0.5)
+
+
+register("m12_model_probabilities", lambda s, d: modelled(cut_candles(s, d)))
+register("q8_model_filtered", model_filtered)
+register("q8_model_most_confident", lambda s, d: signals.most_confident(modelled(cut_candles(s, d)), 0.5, 2))
 
 
 def importance(s: SparkSession, d: str) -> DataFrame:
-    c = long_candles(s, d)
+    c = cut_candles(s, d)
     events = labeling.numbered(c).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.lit(1.0).alias("side"))
     labels = labeling.meta_labels(events, c)
     features = signals.bet_features(c).select(F.col("secid").alias("key"), F.col("date").alias("t0"), "mom20", "vol20", "ma50").na.drop()

@@ -27,11 +27,12 @@ from tallystone.plans.views import (
     C,
     L,
     candles,
+    cut_candles,
     literal,
     long_candles,
     table,
 )
-from tallystone.operators.persist import shared_folder
+from tallystone.operators.persist import cut, shared_folder
 from tallystone.sources import dataset, html_tables, ledger, remote
 
 
@@ -82,9 +83,16 @@ a AS (SELECT v.*, coalesce(cal.pos, -1) AS last FROM dividends v ASOF LEFT JOIN
 p AS (SELECT *, CASE WHEN last_day_with_rights IS NOT NULL THEN last + 1 ELSE last - CASE WHEN record_date >= DATE '2023-07-31' THEN 1 ELSE 2 END + 1 END AS pos FROM a),
 ex AS (SELECT p.secid, cal.date AS ex_date, p.amount, min(p.record_date) AS record_date FROM p JOIN cal ON cal.pos = p.pos WHERE p.pos > 0 GROUP BY 1, 2, 3)"""
 register("j9_ex_dates", lambda s, d: asof.ex_dates(literal(s, DIVIDENDS, DIVIDEND_COLUMNS), long_candles(s, d)), f"WITH {L}, {DIVIDENDS_SQL}, {EX} SELECT * FROM ex", "amount")
+
+
+def _plausible(s: SparkSession, d: str) -> DataFrame:
+    c = cut_candles(s, d)
+    return asof.plausible_dividends(asof.ex_dates(literal(s, DIVIDENDS, DIVIDEND_COLUMNS), c), c)
+
+
 register(
     "p11_plausible_dividends",
-    lambda s, d: asof.plausible_dividends(asof.ex_dates(literal(s, DIVIDENDS, DIVIDEND_COLUMNS), long_candles(s, d)), long_candles(s, d)),
+    _plausible,
     f"""WITH {L}, {DIVIDENDS_SQL}, {EX}, b AS (SELECT ex.*, l.close AS prev_close FROM ex ASOF LEFT JOIN l ON ex.secid = l.secid AND ex.ex_date > l.date),
 n AS (SELECT b.*, l.open AS next_open FROM b ASOF LEFT JOIN l ON b.secid = l.secid AND b.ex_date <= l.date)
 SELECT secid, ex_date, amount, amount / prev_close AS ratio,
@@ -109,9 +117,9 @@ register(
 register("j19_grid", lambda s, d: s.sql("SELECT lookback, lag FROM VALUES (20), (60), (120) AS a(lookback) CROSS JOIN VALUES (0), (21), (63) AS b(lag)"), "SELECT lookback, lag FROM (VALUES (20), (60), (120)) AS a(lookback) CROSS JOIN (VALUES (0), (21), (63)) AS b(lag)")
 
 
-def _events(s: SparkSession, d: str) -> DataFrame:
+def _events(c: DataFrame) -> DataFrame:
     """An event every bar of every security, with a target of 2 % and a side by the weekday."""
-    return labeling.numbered(long_candles(s, d)).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.when(F.dayofweek("date") > 3, 1.0).otherwise(-1.0).alias("side"))
+    return labeling.numbered(c).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.when(F.dayofweek("date") > 3, 1.0).otherwise(-1.0).alias("side"))
 
 
 BARRIER = """n AS (SELECT secid, date, close, row_number() OVER (PARTITION BY secid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY secid) AS n_bars FROM l),
@@ -120,11 +128,28 @@ p AS (SELECT e.*, n.pos AS spot, n.date AS bar, (n.close / e.entry - 1) * e.side
 h AS (SELECT secid, t0, side, min(spot) FILTER (ret >= 0.02) AS up, min(spot) FILTER (ret <= -0.02) AS down, max(spot) AS stop FROM p GROUP BY 1, 2, 3),
 b AS (SELECT h.secid, h.t0, h.side, p.bar AS t1, p.ret, CASE WHEN p.spot = h.up THEN 1 WHEN p.spot = h.down THEN -1 ELSE 0 END AS label
   FROM h JOIN p ON p.secid = h.secid AND p.t0 = h.t0 AND p.spot = least(h.stop, h.up, h.down))"""
-register("w21_triple_barrier", lambda s, d: labeling.triple_barrier(_events(s, d), long_candles(s, d)), f"WITH {L}, {BARRIER} SELECT * FROM b", "side ret")
-register("w23_meta_labels", lambda s, d: labeling.meta_labels(_events(s, d), long_candles(s, d)), f"WITH {L}, {BARRIER} SELECT *, CAST(ret > 0 AS INTEGER) AS meta FROM b", "side ret")
+
+
+def _barriers(s: SparkSession, d: str) -> DataFrame:
+    c = cut_candles(s, d)
+    return labeling.triple_barrier(_events(c), c)
+
+
+def _meta(s: SparkSession, d: str) -> DataFrame:
+    c = cut_candles(s, d)
+    return labeling.meta_labels(_events(c), c)
+
+
+def _concurrency(s: SparkSession, d: str) -> DataFrame:
+    c = cut_candles(s, d)
+    return labeling.concurrency_weights(labeling.triple_barrier(_events(c), c), c)
+
+
+register("w21_triple_barrier", _barriers, f"WITH {L}, {BARRIER} SELECT * FROM b", "side ret")
+register("w23_meta_labels", _meta, f"WITH {L}, {BARRIER} SELECT *, CAST(ret > 0 AS INTEGER) AS meta FROM b", "side ret")
 register(
     "w24_concurrency",
-    lambda s, d: labeling.concurrency_weights(labeling.triple_barrier(_events(s, d), long_candles(s, d)), long_candles(s, d)),
+    _concurrency,
     f"""WITH {L}, {BARRIER}, s AS (SELECT b.secid, b.t0, n.pos FROM b JOIN n ON n.secid = b.secid AND n.date BETWEEN b.t0 AND b.t1), k AS (SELECT secid, pos, count(*) AS c FROM s GROUP BY 1, 2),
 r AS (SELECT s.secid, s.t0, avg(1.0 / c) AS raw FROM s JOIN k USING (secid, pos) GROUP BY 1, 2)
 SELECT secid, t0, raw / avg(raw) OVER (PARTITION BY secid) AS weight FROM r""",
@@ -137,7 +162,7 @@ register(
 )
 register(
     "j16_purged_folds",
-    lambda s, d: validation.purged_folds(labeling.triple_barrier(_events(s, d), long_candles(s, d))),
+    lambda s, d: validation.purged_folds(cut(_barriers(s, d))),
     f"""WITH {L}, {BARRIER}, i AS (SELECT secid, t0, t1, row_number() OVER o - 1 AS pos, ntile(5) OVER o - 1 AS fold, count(*) OVER (PARTITION BY secid) AS n FROM b WINDOW o AS (PARTITION BY secid ORDER BY t0)),
 g AS (SELECT secid, fold, n, min(t0) AS lo, max(t1) AS hi FROM i GROUP BY 1, 2, 3),
 k AS (SELECT g.*, (SELECT count(*) FROM i WHERE i.secid = g.secid AND i.t0 <= g.hi) + CAST(floor(g.n * 0.01) AS BIGINT) AS r FROM g)

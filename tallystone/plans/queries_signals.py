@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallystone.models.logistic import top_contributions
 from tallystone.operators import allocation, bars, signals
 from tallystone.plans.catalog import register
-from tallystone.plans.views import RATE_COLUMNS, RATES, RATES_SQL, C, L, candles, literal, long_candles
+from tallystone.plans.views import RATE_COLUMNS, RATES, RATES_SQL, C, L, candles, cut_candles, literal, long_candles
 
 W = "WINDOW w AS (PARTITION BY secid ORDER BY date)"
 
@@ -144,9 +144,8 @@ def _full(fn: str, column: str, n: int) -> str:
     return f"CASE WHEN count({column}) OVER {frame} = {n} THEN {fn} OVER {frame} END"
 
 
-def market(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A market's currency and index, (date, close) each."""
-    c = long_candles(s, d)
+def market(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A market's currency and index of its candles, (date, close) each."""
     return tuple(c.where(F.col("secid") == k).select("date", "close") for k in ("EUROPE", "ASIA"))
 
 
@@ -162,7 +161,14 @@ EWM = """xr AS (SELECT secid, date, row_number() OVER w AS i, close / lag(close)
 es AS (SELECT a.secid, a.date, sum(pow(19.0 / 21, a.i - b.i)) AS s1, sum(pow(19.0 / 21, 2 * (a.i - b.i))) AS s2, sum(pow(19.0 / 21, a.i - b.i) * b.r) AS sx,
   sum(pow(19.0 / 21, a.i - b.i) * b.r * b.r) AS sxx, count(b.r) AS n FROM xr a LEFT JOIN xr b ON a.secid = b.secid AND b.i BETWEEN a.i - 600 AND a.i AND b.r IS NOT NULL GROUP BY 1, 2),
 ewm AS (SELECT secid, date, CASE WHEN n > 1 THEN sqrt(greatest(sxx / s1 - pow(sx / s1, 2), 0) * s1 * s1 / (s1 * s1 - s2)) END AS ewm_std FROM es)"""
-register("m1_bet_features", lambda s, d: signals.bet_features(long_candles(s, d), *market(s, d)), f"WITH {FEATURES_SQL} SELECT * FROM bf", " ".join(signals.BET_FEATURES))
+
+
+def _bet_features(s: SparkSession, d: str) -> DataFrame:
+    c = cut_candles(s, d)
+    return signals.bet_features(c, *market(c))
+
+
+register("m1_bet_features", _bet_features, f"WITH {FEATURES_SQL} SELECT * FROM bf", " ".join(signals.BET_FEATURES))
 register(
     "m1_bet_features_alone",
     lambda s, d: signals.bet_features(long_candles(s, d)),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.operators.bars import tick_bars, trade_bars
+from tallystone.operators.persist import cut
 
 RATES = [
     ("1995-03-01", 0.16), ("1996-01-15", 0.18), ("1997-06-01", 0.15), ("1998-02-10", 0.21), ("1999-05-05", 0.17), ("2000-09-09", 0.12), ("2001-04-04", 0.14),
@@ -59,6 +60,11 @@ def long_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade_bars(item.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("secid", "date", "amount", "quantity"))
 
 
+def cut_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """long_candles written once, for queries that read them several times."""
+    return cut(long_candles(spark, sf_dir))
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills of orders: runs by priority; filled orders close a position."""
     o = table(spark, sf_dir, "orders")
