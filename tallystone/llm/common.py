@@ -69,15 +69,19 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
 
 
 class Memo(dict):
-    """A bounded memo: a missing key is computed by `make`; when `limit` keys are held, it starts anew. Workers outlive tasks, and so do memos of models that
-    they keep: some 200 bytes for each key."""
+    """A bounded memo: a missing key is computed by `make`. When it holds `limit` keys they become the old generation, from which keys that are asked for again come
+    back, and the one before is dropped; so frequent keys stay. Workers outlive tasks, and so do memos of models that they keep: some 200 bytes for each of 2 * limit keys."""
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable, limit: int = 150_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value

@@ -39,7 +39,7 @@ class PieceCodec:
     def __init__(self, path: str):
         self.model = m = piece_model(path)
         self.normalise = Normaliser(m.spec)
-        self.memo = Memo(self._chunk)
+        self.memo = Memo(self._chunk, 400_000)
         surface = []
         for piece, kind in zip(m.pieces, m.kinds, strict=True):
             surface.append(bytes([int(piece[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else piece.replace(SPACE, " ").encode())

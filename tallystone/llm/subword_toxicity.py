@@ -228,9 +228,9 @@ def fit_rows(rows: list[tuple[str, int]], least_documents: int = 4) -> ToxicityM
     return ToxicityModel(margins, float(slope / scale), float(constant))
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 2000, class_bytes: int = 24 << 20) -> ToxicityModel:
-    """learn: which labels may be used, over doc_id."""
-    return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes))
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 2000, class_bytes: int = 24 << 20, least_documents: int = 4) -> ToxicityModel:
+    """learn: which labels may be used, over doc_id. least_documents: as in fit_rows."""
+    return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes), least_documents)
 
 
 def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

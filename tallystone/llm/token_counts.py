@@ -25,7 +25,7 @@ class TokenCounter:
     def __init__(self, model: PieceModel):
         self.model = model
         self.normalise = Normaliser(model.spec)
-        self.memo = Memo(self.count_chunk)
+        self.memo = Memo(self.count_chunk, 400_000)
 
     def count_chunk(self, chunk: str) -> int:
         known = self.model.ids

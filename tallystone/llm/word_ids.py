@@ -27,7 +27,7 @@ def _class(kind: str) -> str:
 
 
 class WordIds:
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
