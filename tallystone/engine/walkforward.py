@@ -8,9 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.operators.metrics import annualised
-
-MOST_PARAMETERS = 3
+MOST_PARAMETERS, RUIN = 3, 1e-6
 
 
 class TooManyParameters(Exception):
@@ -47,10 +45,11 @@ def window_returns(returns: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def window_results(returns: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window, config, phase, growth, sharpe, n) of daily returns (config, date, ret)."""
+    """(window, config, phase, log_growth, sharpe, n) of daily returns (config, date, ret). The logarithm holds growth of any size; a day
+    that loses everything or more leaves RUIN of it."""
     sd = F.stddev_samp("ret")
     return window_returns(returns, windows).where("ret is not null").groupBy("window", "config", "phase").agg(
-        F.exp(F.sum(F.log1p("ret"))).alias("growth"), F.when(sd > 0, F.avg("ret") / sd).alias("sharpe"), F.count("*").alias("n")
+        F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(RUIN)))).alias("log_growth"), F.when(sd > 0, F.avg("ret") / sd).alias("sharpe"), F.count("*").alias("n")
     )
 
 
@@ -68,10 +67,11 @@ def out_of_sample(returns: DataFrame, windows: DataFrame, chosen: DataFrame) ->
 
 
 def config_results(results: DataFrame, windows: DataFrame) -> DataFrame:
-    """(config, annual): growth over all test windows a year of their calendar length."""
+    """(config, annual, log_annual): growth over all test windows a year of their calendar length, and its logarithm."""
     spans = windows.select("window", F.date_diff("test_to", "test_from").alias("days"))
-    out = results.where("phase = 'test'").join(spans, "window").groupBy("config").agg(F.product("growth").alias("factor"), F.sum("days").alias("days"))
-    return out.select("config", annualised(F.col("factor"), F.col("days")).alias("annual"))
+    out = results.where("phase = 'test'").join(spans, "window").groupBy("config").agg(F.sum("log_growth").alias("total"), F.sum("days").alias("days"))
+    yearly = F.col("total") * 365.25 / F.col("days")
+    return out.select("config", F.expm1(yearly).alias("annual"), yearly.alias("log_annual"))
 
 
 def best_and_median(annual: DataFrame, column: str = "annual") -> DataFrame:
