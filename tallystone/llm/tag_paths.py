@@ -147,7 +147,7 @@ class Reader:
         opens, boxed, names = main and not above.main, above.boxed, ()
         if opens and boxed in HOLDERS:
             boxed = ""
-        if tag not in ("html", "body") and not opens:
+        if found and tag not in ("html", "body") and not opens:
             told = dict.fromkeys((t, above.main) for t in found if names_box(t, main))
             names = tuple(n for n in told if not self.open_names[n])
         node = Node(tag, above, path, boxed if boxed and boxed not in HOLDERS else own or boxed, above.main or (path if main else 0), above.link or tag == "a", names)
