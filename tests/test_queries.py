@@ -41,7 +41,10 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
+    df = catalog.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert name == "j19_grid" or not any(x in plan for x in ("NestedLoopJoin", "CartesianProduct"))  # j19 is the product of two lists
+    got = df.toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is not None:
         want = duck.sql(sql).df()
