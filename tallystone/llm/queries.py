@@ -90,8 +90,14 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"), outputs)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony)
+    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony, op13_filter_audit)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_vector_links": """
@@ -124,5 +130,33 @@ k AS (SELECT r.rid, min(s.doc_id) AS class_id FROM r JOIN s ON s.rid = r.reached
 n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY 1)
 SELECT s.doc_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, k.class_id, s.doc_id = k.class_id AS kept
 FROM s JOIN k USING (rid) LEFT JOIN n USING (rid)
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM d GROUP BY 1),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM d JOIN least USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT letter AS filter_order, 1 AS step, 0 AS gone, bit FROM f
+  UNION ALL SELECT filter_order || letter, step + 1, gone | o.bit, f.bit FROM o JOIN f ON (gone | o.bit) & f.bit = 0),
+whole AS (SELECT w.filter_order, o.step, o.gone, o.bit FROM o AS w JOIN o ON starts_with(w.filter_order, o.filter_order) WHERE w.step = 5),
+r AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit, sum(CASE WHEN mask & (gone | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & gone > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c CROSS JOIN whole GROUP BY 1, 2, 3)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
 """,
 }
