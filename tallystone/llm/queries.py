@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import table
 from tallystone.llm.labelled import doc_crc
+from tallystone.llm.license_scan import TEMPLATES
 
 #: Documents with a score below these are rejected (quality) or from there on (toxicity).
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
@@ -90,6 +91,12 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"), outputs)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.filter_audit import filter_audit
 
@@ -97,9 +104,37 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony, op13_filter_audit)
+    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony, op12_license_scan, op13_filter_audit)
 }
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
+    "op12_license_scan": rf"""
+WITH t(label, words) AS (
+  SELECT label, list_distinct(string_split(words, ' ')) FROM (VALUES {", ".join(f"('{label}', '{words}')" for label, words in TEMPLATES)}) AS v(label, words)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}') AS low FROM documents),
+w AS (SELECT rid, doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+p AS (
+  SELECT *, list_filter(range(1, len(w)), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS cc,
+    list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl,
+    list_filter(range(1, len(w) - 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS reserved
+  FROM w),
+b AS (
+  SELECT rid, doc_id, len(w) AS n_words, len(cc) + len(gpl) + len(reserved) AS n_base, list_min(cc || gpl || reserved) - 1 AS first_word, list_max(cc || gpl || reserved) - 1 AS last_word,
+    CASE WHEN len(cc) > 0 THEN ['cc-by'] ELSE [] END || CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END || CASE WHEN len(reserved) > 0 THEN ['reserved'] ELSE [] END AS base
+  FROM p),
+s AS (SELECT rid, unnest(string_split_regex(low, '\n|[.!?][\t-\r ]')) AS piece FROM d),
+v AS (SELECT rid, regexp_extract_all(piece, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM s),
+r AS (SELECT rid, w, unnest(range(1, greatest(2, len(w) - 31), 32)) AS k FROM v),
+x AS (SELECT rid, list_distinct(w[k:k + 63]) AS have FROM r),
+m AS (
+  SELECT rid, label, len(list_intersect(have, words)) / len(words) AS containment
+  FROM x CROSS JOIN t WHERE 10 * len(list_intersect(have, words)) >= 9 * len(words)),
+g AS (SELECT rid, list(label) AS own, max(containment) AS best, count(*) AS n FROM m GROUP BY 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_base AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(own, []))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score, CAST(coalesce(n, 0) AS BIGINT) AS n_matches
+FROM b LEFT JOIN g USING (rid)
+""",
     "op1_vector_links": """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
