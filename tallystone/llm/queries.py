@@ -91,6 +91,12 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"), outputs)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallystone.llm.conversation_repair import repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.license_scan import license_scan
 
@@ -104,10 +110,67 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony, op12_license_scan, op13_filter_audit)
+    f.__name__: f for f in (op1_vector_links, op2_tag_paths, op3_label_shards, op4_packing, op5_token_counts, op6_toxicity, op7_quality, op8_ngram_join, op9_piece_codec, op10_telephony, op11_conversation_repair, op12_license_scan, op13_filter_audit)
 }
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crcs AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) AS r(i))),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS key
+  FROM conversations),
+hit AS (SELECT n.*, xor(list_reduce(key, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS kind FROM named AS n, crcs),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE kind <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM dam),
+fault AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \t-\r]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][ \t-\r]*\z') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM pos),
+ro AS (
+  SELECT conv_id, i, n, role, text, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more, left(role, 1) AS r FROM fault),
+tally AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM fault GROUP BY conv_id),
+f AS (
+  SELECT conv_id, n AS i, CAST(0 AS BIGINT) AS c0, CAST(6 AS BIGINT) AS cs, CAST(3 AS BIGINT) AS cu, CAST(0 AS BIGINT) AS ca FROM ro WHERE i = n
+  UNION ALL
+  SELECT conv_id, i, least(m0, least(mu, ma + 3) + 3), least(ms, least(mu, ma + 3) + 3), least(mu, ma + 3), least(ma, mu + 3) FROM (
+    SELECT f.conv_id, f.i - 1 AS i,
+      least(c0 + 4, CASE WHEN gone THEN 1000000 ELSE more + least(cu + 3, CASE r WHEN 's' THEN cs WHEN 'u' THEN cu ELSE 1000000 END) END) AS m0,
+      least(cs + 4, CASE WHEN gone THEN 1000000 ELSE more + least(cu + 3, CASE r WHEN 'u' THEN cu ELSE 1000000 END) END) AS ms,
+      least(cu + 4, CASE WHEN gone THEN 1000000 ELSE more + least(ca + 3, CASE r WHEN 'a' THEN ca ELSE 1000000 END) END) AS mu,
+      least(ca + 4, CASE WHEN gone THEN 1000000 ELSE more + least(cu + 3, CASE r WHEN 'u' THEN cu ELSE 1000000 END) END) AS ma
+    FROM f JOIN ro ON ro.conv_id IS NOT DISTINCT FROM f.conv_id AND ro.i = f.i) AS q),
+cells AS (SELECT conv_id, i, [c0, cs, cu, ca] AS c FROM f),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS texts FROM cells WHERE i = 0
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND s = 1 AND r = 's' THEN 2 ELSE nxt END, audit || e,
+    CASE e WHEN 'D' THEN texts WHEN 'K' THEN list_append(texts, role || ':' || text) ELSE list_append(texts, CASE WHEN nxt = 3 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, ro.role, ro.text, ro.r, CASE WHEN s = 3 THEN 4 ELSE 3 END AS nxt,
+      CASE WHEN b.c IS NOT NULL AND 4 + b.c[s] = a.c[s] THEN 'D' WHEN 3 + a.c[CASE WHEN s = 3 THEN 4 ELSE 3 END] = a.c[s] THEN 'I' WHEN b.c IS NULL THEN NULL
+        WHEN r = CASE WHEN s = 3 THEN 'a' ELSE 'u' END AND more + b.c[CASE WHEN s = 3 THEN 4 ELSE 3 END] = a.c[s] THEN 'K' WHEN r = 's' AND s = 1 AND more + b.c[2] = a.c[1] THEN 'K' ELSE 'R' END AS e
+    FROM walk AS w JOIN cells AS a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.i = w.i
+      LEFT JOIN cells AS b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i + 1
+      LEFT JOIN ro ON ro.conv_id IS NOT DISTINCT FROM w.conv_id AND ro.i = w.i + 1) AS q
+  WHERE e IS NOT NULL),
+done AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(texts, length(audit)) AS texts FROM walk GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+  sha256(array_to_string(coalesce(texts, []), chr(10))) AS repaired_sha256
+FROM ids LEFT JOIN tally ON tally.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN cells ON cells.conv_id IS NOT DISTINCT FROM ids.conv_id AND cells.i = 0
+""",
     "op12_license_scan": rf"""
 WITH t(label, words) AS (
   SELECT label, list_distinct(string_split(words, ' ')) FROM (VALUES {", ".join(f"('{label}', '{words}')" for label, words in TEMPLATES)}) AS v(label, words)),
