@@ -18,12 +18,17 @@ from tallystone.llm.common import Memo
 #: The settings under which words may be parted here (fixed values of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
-#: The last of the characters that are parted here.
+#: The last of the characters that are parted here. Of those up to it, capitals whose small letter lies beyond it are not.
 CERTAIN = 0x24F
 
 
+def _certain() -> list[str]:
+    known = [*range(0x20, 0x7F), *range(0xA1, CERTAIN + 1)]
+    return [*"\t\n\r", *(chr(c) for c in known if all(ord(x) <= CERTAIN for x in chr(c).lower()))]
+
+
 def _class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(0x21, CERTAIN + 1) if unicodedata.category(chr(c))[0] == kind)
+    return "".join(re.escape(c) for c in _certain() if unicodedata.category(c)[0] == kind)
 
 
 class WordIds:
@@ -45,7 +50,7 @@ class WordIds:
         letters, numbers = _class("L"), _class("N")
         # letters first: no other alternative begins with one
         self.find = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^ \t\n\r{letters}{numbers}]+").findall
-        self.certain = re.compile(rf"[\t\n\r\x20-\x7e\xa1-{chr(CERTAIN)}]*").fullmatch
+        self.certain = re.compile(f"[{''.join(map(re.escape, _certain()))}]*").fullmatch
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.model = self.library.model
         self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str

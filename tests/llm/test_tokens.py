@@ -55,6 +55,28 @@ def test_word_ids_equal_the_library(text):
     assert np.frombuffer(encode(text), "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_every_letter_equal_the_library():
+    """Each code point of the two-byte range and beyond, alone, between small letters, between capitals, and after a digit."""
+    encode = word_ids(WORDS)
+    for c in [*range(0x20, 0x800), *range(0x1E00, 0x2100), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800), 0x212A, 0x212B, 0xFB01, 0x1F642]:
+        x = chr(c)
+        for text in (x, f"ab{x}cd", f"AZ{x}RB", f"7{x} {x}", f"{x}'S {x}{x}"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids, (hex(c), text)
+
+
+@pytest.mark.parametrize("text", ["AZƏRBAYCAN", "Ɓauna da Ɗan", "Ɖevi Ƒe Ŋutsu", "İSTANBUL", "ȺȾɃɄɅ ƁƆ", "ǅ ǈ ǋ ǲ ẞ ß ſ"])
+def test_word_ids_of_capitals_that_lower_far_away(text):
+    encode = word_ids(WORDS)
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(min_codepoint=0x20, max_codepoint=0x260), max_size=30))
+def test_word_ids_of_two_byte_texts_equal_the_library(text):
+    encode = word_ids(WORDS)
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
+
+
 def test_spans_cover_the_source_bytes():
     codec = piece_codec(MODEL)
     text = "Hé the ▁x 中🙂 end."
