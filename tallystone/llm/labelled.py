@@ -7,8 +7,9 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def doc_crc(doc_id: Column) -> Column:
@@ -18,24 +19,28 @@ def doc_crc(doc_id: Column) -> Column:
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, class_bytes: int) -> list[tuple[str, int]]:
     """(text, label) of whole documents of either class, in the order of a hash of their id, among those where `learn` (over doc_id) holds and the label
-    is 0 or 1: at most `per_class`, and only while all together have at most `class_bytes` bytes.
+    is 0 or 1: at most `per_class`; each is taken if all taken so far and it have at most `class_bytes` bytes, and passed over otherwise.
 
     A document labelled twice counts as 1 if any label is 1; of texts that share an id, one is taken by a hash of the text. The bounds make what the
-    driver gathers the same for any input.
+    driver gathers the same for any input: first sizes of 2 * per_class documents, then the texts that were chosen.
     """
-    documents = documents.select("doc_id", "text")  # whatever else the caller's rows hold
+    documents = documents.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("hash"))  # whatever else the caller's rows hold
     known = labels.where(labels.doc_id.isNotNull() & labels[label].isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     ids = ids.coalesce(1)  # 2 * per_class rows
-    fitting = documents.where(F.octet_length("text") <= class_bytes)
-    texts = fitting.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("found"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    so_far = F.sum(F.octet_length("found.text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.withColumn("bytes", so_far).where(F.col("bytes") <= class_bytes).select("doc_id", "found.text", "label").collect()
-    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
+    found = documents.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("hash", F.octet_length("text").alias("bytes"))).alias("least"))
+    taken, left = [], {0: class_bytes, 1: class_bytes}
+    for r in found.select("doc_id", "label", "least.*", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").collect():
+        if r["bytes"] <= left[r["label"]]:
+            left[r["label"]] -= r["bytes"]
+            taken.append((r["doc_id"], r["hash"], r["label"]))
+    chosen = documents.sparkSession.createDataFrame(taken, StructType([documents.schema["doc_id"], documents.schema["hash"], StructField("label", IntegerType())]))
+    texts = documents.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
     return [(r["text"], r["label"]) for r in rows]
 
 

@@ -1,9 +1,13 @@
 """Operator 6: toxicity by bags of subwords.
 
-A word is the mean of the embeddings of its hashed character n-grams and of itself. A document's bag is the mean of its TOP words of largest margin, and a
-linear softmax over that mean gives its class: a label is of a whole document, and a few words anywhere in it decide. Embeddings and softmax are
-trained jointly in numpy; every round takes each document's bag by the margins so far (the first rounds, any words). FOLDS models are trained, each without a
-share of the documents, and their margins averaged. A model's rounds end when the loss of its own share no longer falls; the shares calibrate the score, in which either label counts half: labels are few, and a sample by label has not their share. Unseen misspellings share n-grams, and so vectors, with what was seen.
+A word is the mean of the embeddings of its hashed character n-grams and of itself. A document's bag is the average of all its words, each as often as it stands there, with
+weights exp(v . word) that are learnt jointly with embeddings and softmax: a label is of a whole document, and few of its words decide. A linear softmax
+over the bag gives the class. The average has no regard to length: the bag of joined texts lies between their bags, so its margin is never above the greatest of theirs, and a
+text repeated keeps its score.
+
+Embeddings, weights and softmax are trained in numpy, FOLDS models in as many tasks, each without a share of the documents; their margins are averaged. A model's rounds end
+when the loss of its own share no longer falls; the shares calibrate the score, in which either label counts half: labels are few, and a sample by label has not their
+share. Unseen misspellings share n-grams, and so vectors, with what was seen.
 
 Learned from at most `per_class` whole documents and `class_bytes` bytes of either label (labelled.sample). Scored: every whole text.
 
@@ -18,25 +22,25 @@ import math
 import re
 import zlib
 from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import Memo, map_texts
 from tallystone.llm.common import documents as view
 from tallystone.llm.labelled import logistic, sample
 
-BUCKETS, WIDTH = 1 << 17, 12
+BUCKETS, WIDTH = 1 << 17, 8
 SMALLEST, LARGEST = 3, 5
-#: Words of a bag, and the words before one among which a repetition adds nothing, so that a repeated word isn't an argument.
-TOP, NEAR = 4, 6
 #: Shares that documents are dealt into, and models whose margins are averaged, each of which leaves another share apart.
 SHARES, FOLDS = 4, 2
-#: Rounds at most, those with bags of any words, and those without a lower loss after which training ends.
-ROUNDS, BLIND, PATIENCE = 80, 4, 12
+#: Rounds at most, and those without a lower loss after which training ends.
+ROUNDS, PATIENCE = 30, 3
 BATCH, RATE, SOFTMAX_RATE = 64, 0.3, 0.1
 
 _words = re.compile(r"[^\s.,;:!?()\[\]\"«»]+").findall
@@ -47,51 +51,45 @@ def words(text: str) -> list[str]:
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of <word>, and of the word itself; a word of over 64 characters gives those of its n-grams alone."""
+    """Buckets of the n-grams of <word>, and of the word itself."""
     marked = f"<{word}>".encode("utf-16-le", "surrogatepass")
     size, crc = len(marked), zlib.crc32
     grams = [crc(marked[i : i + 2 * n]) % BUCKETS for n in range(SMALLEST, LARGEST + 1) for i in range(0, size - 2 * n + 1, 2)]
-    if len(word) <= 64:
-        grams.append(crc(marked) % BUCKETS)
+    grams.append(crc(marked) % BUCKETS)
     return grams
 
 
-def once(found: np.ndarray) -> np.ndarray:
-    """Which places don't repeat one of the NEAR before them."""
-    new = np.ones(len(found), bool)
-    for k in range(1, min(NEAR, len(found) - 1) + 1):
-        new[k:] &= found[k:] != found[:-k]
-    return new
-
-
-def bag_margin(margins: np.ndarray) -> float:
-    """The margin of the bag of the TOP largest; a bag of fewer words is filled up with words of none."""
-    if len(margins) > TOP:
-        margins = np.partition(margins, len(margins) - TOP)[-TOP:]
-    return float(margins.sum()) / TOP
+def bag_margin(counts: np.ndarray, weights: np.ndarray, margins: np.ndarray) -> float:
+    """The average of word margins, weighed by counts and the exponentials of weights; 0 without words."""
+    if not len(counts):
+        return 0.0
+    share = counts * np.exp(weights - weights.max())
+    return float(share @ margins / share.sum())
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """A word's share of the softmax margin is the mean of its buckets' `margins`; slope and constant make a score of the bag's margin."""
+    """heads: of every bucket the weight and the margin in each of the models, of which a word has the means; slope and constant make a score of the mean margin of a bag."""
 
-    margins: np.ndarray
+    heads: np.ndarray
     slope: float
     constant: float
 
     def scorer(self):
-        margins = self.margins.tolist()
+        rows, models = self.heads.tolist(), self.heads.shape[1] // 2
 
-        def of_word(word: str) -> float:
+        def of_word(word: str) -> tuple[float, ...]:
             grams = subwords(word)
-            return sum(map(margins.__getitem__, grams)) / len(grams)
+            return tuple(sum(column) / len(grams) for column in zip(*map(rows.__getitem__, grams), strict=True))
 
         memo = Memo(of_word)
 
         def score(text: str) -> float:
-            found = words(text)
-            held = np.fromiter(map(memo.__getitem__, found), "f8", len(found))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * bag_margin(held[once(held)]) + self.constant))))
+            found = Counter(words(text))
+            counts = np.fromiter(found.values(), "f8", len(found))
+            held = np.array([memo[w] for w in found]).reshape(-1, 2 * models)
+            margin = sum(bag_margin(counts, held[:, 2 * k], held[:, 2 * k + 1]) for k in range(models)) / models
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.constant))))
 
         return score
 
@@ -103,23 +101,26 @@ class Vocabulary:
         self.ids: dict[str, int] = {}
         self.flat, self.sizes = array("i"), array("i")
 
-    def __call__(self, text: str) -> np.ndarray:
-        found = []
-        for word in words(text):
-            at = self.ids.get(word)
-            if at is None:
-                at = self.ids[word] = len(self.ids)
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of a text and how often each stands there."""
+        counts = Counter(words(text))
+        for word in counts:
+            if word not in self.ids:
+                self.ids[word] = len(self.ids)
                 grams = subwords(word)
                 self.flat.extend(grams)
                 self.sizes.append(len(grams))
-            found.append(at)
-        ids = np.array(found, "i8")
-        return ids[once(ids)]
+        return np.fromiter(map(self.ids.__getitem__, counts), "i4", len(counts)), np.fromiter(counts.values(), "f4", len(counts))
+
 
+def begins(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin, one after another."""
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("i8")
 
-def segments(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+
+def segments(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs of a flat array, one run after another."""
-    return np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    return np.repeat(starts - begins(sizes), sizes) + np.arange(sizes.sum())
 
 
 def balanced(labels: np.ndarray) -> np.ndarray:
@@ -129,113 +130,154 @@ def balanced(labels: np.ndarray) -> np.ndarray:
 
 def log_loss(margins: np.ndarray, labels: np.ndarray) -> float:
     """Of balanced classes, after the best slope and constant."""
-    weight = balanced(labels)
-    slope, constant = logistic(margins, labels, weight, ridge=0.05)
-    z = np.clip(slope * margins + constant, -30, 30)
+    weight, scale = balanced(labels), float(margins.std()) or 1.0
+    slope, constant = logistic(margins / scale, labels, weight, ridge=0.05)
+    z = np.clip(slope * margins / scale + constant, -30, 30)
     return float((weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - labels * z)).mean())
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, held: list[np.ndarray], held_labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray, least_documents: int, seed: int) -> np.ndarray:
-    """The margin of every bucket, E @ (w1 - w0), after joint training of embeddings E and softmax weights by Adagrad."""
+class Batch:
+    """Some documents as pairs (document, word of the batch) with counts, and the buckets of its words; both also in the order in which their gradients are added up."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray):
+        lengths = np.array([len(w) for w, _ in docs])
+        found, at = np.unique(np.concatenate([w for w, _ in docs]), return_inverse=True)
+        self.labels, self.first = labels, begins(lengths)
+        self.word, self.count = at.astype("i4"), np.concatenate([c for _, c in docs])
+        self.doc = np.repeat(np.arange(len(docs), dtype="i4"), lengths)
+        self.by_word = np.argsort(self.word, kind="stable").astype("i4")
+        self.word_first = np.searchsorted(self.word[self.by_word], np.arange(len(found)))
+        self.sizes = sizes[found]
+        self.gram = flat[segments(starts[found], self.sizes)]
+        self.gram_first = begins(self.sizes)
+        order = np.argsort(self.gram, kind="stable")
+        self.used, self.used_first = np.unique(self.gram[order], return_index=True)
+        self.gram_word = np.repeat(np.arange(len(found), dtype="i4"), self.sizes)[order]
+
+    def gradients(self, e: np.ndarray, v: np.ndarray, w: np.ndarray, bias: np.ndarray, share: np.ndarray):
+        """Of the weighed mean log loss, by the embeddings of used buckets, v, w and bias."""
+        each = np.add.reduceat(e[self.gram], self.gram_first) / self.sizes[:, None]
+        weight = (each @ v)[self.word]
+        part = self.count * np.exp(weight - np.maximum.reduceat(weight, self.first)[self.doc])
+        part /= np.add.reduceat(part, self.first)[self.doc]
+        of_pair = each[self.word]
+        bag = np.add.reduceat(part[:, None] * of_pair, self.first)
+        z = bag @ w + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(p)), self.labels] -= 1
+        g = (p * share[self.labels][:, None] / len(p)).astype("f4")
+        by_bag = (g @ w.T)[self.doc]
+        by_weight = part * ((of_pair - bag[self.doc]) * by_bag).sum(1)
+        by_each = np.add.reduceat((part[:, None] * by_bag + by_weight[:, None] * v)[self.by_word], self.word_first) / self.sizes[:, None]
+        return np.add.reduceat(by_each[self.gram_word], self.used_first), by_weight @ of_pair, bag.T @ g, g.sum(0)
+
+
+def train(docs: list, labels: np.ndarray, held: list, held_labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray, least_documents: int, seed: int) -> np.ndarray:
+    """The weight and margin of every bucket after joint training of embeddings E, weights v and softmax w by Adagrad: E @ v and E @ (w1 - w0)."""
     rng = np.random.default_rng(seed)
-    e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype("f4")
-    w = rng.uniform(-1, 1, (WIDTH, 2)).astype("f4")
-    bias, e_sq, w_sq, b_sq = np.zeros(2, "f4"), np.full(BUCKETS, 1e-6, "f4"), np.full(w.shape, 1e-6, "f4"), np.full(2, 1e-6, "f4")
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    seen = np.zeros(BUCKETS, "i4")
-    for d in docs:
-        distinct = np.unique(d)
-        seen[np.unique(flat[segments(begins[distinct], sizes[distinct])])] += 1
-    known = (seen >= least_documents).astype("f4")
+    starts, seen = begins(sizes), np.zeros(BUCKETS, "i4")
+    for d, _ in docs:
+        seen[np.unique(flat[segments(starts[d], sizes[d])])] += 1
+    known = (seen >= least_documents).astype("f4")[:, None]
+    e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype("f4") * known
+    w, v, bias = rng.uniform(-1, 1, (WIDTH, 2)).astype("f4"), np.zeros(WIDTH, "f4"), np.zeros(2, "f4")
+    e_sq, v_sq, w_sq, b_sq = (np.full(n, 1e-6, "f4") for n in (BUCKETS, v.shape, w.shape, 2))
     share = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)]) * len(labels)
-    best, best_loss, since = np.zeros(BUCKETS, "f4"), math.inf, 0
-    for r in range(ROUNDS):
-        per_word = np.add.reduceat((e @ (w[:, 1] - w[:, 0]) * known)[flat], begins) / sizes
-        bags = []
-        for d in docs:
-            if r < BLIND:
-                at = rng.integers(0, max(1, len(d) - TOP + 1))
-                bags.append(d[at : at + TOP])
-            else:
-                bags.append(d[np.argpartition(per_word[d], len(d) - TOP)[-TOP:]] if len(d) > TOP else d)
-        order = rng.permutation([i for i, b in enumerate(bags) if len(b)])
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            lengths = np.array([len(bags[i]) for i in part])
-            word = np.concatenate([bags[i] for i in part])
-            each = sizes[word]
-            gram = flat[segments(begins[word], each)]
-            weight = (np.repeat(1 / each / TOP, each) * known[gram]).astype("f4")
-            first_word = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            first_gram = np.concatenate([[0], np.cumsum(each)[:-1]])[first_word]
-            h = np.add.reduceat(e[gram] * weight[:, None], first_gram)
-            z = h @ w + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            y = labels[part]
-            g = p
-            g[np.arange(len(part)), y] -= 1
-            g = (g * share[y][:, None] / len(part)).astype("f4")
-            gh, gw, gb = g @ w.T, h.T @ g, g.sum(0)
-            by_gram = np.argsort(gram, kind="stable")
-            used, first_use = np.unique(gram[by_gram], return_index=True)
-            ge = np.add.reduceat(np.repeat(np.repeat(gh, lengths, 0), each, 0)[by_gram] * weight[by_gram, None], first_use)
-            e_sq[used] += (ge * ge).mean(1)
-            e[used] -= RATE * ge / np.sqrt(e_sq[used])[:, None]
+    order = rng.permutation([i for i, d in enumerate(docs) if len(d[0])])
+    parts = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+    batches = [Batch([docs[i] for i in part], labels[part], flat, sizes, starts) for part in parts]
+    best, best_loss, since = np.zeros((BUCKETS, 2), "f4"), math.inf, 0
+    for _ in range(ROUNDS):
+        for at in rng.permutation(len(batches)):
+            batch = batches[at]
+            ge, gv, gw, gb = batch.gradients(e, v, w, bias, share)
+            ge *= known[batch.used]
+            e_sq[batch.used] += (ge * ge).mean(1)
+            e[batch.used] -= RATE * ge / np.sqrt(e_sq[batch.used])[:, None]
+            v_sq += gv * gv
+            v -= SOFTMAX_RATE * gv / np.sqrt(v_sq)
             w_sq += gw * gw
             w -= SOFTMAX_RATE * gw / np.sqrt(w_sq)
             b_sq += gb * gb
             bias -= SOFTMAX_RATE * gb / np.sqrt(b_sq)
-        if r >= BLIND:
-            now = e @ (w[:, 1] - w[:, 0]) * known
-            per_word = np.add.reduceat(now[flat], begins) / sizes
-            loss = log_loss(np.array([bag_margin(per_word[d]) for d in held]), held_labels)
-            since += 1
-            if loss < best_loss:
-                best, best_loss, since = now, loss, 0
-            elif since >= PATIENCE:
-                break
+        now = e @ np.stack([v, w[:, 1] - w[:, 0]], 1)
+        loss = log_loss(bag_margins(held, now, flat, sizes), held_labels)
+        since += 1
+        if loss < best_loss:
+            best, best_loss, since = now, loss, 0
+        elif since >= PATIENCE:
+            break
     return best.astype("f8")
 
 
-def fit_rows(rows: list[tuple[str, int]], least_documents: int = 4) -> ToxicityModel:
-    """least_documents: a bucket that fewer training documents hold has no embedding, as what one document alone has would be learned by heart."""
-    ones = sum(y for _, y in rows)
-    if not rows or ones in (0, len(rows)):
-        share = min(max(ones / len(rows), 0.01), 0.99) if rows else 0.01
-        return ToxicityModel(np.zeros(BUCKETS), 0.0, math.log(share / (1 - share)))
+def bag_margins(docs: list[tuple[np.ndarray, np.ndarray]], heads: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    per_word = np.add.reduceat(heads[flat], begins(sizes)) / sizes[:, None]
+    return np.array([bag_margin(c, per_word[d, 0], per_word[d, 1]) for d, c in docs])
+
+
+def shares_of(labels: np.ndarray) -> np.ndarray:
+    """Each label is dealt evenly."""
+    turn = np.zeros(len(labels), "i8")
+    for y in (0, 1):
+        turn[labels == y] = np.arange((labels == y).sum()) % SHARES
+    return turn
+
+
+def train_fold(rows: list[tuple[str, int]], fold: int, least_documents: int) -> tuple[np.ndarray, list[int], list[float]]:
+    """The heads of a model that leaves share `fold` apart, the places of that share, and the margins of its bags. With few documents of a label none is left apart."""
     vocabulary = Vocabulary()
     docs, labels = [vocabulary(t) for t, _ in rows], np.array([y for _, y in rows])
     flat, sizes = np.frombuffer(vocabulary.flat, "i4"), np.frombuffer(vocabulary.sizes, "i4").astype("i8")
-    if not len(flat):
-        return ToxicityModel(np.zeros(BUCKETS), 0.0, math.log(ones / (len(rows) - ones)))
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    turn = np.zeros(len(rows), "i8")  # each label is dealt evenly
-    for y in (0, 1):
-        turn[labels == y] = np.arange((labels == y).sum()) % SHARES
-    margins, margin, tried = np.zeros(BUCKETS), np.zeros(len(rows)), []
-    for fold in range(FOLDS):
-        apart = np.nonzero(turn == fold)[0] if min(ones, len(rows) - ones) >= 2 * SHARES else np.arange(len(rows))
-        tried.append(apart)
-        rest = np.setdiff1d(np.arange(len(rows)), apart) if len(apart) < len(rows) else apart
-        own = train([docs[i] for i in rest], labels[rest], [docs[i] for i in apart], labels[apart], flat, sizes, least_documents, fold)
-        per_word = np.add.reduceat(own[flat], begins) / sizes
-        margin[apart] = [bag_margin(per_word[docs[i]]) for i in apart]
-        margins += own / FOLDS
-    tried = np.concatenate(tried)
-    scale = float(margin[tried].std()) or 1.0
-    slope, constant = logistic(margin[tried] / scale, labels[tried], balanced(labels[tried]), ridge=0.05)
-    return ToxicityModel(margins, float(slope / scale), float(constant))
+    everyone = np.arange(len(rows))
+    apart = everyone[shares_of(labels) == fold] if min(labels.sum(), (1 - labels).sum()) >= 2 * SHARES else everyone
+    rest = np.setdiff1d(everyone, apart) if len(apart) < len(rows) else apart
+    held = [docs[i] for i in apart]
+    heads = train([docs[i] for i in rest], labels[rest], held, labels[apart], flat, sizes, least_documents, fold)
+    return heads, apart.tolist(), bag_margins(held, heads, flat, sizes).tolist()
+
+
+def train_in_tasks(spark: SparkSession, rows: list[tuple[str, int]], least_documents: int) -> list[tuple[np.ndarray, list[int], list[float]]]:
+    """train_fold of every fold, each in a task of its own; the rows, bounded by the sample, are broadcast."""
+    held = spark.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold in batch.column("id").to_pylist():
+                heads, apart, margins = train_fold(held.value, fold, least_documents)
+                yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([heads.tobytes()]), pa.array([apart]), pa.array([margins])], ["fold", "heads", "apart", "margins"])
+
+    found = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "fold long, heads binary, apart array<long>, margins array<double>").collect()
+    held.destroy()
+    return [(np.frombuffer(r["heads"]).reshape(BUCKETS, 2), r["apart"], r["margins"]) for r in sorted(found)]
+
+
+def fit_rows(rows: list[tuple[str, int]], least_documents: int = 4, spark: SparkSession | None = None) -> ToxicityModel:
+    """least_documents: a bucket that fewer training documents hold has no embedding, as what one document alone has would be learned by heart. Without a session the
+    folds are trained here, one after another."""
+    ones = sum(y for _, y in rows)
+    if not rows or ones in (0, len(rows)):
+        share = min(max(ones / len(rows), 0.01), 0.99) if rows else 0.01
+        return ToxicityModel(np.zeros((BUCKETS, 2)), 0.0, math.log(share / (1 - share)))
+    if not any(words(t) for t, _ in rows):
+        return ToxicityModel(np.zeros((BUCKETS, 2)), 0.0, math.log(ones / (len(rows) - ones)))
+    folds = train_in_tasks(spark, rows, least_documents) if spark else [train_fold(rows, k, least_documents) for k in range(FOLDS)]
+    labels = np.array([y for _, y in rows])
+    tried, margin = (np.concatenate([f[i] for f in folds]) for i in (1, 2))
+    tried = tried.astype("i8")
+    scale = float(margin.std()) or 1.0
+    slope, constant = logistic(margin / scale, labels[tried], balanced(labels[tried]), ridge=0.05)
+    return ToxicityModel(np.concatenate([f[0] for f in folds], 1), float(slope / scale), float(constant))
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 2000, class_bytes: int = 24 << 20, least_documents: int = 4) -> ToxicityModel:
     """learn: which labels may be used, over doc_id. least_documents: as in fit_rows."""
-    return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes), least_documents)
+    return fit_rows(sample(documents, labels, label, learn, per_class, class_bytes), least_documents, documents.sparkSession)
 
 
 def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, the text (null: empty) if keep_text, score double (0 to 1, higher: label 1 likelier)."""
-    held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: a number for each bucket
+    held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: a few numbers for each bucket
 
     def make():
         score = held.value.scorer()

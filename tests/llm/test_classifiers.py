@@ -27,7 +27,7 @@ def _held_out(spark, module, label, mod, rest, threshold):
 @needs_data
 def test_toxicity_held_out(spark):
     y, p = _held_out(spark, subword_toxicity, "toxic", 3, 1, 0.7)
-    assert p[y == 1].mean() >= 0.9 and p[y == 0].mean() < 0.01  # one in twenty of the label's documents holds no toxic word at all
+    assert p[y == 1].mean() >= 0.9 and p[y == 0].mean() < 0.005  # one in twenty of the label's documents holds no toxic word at all
 
 
 @needs_data
@@ -47,17 +47,108 @@ def test_misspellings_share_vectors():
     assert score(clean + " pathetick worthles") > score(clean + " gardens summers") + 0.2
 
 
-def test_a_score_is_the_mean_margin_of_the_worst_words_by_plain_loops():
+def plain_score(model, text):
+    """By plain loops: every word as often as it stands there."""
+    found, total = subword_toxicity.words(text), 0.0
+    models = model.heads.shape[1] // 2
+    for k in range(models if found else 0):
+        above = below = 0.0
+        for w in found:
+            grams = subword_toxicity.subwords(w)
+            weight, margin = (sum(model.heads[g, 2 * k + i] for g in grams) / len(grams) for i in (0, 1))
+            above, below = above + np.exp(weight) * margin, below + np.exp(weight)
+        total += above / below / models
+    return 1 / (1 + np.exp(-model.slope * total - model.constant))
+
+
+def test_a_score_is_of_the_whole_bag_by_plain_loops():
     rng = np.random.default_rng(4)
-    model = subword_toxicity.ToxicityModel(rng.standard_normal(subword_toxicity.BUCKETS), 2.0, -1.0)
+    model = subword_toxicity.ToxicityModel(rng.standard_normal((subword_toxicity.BUCKETS, 4)), 2.0, -1.0)
+    score = model.scorer()
+    for text in ("", "one", "Some words, of which (some) words repeat some words", "a b c d e f g h i j k l m n a b c " * 40, "x" * 300 + " y"):
+        assert abs(score(text) - plain_score(model, text)) < 1e-9
+
+
+def test_score_has_no_regard_to_length():
+    """A text repeated keeps its score, and joined texts lie between theirs (of one model)."""
+    rng = np.random.default_rng(5)
+    model = subword_toxicity.ToxicityModel(rng.standard_normal((subword_toxicity.BUCKETS, 2)) * 3, 4.0, -1.0)
     score = model.scorer()
-    for text in ("", "one", "Some words, of which (some) words repeat some words", "a b c d e f g h i j k l m n a b c " * 40):
-        found = subword_toxicity.words(text)
-        new = [w for i, w in enumerate(found) if w not in found[max(0, i - subword_toxicity.NEAR) : i]]
-        grams = [subword_toxicity.subwords(w) for w in new]
-        margins = sorted((sum(model.margins[g] for g in gs) / len(gs) for gs in grams), reverse=True)[: subword_toxicity.TOP]
-        z = sum(margins) / subword_toxicity.TOP
-        assert abs(score(text) - 1 / (1 + np.exp(1 - 2 * z))) < 1e-9
+    texts = [" ".join(f"w{rng.integers(500)}" for _ in range(rng.integers(1, 80))) for _ in range(60)]
+    assert all(abs(score(t) - score(" ".join([t] * 50))) < 1e-9 for t in texts)
+    assert min(map(score, texts)) <= score("\n".join(texts)) <= max(map(score, texts))
+
+
+@needs_data
+def test_joined_clean_documents_stay_clean(spark):
+    """Held-out clean documents, each clean alone, joined to 500 KB and more; one with toxic words all along is still caught."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = doc_crc(F.col("doc_id")) % 3 == 1
+    score = subword_toxicity.fit(docs, labels, ~held).scorer()
+    rows = docs.join(labels.where(held & F.col("toxic").isin(0, 1)), "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    clean = [r.text for r in rows if r.toxic == 0 and r.text and score(r.text) < 0.7]
+    for n in (1, 50, 200, 400, len(clean)):
+        assert score("\n".join(clean[:n])) < 0.3
+    assert len("\n".join(clean[:400]).encode()) > 500_000
+    assert score("\n".join(t + " you worthless pathetic idiot and moron" for t in clean[:300])) > 0.7
+
+
+def test_training_equals_plain_loops(monkeypatch):
+    """Two rounds of the trainer against loops over documents, words and buckets."""
+    st = subword_toxicity
+    monkeypatch.setattr(st, "BUCKETS", 97)
+    monkeypatch.setattr(st, "ROUNDS", 2)
+    monkeypatch.setattr(st, "BATCH", 3)
+    texts = [("a bad bad word here", 1), ("good words are here", 0), ("bad people", 1), ("nice good people and words", 0), ("the bad the good", 1), ("here", 0), ("", 0), ("good the good", 0)]
+    vocabulary = st.Vocabulary()
+    docs, labels = [vocabulary(t) for t, _ in texts], np.array([y for _, y in texts])
+    flat, sizes = np.frombuffer(vocabulary.flat, "i4"), np.frombuffer(vocabulary.sizes, "i4").astype("i8")
+    found = st.train(docs, labels, docs, labels, flat, sizes, 2, 7)
+
+    rng = np.random.default_rng(7)
+    grams = [[st.subwords(w) for w in st.words(t)] for t, _ in texts]
+    known = [len({i for i, d in enumerate(grams) if any(b in g for g in d)}) >= 2 for b in range(97)]
+    e = rng.uniform(-1 / st.WIDTH, 1 / st.WIDTH, (97, st.WIDTH)).astype("f4").astype("f8") * np.array(known)[:, None]
+    w, v, bias = rng.uniform(-1, 1, (st.WIDTH, 2)).astype("f4").astype("f8"), np.zeros(st.WIDTH), np.zeros(2)
+    e_sq, v_sq, w_sq, b_sq = np.full(97, 1e-6), np.full(st.WIDTH, 1e-6), np.full((st.WIDTH, 2), 1e-6), np.full(2, 1e-6)
+    share = [0.5 / (labels == k).sum() * len(labels) for k in (0, 1)]
+    order = rng.permutation([i for i, d in enumerate(grams) if d])
+    parts, best = [order[k : k + 3] for k in range(0, len(order), 3)], None
+    for _ in range(2):
+        for at in rng.permutation(len(parts)):
+            ge, gv, gw, gb = np.zeros_like(e), np.zeros_like(v), np.zeros_like(w), np.zeros_like(bias)
+            for i in parts[at]:
+                each = [np.mean([e[b] for b in g], 0) for g in grams[i]]
+                a = np.exp([v @ x for x in each])
+                a = a / a.sum()
+                bag = sum(x * k for x, k in zip(each, a, strict=True))
+                p = np.exp(bag @ w + bias)
+                p = p / p.sum() - np.eye(2)[labels[i]]
+                g = p * share[labels[i]] / len(parts[at])
+                gb, gw = gb + g, gw + np.outer(bag, g)
+                for x, k, buckets in zip(each, a, grams[i], strict=True):
+                    turn = k * ((x - bag) @ (w @ g))
+                    gv = gv + turn * x
+                    for b in buckets:
+                        ge[b] += (k * (w @ g) + turn * v) / len(buckets)
+            used = np.unique([b for i in parts[at] for g in grams[i] for b in g])
+            ge *= np.array(known)[:, None]
+            e_sq[used] += (ge[used] ** 2).mean(1)
+            e[used] -= st.RATE * ge[used] / np.sqrt(e_sq[used])[:, None]
+            for x, sq, g in ((v, v_sq, gv), (w, w_sq, gw), (bias, b_sq, gb)):
+                sq += g * g
+                x -= st.SOFTMAX_RATE * g / np.sqrt(sq)
+        heads = e @ np.stack([v, w[:, 1] - w[:, 0]], 1)
+        loss = st.log_loss(np.array([np.log(0 + 1) if not d else float(np.average([np.mean([heads[b, 1] for b in g]) for g in d], weights=np.exp([np.mean([heads[b, 0] for b in g]) for g in d]))) for d in grams]), labels)
+        if best is None or loss < best[0]:
+            best = loss, heads
+    assert np.abs(found - best[1]).max() < 2e-3 and np.abs(found).max() > 0.1
+
+
+def test_folds_train_alike_in_tasks(spark):
+    rows = [(f"clean words number {i % 17} and more", 0) for i in range(40)] + [(f"a nasty insult {i % 13} here", 1) for i in range(40)]
+    here, there = subword_toxicity.fit_rows(rows), subword_toxicity.fit_rows(rows, spark=spark)
+    assert (here.heads == there.heads).all() and (here.slope, here.constant) == (there.slope, there.constant)
 
 
 def test_isotonic_fit_equals_brute_force():
@@ -100,6 +191,8 @@ def test_sample_is_bounded_and_obeys_the_rule(spark):
     learn = doc_crc(F.col("doc_id")) % 3 != 1
     rows = sample(docs, labels, "toxic", learn, 20, 1 << 20)
     assert len(rows) == 40 and sum(y for _, y in rows) == 20 and all(t.startswith("text") and len(t) >= 300 for t, _ in rows)
+    large = docs.unionByName(spark.range(0, 300, 2).selectExpr("id as doc_id", "repeat('long text ', 1000) as text"))  # half of the texts with an even id don't fit
+    assert {y: sum(z == y for _, z in sample(large.groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text")), labels, "toxic", learn, 300, 5000)) for y in (0, 1)}[1] >= 10
     assert {y: sum(z == y for _, z in sample(docs, labels, "toxic", learn, 20, 1200)) for y in (0, 1)} in ({0: 2, 1: 2}, {0: 3, 1: 3}, {0: 2, 1: 3}, {0: 3, 1: 2})
     repeated = docs.unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(300)], "doc_id long, text string"))
     assert sample(repeated, labels, "toxic", learn, 20, 1 << 20) == sample(repeated.repartition(7), labels, "toxic", learn, 20, 1 << 20)
