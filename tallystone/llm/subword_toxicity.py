@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import Memo, map_texts
+from tallystone.llm.common import map_texts
 from tallystone.llm.common import documents as view
 from tallystone.llm.labelled import logistic, sample
 
@@ -43,6 +43,11 @@ SHARES, FOLDS = 4, 2
 ROUNDS, PATIENCE = 30, 3
 BATCH, RATE, SOFTMAX_RATE = 64, 0.3, 0.1
 
+#: Factor of the n-grams' hash.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of texts whose new words are looked up at once, and words that a task remembers.
+TOGETHER, REMEMBERED = 1 << 19, 150_000
+
 _words = re.compile(r"[^\s.,;:!?()\[\]\"«»]+").findall
 
 
@@ -50,13 +55,29 @@ def words(text: str) -> list[str]:
     return _words(text.lower())
 
 
+def all_subwords(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words, one word after another, and how many each has: of the n-grams of the word between marks, and of the word itself. A mark is a sign that
+    no word has."""
+    codes = np.frombuffer("".join([f".{w}." for w in found]).encode("utf-16-le", "surrogatepass"), "<u2").astype("u8")
+    marks = np.flatnonzero(codes == ord("."))
+    first, sizes = marks[0::2], marks[1::2] - marks[0::2] + 1
+    buckets, of_word = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in found], "i4")], [np.arange(len(found), dtype="i4")]
+    with np.errstate(over="ignore"):
+        for n in range(SMALLEST, LARGEST + 1):
+            counts = np.maximum(sizes - n + 1, 0)
+            at = segments(first, counts)
+            h = np.full(len(at), n, "u8")
+            for k in range(n):
+                h = (h + codes[at + k]) * ODD
+                h ^= h >> np.uint64(29)
+            buckets.append(((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype("i4"))
+            of_word.append(np.repeat(np.arange(len(found), dtype="i4"), counts))
+    owner = np.concatenate(of_word)
+    return np.concatenate(buckets)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(found))
+
+
 def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of <word>, and of the word itself."""
-    marked = f"<{word}>".encode("utf-16-le", "surrogatepass")
-    size, crc = len(marked), zlib.crc32
-    grams = [crc(marked[i : i + 2 * n]) % BUCKETS for n in range(SMALLEST, LARGEST + 1) for i in range(0, size - 2 * n + 1, 2)]
-    grams.append(crc(marked) % BUCKETS)
-    return grams
+    return all_subwords([word])[0].tolist()
 
 
 def bag_margin(counts: np.ndarray, weights: np.ndarray, margins: np.ndarray) -> float:
@@ -75,23 +96,49 @@ class ToxicityModel:
     slope: float
     constant: float
 
-    def scorer(self):
-        rows, models = self.heads.tolist(), self.heads.shape[1] // 2
+    def word_rows(self, found: list[str]) -> list[bytes]:
+        """Each word's weights and margins, as bytes."""
+        flat, sizes = all_subwords(found)
+        rows = (np.add.reduceat(self.heads[flat], begins(sizes)) / sizes[:, None]).tobytes()
+        width = 8 * self.heads.shape[1]
+        return [rows[i : i + width] for i in range(0, len(rows), width)]
 
-        def of_word(word: str) -> tuple[float, ...]:
-            grams = subwords(word)
-            return tuple(sum(column) / len(grams) for column in zip(*map(rows.__getitem__, grams), strict=True))
-
-        memo = Memo(of_word)
-
-        def score(text: str) -> float:
-            found = Counter(words(text))
-            counts = np.fromiter(found.values(), "f8", len(found))
-            held = np.array([memo[w] for w in found]).reshape(-1, 2 * models)
-            margin = sum(bag_margin(counts, held[:, 2 * k], held[:, 2 * k + 1]) for k in range(models)) / models
+    def scorer(self):
+        """A function from texts to their scores. It remembers words in two generations: at REMEMBERED words they become the old one, from which those that are met again
+        come back, and the one before is dropped."""
+        known: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
+        models = self.heads.shape[1] // 2
+
+        def of_words(found: list[str]) -> float:
+            held = np.frombuffer(b"".join(map(known.__getitem__, found))).reshape(-1, 2 * models)
+            ones = np.ones(len(found))
+            margin = sum(bag_margin(ones, held[:, 2 * k], held[:, 2 * k + 1]) for k in range(models)) / models
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.constant))))
 
-        return score
+        def together(texts: list[str]) -> list[float]:
+            nonlocal known, old
+            if len(known) >= REMEMBERED:
+                known, old = {}, known
+            found = [words(t) for t in texts]
+            new = set().union(*found).difference(known)
+            known.update((w, old[w]) for w in new.intersection(old))
+            new = list(new.difference(old))
+            if new:
+                known.update(zip(new, self.word_rows(new), strict=True))
+            return [of_words(f) for f in found]
+
+        def scores(texts: list[str]) -> list[float]:
+            out: list[float] = []
+            at = size = 0
+            for i, text in enumerate(texts):
+                size += len(text)
+                if size >= TOGETHER or i + 1 == len(texts):
+                    out += together(texts[at : i + 1])
+                    at, size = i + 1, 0
+            return out
+
+        return scores
 
 
 class Vocabulary:
@@ -104,12 +151,12 @@ class Vocabulary:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct words of a text and how often each stands there."""
         counts = Counter(words(text))
-        for word in counts:
-            if word not in self.ids:
-                self.ids[word] = len(self.ids)
-                grams = subwords(word)
-                self.flat.extend(grams)
-                self.sizes.append(len(grams))
+        new = [w for w in counts if w not in self.ids]
+        if new:
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            flat, sizes = all_subwords(new)
+            self.flat.frombytes(flat.tobytes())
+            self.sizes.frombytes(sizes.astype("i4").tobytes())
         return np.fromiter(map(self.ids.__getitem__, counts), "i4", len(counts)), np.fromiter(counts.values(), "f4", len(counts))
 
 
@@ -280,8 +327,8 @@ def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", tex
     held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: a few numbers for each bucket
 
     def make():
-        score = held.value.scorer()
-        return lambda texts: [pa.array(map(score, texts), pa.float64())]
+        scores = held.value.scorer()
+        return lambda texts: [pa.array(scores(texts), pa.float64())]
 
     return map_texts(view(df, id_col, text_col), make, "score double", keep_text)
 

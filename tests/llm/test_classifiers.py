@@ -41,12 +41,30 @@ def test_misspellings_share_vectors():
     rng = np.random.default_rng(2)
     plain = ["table", "window", "garden", "letter", "summer", "river", "paper", "music"]
     rows = [(" ".join(rng.choice(plain, 40)) + (" " + bad[i % 3] + " " + bad[i % 2] if i % 2 else ""), i % 2) for i in range(200)]
-    score = subword_toxicity.fit_rows(rows).scorer()
+    score = one(subword_toxicity.fit_rows(rows))
     clean = " ".join(plain)
     assert score(clean) < 0.5 < score(clean + " idiot pathetic")
     assert score(clean + " pathetick worthles") > score(clean + " gardens summers") + 0.2
 
 
+def one(model):
+    scores = model.scorer()
+    return lambda text: scores([text])[0]
+
+
+def test_subwords_by_plain_loops():
+    """As many buckets as n-grams and the word; equal n-grams have equal ones, wherever they stand."""
+    st = subword_toxicity
+    words = ["a", "abc", "x" * 200, "🙂é中", "abcabc", "<b>"]
+    flat, sizes = st.all_subwords(words)
+    at = 0
+    for w, n in zip(words, sizes, strict=True):
+        units = len(w.encode("utf-16-le")) // 2 + 2
+        assert n == 1 + sum(max(0, units - k + 1) for k in (3, 4, 5)) and st.subwords(w) == flat[at : at + n].tolist()
+        at += n
+    assert len({*st.subwords("x" * 200)}) <= 12 and len({*st.subwords("abcdefgh")} & {*st.subwords("xabcdefy")}) >= 6
+
+
 def plain_score(model, text):
     """By plain loops: every word as often as it stands there."""
     found, total = subword_toxicity.words(text), 0.0
@@ -64,7 +82,7 @@ def plain_score(model, text):
 def test_a_score_is_of_the_whole_bag_by_plain_loops():
     rng = np.random.default_rng(4)
     model = subword_toxicity.ToxicityModel(rng.standard_normal((subword_toxicity.BUCKETS, 4)), 2.0, -1.0)
-    score = model.scorer()
+    score = one(model)
     for text in ("", "one", "Some words, of which (some) words repeat some words", "a b c d e f g h i j k l m n a b c " * 40, "x" * 300 + " y"):
         assert abs(score(text) - plain_score(model, text)) < 1e-9
 
@@ -73,7 +91,7 @@ def test_score_has_no_regard_to_length():
     """A text repeated keeps its score, and joined texts lie between theirs (of one model)."""
     rng = np.random.default_rng(5)
     model = subword_toxicity.ToxicityModel(rng.standard_normal((subword_toxicity.BUCKETS, 2)) * 3, 4.0, -1.0)
-    score = model.scorer()
+    score = one(model)
     texts = [" ".join(f"w{rng.integers(500)}" for _ in range(rng.integers(1, 80))) for _ in range(60)]
     assert all(abs(score(t) - score(" ".join([t] * 50))) < 1e-9 for t in texts)
     assert min(map(score, texts)) <= score("\n".join(texts)) <= max(map(score, texts))
@@ -84,7 +102,7 @@ def test_joined_clean_documents_stay_clean(spark):
     """Held-out clean documents, each clean alone, joined to 500 KB and more; one with toxic words all along is still caught."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = doc_crc(F.col("doc_id")) % 3 == 1
-    score = subword_toxicity.fit(docs, labels, ~held).scorer()
+    score = one(subword_toxicity.fit(docs, labels, ~held))
     rows = docs.join(labels.where(held & F.col("toxic").isin(0, 1)), "doc_id").orderBy("doc_id").select("text", "toxic").collect()
     clean = [r.text for r in rows if r.toxic == 0 and r.text and score(r.text) < 0.7]
     for n in (1, 50, 200, 400, len(clean)):
