@@ -1,4 +1,4 @@
-"""As-of joins: each left row gets the last right row at or before its time (or the first at or after it), by union and fill, in one shuffle.
+"""As-of joins: each left row gets the last right row at or before its time (or the first at or after it), by union and fill, in one shuffle by key and month.
 
 Ties on the right are settled by `tie`; a right row whose value is null still counts as the last one. A left row without a match gets nulls.
 Only availability times are joined on: `feature_asof` adds the mandatory lag, and `forbid_event_time_join` refuses a join on event time.
@@ -19,15 +19,24 @@ def forbid_event_time_join(*_: object) -> None:
 
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], tie: Column | None, forward: bool) -> DataFrame:
-    a = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1 - 2 * forward).alias("_side"), F.lit(None).alias("_tie"), F.struct(*left.columns).alias("_row"))
-    held = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), (F.lit(None) if tie is None else tie).alias("_tie"), F.struct(*values).alias("_found"))
-    both = a.unionByName(held, allowMissingColumns=True)
+    """Rows meet by key and month. What a month begins (forward: ends) with comes from the key's other months' own last (first) right rows, one for each month, and stands before
+    (after) its rows; so a key with many rows is spread over its months."""
     if not keys:
         raise ValueError("an as-of join needs keys; a step function without any goes through step_lookup")
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side", "_tie")
+    in_time = lambda df, ts: _month(ts) if df.schema[ts].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.lit(0)
+    a = left.select(*keys, in_time(left, left_ts).alias("_m"), F.col(left_ts).alias("_ts"), F.lit(1 - 2 * forward).alias("_side"), F.lit(None).alias("_tie"), F.struct(*left.columns).alias("_row"))
+    held = right.select(*keys, in_time(right, right_ts).alias("_m"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), (F.lit(None) if tie is None else tie).alias("_tie"), F.struct(*values).alias("_found"))
+    both = a.unionByName(held, allowMissingColumns=True)
+    order = F.when(F.col("_found").isNotNull(), F.struct("_ts", "_tie"))
+    months = both.select(*keys, "_m", "_ts", "_tie", "_found").groupBy(*keys, "_m").agg((F.min_by if forward else F.max_by)("_found", order).alias("_found"))
+    line = Window.partitionBy(*keys).orderBy("_m")  # a row for each month
+    frame = line.rowsBetween(1, Window.unboundedFollowing) if forward else line.rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.first if forward else F.last
+    carried = months.select(*keys, "_m", pick("_found", ignorenulls=True).over(frame).alias("_found")).where("_found is not null").withColumn("_edge", F.lit(1 if forward else -1))
+    both = both.withColumn("_edge", F.lit(0)).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_m").orderBy("_edge", "_ts", "_side", "_tie")
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = (F.first if forward else F.last)("_found", ignorenulls=True).over(w)
-    return both.withColumn("_found", pick).where("_row is not null").select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+    return both.withColumn("_found", pick("_found", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], tie: Column | None = None) -> DataFrame:

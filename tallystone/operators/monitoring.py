@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tallystone.operators.persist import cut
 
 STRONG_DRIFT = 0.25
 EPS = 1e-6
 
 
-#: Buckets of equal width that a feature's values are dealt into, so that running totals need no task for a whole feature.
-BUCKETS = 1024
+#: Ranges that a feature's values are dealt into, about equally many each, so that running totals need no task for a whole feature; a power of two, for the search.
+RANGES = 1024
+
+
+def ranged(rows: DataFrame, key: str, value: str, *totals: Column) -> DataFrame:
+    """rows with `_b`, the range of their value among those of their key: a quantile sketch of each key's values chooses the cuts. Totals of the key stand beside it."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    cuts = rows.groupBy(key).agg(F.percentile_approx(value, shares, 4 * RANGES).alias("_cuts"), *totals)
+    halves = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+    # how many cuts are at or below the value, by halving
+    at = F.aggregate(halves, F.lit(0), lambda s, k: F.when(F.element_at("_cuts", s + k) <= F.col(value), s + k).otherwise(s))
+    return rows.join(cuts, key).withColumn("_b", at).drop("_cuts")
 
 
 def running(counts: DataFrame, key: str, value: str, columns: list[str]) -> DataFrame:
     """counts (key, value, columns; a row for each value) with `before_<column>`: the sum over the key's smaller values, and `all_<column>`: over all of them."""
-    span = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), *[F.sum(c).alias(f"all_{c}") for c in columns])
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    placed = counts.join(span, key).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * (BUCKETS - 1))).otherwise(0).cast("int"))
+    placed = ranged(counts, key, value, *[F.sum(c).alias(f"all_{c}") for c in columns])
     sums = placed.groupBy(key, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    line = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
+    line = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
     carried = sums.select(key, "_b", *[F.coalesce(F.sum(f"_{c}").over(line), F.lit(0)).alias(f"_carried_{c}") for c in columns])
     inner = Window.partitionBy(key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(carried, [key, "_b"])
@@ -28,8 +42,10 @@ def running(counts: DataFrame, key: str, value: str, columns: list[str]) -> Data
 
 
 def _counted(samples: DataFrame) -> DataFrame:
-    known = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return known.groupBy("feature", "value").agg(F.count_if(~F.col("live")).alias("e"), F.count_if("live").alias("a"))
+    """A row for each finite value of a feature, written once: the ranges, their totals and the samples' counts all read it."""
+    known = samples.where(F.abs("value") < float("inf"))  # neither null nor NaN
+    counts = known.groupBy("feature", "value").agg(F.count_if(~F.col("live")).alias("e"), F.count_if("live").alias("a"))
+    return cut(counts)
 
 
 def quantiles(counts: DataFrame, shares: list[float]) -> DataFrame:
@@ -88,25 +104,37 @@ def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = 100) -> Col
 
 
 def cusum(series: DataFrame, threshold: float, key: str = "secid", order: str = "date", column: str = "close") -> DataFrame:
-    """(key, order, direction): times at which the cumulated rise or fall since the last event exceeds the threshold. A fold over the array of one series' own bars,
-    as many as there are trading days."""
+    """(key, order, direction): times at which the cumulated rise or fall since the last event exceeds the threshold.
+
+    A security's bars pass its task as a sorted stream; its state, the rise, the fall and the last value, is all that is held, however long the series is.
+    """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    known = series.where(F.col(column).isNotNull()).select(key, F.col(order).alias("t"), F.col(column).cast("double").alias("v"))
-    steps = known.withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy(key).orderBy("t"))).where("d is not null")
-    line = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("t", "d"))).alias("steps"))
-    kind = f"array<struct<t:{series.schema[order].dataType.simpleString()},direction:int>>"
-    zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast(kind).alias("found"))
-
-    def step(s, x):
-        up, down = F.greatest(F.lit(0.0), s["up"] + x["d"]), F.least(F.lit(0.0), s["down"] + x["d"])
-        rise, fall = up > threshold, ~(up > threshold) & (down < -threshold)
-        event = F.array(F.struct(x["t"].alias("t"), F.when(rise, 1).otherwise(-1).alias("direction"))).cast(kind)
-        found = F.when(rise | fall, F.concat(s["found"], event)).otherwise(s["found"])
-        return F.struct(F.when(rise, 0.0).otherwise(up).alias("up"), F.when(fall, 0.0).otherwise(down).alias("down"), found.alias("found"))
-
-    folded = line.select(key, F.explode(F.aggregate("steps", zero, step)["found"]).alias("e"))
-    return folded.select(key, F.col("e.t").alias(order), F.col("e.direction").alias("direction"))
+    schema = StructType([series.schema[key], series.schema[order], StructField("direction", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, up, down = object(), 0.0, 0.0, 0.0
+        for batch in batches:
+            at, directions = [], []
+            for i, (k, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if k != now:
+                    now, last, up, down = k, v, 0.0, 0.0
+                    continue
+                step, last = v - last, v
+                up, down = max(0.0, up + step), min(0.0, down + step)
+                if up > threshold:
+                    up = 0.0
+                    at.append(i)
+                    directions.append(1)
+                elif down < -threshold:
+                    down = 0.0
+                    at.append(i)
+                    directions.append(-1)
+            found = batch.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.array(directions, pa.int32())], [key, order, "direction"])
+
+    known = series.select(key, order, F.col(column).cast("double").alias("_v")).where("_v is not null")
+    return known.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def auc(scored: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -82,17 +81,27 @@ def forward_drawdown_label(price: str, horizon: int, depth: float, w: WindowSpec
 def ewm_volatility(df: DataFrame, span: int = 20, price: str = "close", key: str = "secid", order: str = "date") -> DataFrame:
     """(key, order, ewm_std): exponentially weighted, bias-corrected deviation of returns; gaps in the price are carried over first.
 
-    One group is one security's own bars, as many as there are trading days.
+    Decayed sums of weights, squared weights and the first two moments. Bars are dealt in blocks as long as a weight takes to fall below a double's precision; a block's sums are
+    its own running ones and, decayed, those that the block before it ends with, which stand before its first bar. What came before that weighs nothing.
     """
-    schema = df.select(key, order).schema.simpleString()[len("struct<") : -1].replace(":", " ")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        std = pdf[price].ffill().pct_change(fill_method=None).ewm(span=span).std()
-        return pdf[[key, order]].assign(ewm_std=std)
-
-    out = df.select(key, order, price).groupBy(key).applyInPandas(one, f"{schema.replace(',', ', ')}, ewm_std double")
-    return out.withColumn("ewm_std", F.when(~F.isnan("ewm_std"), F.col("ewm_std")))
+    d = 1 - 2 / (span + 1)
+    block = math.ceil(40 / -math.log(d))
+    w = bars(key, order)
+    filled = df.select(key, order, F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_p"), (F.row_number().over(w) - 1).alias("_i"))
+    rows = filled.select(key, order, F.floor(F.col("_i") / block).alias("_block"), (F.col("_i") % block).alias("_q"), bar_return("_p", 1, w).alias("_r"))
+    known = F.col("_r").isNotNull()
+    parts = {"_s1": F.when(known, 1.0), "_s2": F.when(known, 1.0), "_x": F.col("_r"), "_xx": F.col("_r") * F.col("_r"), "_n": known.cast("double")}
+    rows = rows.select(key, order, "_block", "_q", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])
+    left = F.lit(block) - F.col("_q")  # bars from here to the first of the next block
+    decayed = lambda n, by: F.pow(F.lit(d), (2 if n == "_s2" else 0 if n == "_n" else 1) * by)
+    ends = rows.groupBy(key, (F.col("_block") + 1).alias("_block")).agg(*[F.sum(F.col(n) * decayed(n, left)).alias(n) for n in parts])
+    both = rows.unionByName(ends.withColumn("_q", F.lit(-1)), allowMissingColumns=True)
+    upto = Window.partitionBy(key, "_block").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.greatest("_q", F.lit(0))
+    sums = both.select(key, order, "_q", *[(F.sum(F.col(n) * decayed(n, -place)).over(upto) * decayed(n, place)).alias(n) for n in parts]).where("_q >= 0")
+    variance = F.greatest(F.col("_xx") / F.col("_s1") - F.pow(F.col("_x") / F.col("_s1"), F.lit(2)), F.lit(0.0))
+    bias = F.col("_s1") * F.col("_s1") / (F.col("_s1") * F.col("_s1") - F.col("_s2"))
+    return sums.select(key, order, F.when(F.col("_n") > 1, F.sqrt(variance * bias)).alias("ewm_std"))
 
 
 def weekly_hold(df: DataFrame, signal: str, key: str, order: str = "date") -> Column:
