@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.operators.asof import asof_backward, step_before, step_lookup
-from tallystone.operators.series import annual_volatility, bar_return, bars, distance_to_mean, drawdown_from_high, hold_weekly, rolling_mean, rolling_median, rolling_std
+from tallystone.operators.blocks import rolling_medians
+from tallystone.operators.series import annual_volatility, bar_return, bars, distance_to_mean, drawdown_from_high, hold_weekly, rolling_mean, rolling_std
 
 
 def aligned(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
@@ -52,8 +53,8 @@ def low_volatility_targets(equity: DataFrame) -> DataFrame:
     w = bars("run_id")
     ret = equity.withColumn("logret", F.log(F.col("close") / F.lag("close").over(w)))
     vol = ret.withColumn("vol", annual_volatility("logret", 20, w))
-    median = rolling_median("vol", 250, w)
-    marked = vol.withColumn("raw", F.when(median.isNotNull(), (F.col("vol") < median).cast("double")))
+    both = vol.join(rolling_medians(vol, "vol", 250, "median", "run_id"), ["run_id", "date"])
+    marked = both.withColumn("raw", F.when(F.col("median").isNotNull(), (F.col("vol") < F.col("median")).cast("double")))
     return hold_weekly(marked, "raw", "share", "run_id").select("run_id", "date", "share")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tallystone.functions.normal import normal_cdf
+from tallystone.operators.blocks import fractional_differences
 
 YEAR = 252
 
@@ -52,10 +53,6 @@ def rolling_max(column: str, n: int, w: WindowSpec) -> Column:
     return full(F.max(column), F.col(column), n, w)
 
 
-def rolling_median(column: str, n: int, w: WindowSpec) -> Column:
-    return full(F.percentile(column, 0.5), F.col(column), n, w)
-
-
 def annual_volatility(column: str, n: int, w: WindowSpec) -> Column:
     return rolling_std(column, n, w) * math.sqrt(YEAR)
 
@@ -129,21 +126,9 @@ def fraction_weights(d: float, threshold: float = 1e-3, most: int = 10_000) -> l
     return weights
 
 
-def fractional_difference(column: str, d: float, w: WindowSpec, threshold: float = 1e-3) -> Column:
-    """Weighted sum of this and earlier values; null while the window isn't full or holds a null."""
-    return weighted_tail(recent(column, len(fraction_weights(d, threshold)), w), fraction_weights(d, threshold))
-
-
-def recent(column: str, n: int, w: WindowSpec) -> Column:
-    """The last n values, oldest first, each in a struct so that nulls keep their places."""
-    return F.collect_list(F.struct(F.col(column).alias("v"))).over(w.rowsBetween(1 - n, 0))
-
-
-def weighted_tail(values: Column, weights: list[float]) -> Column:
-    """The dot product of an array's end with the weights, the first being the last value's; null while there are too few, or one is null."""
-    n = len(weights)
-    products = F.zip_with(F.slice(values, -n, n), F.array(*[F.lit(x) for x in reversed(weights)]), lambda v, x: v["v"] * x)
-    return F.when(F.size(values) >= n, F.aggregate(products, F.lit(0.0), lambda total, x: total + x))
+def fractional_difference(df: DataFrame, column: str, d: float, out: str, threshold: float = 1e-3, key: str = "secid", order: str = "date") -> DataFrame:
+    """(key, order, out): weighted sum of this and earlier values; null while the window isn't full or holds a null."""
+    return fractional_differences(df, column, {out: fraction_weights(d, threshold)}, key, order)
 
 
 def _adf_p_value(t: Column) -> Column:
@@ -183,12 +168,10 @@ def adf_p_values(df: DataFrame, column: str, key: str | list[str] = "secid", ord
 
 
 def least_stationary_order(df: DataFrame, column: str, key: str = "secid", order: str = "date", p_limit: float = 0.05) -> DataFrame:
-    """(key, d): the least order on the grid 0, 0.1, ..., 1 whose fractional difference is stationary; null if none is. One scan gathers each bar's last values, from which all
-    orders are differenced."""
-    grid = [step / 10 for step in range(11)]
-    weights = {d: fraction_weights(d) for d in grid}
-    gathered = df.select(key, order, recent(column, max(map(len, weights.values())), Window.partitionBy(key).orderBy(order)).alias("_v"))
-    each = F.array(*[F.struct(F.lit(d).alias("d"), weighted_tail(F.col("_v"), weights[d]).alias("x")) for d in grid])
-    differenced = gathered.select(key, order, F.explode(each).alias("_e")).select(key, order, "_e.d", F.col("_e.x").alias("_x"))
+    """(key, d): the least order on the grid 0, 0.1, ..., 1 whose fractional difference is stationary; null if none is. One pass over blocks of bars differences by all orders."""
+    weights = {f"_d{step}": fraction_weights(step / 10) for step in range(11)}
+    differenced = fractional_differences(df, column, weights, key, order)
+    each = F.array(*[F.struct(F.lit(i / 10).alias("d"), F.col(n).alias("x")) for i, n in enumerate(weights)])
+    differenced = differenced.select(key, order, F.explode(each).alias("_e")).select(key, order, "_e.d", F.col("_e.x").alias("_x"))
     found = adf_p_values(differenced, "_x", [key, "d"], order)
     return df.select(key).distinct().join(found.where(F.col("p_value") < p_limit).groupBy(key).agg(F.min("d").alias("d")), key, "left")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.operators import bars, quality, series, universe
+from tallystone.operators import bars, blocks, quality, series, universe
 from tallystone.operators import monitoring as mon
 from tallystone.plans.catalog import register
 from tallystone.plans.queries_metrics import phi
@@ -128,7 +128,7 @@ register(
 )
 register(
     "w7_rolling_median",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.rolling_median("close", 60, series.bars()).alias("med")),
+    lambda s, d: blocks.rolling_medians(long_candles(s, d), "close", 60, "med"),
     f"WITH {L} SELECT secid, date, {_full('quantile_cont(close, 0.5)', 'close', 60)} AS med FROM l",
     "med",
     8,
@@ -184,7 +184,7 @@ SELECT secid, date, direction FROM r WHERE direction <> 0""",
 _weights = series.fraction_weights(0.4, 0.01)
 register(
     "w18_fractional_difference",
-    lambda s, d: long_candles(s, d).select("secid", "date", series.fractional_difference("close", 0.4, series.bars(), 0.01).alias("x")),
+    lambda s, d: series.fractional_difference(long_candles(s, d), "close", 0.4, "x", 0.01),
     f"WITH {L} SELECT secid, date, {' + '.join(f'({x!r}) * ' + (f'lag(close, {k}) OVER w' if k else 'close') for k, x in enumerate(_weights))} AS x FROM l {W}",
     "x",
 )

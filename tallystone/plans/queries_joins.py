@@ -279,6 +279,7 @@ def _saved(s: SparkSession, d: str) -> DataFrame:
     return store.cached("bars/daily", lambda: None)
 
 
+register("s4_file_digests", lambda s, d: dataset.file_digests(s, d).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "size", "digest"))
 register("s1_dataset", _saved, f"WITH {C} SELECT * FROM c", "open high low close value volume", 7)
 
 

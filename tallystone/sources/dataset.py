@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,11 +90,54 @@ class Datasets:
         return self.load(key)
 
     def version(self) -> str:
-        """16 hex digits over all files' names and contents, hashed on the executors; only digests are combined."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.root)
+        """16 hex digits over all files' names and contents, read in ranges; only digests are combined."""
+        files = file_digests(self.spark, self.root)
         name = F.regexp_replace("path", r"^.*?([^/]+\.parquet)/[^/]*$", "$1")
-        file = F.sha2(F.concat_ws("/", name, F.sha2("content", 256)), 256)
-        return files.agg(_sum_of_digests(file)).first()[0]
+        return files.agg(_sum_of_digests(F.sha2(F.concat_ws("/", name, F.col("size").cast("string"), "digest"), 256))).first()[0]
+
+
+#: Prime and base of the digest of a file: the sum of its parts' hashes times falling powers of the base.
+PRIME, BASE = (1 << 127) - 1, 0x6A09E667F3BCC908B2FB1366EA957D3E
+
+
+def file_digests(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, size, digest) of the files below a folder, or of one file, of any size.
+
+    A file is read in ranges (spark.sql.files.maxPartitionBytes) as parts that end with byte 10. A range gives the number of its parts and a polynomial of their hashes;
+    those of two neighbours make that of both, so the digest doesn't depend on where ranges begin. A task holds one part.
+    """
+    lines = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    parts = lines.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start", F.col("value").cast("binary").alias("part"))
+
+    def of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, h = None, 0, 0
+        out: list[tuple] = []
+        for batch in batches:
+            for *place, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != now:
+                    if now is not None:
+                        out.append((*now, n, h.to_bytes(16, "big")))
+                    now, n, h = place, 0, 0
+                n, h = n + 1, (h * BASE + int.from_bytes(hashlib.blake2b(part, digest_size=15).digest(), "big") + 1) % PRIME
+        if now is not None:
+            out.append((*now, n, h.to_bytes(16, "big")))
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+    def of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for ranges in batch.column("ranges").to_pylist():
+                h = 0
+                for r in ranges:
+                    h = (h * pow(BASE, r["n"], PRIME) + int.from_bytes(r["h"], "big")) % PRIME
+                digests.append(f"{h:032x}")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size"), pa.array(digests, pa.string())], ["path", "size", "digest"])
+
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("h", pa.binary())])
+    ranges = parts.mapInArrow(of_ranges, "path string, size long, start long, n long, h binary")
+    # a row for each range of a file
+    files = ranges.groupBy("path", "size").agg(F.sort_array(F.collect_list(F.struct("start", "n", "h"))).alias("ranges"))
+    return files.mapInArrow(of_files, "path string, size long, digest string")
 
 
 def _sum_of_digests(digest: Column) -> Column:

@@ -148,7 +148,7 @@ def test_drift_monitors(spark):
 def test_fractional_difference(spark):
     assert series.fraction_weights(1.0) == [1.0, -1.0]
     assert series.fraction_weights(0.0) == [1.0]
-    got = closes(spark, [1, 3, 6]).select("date", series.fractional_difference("close", 1.0, series.bars()).alias("x")).orderBy("date").collect()
+    got = series.fractional_difference(closes(spark, [1, 3, 6]), "close", 1.0, "x").orderBy("date").collect()
     assert [r.x for r in got] == [None, 2.0, 3.0]
 
 

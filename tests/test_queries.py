@@ -12,9 +12,8 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 
 
-#: Fits, which SQL can't express; test_engine and test_operators hold them against plain loops.
-HELD_BY_BRUTE_FORCE = {"e16_risk_forecast", "m12_model_probabilities", "m8_permutation_importance", "q8_model_filtered", "q8_model_most_confident"}
-EMPTY_HERE = {"q8_model_filtered", "q8_model_most_confident", "e16_risk_forecast"}
+#: The bytes of files, which SQL doesn't see; test_scale holds them against a plain loop.
+HELD_BY_BRUTE_FORCE = {"s4_file_digests"}
 
 
 def plain(df: pd.DataFrame) -> list[tuple]:
@@ -52,9 +51,7 @@ def test_query(spark, duck, name):
         assert plain(got) == plain(want)
     else:
         assert name in HELD_BY_BRUTE_FORCE
-        assert got.shape[1] and (len(got) or name in EMPTY_HERE)
-        for column in ("proba", "base_rate"):
-            assert column not in got or got[column].dropna().between(0, 1).all()
+        assert got.shape[1] and len(got)
 
 
 def test_whole_queries_take_every_bar_and_line_item(spark):

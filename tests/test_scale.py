@@ -1,6 +1,7 @@
 """Operators whose work must spread over tasks or stay bounded: against brute force, on skewed and long inputs."""
 
 import datetime as dt
+import hashlib
 import math
 from itertools import combinations
 
@@ -9,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.operators import asof, monitoring, series, validation
+from tallystone.operators import asof, blocks, monitoring, series, validation
+from tallystone.sources import dataset
 
 D = dt.date
 
@@ -158,3 +160,51 @@ def test_folds_by_plain_loops(spark):
                 if role:
                     want[key, fold, t0] = role
     assert got == want
+
+
+@pytest.mark.parametrize("size", [16, 4096])
+def test_sliding_windows_over_blocks_by_plain_loops(spark, monkeypatch, size):
+    """Blocks of sixteen bars, or one for all: medians and differences with unknown values, ties and windows longer than a block."""
+    monkeypatch.setattr(blocks, "BARS", size)
+    rng, rows = np.random.default_rng(size), []
+    for key, n in (("a", 90), ("b", 33), ("c", 3), (None, 20)):
+        values = np.round(rng.standard_normal(n), 1)
+        values[rng.random(n) < 0.04] = np.nan
+        rows += [(key, i, float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame([(k, i, None if math.isnan(v) else v) for k, i, v in rows], "secid string, date int, v double").repartition(3)
+    for n in (1, 4, 21):
+        got = {(r.secid, r.date): r.m for r in blocks.rolling_medians(df, "v", n, "m").collect()}
+        weights = {"x": series.fraction_weights(0.4, 0.03)[:n], "y": [1.0] * n}
+        diffs = {(r.secid, r.date): (r.x, r.y) for r in blocks.fractional_differences(df, "v", weights).collect()}
+        assert len(got) == len(diffs) == len(rows)
+        for key in ("a", "b", "c", None):
+            own = [v for k, _, v in rows if k == key]
+            for i in range(len(own)):
+                window = own[max(0, i - n + 1) : i + 1]
+                full = len(window) == n and not any(map(math.isnan, window))
+                assert got[key, i] == (pytest.approx(np.median(window)) if full else None)
+                for name, mine in zip(weights, diffs[key, i], strict=True):
+                    tail = own[max(0, i - len(weights[name]) + 1) : i + 1]
+                    known = len(tail) == len(weights[name]) and not any(map(math.isnan, tail))
+                    assert mine == (pytest.approx(float(np.dot(tail[::-1], weights[name])), abs=1e-12) if known else None)
+
+
+def test_digests_of_files_by_plain_loops_and_whatever_the_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    contents = {"a.parquet": rng.bytes(300_000), "b.parquet": b"one\n\ntwo\r\n\xff\n", "c.parquet": b"x" * 50_000, "d.parquet": b"\n" * 1000 + b"end", "e.txt": b"no"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    before, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "64k", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found.append({r.path.rpartition("/")[2]: (r["size"], r.digest) for r in dataset.file_digests(spark, f"file://{tmp_path}").collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2] and {*found[0]} == {"a.parquet", "b.parquet", "c.parquet", "d.parquet"}
+    for name, (size, digest) in found[0].items():
+        h, parts = 0, contents[name].split(b"\n")
+        for part in parts[:-1] if not parts[-1] else parts:
+            h = (h * dataset.BASE + int.from_bytes(hashlib.blake2b(part, digest_size=15).digest(), "big") + 1) % dataset.PRIME
+        assert (size, digest) == (len(contents[name]), f"{h:032x}")
+    assert len({d for _, d in found[0].values()}) == 4
