@@ -194,12 +194,13 @@ class Batch:
         self.doc = np.repeat(np.arange(len(docs), dtype="i4"), lengths)
         self.by_word = np.argsort(self.word, kind="stable").astype("i4")
         self.word_first = np.searchsorted(self.word[self.by_word], np.arange(len(found)))
-        self.sizes = sizes[found]
-        self.gram = flat[segments(starts[found], self.sizes)]
-        self.gram_first = begins(self.sizes)
+        lengths = sizes[found]
+        self.sizes = lengths.astype("f4")
+        self.gram = flat[segments(starts[found], lengths)]
+        self.gram_first = begins(lengths)
         order = np.argsort(self.gram, kind="stable")
         self.used, self.used_first = np.unique(self.gram[order], return_index=True)
-        self.gram_word = np.repeat(np.arange(len(found), dtype="i4"), self.sizes)[order]
+        self.gram_word = np.repeat(np.arange(len(found), dtype="i4"), lengths)[order]
 
     def gradients(self, e: np.ndarray, v: np.ndarray, w: np.ndarray, bias: np.ndarray, share: np.ndarray):
         """Of the weighed mean log loss, by the embeddings of used buckets, v, w and bias."""

@@ -176,7 +176,7 @@ def test_extract_over_edge_rows(spark):
 
 def _tree(rng: random.Random, depth: int = 0):
     """A random element as (tag, children), a child being an element or a text."""
-    tag = rng.choice(["div", "section", "p", "ul", "li", "a", "span", "article", "nav"] if depth else ["body"])
+    tag = rng.choice(["div", "section", "p", "ul", "li", "a", "span", "article", "b"] if depth else ["body"])
     words = lambda: " ".join(rng.choice(["word", "and, then", "more.", "text"]) for _ in range(rng.randrange(1, 12)))
     children: list = []
     for _ in range(rng.randrange(1, 5)):
@@ -256,16 +256,55 @@ def test_scores_equal_a_plain_recursion_on_generated_pages():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
-def test_ratios_choose_the_paths_of_every_page():
+def test_what_decides_on_the_pages_at_hand(monkeypatch):
+    """Ablation: without the weight of article boxes, and without any article or main element, the ratios and the box that carries find the same texts; without them or names they don't."""
     import pyarrow.parquet as pq
 
-    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column("html").to_pylist()
-    for page in pages:
-        reader = tag_paths.Reader(page or "")
-        score = tag_paths.path_scores(reader)
-        chosen = tag_paths.content_paths(score)
-        assert {n.path for n, t in reader.out if n is not None and not n.boxed and t.strip()} == {*score}
-        assert not score or chosen and min(score[p] for p in chosen) > max((x for p, x in score.items() if p not in chosen), default=0)
+    pages = [p or "" for p in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column("html").to_pylist()]
+    found = [main_text(p) for p in pages]
+    same = lambda other: sum(a == b for a, b in zip(found, other, strict=True))
+    assert same([main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", p)) for p in pages]) >= 2450
+    with monkeypatch.context() as m:
+        m.setattr(tag_paths, "BOX", 0)
+        assert same([main_text(p) for p in pages]) >= 2450
+    with monkeypatch.context() as m:  # names say nothing: adverts and footers stay in small pages
+        m.setattr(tag_paths, "LOW", 1)
+        m.setattr(tag_paths, "named_paths", lambda places: ([False] * len(places.nodes), [False] * len(places.nodes)))
+        assert same([main_text(p) for p in pages]) > 1000
+    with monkeypatch.context() as m:  # nothing is carried: headlines beside a box's paragraphs go
+        m.setattr(tag_paths, "carried", lambda places, chosen: {id(n) for n, _ in places.kept if n.path in chosen})
+        assert same([main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", p)) for p in pages]) < 1500
+
+
+STORY = "".join(f"<p>Sentence {i} of a story, which is long enough, and has its marks. It goes on; and on, and ends here.</p>" for i in range(6))
+
+
+def test_a_page_inside_one_form_is_read():
+    page = f"<body><form id=aspnetForm><div class=nav><a href=1>Home</a></div><div class=content><h1>Head</h1>{STORY}</div><div class=footer>Copyright of all.</div></form></body>"
+    text = main_text(page)
+    assert text.startswith("Head Sentence 0") and text.endswith("ends here.") and "Home" not in text and "Copyright" not in text
+
+
+def test_headlines_lists_and_tables_stay_without_an_article():
+    for page in (f"<div><h1>Head</h1>{STORY}<ul><li>an item</li></ul><table><tr><td>cell</td></tr></table></div>", f"<h1>Head</h1>{STORY}<ul><li>an item</li></ul><table><tr><td>cell</td></tr></table>"):
+        text = main_text(f"<body><nav><a href=1>Home</a></nav>{page}<div class=foot>Copyright of all.</div><footer>Foot, of the page.</footer></body>")
+        assert text.startswith("Head Sentence 0") and text.endswith("an item cell"), text
+
+
+def test_names_do_not_take_paragraphs_like_the_story():
+    page = f"<article><h1>Baking</h1>{STORY}<div class='cookies'><p>How to bake cookies, step by step. Take the flour, the eggs, and the milk; then stir it well.</p></div><div class='share widget'>{STORY[:200]}</p></div><menu><li>Salt</menu></article>"
+    text = main_text(page)
+    assert "How to bake cookies" in text and text.count("Sentence 0") == 2 and "Salt" in text
+    notice = f"<article>{STORY}<div class='cookies'>We use cookies.</div><form>Your name</form></article>"
+    assert "cookies" not in main_text(notice) and "Your name" not in main_text(notice)
+
+
+@pytest.mark.parametrize("box", ["<section class=discussion>", "<div class='reader-comments'>", "<div class='user-feedback'>", "<div id=comments>"])
+def test_what_readers_say_goes(box):
+    talk = box + "<p>I liked this, very much. It is as long as the story, and has marks; so be it. Yes, really so.</p>" * 3 + ("</section>" if "section" in box else "</div>")
+    for page in (f"<article>{STORY}{talk}</article>", f"<article>{STORY}</article>{talk}", f"<div>{STORY}</div>{talk}", f"<div>{STORY}{talk}</div>"):
+        text = main_text(page)
+        assert "Sentence 5" in text and "liked" not in text
 
 
 def test_hostile_pages_take_a_time_that_grows_with_their_length():
