@@ -18,8 +18,11 @@ def break_even_header(capital: float, risk_free: float, infrastructure: float, c
     return f"Capital {capital:,.0f}; a round trip costs {round_trip_pct(costs):.2f}%; the break-even is {need:.1%} a year: {risk_free:.1%} risk-free and {infrastructure / capital:.1%} for infrastructure."
 
 
-def run_report(run_id: str, equity_metrics: DataFrame, fill_metrics: DataFrame, benchmarks: DataFrame, halted: str | None, limitations: list[str], risk_free: float) -> str:
-    """benchmarks: (name, annual_return)."""
+def run_report(
+    run_id: str, equity_metrics: DataFrame, fill_metrics: DataFrame, benchmarks: DataFrame, halted: str | None, limitations: list[str], risk_free: float,
+    tax: DataFrame | None = None, resolution: DataFrame | None = None, stress: float | None = None,
+) -> str:
+    """benchmarks: (name, annual_return); tax: of `tax_by_year`; resolution: of `metrics.resolution`; stress: the factor that costs were raised by."""
     shown = equity_metrics.where(F.col("run_id") == run_id).select(
         F.col("annual_return").alias("raw"), percent(F.col("annual_return")).alias("annual"), percent(F.col("max_drawdown")).alias("drawdown"), "max_drawdown_days", F.round("sharpe", 2).alias("sharpe"), spaced_number(F.col("end_equity")).alias("end")
     )
@@ -30,6 +33,13 @@ def run_report(run_id: str, equity_metrics: DataFrame, fill_metrics: DataFrame,
     lines += [f"run {run_id}: {m.get('annual', 'n/a')} a year, drawdown {m.get('drawdown', 'n/a')} over {m.get('max_drawdown_days', 0)} days, Sharpe {m.get('sharpe')}, end {m.get('end', 'n/a')}"]
     lines += [f"{f.get('n_trades', 0)} trades, turnover {f.get('turnover') or 0:,.0f}, costs {f.get('total_costs') or 0:,.2f}"]
     lines += [f"against {r['name']}: {r['text']}" for r in benchmarks.select("name", percent(F.col("annual_return")).alias("text")).orderBy("name").collect()]  # a row for each benchmark
+    if tax is not None:
+        lines += [f"tax of {r['year']}: {r['tax']:,.2f} on {r['pnl']:,.2f}" for r in tax.where(F.col("run_id") == run_id).orderBy("year").collect()]  # a row for each year
+    if resolution is not None:
+        r = _one(resolution)
+        lines.append(f"a lot costs {r['mean_lot_cost']:,.2f} on average, {r['affordable']} securities are affordable, the least step is {r['min_step']:.1%}" + (f"; too dear: {r['too_dear']}" if r["too_dear"] else ""))
+    if stress is not None:
+        lines.append(f"stressed: costs are {stress:g} times the usual")
     return "\n".join([*lines, *[f"limitation: {x}" for x in limitations]])
 
 

@@ -7,10 +7,12 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import timedelta
+from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from tallystone.models.bayes import NormalBayes
 from tallystone.models.logistic import LinearModel
 from tallystone.operators.asof import feature_asof
 
@@ -19,6 +21,30 @@ class RegistryError(Exception):
     pass
 
 
+class Model(Protocol):
+    """What the library asks of a model: the features that it reads, its probability as a column over them, and what it says of itself."""
+
+    names: list[str]
+
+    def column(self) -> Column: ...
+
+    def contributions(self, x: np.ndarray) -> dict[str, float]: ...
+
+    def importance(self) -> dict[str, float]: ...
+
+
+#: Models that can be stored, by the name of their kind.
+KINDS: dict[str, type] = {"linear": LinearModel, "normal_bayes": NormalBayes}
+
+
+def scored(df: DataFrame, model: Model, out: str = "proba") -> DataFrame:
+    """df with the model's probability; null where one of its features is."""
+    missing = [n for n in model.names if n not in df.columns]
+    if missing:
+        raise RegistryError(f"features are missing: {', '.join(missing)}")
+    return df.withColumn(out, model.column())
+
+
 @dataclass(frozen=True)
 class Feature:
     """compute gives (keys, event_ts, value); the value may be used from event_ts + lag on."""
@@ -90,10 +116,13 @@ class Models:
                 return []
             raise
 
-    def register(self, card: Card, model: LinearModel) -> str:
+    def register(self, card: Card, model: Model) -> str:
         if card.name in self.names():
             raise RegistryError(f"{card.name} is there already, and cards don't change")
-        blob = json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(model).items()}, sort_keys=True)
+        kind = next((k for k, t in KINDS.items() if type(model) is t), None)
+        if kind is None:
+            raise RegistryError(f"models of type {type(model).__name__} can't be stored")
+        blob = json.dumps({"kind": kind} | {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(model).items()}, sort_keys=True)
         digest = hashlib.sha256(blob.encode()).hexdigest()
         self.spark.createDataFrame([(card.name, blob, digest, json.dumps(asdict(card), sort_keys=True))], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
         return digest
@@ -101,12 +130,13 @@ class Models:
     def names(self) -> list[str]:
         return [r["name"] for r in self._rows()]
 
-    def load(self, name: str) -> tuple[LinearModel, Card]:
+    def load(self, name: str) -> tuple[Model, Card]:
         row = next((r for r in self._rows() if r["name"] == name), None)
         if row is None:
             raise RegistryError(f"no such model: {name}")
         if hashlib.sha256(row["blob"].encode()).hexdigest() != row["sha256"]:
             raise RegistryError(f"{name}: the stored model has been changed")
         values = json.loads(row["blob"])
-        arrays = {k: np.array(values[k], float) for k in ("mean", "scale", "coef")}
-        return LinearModel(**{**values, **arrays}), Card(**json.loads(row["card"]))
+        kind = KINDS[values.pop("kind")]
+        arrays = {k: np.array(v, float) for k, v in values.items() if k != "names" and isinstance(v, list)}
+        return kind(**{**values, **arrays}), Card(**json.loads(row["card"]))

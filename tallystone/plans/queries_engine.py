@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.engine import walkforward
-from tallystone.models import fits, logistic
+from tallystone.models import bayes, fits, logistic, registry
 from tallystone.operators import allocation, labeling, signals, validation
-from tallystone.operators.persist import cut
+from tallystone.operators.persist import cut, shared_folder
 from tallystone.operators.series import bars, forward_drawdown_label
 from tallystone.operators.strategies import strategy, weights_of
 from tallystone.plans import fit_sql
@@ -227,3 +229,28 @@ ba AS (SELECT fold, avg(CASE WHEN (z >= 0) = y THEN 1.0 ELSE 0.0 END) AS base FR
 SELECT feature, avg(base - score) AS mean_drop, stddev_pop(base - score) AS std_drop FROM sc JOIN ba USING (fold) GROUP BY 1""",
     "mean_drop std_drop",
 )
+
+
+def _scored_by_protocol(s: SparkSession, d: str) -> DataFrame:
+    """Both models of all bets, through the registry, by the one protocol."""
+    data = cut(bets(cut_candles(s, d))[0])
+    store, out = registry.Models(s, f"{shared_folder(s)}/models-{uuid.uuid4().hex}"), None
+    found = {"bayes": bayes.fit_bayes(data, BETS), "linear": logistic.fitted(data.withColumn("secid", F.col("key")), BETS)}
+    for name, model in found.items():
+        store.register(registry.Card(name, BETS, END, "bets", {}), model)
+        one = registry.scored(data, store.load(name)[0]).select(F.lit(name).alias("model"), "key", "t0", "proba")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_bayes = " ".join(f"+ pow({f} - m0_{i}, 2) / (2 * v0_{i}) - pow({f} - m1_{i}, 2) / (2 * v1_{i}) + 0.5 * ln(v0_{i} / v1_{i})" for i, f in enumerate(BETS))
+register(
+    "x4_models",
+    _scored_by_protocol,
+    f"""WITH RECURSIVE {BETS_SQL},
+rb AS (SELECT 0 AS model, *, row_number() OVER (ORDER BY t0, {", ".join(BETS)}) - 1 AS rank FROM bets), {fit_sql.calibrated("cm", "rb", ["model"], BETS, 40)},
+nb AS (SELECT count(*) FILTER (y = 1) / count(*) FILTER (y = 0) AS odds, {", ".join(f"avg({f}) FILTER (y = {c}) AS m{c}_{i}, greatest(var_pop({f}) FILTER (y = {c}), 1e-12) AS v{c}_{i}" for c in (0, 1) for i, f in enumerate(BETS))} FROM bets)
+SELECT 'bayes' AS model, key, t0, 1 / (1 + exp(-(ln(odds) {_bayes}))) AS proba FROM bets CROSS JOIN nb
+UNION ALL SELECT 'linear', key, t0, {fit_sql.probability(BETS)} FROM rb JOIN cm USING (model)""",
+    "proba",
+)

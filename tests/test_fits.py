@@ -107,3 +107,27 @@ def test_importance_by_plain_loops(spark):
     for r in found.collect():
         assert (r.mean_drop, r.std_drop) == (pytest.approx(np.mean(drops[r.feature])), pytest.approx(np.std(drops[r.feature])))
     assert {r.feature for r in found.collect()} == {"a", "b"}
+
+
+def test_normal_bayes_equals_plain_moments(spark, tmp_path):
+    from tallystone.models import bayes, registry
+
+    x, y, _ = panel(8)["p"]
+    df = frame(spark, {"p": (x, y, np.ones(len(y)))})
+    model = bayes.fit_bayes(df, ["a", "b", "c"])
+    odds = np.log(y.sum() / (len(y) - y.sum()))
+    for i in range(3):
+        for k, sign in ((0, -1), (1, 1)):
+            own = x[y == k, i]
+            odds = odds + sign * (-0.5 * np.log(own.var()) - (x[:, i] - own.mean()) ** 2 / (2 * own.var()))
+    store = registry.Models(spark, f"file://{tmp_path}/models")
+    store.register(registry.Card("m", model.names, "x", "h", {}), model)
+    loaded, _ = store.load("m")
+    got = [r.proba for r in registry.scored(df, loaded).orderBy("rank").collect()]
+    assert got == pytest.approx((1 / (1 + np.exp(-odds))).tolist(), rel=1e-9)
+    assert sum(loaded.contributions(x[0]).values()) + loaded.prior == pytest.approx(odds[0]) and loaded.importance()["a"] > 0.5
+    assert bayes.fit_bayes(df.where("y = 1"), ["a"]) is None
+    with pytest.raises(registry.RegistryError):
+        registry.scored(df.drop("a"), loaded)
+    with pytest.raises(registry.RegistryError):
+        store.register(registry.Card("other", [], "x", "h", {}), object())

@@ -15,6 +15,12 @@ def test_reports_say_what_matters_first(spark):
     fills = metrics.fill_metrics(spark.createDataFrame([("run", 5000.0, 8.0, None)], "run_id string, order_value double, costs double, realized_pnl double"))
     text = reports.run_report("run", eq, fills, spark.createDataFrame([("cash", 0.16)], "name string, annual_return double"), None, ["lots are today's"], 0.16)
     assert text.startswith("LOSES TO CASH") and "1 trades" in text and "against cash: 16.0%" in text and text.endswith("lots are today's")
+    taxed = metrics.tax_by_year(spark.createDataFrame([("run", D(2024, 5, 1), 100.0), ("run", D(2025, 5, 1), -5.0), ("other", D(2024, 1, 1), 9.0)], "run_id string, date date, realized_pnl double"), 0.13)
+    lots = metrics.resolution(spark.createDataFrame([("A", 500.0), ("B", 9000.0)], "secid string, lot_cost double"), 20_000, 4, 0.25)
+    full = reports.run_report("run", eq, fills, spark.createDataFrame([("cash", 0.16), ("index", 0.1), ("fund", 0.12)], "name string, annual_return double"), None, [], 0.16, taxed, lots, 2.0)
+    for line in ("tax of 2024: 13.00 on 100.00", "tax of 2025: 0.00 on -5.00", "too dear: B", "stressed: costs are 2 times", "against fund: 12.0%", "against index: 10.0%"):
+        assert line in full
+    assert "9.00" not in full
     chosen = spark.createDataFrame([(0, "a")], "window int, config string")
     annual = spark.createDataFrame([("a", 0.1), ("b", 0.3)], "config string, annual double")
     out = reports.walk_forward_report(chosen, annual, eq, "below risk-free")
