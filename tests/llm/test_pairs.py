@@ -131,6 +131,23 @@ def test_vector_links_equal_brute_force(spark, side):
     assert vector_links.vector_links(df.limit(0)).count() == 0
 
 
+def test_many_tables_of_cells_lose_no_planted_link(spark):
+    """1,000 pairs just above the limit among 2,000 vectors of one label, with so small sides that some thirty tables of deep cells are used instead of one compared in full."""
+    rng, rows, wanted = np.random.default_rng(17), [], 0
+    depth, tables = vector_links.tables_for(2048, 0.93, 0.9999, 16)
+    assert depth > 3 and tables > 10
+    for i in range(1000):
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (0.9301 * a + np.sqrt(1 - 0.9301**2) * b).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in vector_links.vector_links(df, side=16).collect()}
+    wanted = sum(found[2 * i] >= 1 and found[2 * i + 1] >= 1 for i in range(1000))
+    assert wanted >= 999
+
+
 def test_links_of_very_large_and_very_small_components(spark):
     rows = [(1, [1e200] * 4), (2, [3e200] * 4), (3, [1e-200] * 4), (4, [1e200, -1e200, 0.0, 0.0]), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [1e308, 0.0, 0.0, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.vector_links(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
