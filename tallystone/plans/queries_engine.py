@@ -131,9 +131,9 @@ def modelled(c: DataFrame) -> DataFrame:
     return known.select("secid", "date", (F.lit(None).cast("double") if model is None else model.column()).alias("proba"))
 
 
-def model_filtered(s: SparkSession, d: str) -> DataFrame:
+def model_filtered(s: SparkSession, d: str, least: float) -> DataFrame:
     c = cut_candles(s, d)
-    return signals.meta_filtered(signals.ranked(c, "momentum", 60, 2), modelled(c), 0.5)
+    return signals.meta_filtered(signals.ranked(c, "momentum", 60, 2), modelled(c), least)
 
 
 MODELLED = f"""{TRAINING_WITH},
@@ -141,20 +141,22 @@ ts AS (SELECT 0 AS model, y, {", ".join(signals.BET_FEATURES)}, row_number() OVE
 {fit_sql.calibrated("cm", "ts", ["model"], signals.BET_FEATURES, 40)},
 pr AS (SELECT bf.secid, bf.date, {fit_sql.probability(signals.BET_FEATURES)} AS proba FROM bf LEFT JOIN cm ON true WHERE {" AND ".join(f"bf.{f} IS NOT NULL" for f in signals.BET_FEATURES)})"""
 register("m12_model_probabilities", lambda s, d: modelled(cut_candles(s, d)), f"WITH RECURSIVE {MODELLED} SELECT secid, date, proba FROM pr", "proba")
-register(
-    "q8_model_filtered",
-    model_filtered,
-    f"""WITH RECURSIVE {MODELLED}, k AS (SELECT secid, date, row_number() OVER (PARTITION BY date ORDER BY m DESC, secid) AS place FROM (SELECT secid, date, close / lag(close, 60) OVER (PARTITION BY secid ORDER BY date) - 1 AS m FROM l) WHERE m IS NOT NULL)
-SELECT k.secid, k.date, 0.5::DOUBLE AS weight, proba FROM k JOIN pr ON pr.secid = k.secid AND pr.date = k.date WHERE place <= 2 AND proba >= 0.5""",
-    "weight proba",
-)
-register(
-    "q8_model_most_confident",
-    lambda s, d: signals.most_confident(modelled(cut_candles(s, d)), 0.5, 2),
-    f"""WITH RECURSIVE {MODELLED}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY proba DESC, secid) AS place FROM pr WHERE proba >= 0.5)
+for _name, _least in (("q8_model_filtered", 0.5), ("q8_meta_filtered", 0.6)):
+    register(
+        _name,
+        lambda s, d, least=_least: model_filtered(s, d, least),
+        f"""WITH RECURSIVE {MODELLED}, k AS (SELECT secid, date, row_number() OVER (PARTITION BY date ORDER BY m DESC, secid) AS place FROM (SELECT secid, date, close / lag(close, 60) OVER (PARTITION BY secid ORDER BY date) - 1 AS m FROM l) WHERE m IS NOT NULL)
+SELECT k.secid, k.date, 0.5::DOUBLE AS weight, proba FROM k JOIN pr ON pr.secid = k.secid AND pr.date = k.date WHERE place <= 2 AND proba >= {_least}""",
+        "weight proba",
+    )
+for _name, _least in (("q8_model_most_confident", 0.5), ("q8_most_confident", 0.6)):
+    register(
+        _name,
+        lambda s, d, least=_least: signals.most_confident(modelled(cut_candles(s, d)), least, 2),
+        f"""WITH RECURSIVE {MODELLED}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY proba DESC, secid) AS place FROM pr WHERE proba >= {_least})
 SELECT secid, date, 0.5::DOUBLE AS weight, proba FROM k WHERE place <= 2""",
-    "weight proba",
-)
+        "weight proba",
+    )
 
 BETS = ["mom20", "vol20", "ma50"]
 
