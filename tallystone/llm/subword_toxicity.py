@@ -260,7 +260,8 @@ def train(docs: list, labels: np.ndarray, held: list, held_labels: np.ndarray, f
 
 
 def bag_margins(docs: list[tuple[np.ndarray, np.ndarray]], heads: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    per_word = np.add.reduceat(heads[flat], begins(sizes)) / sizes[:, None]
+    first = begins(sizes)
+    per_word = np.stack([np.add.reduceat(heads[:, k][flat], first) / sizes for k in (0, 1)], 1)
     return np.array([bag_margin(c, per_word[d, 0], per_word[d, 1]) for d, c in docs])
 
 
@@ -272,22 +273,44 @@ def shares_of(labels: np.ndarray) -> np.ndarray:
     return turn
 
 
-def train_fold(rows: list[tuple[str, int]], fold: int, least_documents: int) -> tuple[np.ndarray, list[int], list[float]]:
+@dataclass(frozen=True)
+class Bags:
+    """Documents as numbers: their distinct words and counts one document after another, the buckets of all words one word after another, and labels. Texts and words are left behind."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    lengths: np.ndarray
+    flat: np.ndarray
+    sizes: np.ndarray
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, int]]) -> Bags:
+        vocabulary = Vocabulary()
+        docs = [vocabulary(t) for t, _ in rows]
+        found, counts = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
+        flat, sizes = np.array(vocabulary.flat, "i4"), np.array(vocabulary.sizes, "i4")
+        return cls(found, counts, np.array([len(d) for d, _ in docs], "i4"), flat, sizes, np.array([y for _, y in rows], "i4"))
+
+    def docs(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.cumsum(self.lengths)[:-1]
+        return list(zip(np.split(self.words, cuts), np.split(self.counts, cuts), strict=True))
+
+
+def train_fold(bags: Bags, fold: int, least_documents: int) -> tuple[np.ndarray, list[int], list[float]]:
     """The heads of a model that leaves share `fold` apart, the places of that share, and the margins of its bags. With few documents of a label none is left apart."""
-    vocabulary = Vocabulary()
-    docs, labels = [vocabulary(t) for t, _ in rows], np.array([y for _, y in rows])
-    flat, sizes = np.frombuffer(vocabulary.flat, "i4"), np.frombuffer(vocabulary.sizes, "i4").astype("i8")
-    everyone = np.arange(len(rows))
+    docs, labels, sizes = bags.docs(), bags.labels, bags.sizes.astype("i8")
+    everyone = np.arange(len(docs))
     apart = everyone[shares_of(labels) == fold] if min(labels.sum(), (1 - labels).sum()) >= 2 * SHARES else everyone
-    rest = np.setdiff1d(everyone, apart) if len(apart) < len(rows) else apart
+    rest = np.setdiff1d(everyone, apart) if len(apart) < len(docs) else apart
     held = [docs[i] for i in apart]
-    heads = train([docs[i] for i in rest], labels[rest], held, labels[apart], flat, sizes, least_documents, fold)
-    return heads, apart.tolist(), bag_margins(held, heads, flat, sizes).tolist()
+    heads = train([docs[i] for i in rest], labels[rest], held, labels[apart], bags.flat, sizes, least_documents, fold)
+    return heads, apart.tolist(), bag_margins(held, heads, bags.flat, sizes).tolist()
 
 
-def train_in_tasks(spark: SparkSession, rows: list[tuple[str, int]], least_documents: int) -> list[tuple[np.ndarray, list[int], list[float]]]:
-    """train_fold of every fold, each in a task of its own; the rows, bounded by the sample, are broadcast."""
-    held = spark.sparkContext.broadcast(rows)
+def train_in_tasks(spark: SparkSession, bags: Bags, least_documents: int) -> list[tuple[np.ndarray, list[int], list[float]]]:
+    """train_fold of every fold, each in a task of its own; the bags, bounded by the sample, are broadcast."""
+    held = spark.sparkContext.broadcast(bags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,8 +332,9 @@ def fit_rows(rows: list[tuple[str, int]], least_documents: int = 4, spark: Spark
         return ToxicityModel(np.zeros((BUCKETS, 2)), 0.0, math.log(share / (1 - share)))
     if not any(words(t) for t, _ in rows):
         return ToxicityModel(np.zeros((BUCKETS, 2)), 0.0, math.log(ones / (len(rows) - ones)))
-    folds = train_in_tasks(spark, rows, least_documents) if spark else [train_fold(rows, k, least_documents) for k in range(FOLDS)]
-    labels = np.array([y for _, y in rows])
+    bags = Bags.of(rows)
+    folds = train_in_tasks(spark, bags, least_documents) if spark else [train_fold(bags, k, least_documents) for k in range(FOLDS)]
+    labels = bags.labels
     tried, margin = (np.concatenate([f[i] for f in folds]) for i in (1, 2))
     tried = tried.astype("i8")
     scale = float(margin.std()) or 1.0
