@@ -74,7 +74,7 @@ def walk_forward_risk(data: DataFrame, features: list[str], first_year: int, hor
 def fitted(data: DataFrame, features: list[str], label: str = "y", order: str = "t0", weight: str | None = None, least_rows: int = 40) -> LinearModel | None:
     """A calibrated model of a whole training set, in time by `order`, then by features; rows that lack one or a label go. None with fewer rows or one class."""
     rows = data.select(order, F.col(label).alias("y"), *features, *([weight] if weight else [])).na.drop().withColumn("model", F.lit(0))
-    rows = cut(ranked_in_time(rows, order, features))
+    rows = cut(ranked_in_time(cut(rows), order, features))  # counts and ranks must see the same rows
     found = fit_calibrated(rows, ["model"], features, "rank", "y", weight, least_rows)
     if not found.names:
         return None
