@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quotient(value: Column, by: Column) -> Column:
+    """value / by as doubles have it: infinite by zero, NaN for zero by zero. Spark's own division fails there."""
+    endless = F.atan2(by, F.lit(-1.0)) * F.lit(math.inf)  # of the zero's sign
+    return F.when(by == 0, value * endless).otherwise(value / by)
+
+
 @dataclass(frozen=True)
 class Costs:
     """Shares are in per cent of the order's value."""

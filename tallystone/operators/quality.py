@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.functions.finance import quotient
+
 
 def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
     """Trading days inside a security's own span on which it has no candle."""
@@ -15,9 +17,9 @@ def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def price_jumps(candles: DataFrame, confirmed: DataFrame, threshold: float) -> DataFrame:
-    """(secid, date, change, reason): closes that moved by more than the threshold; reason is a confirmed event's (date, secid or null for all, reason), else null."""
+    """(secid, date, change, reason): closes that moved by more than the threshold, from zero too; reason is a confirmed event's (date, secid or null for all, reason), else null."""
     w = Window.partitionBy("secid").orderBy("date")
-    moved = candles.select("secid", "date", (F.col("close") / F.lag("close").over(w) - 1).alias("change")).where(F.abs("change") > threshold)
+    moved = candles.select("secid", "date", (quotient(F.col("close"), F.lag("close").over(w)) - 1).alias("change")).where(F.abs("change") > threshold)
     events = confirmed.groupBy(F.col("date").alias("_date"), F.col("secid").alias("_secid")).agg(F.min("reason").alias("_reason"))
     hit = (F.col("date") == F.col("_date")) & (F.col("_secid").isNull() | (F.col("_secid") == F.col("secid")))  # an equi-join on the date, then the residual
     joined = moved.join(events, hit, "left")

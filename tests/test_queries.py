@@ -1,5 +1,6 @@
 """Every query of the library runs on the smallest tables and, where it has SQL, equals DuckDB's answer."""
 
+import datetime as dt
 import glob
 import os
 
@@ -54,6 +55,25 @@ def test_query(spark, duck, name):
         assert got.shape[1] and len(got)
 
 
+#: Queries that divide by a price.
+ZERO_PRICES = ["p10_without_suspicious"]
+
+
+@pytest.mark.parametrize("name", ZERO_PRICES)
+def test_a_price_of_zero_divides_as_in_sql(spark, tmp_path, name):
+    """Zero once, zero five bars apart (0 / 0), from zero to below it, never, and far jumps without one."""
+    import duckdb
+
+    prices = {1: [2, 3, 0, 2, 3, 2, 2, 3, 4, 2, 3, 2], 2: [2, 3, 0, 2, 3, 2, 2, 0, 4, 2, 3, 2], 3: [2, 3, 0, 2, 3, 2, 2, -1, 0, 2, 3, 2], 4: [2, 3, 2, 2, 3, 2, 2, 3, 4, 2, 3, 2], 5: [2, 9, 2, 9, 3, 2, 2, 3, 9, 2, 3, 1]}
+    rows = [(u, dt.datetime(2024, 1, 1 + k), float(v)) for u, values in prices.items() for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = catalog.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) != []
+
+
 def test_whole_queries_take_every_bar_and_line_item(spark):
     from tallystone.operators import labeling
     from tallystone.plans.views import long_candles, table
