@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tallystone.functions.finance import quotient
 from tallystone.functions.normal import normal_cdf
 from tallystone.operators.blocks import fractional_differences
 
@@ -19,10 +20,10 @@ def bars(key: str = "secid", order: str = "date") -> WindowSpec:
 
 
 def bar_return(price: str | Column, n: int, w: WindowSpec, lag: int = 0) -> Column:
-    """Return over n bars that ended `lag` bars ago."""
+    """Return over n bars that ended `lag` bars ago; from a price of zero it is infinite, or NaN to zero."""
     c = F.col(price) if isinstance(price, str) else price
     last = F.lag(c, lag).over(w) if lag else c
-    return last / F.lag(c, lag + n).over(w) - 1
+    return quotient(last, F.lag(c, lag + n).over(w)) - 1
 
 
 def full(value: Column, of: Column, n: int, w: WindowSpec) -> Column:
