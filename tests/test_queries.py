@@ -56,7 +56,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries that divide by a price.
-ZERO_PRICES = ["p10_without_suspicious", "q2_momentum", "q3_absolute_momentum"]
+ZERO_PRICES = ["p10_without_suspicious", "q2_momentum", "q3_absolute_momentum", "q4_mean_reversion"]
 
 
 @pytest.mark.parametrize("name", ZERO_PRICES)
