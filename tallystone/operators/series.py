@@ -80,13 +80,16 @@ def ewm_volatility(df: DataFrame, span: int = 20, price: str = "close", key: str
     """(key, order, ewm_std): exponentially weighted, bias-corrected deviation of returns; gaps in the price are carried over first.
 
     Decayed sums of weights, squared weights and the first two moments. Bars are dealt in blocks as long as a weight takes to fall below a double's precision; a block's sums are
-    its own running ones and, decayed, those that the block before it ends with, which stand before its first bar. What came before that weighs nothing.
+    its own running ones and, decayed, those that the block before it ends with, which stand before its first bar. What came before that weighs nothing, unless it is
+    infinite or NaN, as after a price of zero: from there on the deviation is NaN.
     """
     d = 1 - 2 / (span + 1)
     block = math.ceil(40 / -math.log(d))
     w = bars(key, order)
     filled = df.select(key, order, F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_p"), (F.row_number().over(w) - 1).alias("_i"))
     rows = filled.select(key, order, F.floor(F.col("_i") / block).alias("_block"), (F.col("_i") % block).alias("_q"), bar_return("_p", 1, w).alias("_r"))
+    odd = F.max(F.col("_r").isin(math.inf, -math.inf, math.nan)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_r", F.when(odd, math.nan).otherwise(F.col("_r")))  # in every block after it, too
     known = F.col("_r").isNotNull()
     parts = {"_s1": F.when(known, 1.0), "_s2": F.when(known, 1.0), "_x": F.col("_r"), "_xx": F.col("_r") * F.col("_r"), "_n": known.cast("double")}
     rows = rows.select(key, order, "_block", "_q", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])

@@ -56,7 +56,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries that divide by a price.
-ZERO_PRICES = ["p10_without_suspicious", "q2_momentum", "q3_absolute_momentum", "q4_mean_reversion", "q5_short_momentum", "q6_short_overbought"]
+ZERO_PRICES = ["p10_without_suspicious", "q2_momentum", "q3_absolute_momentum", "q4_mean_reversion", "q5_short_momentum", "q6_short_overbought", "w11_ewm_volatility"]
 
 
 @pytest.mark.parametrize("name", ZERO_PRICES)

@@ -93,6 +93,15 @@ def test_ewm_equals_the_definition(spark, span):
             assert (mine is None) == bool(np.isnan(value)) and (mine is None or mine == pytest.approx(value, rel=1e-9, abs=1e-13))
 
 
+def test_ewm_is_unknown_ever_after_a_price_of_zero(spark):
+    """Three blocks of 34 bars and more, the zero in the first."""
+    rows = [(key, D(2024, 1, 1) + dt.timedelta(i), 0.0 if i == 3 and key == "zero" else 2.0 + i % 3) for key in ("zero", "fine") for i in range(150)]
+    out = series.ewm_volatility(spark.createDataFrame(rows, "secid string, date date, close double"), 2).orderBy("secid", "date")
+    got = {key: [r.ewm_std for r in out.where(f"secid = '{key}'").collect()] for key in ("zero", "fine")}
+    assert not any(map(math.isnan, got["fine"][2:])) and got["zero"][:2] == [None, None]
+    assert not math.isnan(got["zero"][2]) and not math.isnan(got["zero"][3]) and all(map(math.isnan, got["zero"][4:]))
+
+
 def test_cusum_is_a_stream_with_a_bounded_state(spark):
     """A million bars of one key, with an event at every fourth, by plain loops."""
     n = 1_000_000
