@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.common import hand_back
 from tallystone.llm.components import connected_components, drop_tables, folded, shared_table, spread_join
 
 #: Result rows that a task gathers before it hands them on, and rows of a block's matrix that are turned to numbers at once.
@@ -89,6 +90,8 @@ def verified(members: DataFrame, linked: Callable[[Any, list, np.ndarray], np.nd
         if held:
             settle()
         yield batch()
+        held, part = [], None
+        hand_back()
 
     columns = members.select("cell", "i", "j", "side", "key", "copies", "data")
     sorted_ = columns.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")

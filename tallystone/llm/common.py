@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,6 +51,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hand_back() -> None:
+    """What a task has freed goes back to the system. Workers outlive tasks, and the allocators of C and Arrow would keep it for each of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library is glibc
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, keep_text: bool = False) -> DataFrame:
     """(doc_id, text) to doc_id, the text itself if keep_text, and the columns of `schema`.
 
@@ -63,6 +72,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
             work = work or make()
             passed = [part.column(x) for x in held]
             yield pa.RecordBatch.from_arrays([*passed, *work(part.column("text").to_pylist())], [*held, *names])
+        work = part = passed = None
+        hand_back()
 
     held = ["doc_id", "text"] if keep_text else ["doc_id"]
     return df.select("doc_id", "text").mapInArrow(run, with_id(df, ("text string, " if keep_text else "") + schema))
@@ -70,7 +81,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
 
 class Memo(dict):
     """A bounded memo: a missing key is computed by `make`. When it holds `limit` keys they become the old generation, from which keys that are asked for again come
-    back, and the one before is dropped; so frequent keys stay. Workers outlive tasks, and so do memos of models that they keep: some 200 bytes for each of 2 * limit keys."""
+    back, and the one before is dropped; so frequent keys stay. Workers outlive tasks, and so do memos of models that they keep: some 200 bytes for each of 2 * limit keys.
+    A process keeps one memo: where another meets a new key, as a worker has gone on to the next operator, the last one is emptied."""
+
+    latest: Memo | None = None
 
     def __init__(self, make: Callable, limit: int = 150_000):
         super().__init__()
@@ -80,6 +94,11 @@ class Memo(dict):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
+        if Memo.latest is not self:
+            if Memo.latest is not None:
+                Memo.latest.clear()
+                Memo.latest.old = {}
+            Memo.latest = self
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

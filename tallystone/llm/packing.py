@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallystone.llm.common import documents, slices, with_id
+from tallystone.llm.common import documents, hand_back, slices, with_id
 from tallystone.llm.components import shared_checkpoint
 from tallystone.llm.word_ids import word_ids
 
@@ -125,6 +125,8 @@ def tokenised(df: DataFrame, tokenizer_path: str, limit: int, end_id: int, id_co
                         column.append(x)
             arrays = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[0], pa.int64())), *arrays], ["doc_id", *names])
+        part = rows = arrays = None
+        hand_back()
 
     return docs.mapInArrow(run, with_id(docs, "piece int, start long, length long, ids_crc32 long"))
 

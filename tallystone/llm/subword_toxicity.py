@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import map_texts
+from tallystone.llm.common import hand_back, map_texts
 from tallystone.llm.common import documents as view
 from tallystone.llm.labelled import logistic, sample
 
@@ -316,6 +316,7 @@ def train_in_tasks(spark: SparkSession, bags: Bags, least_documents: int) -> lis
         for batch in batches:
             for fold in batch.column("id").to_pylist():
                 heads, apart, margins = train_fold(held.value, fold, least_documents)
+                hand_back()
                 yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([heads.tobytes()]), pa.array([apart]), pa.array([margins])], ["fold", "heads", "apart", "margins"])
 
     found = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "fold long, heads binary, apart array<long>, margins array<double>").collect()

@@ -5,11 +5,13 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallystone.llm.common import Memo, map_texts
 from tallystone.llm.normalise import CharacterMap, Normaliser
 from tallystone.llm.piece_codec import decode_ids, encode_texts, piece_codec
 from tallystone.llm.token_counts import count_tokens, token_counter
@@ -198,3 +200,37 @@ def test_a_long_chunk_without_spaces():
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     text = "".join(random.Random(5).choice("abcde") for _ in range(30_000))
     assert token_counter(MODEL)(text) == len(library.encode(text))
+
+
+def test_a_process_keeps_one_memo():
+    one, other = Memo(str.upper, 2), Memo(len)
+    assert [one[w] for w in "abca"] == [*"ABCA"] and len(one) + len(one.old) > 2
+    assert other["abc"] == 3 and not one and not one.old
+    assert one["a"] == "A" and not other
+
+
+def test_a_worker_hands_back_what_a_task_has_freed(spark):
+    """100 MB of small pieces of memory with one on top that stays; a later task asks by how much its worker has grown."""
+
+    def task(fill: bool):
+        def make():
+            import builtins
+            import re
+
+            with open("/proc/self/smaps_rollup") as f:
+                mb = int(re.search(r"Pss_Anon: +(\d+)", f.read())[1]) >> 10
+            held = [bytearray(2000) for _ in range(50_000)] if fill else []
+            if fill:
+                builtins._before, builtins._stays = mb, bytearray(2000)
+            grown = mb - getattr(builtins, "_before", 1 << 20)
+            return lambda texts: [pa.array([len(held) or grown] * len(texts), pa.int64())]
+
+        return task_rows(make)
+
+    def task_rows(make):
+        return [r["n"] for r in map_texts(docs, make, "n long").collect()]
+
+    docs = spark.range(64).repartition(8).selectExpr("id doc_id", "'a' text")
+    assert task(True) == [50_000] * 64
+    known = [n for n in task(False) if n > -(1 << 19)]
+    assert known and max(known) < 50
