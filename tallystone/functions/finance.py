@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def quotient(value: Column, by: Column) -> Column:
     """value / by as doubles have it: infinite by zero, NaN for zero by zero. Spark's own division fails there."""
-    endless = F.atan2(by, F.lit(-1.0)) * F.lit(math.inf)  # of the zero's sign
+    endless = F.pow(by, F.lit(-1.0))  # of the zero's sign; atan2 takes -0.0 as 0.0
     return F.when(by == 0, value * endless).otherwise(value / by)
 
 

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 
 def tick_bars(ticks: DataFrame, secid: Column, ts: str, price: str) -> DataFrame:
-    """Daily candles of ticks; the first and last price by time. Value is the sum of prices, volume the number of ticks."""
+    """Daily candles of ticks; the first and last known price by time. Value is the sum of prices, volume the number of ticks."""
+    known = F.when(F.col(price).isNotNull(), F.col(ts))
     return (
         ticks.groupBy(secid.alias("secid"), F.to_date(ts).alias("date"))
         .agg(
-            F.min_by(price, ts).alias("open"),
+            F.min_by(price, known).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max_by(price, ts).alias("close"),
+            F.max_by(price, known).alias("close"),
             F.sum(price).alias("value"),
             F.count("*").cast("double").alias("volume"),
         )

@@ -35,7 +35,7 @@ def ranked(candles: DataFrame, rule: str, lookback: int, top_n: int) -> DataFram
     if condition:
         scored = scored.where(f"ret {condition}")
     order: Column = F.desc("ret") if highest else F.asc("ret")
-    place = F.row_number().over(Window.partitionBy("date").orderBy(order, "secid"))
+    place = F.row_number().over(Window.partitionBy("date").orderBy(order, F.asc_nulls_last("secid")))
     return scored.withColumn("place", place).where(F.col("place") <= top_n).select("secid", "date", "ret", "place", F.lit(sign / top_n).alias("weight"))
 
 

@@ -74,6 +74,32 @@ def test_a_price_of_zero_divides_as_in_sql(spark, tmp_path, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) != []
 
 
+#: Prices of days by security; a list has several of one day.
+ODD_PRICES = {
+    "negative zero": {1: [-0.0, 1.0, 1.0, 1.0, 1.0, 2.0, 3.0], 2: [-0.0, 1.0, 1.0, 1.0, 1.0, -2.0, -3.0], 3: [1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 0.5]},
+    "unknown price": {1: [[2.0, None], 1.0, 1.0, 1.0, 1.0, 3.0], 2: [[None, 4.0, None], 1.0, 1.0, 1.0, 1.0, [1.0, None]], 3: [None, 1.0, 1.0, 1.0, 1.0, 3.0]},
+    "unknown security": {None: [2.0, 4.0, 1.0, 1.0, 1.0, 4.0, 1.0], 1: [2.0, 4.0, 1.0, 1.0, 1.0, 4.0, 1.0]},
+}
+#: Queries that rank securities of events by their returns.
+RANKED = ["q3_absolute_momentum"]
+
+
+@pytest.mark.parametrize("odd", ODD_PRICES)
+@pytest.mark.parametrize("name", RANKED)
+def test_odd_prices_rank_as_in_sql(spark, tmp_path, name, odd):
+    """A zero's sign is that of the infinite return, a day closes at its last known price, and a security without a name comes last of equals."""
+    import duckdb
+
+    days = [(u, k, v if isinstance(v, list) else [v]) for u, prices in ODD_PRICES[odd].items() for k, v in enumerate(prices)]
+    rows = [(u, dt.datetime(2024, 1, 1 + k, hour), v) for u, k, several in days for hour, v in enumerate(several)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = catalog.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) != []
+
+
 @pytest.mark.parametrize("name", ["p10_calm_customers", "p10_without_suspicious"])
 def test_no_event_excuses_a_jump(spark, tmp_path, name):
     """Security 1 jumps on the day of an event that p8 and p9 take as the reason for any jump, 2 on another day, 3 on none."""
