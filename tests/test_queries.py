@@ -81,7 +81,7 @@ ODD_PRICES = {
     "unknown security": {None: [2.0, 4.0, 1.0, 1.0, 1.0, 4.0, 1.0], 1: [2.0, 4.0, 1.0, 1.0, 1.0, 4.0, 1.0]},
 }
 #: Queries that rank securities of events by their returns.
-RANKED = ["q3_absolute_momentum", "q4_mean_reversion", "q5_short_momentum"]
+RANKED = ["q3_absolute_momentum", "q4_mean_reversion", "q5_short_momentum", "q6_short_overbought"]
 
 
 @pytest.mark.parametrize("odd", ODD_PRICES)
